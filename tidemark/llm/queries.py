@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, mtree, packing, quality, secrets
+from tidemark.llm import langid, licenses, mtree, packing, quality, secrets, substrings, warc
 from tidemark.llm.common import crc_fold, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold("doc_id", 3)
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
@@ -19,6 +23,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold("doc_id", 4)
     found = langid.identify(docs, langid.train(docs, fold != 2))
@@ -37,9 +45,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op5_packing, op7_langid, op8_licenses, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk)}
 
 ORACLE_SQL = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to FROM m
+    """,
     "op8_licenses": licenses.oracle_sql(),
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
