@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, mtree, packing, quality, secrets, substrings, warc
+from tidemark.llm import jaccard, langid, licenses, mtree, packing, quality, secrets, substrings, warc
 from tidemark.llm.common import crc_fold, table
 
 
@@ -13,6 +13,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold("doc_id", 3)
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
@@ -45,7 +49,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_quality, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_quality, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk)}
 
 ORACLE_SQL = {
     "op1_warc": """
