@@ -42,3 +42,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def crc_fold(col: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the contract's fold number."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod))
+
+
+def one_blas_thread() -> None:
+    """Keep numpy's matrix products on the task's own core: Spark already runs a worker per core,
+    and a forked worker must not wait for threads that its parent had."""
+    import ctypes
+
+    import numpy  # noqa: F401  loads the library
+
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)

@@ -49,13 +49,13 @@ _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0
 class Hasher:
     """Word and shingle hashes; keeps the powers that the longest text so far needed."""
 
-    def __init__(self, words: int = 3):
-        self.words, self.powers = words, Powers(BASES[0], 1 << 14)
+    def __init__(self, words: int = 3, space: np.ndarray = _SPACE):
+        self.words, self.space, self.powers = words, space, Powers(BASES[0], 1 << 14)
 
     def _words(self, data: np.ndarray) -> np.ndarray:
         if len(data) >= len(self.powers.up):
             self.powers = Powers(BASES[0], 1 << int(len(data)).bit_length())
-        inside = np.concatenate(([False], ~_SPACE[data], [False]))
+        inside = np.concatenate(([False], ~self.space[data], [False]))
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edge[::2], edge[1::2]
         return mix(Prefix(_LOWER[data], self.powers).of(start, end) + (end - start).astype(np.uint64))
@@ -64,7 +64,7 @@ class Hasher:
         data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
         if len(data) <= PIECE:
             return self._words(data)
-        space = np.flatnonzero(_SPACE[data])  # long texts go in pieces that end at white space
+        space = np.flatnonzero(self.space[data])  # long texts go in pieces that end at white space
         cuts = np.unique(np.concatenate(([0], space[np.searchsorted(space, np.arange(PIECE, space[-1], PIECE))] if len(space) else [], [len(data)]))).astype(int)
         return np.concatenate([self._words(data[a:b]) for a, b in zip(cuts, cuts[1:])])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import one_blas_thread, stage
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -80,6 +80,7 @@ def build(vectors: DataFrame, capacity: int = 1024, max_pivots: int = 1024) -> T
         pivots[i, : len(r["v"])] = r["v"]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             d = _distances(x, pivots)
@@ -119,6 +120,7 @@ def _route(queries: DataFrame, tree: Tree, first: bool) -> DataFrame:
     nodes, dim = (tree.pivots, tree.radius, tree.norm, tree.salts), tree.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             q = _matrix(batch.column(1), dim)
@@ -146,6 +148,7 @@ def _read_pages(tree: Tree, routed: DataFrame, k: int) -> DataFrame:
     dim, pivots = tree.dim, tree.pivots
 
     def run(page: pa.Table, blocks: pa.Table) -> pa.Table:
+        one_blas_thread()
         page = page.combine_chunks()
         out: tuple[list, list, list] = ([], [], [])
         if page.num_rows and blocks.num_rows:

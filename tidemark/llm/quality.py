@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import one_blas_thread, stage
 
 FEATURES = (
     "log_bytes", "log_words", "word_len", "letters", "upper", "digits", "punct", "symbols", "pipes", "bangs",
@@ -120,6 +120,7 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", learn: Co
     rows = (feats if learn is None else feats.where(learn)).join(lab, "doc_id").select("y", "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         sums = {0: [0.0, np.zeros(d), np.zeros((d, d))], 1: [0.0, np.zeros(d), np.zeros((d, d))]}
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
@@ -141,6 +142,7 @@ def train(feats: DataFrame, labels: DataFrame, label: str = "quality", learn: Co
 
 def score(feats: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, langid, licenses, mtree, packing, quality, secrets, substrings, warc
+from tidemark.llm import decontaminate, jaccard, langid, licenses, mtree, packing, quality, secrets, substrings, warc
 from tidemark.llm.common import crc_fold, table
 
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_quality, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_quality, op4_decontamination, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk)}
 
 ORACLE_SQL = {
     "op1_warc": """
