@@ -3,7 +3,9 @@
 Words are hashed to 2**16 terms. Inverse document frequencies and a randomised
 SVD of the TF-IDF passages come from the whole corpus: every task adds up its
 share of A'Y and Y'Y for Y = A * Omega, whose sizes are fixed, and the small
-factorisation follows from these sums.
+factorisation follows from these sums. The leading directions hold languages and
+common phrases; rare words, which tell passages apart, lie mostly outside them, so
+a random projection of the orthogonal rest completes the latent vector.
 
 Every document is then read once, in windows of a few lengths at a stride of
 ``STRIDE`` words; windows whose cosine with a benchmark passage reaches
@@ -91,8 +93,9 @@ def term_weights(df: np.ndarray, n: int, items: list[tuple[int, np.ndarray]]) ->
     return np.where(frequent, np.where(rare, np.maximum(idf, 4.0), 0.0), idf).astype(np.float32)
 
 
-def latent_basis(toks: DataFrame, idf: np.ndarray, rank: int, oversample: int = 8, seed: int = 11) -> np.ndarray:
-    """TERMS x rank: leading right singular vectors of the TF-IDF passages of all documents."""
+def latent_basis(toks: DataFrame, idf: np.ndarray, rank: int, residual: int, oversample: int = 8, seed: int = 11) -> np.ndarray:
+    """TERMS x (rank + residual): leading right singular vectors of the TF-IDF passages of
+    all documents, and a random projection of what is orthogonal to them."""
     k = rank + oversample
     weighted = np.random.default_rng(seed).standard_normal((TERMS, k)).astype(np.float32) * idf[:, None]
 
@@ -151,7 +154,9 @@ def latent_basis(toks: DataFrame, idf: np.ndarray, rank: int, oversample: int =
     b = np.linalg.solve(np.linalg.cholesky(g), np.eye(k)) @ c.T
     values, u = np.linalg.eigh(b @ b.T)  # of size k: the squares of the singular values
     order = np.argsort(-values)[:rank]
-    return (b.T @ u[:, order] / np.sqrt(np.maximum(values[order], 1e-12))).astype(np.float32)
+    v = b.T @ u[:, order] / np.sqrt(np.maximum(values[order], 1e-12))
+    rest = np.random.default_rng(seed + 1).standard_normal((TERMS, residual)) / np.sqrt(residual)
+    return np.concatenate((v, rest - v @ (v.T @ rest)), axis=1).astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -262,19 +267,19 @@ def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarr
     return toks.mapInArrow(run, MATCH).groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.start_word")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 48, min_cosine: float = 0.48, min_lcs: float = 0.8, min_paraphrase: float = 0.6) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 24, residual: int = 32, min_cosine: float = 0.42, min_lcs: float = 0.8, min_paraphrase: float = 0.6) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, start_word) of every document that holds a benchmark item."""
     spark = docs.sparkSession
     n = benchmark.count()
     if n > MAX_ITEMS:
         parts = -(-n // MAX_ITEMS) * 2
         split = [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) for i in range(parts)]
-        return reduce(DataFrame.unionByName, [find_leaks(docs, b, rank, min_cosine, min_lcs, min_paraphrase) for b in split])
+        return reduce(DataFrame.unionByName, [find_leaks(docs, b, rank, residual, min_cosine, min_lcs, min_paraphrase) for b in split])
     items = [(r["id"], np.frombuffer(r["w"], dtype="<u2").astype(np.int64)) for r in tokens(benchmark, "item_id").collect()]
     items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0])) if len(x[1])]
     if not items:
         return spark.createDataFrame([], MATCH)
     toks = stage(tokens(docs), "words")
     idf = term_weights(*document_frequencies(toks), items)
-    embed = latent_basis(toks, idf, rank) * idf[:, None]
+    embed = latent_basis(toks, idf, rank, residual) * idf[:, None]
     return search(toks, items, embed, min_cosine, min_lcs, min_paraphrase)
