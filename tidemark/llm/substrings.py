@@ -182,7 +182,7 @@ def _anchor_rows(docs: DataFrame, width: int, digit: int) -> DataFrame:
         order, head = first_of_groups(key, context, doc, pos)
         firsts = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         again = ~head & ((doc[order] != doc[firsts]) | (pos[order] != pos[firsts]))
-        keep, rest = order[head], order[again]
+        keep, rest = np.sort(order[head]), order[again]  # in text order, which the shuffle compresses better
         yield _rows(key[keep], context[keep], doc[keep], pos[keep], ((a - lo) * 256 + (a - hi))[keep])
         if len(rest):
             yield _done(doc[rest], (lo + shift[seg])[rest], (hi + shift[seg])[rest] + width)
@@ -287,7 +287,7 @@ def _window_rows(texts: DataFrame, edges: DataFrame, width: int) -> DataFrame:
                 order, head = first_of_groups(joint, print_, doc, start)
                 firsts = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
                 again = ~head & ((doc[order] != doc[firsts]) | (start[order] != start[firsts]))
-                keep, rest = order[head], order[again]
+                keep, rest = np.sort(order[head]), order[again]  # in text order, which the shuffle compresses better
                 yield _rows(joint[keep], print_[keep], doc[keep], start[keep], np.zeros(len(keep)))
                 if len(rest):
                     yield _done(doc[rest], start[rest], start[rest] + width)
