@@ -1 +1 @@
-
+"""Scalar building blocks shared by the operators."""

@@ -1 +1 @@
-
+"""Batch operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Readers, normalisers and sinks."""
