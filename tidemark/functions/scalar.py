@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VENUES = ("binance_futures", "bybit", "okx", "hyperliquid", "coinbase", "kraken_futures")  # fixed values: codes 1..6 in this order
 DAY_NS = 86_400_000_000_000
@@ -114,7 +115,7 @@ def six_digits(x: Column) -> Column:
     return F.when(x == 0, F.lit("0")).otherwise(F.format_string("%.5e", x))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, as a signed 64-bit number. For compatibility; prefer xxhash64."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,22 +161,28 @@ class Position:
 def position_ledger(fills: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "seq") -> DataFrame:
     """Average-cost ledger, one row a fill: position after it, realised gross, fees attributed, net.
 
-    A fold over ordered fills: each (strategy, venue, symbol) is its own group.
+    A fold over ordered fills: each (strategy, venue, symbol) stays within one partition.
     """
     f = fills.select(*keys, ts, seq, F.when(F.col("side") == "Buy", F.col("qty")).otherwise(-F.col("qty")).cast("double").alias("fill_qty"), F.col("price").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, seq], kind="stable")
-        pos, rows = Position(), []
-        for q, p, fee in zip(pdf["fill_qty"], pdf["price"], pdf["fee"]):
-            gross, fees, closed = pos.fill(q, p, fee)
-            rows.append((pos.qty, pos.avg, gross, fees, closed, gross - fees if closed else 0.0))
-        pdf[["qty", "avg", "realized", "attributed_fees", "closed_qty", "net"]] = rows
-        return pdf
+    width, places = len(keys), [len(keys) + 2 + i for i in range(3)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, at = Position(), None
+        for batch in batches:
+            rows = []
+            for key, q, p, fee in zip(zip(*(batch.column(i).to_pylist() for i in range(width))), *(batch.column(i).to_pylist() for i in places)):
+                if key != at:
+                    pos, at = Position(), key
+                gross, fees, closed = pos.fill(q, p, fee)
+                rows.append((pos.qty, pos.avg, gross, fees, closed, gross - fees if closed else 0.0))
+            new = [pa.array(list(c), pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * 6
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "qty", "avg", "realized", "attributed_fees", "closed_qty", "net"])
 
     types = dict(f.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, ts, seq]) + ", " + LEDGER
-    return f.groupBy(*keys).applyInPandas(fold, schema)
+    # Sorted by key and time within hash partitions, a position is one pass over its rows.
+    return f.repartition(*keys).sortWithinPartitions(*keys, ts, seq).mapInArrow(fold, schema)
 
 
 def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys: list[str], start_cash: float, by_mark: list[str]) -> DataFrame:
