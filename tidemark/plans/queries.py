@@ -515,11 +515,11 @@ def ta8_touch_through(spark, sf):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL), r AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY order_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
-k AS (SELECT order_id, price, least(greatest(60 - before, 0), qty) AS take FROM r) SELECT o_orderkey AS order_id, round(coalesce(sum(take), 0), 4) AS filled_qty, round(sum(take * price) / sum(take), 8) AS avg_px FROM orders LEFT JOIN k ON o_orderkey = order_id GROUP BY ALL""")
+k AS (SELECT order_id, price, least(greatest(60 - before, 0), qty) AS take FROM r) SELECT o_orderkey AS order_id, round(coalesce(sum(take), 0), 4) AS filled_qty, round(sum(take * price) / sum(take), 10) AS avg_px FROM orders LEFT JOIN k ON o_orderkey = order_id GROUP BY ALL""")
 def ta7_depth_walk(spark, sf):
     l = adapters.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")).agg(F.sum("l_quantity").alias("qty"))
     o = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit("Buy").alias("side"), F.lit(60.0).alias("qty"))
-    return fills.depth_walk(o, l).select("order_id", d("filled_qty", 4), d("avg_px", 8))
+    return fills.depth_walk(o, l).select("order_id", d("filled_qty", 4), d("avg_px", 10))
 
 
 def _book(spark, sf):
