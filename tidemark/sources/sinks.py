@@ -27,7 +27,7 @@ def write_partitions(df: DataFrame, path: str, metadata: dict[str, str] | None =
     The rebalance lets Spark split a busy venue's day over several files.
     """
     if metadata:
-        df = df.withMetadata(df.columns[0], metadata)
+        df = df.withMetadata(next(c for c in df.columns if c not in ("venue", "date")), metadata)
     out = df.hint("rebalance", "venue", "date").sortWithinPartitions("venue", "date", "symbol_id", "recv_ts_ns", *(["stream_seq"] if "stream_seq" in df.columns else []))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("venue", "date").parquet(path)
 
@@ -38,7 +38,7 @@ def write_trades(trades: DataFrame, root: str, meta: dict[str, str]) -> None:
 
 
 def read_metadata(df: DataFrame) -> dict[str, Any]:
-    return dict(df.schema.fields[0].metadata)
+    return next((dict(f.metadata) for f in df.schema.fields if f.metadata), {})
 
 
 def compact(events: DataFrame, root: str, source_hash: str, kinds: tuple[str, ...] = tuple(STREAMS), version: str = "1") -> dict[str, int]:
