@@ -1,7 +1,8 @@
 """Secret scans: base patterns plus a pair of character Markov models.
 
 Two first-order character chains are trained from labelled samples: strings that
-the base patterns found (random) and all other identifier-like words (ordinary).
+the base patterns found (random) and the other identifier-like words, but for those
+that could be keys (ordinary).
 Counts are taken over all documents as fixed-size matrices. A word is reported
 when its log-likelihood ratio per character exceeds a threshold and it looks
 like a key (length, digits and letters mixed).
@@ -55,6 +56,11 @@ def transitions(word: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], to[:-1])), to
 
 
+def candidate(word: str) -> bool:
+    """Long, with letters and digits: could be a key. Without a label such words teach neither class."""
+    return len(word) >= 16 and any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
 def count_transitions(docs: DataFrame) -> DataFrame:
     """Transition counts of both classes over all documents: at most 2 * 68 * 68 rows."""
 
@@ -67,7 +73,8 @@ def count_transitions(docs: DataFrame) -> DataFrame:
                 words: tuple[list, list] = ([], [])
                 for m in LEARN.finditer(text):
                     secret = len(m[0]) >= 16 and any(a <= m.start() < b for a, b in taken)
-                    words[secret].append(m[0])
+                    if secret or not candidate(m[0]):
+                        words[secret].append(m[0])
                 for label in (0, 1):
                     if words[label]:
                         # NUL stands between words: code 0, the start state.
@@ -80,11 +87,15 @@ def count_transitions(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "label int, pair int, n long").groupBy("label", "pair").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
 
 
-def ratio_matrix(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """log P(random) - log P(ordinary) of every transition, from a (2, SIZE, SIZE) count array."""
+def ratio_matrix(counts: np.ndarray, smooth: float = 1.0, even: float = 0.3) -> np.ndarray:
+    """log P(random) - log P(ordinary) of every transition, from a (2, SIZE, SIZE) count array.
+
+    The random chain is mixed with an even one: known secrets use few alphabets, others may use any.
+    """
     c = counts + smooth
     c[:, :, 0] = 0.0
     p = c / c.sum(axis=2, keepdims=True)
+    p[1, :, 1:] = (1 - even) * p[1, :, 1:] + even / (SIZE - 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.nan_to_num(np.log(p[1]) - np.log(p[0]), nan=0.0, posinf=0.0, neginf=0.0)
 
@@ -101,7 +112,7 @@ def markov_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[i
     found = []
     for m in WORD.finditer(text):
         word = m[0]
-        if any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
+        if candidate(word):
             a, b = transitions(word)
             if ratio[a, b].mean() >= threshold:
                 found.append((m.start(), 3, m.end()))
