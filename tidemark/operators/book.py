@@ -7,7 +7,10 @@ intervals, so a book at any time is a filter, not a replay.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,31 +100,38 @@ TOP = "best_bid double, bid_qty double, best_ask double, ask_qty double, bid_lev
 def top_of_book(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """After every applied book event: best prices and sizes, level counts and mid. Nothing while a book is broken.
 
-    A running best under removals is a fold; epochs are independent, so each is its own group.
+    A running best under removals is a fold; epochs are independent, so a busy key spreads over partitions.
     """
     c = continuity.where(F.col("action").isin("Snapshot", "Apply")).select(*keys, "epoch", "recv_ts_ns", "stream_seq", "action", *(F.transform(s, lambda x: F.array(x["price"], x["qty"])).alias(s) for s in ("bids", "asks")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["recv_ts_ns", "stream_seq"], kind="stable")
+    width = len(keys) + 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
         sides: tuple[dict, dict] = ({}, {})
-        rows = []
-        for action, *levels in zip(pdf["action"], pdf["bids"], pdf["asks"]):
-            for side, changes in zip(sides, levels):
-                if action == "Snapshot":
-                    side.clear()
-                for price, qty in changes if changes is not None else ():
-                    if qty > 0:
-                        side[price] = qty
-                    else:
-                        side.pop(price, None)
-            bid, ask = max(sides[0], default=None), min(sides[1], default=None)
-            rows.append((bid, sides[0].get(bid), ask, sides[1].get(ask), len(sides[0]), len(sides[1]), (bid + ask) / 2 if bid is not None and ask is not None else None))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in TOP.split(", ")], index=pdf.index)
-        return pd.concat([pdf[[*keys, "epoch", "recv_ts_ns", "stream_seq"]], out], axis=1)
+        for batch in batches:
+            rows = []
+            cols = [c.to_pylist() for c in batch.columns]
+            for key, action, *levels in zip(zip(*cols[:width]), *cols[width + 2 :]):
+                if key != at or action == "Snapshot":
+                    at, sides = key, ({}, {})
+                for side, changes in zip(sides, levels):
+                    for price, qty in changes or ():
+                        if qty > 0:
+                            side[price] = qty
+                        else:
+                            side.pop(price, None)
+                bid, ask = max(sides[0], default=None), min(sides[1], default=None)
+                rows.append((bid, sides[0].get(bid), ask, sides[1].get(ask), len(sides[0]), len(sides[1]), (bid + ask) / 2 if bid is not None and ask is not None else None))
+            names = [x.split()[0] for x in TOP.split(", ")]
+            kinds = [pa.int64() if n.endswith("levels") else pa.float64() for n in names]
+            new = [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [()] * len(names), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 2], *new], [*batch.schema.names[: width + 2], *names])
 
     types = dict(c.dtypes)
     schema = ", ".join(f"{x} {types[x]}" for x in [*keys, "epoch", "recv_ts_ns", "stream_seq"]) + ", " + TOP
-    return c.groupBy(*keys, "epoch").applyInPandas(fold, schema)
+    # Sorted by epoch and time within hash partitions, a book is one pass over its rows.
+    return c.repartition(*keys, "epoch").sortWithinPartitions(*keys, "epoch", "recv_ts_ns", "stream_seq").mapInArrow(fold, schema)
 
 
 def top_imbalance(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -713,3 +713,154 @@ SELECT strategy, round(avg(r) / stddev_samp(r) * sqrt(365), 4) AS sharpe, round(
 def s21_performance(spark, sf):
     t = adapters.closed_trades(spark, sf).groupBy("strategy", "ts_ns").agg(F.sum("pnl").cast("double").alias("r"))
     return trades.performance(t, ["strategy"], 365).select("strategy", d("sharpe", 4), d("sortino", 4))
+
+
+@query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns, stream_seq, round(price::DOUBLE * 2, 6) AS value FROM me WHERE kind = 'open_interest'")
+def prj5_funding_feature(spark, sf):
+    e = core.split_kind(me(spark, sf), "open_interest").withColumns({"kind": F.lit("funding"), "rate": F.col("price").cast("double") * 2})
+    return core.funding_feature(e).select(*PLACE, d("value"))
+
+
+@query("SELECT p_partkey, coalesce(p_retailprice > 1200, false) AND coalesce(p_size <= 20, false) AS both_hold, coalesce(p_retailprice > 1200, false) OR coalesce(p_size <= 20, false) AS any_holds FROM part")
+def prj8_rule_column(spark, sf):
+    price, size = ("p_retailprice", "Gt", 1200.0), ("p_size", "Le", 20.0)
+    p = adapters.table(spark, sf, "part")
+    return p.select("p_partkey", screener.rule_column([price, size]).alias("both_hold"), screener.any_of([[price], [size]]).alias("any_holds"))
+
+
+@query("SELECT o_orderkey, coalesce(p.v, 0)::DOUBLE AS avg_fwd FROM orders LEFT JOIN (SELECT c_custkey, 0.5 AS v FROM customer WHERE c_custkey % 2 = 0) p ON o_custkey = c_custkey")
+def jn5_with_baseline(spark, sf):
+    o = adapters.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("symbol"))
+    return grading.with_baseline(o, _baseline(spark, sf)).select("o_orderkey", "avg_fwd")
+
+
+POSITIONS = """f AS (SELECT o_orderpriority AS strategy, o_custkey AS symbol_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_orderkey % 7 + 1) AS q, round(o_totalprice / 1000, 2) AS price FROM orders),
+pos AS (SELECT strategy, symbol_id, ts_ns, seq, sum(q) OVER (PARTITION BY strategy, symbol_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS qty FROM f), endpos AS (SELECT strategy, symbol_id, ts_ns, arg_max(qty, seq) AS qty FROM pos GROUP BY ALL), mk AS (SELECT symbol_id, ts_ns, max(price) AS mark FROM f GROUP BY ALL)"""
+
+
+def _positions(spark, sf):
+    q = F.when(F.col("side") == "Buy", F.col("qty")).otherwise(-F.col("qty"))
+    f = adapters.fills(spark, sf)
+    run = Window.partitionBy("strategy", "symbol_id").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    pos = f.withColumn("qty", F.sum(q).over(run)).groupBy("strategy", "symbol_id", "ts_ns").agg(F.max_by("qty", "seq").alias("qty"))
+    return pos, f.groupBy("symbol_id", "ts_ns").agg(F.max("price").alias("mark"))
+
+
+@query(f"WITH {POSITIONS} SELECT m.symbol_id, m.ts_ns, p.strategy, round(0.001 * p.qty * m.mark, 7) AS paid FROM mk m JOIN (SELECT DISTINCT strategy, symbol_id FROM endpos) s ON s.symbol_id = m.symbol_id ASOF JOIN endpos p ON p.strategy = s.strategy AND p.symbol_id = s.symbol_id AND p.ts_ns <= m.ts_ns WHERE p.qty <> 0")
+def jn10_accrue_funding(spark, sf):
+    pos, marks = _positions(spark, sf)
+    funding = marks.select("symbol_id", "ts_ns", F.lit(0.001).alias("rate"))
+    return trades.accrue_funding(funding, pos, marks, ["strategy", "symbol_id"], ["symbol_id"]).select("symbol_id", "ts_ns", "strategy", d("paid", 7))
+
+
+@query(f"WITH {POSITIONS}, sp AS (SELECT strategy, symbol_id, ts_ns AS from_ns, lead(ts_ns) OVER (PARTITION BY strategy, symbol_id ORDER BY ts_ns) AS to_ns, qty FROM endpos) SELECT strategy, symbol_id, from_ns, to_ns FROM sp WHERE qty <> 0 AND to_ns - from_ns >= {30 * DAY_NS} AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.symbol_id = sp.symbol_id AND mk.symbol_id % 3 > 0 AND mk.ts_ns BETWEEN from_ns AND to_ns)")
+def jn11_missing_funding(spark, sf):
+    pos, marks = _positions(spark, sf)
+    w = Window.partitionBy("strategy", "symbol_id").orderBy("ts_ns")
+    spans = pos.withColumn("to_ns", F.lead("ts_ns").over(w)).where("qty <> 0 and to_ns is not null").select("strategy", "symbol_id", F.col("ts_ns").alias("from_ns"), "to_ns")
+    return trades.missing_funding(spans, marks.where("symbol_id % 3 > 0"), ["symbol_id"], 30 * DAY_NS)
+
+
+@query()
+def ta6_arrival_cost(spark, sf):
+    c = book.book_continuity(_book(spark, sf))
+    quotes = book.top_of_book(c).where("best_bid is not null and best_ask is not null")
+    o = adapters.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("symbol_id")).agg(F.min("l_orderkey").alias("order_id")).withColumns({"ts_ns": F.lit(30).cast("long"), "side": F.when(F.col("symbol_id") % 2 == 0, "Buy").otherwise("Sell"), "qty": F.lit(9.0)})
+    last = quotes.select("symbol_id", "recv_ts_ns", "stream_seq", F.col("mid").alias("price"))
+    return fills.arrival_cost(o, quotes, last, ["symbol_id"], 5, 0.5, 0.001).select("symbol_id", "fill_px", "filled_qty", "unfilled_qty")
+
+
+@query()
+def ta11_funnel_audit(spark, sf):
+    o = adapters.table(spark, sf, "orders")
+    stage = F.element_at(F.array(*(F.lit(s) for s in (*trades.STAGES, "Killed"))), (F.col("k") % 8 + 1).cast("int"))
+    t = o.select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("k"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000 + F.col("o_orderkey")).alias("ts_ns")).withColumn("to", stage)
+    w = Window.partitionBy("id").orderBy("ts_ns")
+    t = t.withColumns({"from": F.coalesce(F.lag("to").over(w), F.lit("Idea")), "actor_human": F.col("k") % 3 == 0, "autopsy_complete": F.col("k") % 2 == 0})
+    ev = t.where("k % 5 > 0").select("id", "to", (F.col("ts_ns") - (F.col("k") % 60) * DAY_NS).alias("ts_ns"))
+    return trades.funnel_audit(t, ev).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query()
+def ag13_monthly_scoreboard(spark, sf):
+    c = adapters.closed_trades(spark, sf)
+    funding = c.select("strategy", F.col("fee").alias("paid")).limit(0)
+    steps = c.select(F.col("strategy").alias("id")).distinct()
+    bench = adapters.table(spark, sf, "part").agg(F.round(F.avg("p_retailprice"), 6).alias("return"))
+    s = trades.monthly_scoreboard(c.withColumn("pnl", F.col("pnl").cast("double")), c, funding, steps, bench)
+    return s.select("section", "strategy", "metric", F.round("value", 4).alias("value"))
+
+
+@query("SELECT l_suppkey AS config_hash, l_partkey % 7 AS from_ns, l_partkey % 5 AS to_ns, l_linenumber AS manifest_hashes, count(*) AS runs FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def ag14_repeated_experiments(spark, sf):
+    runs = adapters.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("config_hash"), (F.col("l_partkey") % 7).alias("from_ns"), (F.col("l_partkey") % 5).alias("to_ns"), F.col("l_linenumber").alias("manifest_hashes"), F.col("l_orderkey").alias("run_id"))
+    return trades.repeated_experiments(runs).drop("run_ids")
+
+
+@query()
+def s2_trade_size_quantile(spark, sf):
+    return features.trade_size_quantile(tr(spark, sf), 3 * DAY_NS).select(*PLACE, d("value", 4))
+
+
+@query()
+def s8_climax(spark, sf):
+    return features.climax(daily(spark, sf), 10, 1.5, 0.5).select(*KEY, "open_ts_ns", "value")
+
+
+@query()
+def s10_adaptive_whales(spark, sf):
+    return features.whale_flow(features.adaptive_whales(tr(spark, sf), 500.0, 3 * DAY_NS, 1.0), DAY_NS).select(*PLACE, d("flow", 4))
+
+
+@query()
+def s11_depth(spark, sf):
+    lv = book.book_levels(book.book_continuity(_book(spark, sf)))
+    times = lv.groupBy("symbol_id").agg(F.explode(F.sequence(F.min("from_ns"), F.max("from_ns"), F.lit(25).cast("long"))).alias("ts_ns"))
+    return book.depth(book.levels_at(lv, times, ["symbol_id"], 100), 5000.0, ["symbol_id"])
+
+
+@query()
+def s12_wall_persistence(spark, sf):
+    return book.wall_persistence(book.book_levels(book.book_continuity(_book(spark, sf))), 5.0)
+
+
+@query()
+def s14_cross_venue(spark, sf):
+    t = tr(spark, sf).withColumn("pair", (F.col("symbol_id") / 6).cast("long"))
+    return features.cross_venue(t.where("venue = 'okx'"), t.where("venue = 'bybit'"), "pair", 3_600_000_000_000).select("pair", "ts_ns", d("value"))
+
+
+@query()
+def s16_lead_lag(spark, sf):
+    r = features.log_returns(daily(spark, sf)).withColumn("pair", (F.col("symbol_id") / 6).cast("long"))
+    return features.lead_lag(r.where("venue = 'okx'"), r.where("venue = 'bybit'"), 3, DAY_NS, "pair").select("pair", "lag", d("corr"))
+
+
+@query()
+def s19_persistent(spark, sf):
+    c = features.cvd(tr(spark, sf)).select("symbol_id", F.col("recv_ts_ns").alias("ts_ns"), (F.col("value") > 0).alias("sat"))
+    return screener.persistent(c, 2 * DAY_NS)
+
+
+@query()
+def s20_grade_horizons(spark, sf):
+    h = {"4h": DAY_NS // 6, "1d": DAY_NS, "3d": 3 * DAY_NS}
+    return grading.grade_horizons(_hits(spark, sf), _prices(spark, sf), h, _baseline(spark, sf)).select("horizon", "rule", "n", "wins", d("avg_excess"))
+
+
+@query()
+def s23_stage_gate(spark, sf):
+    m = _metrics(spark, sf).withColumn("max_drawdown", F.col("gross_loss").cast("double"))
+    live, ref = m.where("bucket = 0").drop("bucket"), m.where("bucket = 1").drop("bucket")
+    return trades.stage_gate(live, ref, ["strategy"], 100, 0.5, 1.1).select("strategy", F.array_join("reasons", ",").alias("reasons"), "pass")
+
+
+@query("SELECT param, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS lo, max(v) AS hi, count(v) AS n FROM (SELECT 'p_size' AS param, p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) GROUP BY param")
+def s24_param_stability(spark, sf):
+    return trades.param_stability(adapters.table(spark, sf, "part"), ["p_size", "p_retailprice"]).select("param", d("mean"), d("sd"), "lo", "hi", "n")
+
+
+@query(f"WITH {ME}, {GAPS}, x AS (SELECT venue, symbol_id, greatest(from_ns, 1704240000000000000) AS a, least(to_ns, 1704672000000000000) AS b FROM g) SELECT venue, symbol_id, round(greatest(0, least(1, 1 - sum(b - a) / 432000000000000.0)), 6) AS coverage FROM x WHERE b > a GROUP BY ALL")
+def s26_coverage_share(spark, sf):
+    g = quality.disconnect_gaps(me(spark, sf), END_NS).select(*KEY, F.col("from_ns").alias("start"), F.col("to_ns").alias("end"))
+    return intervals.coverage_share(g, KEY, 1704240000000000000, 1704672000000000000).select(*KEY, d("coverage"))
