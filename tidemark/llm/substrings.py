@@ -15,8 +15,8 @@ first, and a group that has become a singleton leaves at once:
 
 Every task first drops what repeats within its own chunk, so that a stretch in a
 third of all documents meets as one row per chunk, not per document. Strings are
-compared by 64-bit fingerprints under two independent bases, along with place
-and extent.
+compared by fingerprints under two independent bases, 64 and 32 bits of which go
+through the shuffle, along with place and extent.
 
 Edge cases: null texts are empty and keep the hash of nothing; texts shorter
 than ``width`` are kept whole; a text is cut into overlapping segments of
@@ -125,7 +125,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, width: int, digit: int, powers
     last = np.concatenate((new[1:] - 1, [len(window) - 1]))
     a, lo, hi = anchor[new], window[new], window[last]
     key = one.of(a, a + digit)
-    context = mix(two.of(lo, hi + width) + ((a - lo) * 256 + (a - hi)).astype(np.uint64))
+    context = mix(two.of(lo, hi + width) + ((a - lo) * 256 + (a - hi)).astype(np.uint64)) >> np.uint64(32)
     return segment[new], a, lo, hi, key, context
 
 
@@ -284,6 +284,7 @@ def _window_rows(texts: DataFrame, edges: DataFrame, width: int) -> DataFrame:
                 key, print_, doc, start, off = (np.concatenate(c) for c in zip(*out))
                 # The key joins the anchor's digit with the window's place and bytes, so one sort finds equal windows.
                 joint = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + off.astype(np.uint64) + mix(print_))
+                print_ = print_ >> np.uint64(32)
                 order, head = first_of_groups(joint, print_, doc, start)
                 firsts = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
                 again = ~head & ((doc[order] != doc[firsts]) | (start[order] != start[firsts]))
