@@ -5,16 +5,21 @@ bits; every shingle flips one bit, so two sketches differ in at most as many
 bits, and in at most as many words, as the sets differ in elements. Within a
 size band the threshold allows at most D different elements, hence of D + 1
 words one must agree: equal words are joined, the rest of the work is verifying.
-
-Documents with equal sets are one class and meet as one row. A word that many
-classes share does not give all pairs: its smallest class is tried with each of
-the others, links are contracted to components, and only words that still hold
-several components are looked at again, in blocks of ``BLOCK`` classes. There the
-Hamming distance of fixed 1024-bit sketches leaves out pairs that cannot link;
-first each class proposes its nearest class of another component, and when
-that settles, all pairs that remain. Every link is verified on the sets
-themselves. So components are exact, while the number of pairs stays near the
-number of classes for groups that do link.
+A quarter more words than that are kept, so that the ones of fewest shingles, which
+agree by chance, need not be joined: an agreeing word holds the same shingles on
+both sides, so as long as a document leaves out no more words than the surplus,
+each partner is found by another word.
+
+Documents with equal sets are one class and meet as one row. Words with the same
+documents count once. A word that many classes share does not give all pairs: its
+smallest class is tried with each of the others (and whoever cannot link with any
+of these with its nearest), links are contracted to components, and only words that still hold several
+components are looked at again, in blocks of ``BLOCK`` classes: first each class
+proposes its nearest class of another component, and when that settles, all pairs
+that remain. Everywhere the Hamming distance of fixed 1024-bit sketches leaves out
+pairs that cannot link, and every link is verified on the sets themselves. So
+components are exact, while the number of pairs stays near the number of classes
+for groups that do link.
 
 Edge cases: null texts and texts without a word have an empty set, link with
 nothing and are their own component; fewer words than a shingle count as one
@@ -100,12 +105,26 @@ def layouts(n: int, percent: int, edges: list[int]) -> list[tuple[int, int]]:
     return [(x, 2 * (edges[x + 1] - 1) * (100 - percent) // (100 + percent) + 1) for x in (b, b + 1)]
 
 
-def sketch_words(shingles: np.ndarray, layout: int, words: int) -> np.ndarray:
-    """One key per sketch word: its 128 parity bits, place and layout."""
-    block = (shingles >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)
-    at = block.astype(np.int64) * 128 + (shingles & np.uint64(127)).astype(np.int64)
+def surplus(needed: int) -> int:
+    """How many words are kept beyond the ``needed`` D + 1."""
+    return needed // 4 + 2
+
+
+def sketch_words(shingles: np.ndarray, layout: int, needed: int) -> np.ndarray:
+    """A key for each sketch word that must be joined, from its place, layout, 128 parity bits and its shingles' sum."""
+    words = needed + surplus(needed)
+    block = ((shingles >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64)
+    at = block * 128 + (shingles & np.uint64(127)).astype(np.int64)
     bits = np.packbits((np.bincount(at, minlength=words * 128) & 1).astype(bool)).view(np.uint64).reshape(words, 2)
-    return mix(mix(bits[:, 0] + np.uint64(layout)) * _MULTIPLIERS[0] + bits[:, 1] * _MULTIPLIERS[1] + np.arange(words, dtype=np.uint64))
+    # The blocks follow the hash, so sorted shingles are grouped by block.
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    sums = np.zeros(words, dtype=np.uint64)
+    sums[block[first]] = np.add.reduceat(mix(shingles), first)
+    keys = mix(mix(bits[:, 0] + np.uint64(layout)) * _MULTIPLIERS[0] + bits[:, 1] * _MULTIPLIERS[1] + sums * _MULTIPLIERS[2] + np.arange(words, dtype=np.uint64))
+    held = np.bincount(block, minlength=words)
+    below = np.cumsum(np.bincount(held))  # words of at most 0, 1, 2, ... shingles
+    least = int(np.searchsorted(below, surplus(needed), side="right"))
+    return keys[held >= least]
 
 
 def wide_sketch(shingles: np.ndarray) -> bytes:
@@ -118,68 +137,109 @@ def enough(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the set and two hashes of the whole set."""
+    """doc_id, size of the set, two hashes of the whole set and its fixed sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
         for batch in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, wide = [], [], [], []
             for text in batch.column(1):
                 s = hasher.shingles(text.as_py())
                 n.append(len(s))
+                wide.append(wide_sketch(s))
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], ["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2)), pa.array(wide, pa.binary())], ["doc_id", "n", "s1", "s2", "wide"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, wide binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, where what is made of a row is much larger than the row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id): all sketch words. Texts with equal sets within a task are taken once."""
+    """(key, doc_id, n): all sketch words. Texts with equal sets within a task are taken once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, edges = Hasher(words), set(), [1]
-        for batch in batches:
-            keys, ids = [], []
+        for batch in _slices(batches):
+            keys, ids, sizes = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = hasher.shingles(text.as_py())
                 if not len(s):
                     continue
-                own = (len(s), s.sum(dtype=np.uint64), s[0])
+                own = hash((len(s), int(s.sum(dtype=np.uint64)), int(s[0]), int(s[-1])))
                 if own in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(own)
-                for layout, count in layouts(len(s), percent, edges):
-                    keys.append(sketch_words(s, layout, count))
-                    ids.append(np.full(count, doc_id))
+                for layout, needed in layouts(len(s), percent, edges):
+                    keys.append(sketch_words(s, layout, needed))
+                    ids.append(np.full(len(keys[-1]), doc_id))
+                    sizes.append(np.full(len(keys[-1]), len(s)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "doc_id", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
 
+def _groups(keys: DataFrame, percent: int) -> DataFrame:
+    """From sorted keys: pairs with each group's first document (group null), and the members of groups of three and more.
 
-def _groups(keys: DataFrame) -> DataFrame:
-    """From sorted keys: pairs with each group's first document (key null), and the members of groups of three and more."""
+    A group is named by its members, and one that a task has seen is not given again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc in _by_key(batches):
+        seen: set[int] = set()
+        for key, doc, n in _by_key(batches):
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((first, [len(key)])))
-            count, hub = np.repeat(size, size), np.repeat(doc[first], size)
-            pair = np.unique(np.stack([hub, doc], 1)[hub != doc], axis=0)
+            name = mix(np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(1)), first) + size.astype(np.uint64)).view(np.int64)
+            fresh = np.zeros(len(first), dtype=bool)
+            for i in np.flatnonzero(size >= 2).tolist():
+                if (x := int(name[i])) not in seen:
+                    fresh[i] = True
+                    if len(seen) < 1 << 20:
+                        seen.add(x)
+            live = np.repeat(fresh, size)
+            hub, hub_n, group, many = (np.repeat(x, size)[live] for x in (doc[first], n[first].astype(np.int64), name, size >= 3))
+            doc, n = doc[live], n[live].astype(np.int64)
+            near = (hub != doc) & (np.minimum(n, hub_n) * 100 >= np.maximum(n, hub_n) * percent)
+            pair = np.unique(np.stack([hub, doc], 1)[near], axis=0)
             if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "a", "b"])
-            many = count >= 3
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["g", "a", "b"])
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.nulls(int(many.sum()), pa.int64())], ["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[many]), pa.array(doc[many]), pa.nulls(int(many.sum()), pa.int64())], ["g", "a", "b"])
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "g long, a long, b long")
 
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, a long, b long")
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+                far = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+                ok = far * (100 + percent) <= (na + nb) * (100 - percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    j = pairs
+    for end in ("a", "b"):
+        j = j.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
+    j = j.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return j.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, n, wide, elements) of the documents in ``wanted`` (id)."""
+    """(id, elements) of the documents in ``wanted`` (id)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -192,14 +252,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         import zstandard
 
         z, hasher = zstandard.ZstdDecompressor(), Hasher(words)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [hasher.shingles(z.decompress(t.as_py()).decode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "wide", "elements"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "id long, z binary")
-    return packed.join(wanted, "id", "left_semi").select("id", "z").mapInArrow(run, "id long, n long, wide binary, elements binary")
+    return packed.join(wanted, "id", "left_semi").select("id", "z").mapInArrow(run, "id long, elements binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,24 +271,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    small = pairs.join(left.drop("ea"), "a").join(right.drop("eb"), "b").where(sizes).select("a", "b")
-    return small.join(left.drop("na"), "a").join(right.drop("nb"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    left, right = (sets.select(F.col("id").alias(end), F.col("elements").alias(f"e{end}")) for end in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def _proposals(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _proposals(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs between different components of one group whose sketches allow a link.
 
-    ``members`` has key, id, root, n, wide. Large groups are dealt in blocks, one
-    task unit for each two blocks; ``nearest`` keeps one partner for each class.
+    ``members`` has g, id, root. Large groups are dealt in blocks, one task unit for
+    each two blocks; ``nearest`` keeps one partner for each document.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("g"))
-    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    dealt = members.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "wide")
+    units = units.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(sketches, "id")
 
     def run(key: tuple, unit: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -252,38 +307,39 @@ def _proposals(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
         a, b = zip(*sorted(out)) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return units.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return units.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union."""
     sig = stage(_signatures(docs, words), "signatures")
     classes = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    member = stage(sig.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-    to_class = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    groups = stage(_groups(_keys(docs, words, percent)), "groups")
-    pairs = groups.where("b is not null").select("a", "b").distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(to_class.select(F.col("doc_id").alias(end), F.col("class_id").alias("c")), end).withColumn(end, F.col("c")).drop("c")
-    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    crowd = groups.where("key is not null").select("key", F.col("a").alias("doc_id")).join(to_class, "doc_id").select("key", F.col("class_id").alias("id")).distinct()
-    crowd = stage(crowd, "crowd")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
-    sets = stage(_sets(docs, wanted, words), "sets")
-    links = stage(_verified(pairs, sets, percent), "links")
-    tried = pairs
-    for nearest in (True, True, False):
-        roots = components(links)
-        now = crowd.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2").select("key")
-        rest = stage(now.join(mixed, "key").join(sets.select("id", "n", "wide"), "id").select("key", "id", "root", "n", "wide"), "rest")
-        if rest.limit(1).count() == 0:
+    member = stage(sig.drop("wide").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+    sketches = sig.select(F.col("doc_id").alias("id"), "n", "wide").dropDuplicates(["id"])
+    groups = stage(_groups(_keys(docs, words, percent), percent), "groups")
+    pairs = groups.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowd = stage(groups.where("g is not null").select("g", F.col("a").alias("id")).distinct(), "crowd")
+    # Whoever has a possible partner is in this table, so its documents' sets are all that later rounds can need.
+    possible = stage(_possible(pairs, sketches, percent), "possible")
+    reached = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
+    nearest = stage(_proposals(crowd.withColumn("root", F.col("id")), sketches, percent, True), "nearest")
+    lone = [nearest.join(reached.withColumnRenamed("id", end), end, "left_anti").select("a", "b") for end in ("a", "b")]
+    tried = stage(possible.union(lone[0]).union(lone[1]).distinct(), "pairs")
+    sets = stage(_sets(docs, tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct(), words), "sets")
+    equal = member.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    links = equal.unionByName(stage(_verified(tried, sets, percent), "links"))
+    roots = components(links)
+    # Groups without a possible pair are done; of the others only those of several components go on.
+    able = sets.select("id")
+    for nearest in (True, False):
+        now = crowd.join(able, "id", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = now.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("g")
+        more = stage(_proposals(now.join(mixed, "g"), sketches, percent, nearest).join(tried, ["a", "b"], "left_anti"), "proposals")
+        if more.limit(1).count() == 0:
+            if nearest:
+                continue
             break
-        more = _proposals(rest, percent, nearest).join(tried, ["a", "b"], "left_anti")
-        more = stage(more, "proposals")
-        new = stage(_verified(more, sets, percent), "links")
-        links, tried = links.unionByName(new), tried.unionByName(more)
-        if not nearest:
-            roots = components(links)
+        links, tried = links.unionByName(stage(_verified(more, sets, percent), "links")), tried.unionByName(more)
+        roots = components(links)
     found = member.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
