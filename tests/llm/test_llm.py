@@ -140,6 +140,14 @@ def test_substrings_repeated_rows_and_empty(spark):
     assert substrings.deduplicate(docs_df(spark, [])).count() == 0
 
 
+def test_substrings_behind_a_common_header(spark):
+    """These two share their anchor and 32 bits of the fingerprint of the whole, but no window."""
+    head = "Permission to copy this notice is granted to any person who "
+    rows = [(i, head + f" {i:09d} " + f"{i * 2654435761 % 10**29:029d}") for i in (69888, 265262)]
+    got = sorted((r[0], r[2]) for r in substrings.deduplicate(docs_df(spark, rows)).collect())
+    assert got == [(69888, 0), (265262, 0)]
+
+
 def test_warc_round_trip(spark):
     rec = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(i, f"http://h/{i}", "<p>" + "lorem ipsum " * i) for i in range(150)]

@@ -15,8 +15,11 @@ first, and a group that has become a singleton leaves at once:
 
 Every task first drops what repeats within its own chunk, so that a stretch in a
 third of all documents meets as one row per chunk, not per document. Strings are
-compared by fingerprints under two independent bases, 64 and 32 bits of which go
-through the shuffle, along with place and extent.
+compared by fingerprints under two independent bases. All 64 bits of the one over
+whole stretches or windows go through the shuffle, so that texts which share an
+anchor are told apart by 64 bits; of the anchor's own, ``KEY`` bits do, as they
+only bring candidates together: anchors that differ and share them go on to digit
+three, where they part.
 
 Edge cases: null texts are empty and keep the hash of nothing; texts shorter
 than ``width`` are kept whole; a text is cut into overlapping segments of
@@ -40,6 +43,7 @@ from tidemark.llm.common import stage
 SEGMENT = 1 << 19
 CHUNK = 1 << 21
 BITS = np.uint64(22)  # of a place within a chunk
+KEY = np.uint64(40)  # bits of an anchor's fingerprint
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -124,8 +128,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, width: int, digit: int, powers
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]))))
     last = np.concatenate((new[1:] - 1, [len(window) - 1]))
     a, lo, hi = anchor[new], window[new], window[last]
-    key = one.of(a, a + digit)
-    context = mix(two.of(lo, hi + width) + ((a - lo) * 256 + (a - hi)).astype(np.uint64)) >> np.uint64(32)
+    key = one.of(a, a + digit) >> (np.uint64(64) - KEY)
+    context = mix(two.of(lo, hi + width) + ((a - lo) * 256 + (a - hi)).astype(np.uint64))
     return segment[new], a, lo, hi, key, context
 
 
@@ -242,9 +246,11 @@ def _compare(rows: DataFrame, width: int) -> DataFrame:
             number = np.cumsum(group) - 1
             edge = head & (np.bincount(number, weights=head)[number] > 1)
             if edge.any():
-                yield _rows(key[edge], context[edge], doc[edge], pos[edge], extent[edge])
+                yield _rows(key[edge], np.zeros(edge.sum()), doc[edge], pos[edge], extent[edge])  # digit three reads the bytes
 
-    return _sorted_groups(rows, "key", "context", "doc_id", "pos").mapInArrow(run, ROW)
+    # The key's empty bytes next to those of doc_id: the shuffle compresses them away.
+    rows = rows.select("context", "key", "doc_id", "pos", "extent")
+    return _sorted_groups(rows, "key", "context", "doc_id", "pos").select(*_NAMES).mapInArrow(run, ROW)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
