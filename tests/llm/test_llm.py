@@ -200,6 +200,22 @@ def test_packing(spark, corpus):
     assert packing.pack(docs_df(spark, [])).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"end of page {mark} next", mark, mark * 3, f"  {mark}\n\n{mark}it's", f"a{mark}b <|endoftext| >", f"é  {mark}  ü", "<|ENDOFTEXT|>", f"<|{mark}|>", "x " * 40 + mark + " y" * 40]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        for p, (a, n) in enumerate(packing.cut(len(ids), 32)):
+            want[i, p] = (a, n, zlib.crc32(ids[a : a + n].tobytes()))
+    out = packing.pack(docs_df(spark, list(enumerate(texts))), capacity=32).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == want
+
+
 def test_fullest_combination():
     r = random.Random(2)
     for _ in range(40):

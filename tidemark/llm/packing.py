@@ -9,6 +9,7 @@ their length; ranks are two-level (salted), so a length that a third of the
 corpus shares spreads over many tasks.
 
 Edge cases: a null text counts as empty (one piece holding only the end token);
+the string of an added token within a text is that token;
 an empty table gives an empty result; equal documents are packed separately;
 other columns are ignored, whatever their names.
 """
@@ -16,6 +17,8 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +41,28 @@ def _encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _added_tokens(json_path: str) -> dict[str, int]:
+    """The tokens that the vocabulary's JSON form recognises inside texts before any merging."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens with matching options are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def _encode(enc, added: dict[str, int], cuts: re.Pattern, text: str) -> list[int]:
+    """Ids of ``text``: added tokens as such, the parts between them each on its own."""
+    if not any(t in text for t in added):
+        return enc.encode_ordinary(text)
+    ids: list[int] = []
+    for part in cuts.split(text):
+        if part in added:
+            ids.append(added[part])
+        elif part:
+            ids += enc.encode_ordinary(part)
+    return ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: full ones, with the remainder first."""
     if n <= capacity:
@@ -57,10 +82,12 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str | None = None, capacity: in
         import public_tokenizers
 
         enc = _encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        added = _added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+        cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*_encode(enc, added, cuts, text.as_py() or ""), end_id], dtype="<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     row = (doc_id, piece, start, length, zlib.crc32(part.tobytes()))
