@@ -171,6 +171,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_long_headers_and_large_ids(spark):
+    fake = f"WARC/1.1\r\nContent-Length: {2**63 - 1}\r\n\r\n"
+    rows = [(1, "u", "first"), (2, "data:text/plain," + "x" * 100_000, "second"), (3, "u", fake), (4, "u", "last")]
+    rows += [(10**18, "u", "a" * 1500), (2**63 - 1, "u", "a" * 1500), (-(2**63), "u", "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest(), 2**63 - 1 if i == 10**18 else None) for i, _, h in rows}
+
+
 def test_packing(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer

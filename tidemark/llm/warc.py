@@ -31,6 +31,7 @@ from tidemark.llm.common import broadcast_if_small, new_path, stage
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+MAX_LENGTH = 10**18  # beyond any file, and places plus lengths still fit 64 bits
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -69,17 +70,20 @@ _FIELD = {k: re.compile(rb"(?:^|\r\n)" + k.encode() + rb": *<?(?:urn:page:|sha1:
 
 
 def _number(raw: bytes | None) -> int | None:
-    return int(raw) if raw is not None and re.fullmatch(rb"-?[0-9]{1,18}", raw) else None
+    """A signed 64-bit integer, None if ``raw`` is none."""
+    m = re.fullmatch(rb"(-?)0*([0-9]{1,19})", raw or b"")
+    n = int(m[1] + m[2]) if m else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 def parse_head(chunk: bytes) -> tuple[int, dict[str, bytes]] | None:
     """Header length and fields of a candidate record, None if it cannot be one."""
-    end = chunk.find(b"\r\n\r\n", 0, 1 << 16)
+    end = chunk.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {k: m[1] for k, r in _FIELD.items() if (m := r.search(chunk, 0, end))}
     length = _number(fields.get("Content-Length"))
-    return (end + 4, fields) if length is not None and length >= 0 else None
+    return (end + 4, fields) if length is not None and 0 <= length < MAX_LENGTH else None
 
 
 def _cuts(spark: SparkSession, path: str, bodies: bool) -> DataFrame:
