@@ -177,6 +177,12 @@ def test_screener_edges(spark):
     assert len(h) == 1 and h[0]["snapshot"] == {"cvd": 7.0} and h[0]["ts_ns"] == 2
 
 
+def test_screener_snapshot_holds_features_outside_the_rules(spark):
+    rows = [("oi", "okx", 1, 1, 1, 1, 4.0, 1), ("oi", "okx", 1, 2, 2, 2, 5.0, 1), ("cvd", "okx", 1, 3, 3, 3, 7.0, 0), ("oi", "okx", 1, 4, 4, 4, 6.0, 1), ("late", "okx", 1, 5, 5, 5, 1.0, 2), ("oi", "okx", 2, 1, 1, 1, 9.0, 1), ("cvd", "okx", 2, 2, 2, 2, 8.0, 0)]
+    h = screener.screen(spark.createDataFrame(rows, FEATURE), {"r": [("cvd", "Ge", 5.0)]}).collect()
+    assert {r["symbol_id"]: r["snapshot"] for r in h} == {1: {"cvd": 7.0, "oi": 5.0}, 2: {"cvd": 8.0, "oi": 9.0}} and len(h) == 2
+
+
 BOOK = "venue string, symbol_id long, recv_ts_ns long, stream_seq long, kind string, seq long, first_seq long, last_seq long, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
 
 

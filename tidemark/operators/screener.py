@@ -25,10 +25,12 @@ def any_of(rules: Sequence[Sequence[Condition]], values: Column | None = None) -
 def screen(features: DataFrame, rules: dict[str, Sequence[Condition]], keys: Sequence[str] = ("symbol_id",)) -> DataFrame:
     """(rule_id, keys, ts_ns, snapshot) whenever a rule turns true.
 
-    The rules' features become columns of last values, one window over one shuffle;
-    the snapshot holds the last values of all features so far.
+    The frame's features become columns of last values, one window over one shuffle;
+    the snapshot holds the last values of all features so far. Their names, few as
+    they are, come from a first pass over the frame.
     """
-    names = sorted({f for conds in rules.values() for f, _, _ in conds})
+    present = {r["feature"] for r in features.select("feature").where("feature is not null").distinct().collect()}
+    names = sorted(present | {f for conds in rules.values() for f, _, _ in conds})
     order = Window.partitionBy(*keys).orderBy("emit_ts_ns", "emit_seq", "reg_idx")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     last = {f"_v{i}": F.last(F.when(F.col("feature") == f, F.col("value")), True).over(run) for i, f in enumerate(names)}
