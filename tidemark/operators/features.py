@@ -92,7 +92,7 @@ def whale_flow(whales: DataFrame, window_ns: int) -> DataFrame:
 
 def whale_share(trades: DataFrame, floor_usd: float, tf_ns: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     notional = F.col("price") * F.col("qty")
-    return trades.groupBy(*keys, bucket("recv_ts_ns", tf_ns).alias("open_ts_ns")).agg((F.sum(F.when(notional >= floor_usd, notional).otherwise(0)).cast("double") / F.sum(notional).cast("double")).alias("value"))
+    return trades.groupBy(*keys, bucket("recv_ts_ns", tf_ns).alias("open_ts_ns")).agg(F.try_divide(F.sum(F.when(notional >= floor_usd, notional).otherwise(0)).cast("double"), F.sum(notional).cast("double")).alias("value"))
 
 
 def sweep(trades: DataFrame, window_ns: int, keys: tuple[str, ...] = KEYS) -> DataFrame:

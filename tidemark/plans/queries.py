@@ -251,14 +251,15 @@ def wn16_edge_decay(spark, sf):
     return grading.edge_decay(w).select("rule", "week", d("avg_excess"), "decayed")
 
 
-STUDY = f"""{BARS}, xs AS (SELECT symbol_id, open_ts_ns AS ts_ns, (close::DOUBLE / open::DOUBLE - 1) AS excess FROM b),
+STUDY = f"""{BARS}, xs AS (SELECT symbol_id, open_ts_ns AS ts_ns, (close::DOUBLE / nullif(open::DOUBLE, 0) - 1) AS excess FROM b WHERE open <> 0),
 ev AS (SELECT DISTINCT symbol_id, recv_ts_ns - recv_ts_ns % {DAY} AS ts_ns, CASE WHEN symbol_id % 3 > 0 THEN 'r' || (symbol_id % 3)::VARCHAR END AS regime FROM me WHERE kind = 'liquidation'),
 o AS (SELECT ev.*, k AS "offset", ts_ns + k * {DAY} AS bar_ts FROM ev, range(-1, 3) AS q(k)), j AS (SELECT o.*, xs.excess FROM o JOIN xs ON o.symbol_id = xs.symbol_id AND o.bar_ts = xs.ts_ns),
 c AS (SELECT *, count(*) OVER (PARTITION BY symbol_id, ts_ns) AS n FROM j QUALIFY n = 4)"""
 
 
 def _study(spark, sf):
-    x = daily(spark, sf).select("symbol_id", F.col("open_ts_ns").alias("ts_ns"), (F.col("close").cast("double") / F.col("open").cast("double") - 1).alias("excess"))
+    priced = daily(spark, sf).where("open <> 0")  # a bar that opens at 0 has no return
+    x = priced.select("symbol_id", F.col("open_ts_ns").alias("ts_ns"), (F.try_divide(F.col("close").cast("double"), F.col("open").cast("double")) - 1).alias("excess"))
     e = core.split_kind(me(spark, sf), "liquidation").select("symbol_id", sc.bucket("recv_ts_ns", DAY_NS).alias("ts_ns"), F.when(F.col("symbol_id") % 3 > 0, F.concat(F.lit("r"), (F.col("symbol_id") % 3).cast("string"))).alias("regime")).distinct()
     return e, x
 
@@ -682,7 +683,7 @@ def s13_zscore(spark, sf):
     return features.zscore(core.split_kind(me(spark, sf), "open_interest"), "oi_contracts", 5).select(*PLACE, d("value", 4))
 
 
-@query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns - recv_ts_ns % {DAY} AS open_ts_ns, round(sum(CASE WHEN price * qty >= 2000 THEN price * qty ELSE 0 END)::DOUBLE / sum(price * qty)::DOUBLE, 6) AS value FROM t GROUP BY ALL")
+@query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns - recv_ts_ns % {DAY} AS open_ts_ns, round(sum(CASE WHEN price * qty >= 2000 THEN price * qty ELSE 0 END)::DOUBLE / nullif(sum(price * qty)::DOUBLE, 0), 6) AS value FROM t GROUP BY ALL")
 def s10_whale_share(spark, sf):
     return features.whale_share(tr(spark, sf), 2000, DAY_NS).select(*KEY, "open_ts_ns", d("value"))
 
