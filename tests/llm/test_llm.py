@@ -128,10 +128,25 @@ def test_substrings(spark, corpus, monkeypatch, segment):
     if segment:
         monkeypatch.setattr(substrings, "SEGMENT", segment)
         monkeypatch.setattr(substrings, "CHUNK", 2000)
+        monkeypatch.setattr(substrings, "HELD", 50)
+        monkeypatch.setattr(substrings, "GROUP", 3)  # most anchors go the way of crowded ones
     got = {r[0]: tuple(r[1:5]) for r in substrings.deduplicate(docs_df(spark, corpus)).collect()}
     assert got == brute_substrings(corpus)
 
 
+def test_substrings_very_long_text_and_missing_ids(spark):
+    """At the real constants: texts longer than a segment, a repeat over a segment's edge, rows without an id."""
+    r = random.Random(6)
+    long = " ".join(str(r.random()) for _ in range(40_000))
+    edge = substrings.SEGMENT
+    rows = [(1, long), (2, "a " + long[edge - 700 : edge + 500] + " b"), (3, "x" * 300_000), (None, long[5000:5400]), (None, None)]
+    got = {r[0]: tuple(r[1:5]) for r in substrings.deduplicate(docs_df(spark, rows)).where("doc_id is not null").collect()}
+    want = brute_substrings([(-9, rows[3][1]), *rows[:3]])
+    assert got == {i: want[i] for i in (1, 2, 3)}
+    none = substrings.deduplicate(docs_df(spark, rows)).where("doc_id is null").select("n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, none)) == [(0, 0), (400, 0)]
+
+
 def test_substrings_repeated_rows_and_empty(spark):
     text = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(90))
     rows = [(1, text), (1, text), (2, text)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _own: dict[str, str] = {}  # of sessions without a shared folder, as in tests: a
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode one of our own if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
     return base.rstrip("/")
@@ -34,7 +37,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Give disk back in mid-job: delete tables of ``stage`` that nothing reads any more, and let the driver's
+    garbage collector notice the shuffles of finished jobs, whose files Spark then removes."""
+    jvm = spark.sparkContext._jvm
+    for df in staged:
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

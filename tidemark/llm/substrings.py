@@ -1,31 +1,29 @@
 """Exact substring deduplication by a depth-limited radix sort of suffixes.
 
-Only the first ``width`` bytes of a suffix matter, and equal groups at that
-depth are exactly the repeated windows. Three digits sort them, most significant
-first, and a group that has become a singleton leaves at once:
-
-1. The window's rarest ``digit`` bytes: the position in the window with the
-   smallest hash. Equal windows choose the same place, and neighbouring windows
-   mostly share one, so a text of n bytes has about 2n / (width - digit) of these
-   anchors and they stand for all of its windows.
-2. All bytes of the anchor's windows together. Anchors equal here repeat window
-   by window; only the earliest of a group stays.
-3. The bytes of single windows, for the few anchors whose groups still differ:
-   the edges of repeated stretches.
-
-Every task first drops what repeats within its own chunk, so that a stretch in a
-third of all documents meets as one row per chunk, not per document. Strings are
-compared by fingerprints under two independent bases. All 64 bits of the one over
-whole stretches or windows go through the shuffle, so that texts which share an
-anchor are told apart by 64 bits; of the anchor's own, ``KEY`` bits do, as they
-only bring candidates together: anchors that differ and share them go on to digit
-three, where they part.
+Only the first ``width`` bytes of a suffix matter, and groups that are equal at
+that depth are exactly the repeated windows. The digits are compared from a point
+that equal windows share: the window's ``digit`` bytes of smallest hash, its
+anchor. Neighbouring windows mostly have one anchor, so a text of n bytes has
+about 2n / (width - digit) of them and they stand for all of its windows. Passes,
+most significant digit first, and a group that has become a singleton leaves at once:
+
+1. The anchor's own bytes, through ``KEY`` bits of a fingerprint, which only
+   decide who goes on: anchors met once leave, and with them nearly all windows
+   of unique text. Chunks ship an anchor that they hold several times once.
+2. All bytes of the anchor's windows together, its hull: Spark sorts the hulls
+   themselves. Hulls equal here repeat window by window; the earliest goes on.
+3. The single windows of different hulls that share an anchor, in digits of eight
+   bytes: outward from the anchor, then the anchor's. Groups of more than
+   ``GROUP`` hulls are not held by a task: Spark sorts their windows as it did hulls.
+
+So every removed byte lies in a window whose bytes were compared; fingerprints
+only bring candidates together.
 
 Edge cases: null texts are empty and keep the hash of nothing; texts shorter
 than ``width`` are kept whole; a text is cut into overlapping segments of
 ``SEGMENT`` bytes, so its length is not limited; rows that share a doc_id count
-as one document; an empty table gives an empty result; other columns are
-ignored.
+as one document; rows without a doc_id count as one document that comes before
+all others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import broadcast_if_small, release, stage
 
 SEGMENT = 1 << 19
 CHUNK = 1 << 21
 BITS = np.uint64(22)  # of a place within a chunk
 KEY = np.uint64(40)  # bits of an anchor's fingerprint
+GROUP = 1 << 16  # hulls of one anchor that a task compares in its memory
+HELD = 1 << 17  # hulls that a task compares before they are shuffled
+NO_ID = -(2**63)  # stands for a missing doc_id
+MANY = 1 << 20  # bit of an extent: the chunk itself holds the anchor again
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -115,9 +117,9 @@ class Chunk:
         return np.frombuffer(b"".join(self.parts), dtype=np.uint8), starts, np.array(self.docs, dtype=np.int64), np.array(self.offsets, dtype=np.int64) - starts[:-1]
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, width: int, digit: int, powers: tuple[Powers, Powers]) -> tuple[np.ndarray, ...]:
-    """(segment, anchor, first window, last window, key, context) of each anchor of a chunk."""
-    one, two = Prefix(data, powers[0]), Prefix(data, powers[1])
+def anchors(data: np.ndarray, starts: np.ndarray, width: int, digit: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(segment, anchor, first window, last window, key) of each anchor of a chunk."""
+    one = Prefix(data, powers)
     at = np.arange(len(data) - digit + 1)
     ranked = (one.of(at, at + digit) >> BITS << BITS) | at.astype(np.uint64)
     low = sliding_min(ranked, width - digit + 1)
@@ -127,21 +129,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, width: int, digit: int, powers
     anchor = (low[window] & ((np.uint64(1) << BITS) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]))))
     last = np.concatenate((new[1:] - 1, [len(window) - 1]))
-    a, lo, hi = anchor[new], window[new], window[last]
-    key = one.of(a, a + digit) >> (np.uint64(64) - KEY)
-    context = mix(two.of(lo, hi + width) + ((a - lo) * 256 + (a - hi)).astype(np.uint64))
-    return segment[new], a, lo, hi, key, context
-
-
-def first_of_groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by all columns; where (in that order) a group of equal leading columns (all but doc and place) begins."""
-    order = np.lexsort(columns[::-1])
-    head = np.zeros(len(order), dtype=bool)
-    head[:1] = True
-    for c in columns[:-2]:
-        s = c[order]
-        head[1:] |= s[1:] != s[:-1]
-    return order, head
+    a = anchor[new]
+    return segment[new], a, window[new], window[last], one.of(a, a + digit) >> (np.uint64(64) - KEY)
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,21 +146,6 @@ def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[new], a[new], reach[np.concatenate((new[1:] - 1, [len(doc) - 1]))] - lift[new]
 
 
-ROW = "key long, context long, doc_id long, pos long, extent int"
-_NAMES = ["key", "context", "doc_id", "pos", "extent"]
-DONE = -1  # extent of a row that is a finished stretch: pos to context
-
-
-def _rows(key, context, doc, pos, extent) -> pa.RecordBatch:
-    cols = [np.asarray(c).view(np.int64) if np.asarray(c).dtype == np.uint64 else np.asarray(c) for c in (key, context, doc, pos, extent)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols[:4]] + [pa.array(cols[4].astype(np.int32))], _NAMES)
-
-
-def _done(doc, a, b) -> pa.RecordBatch:
-    doc, a, b = merged(doc, a, b)
-    return _rows(mix(doc.astype(np.uint64) + a.astype(np.uint64) * np.uint64(31)), b, doc, a, np.full(len(doc), DONE))
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -179,20 +153,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 
 
 def _anchor_rows(docs: DataFrame, width: int, digit: int) -> DataFrame:
-    def emit(chunk: Chunk, powers) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, pos, extent) of all anchors. Of those that a chunk holds several times one goes by the
+    key, the others by a key of their own; all of them bear the mark ``MANY``."""
+
+    def emit(chunk: Chunk, powers: Powers) -> Iterator[pa.RecordBatch]:
         data, starts, docs_of, shift = chunk.arrays()
-        seg, a, lo, hi, key, context = anchors(data, starts, width, digit, powers)
-        doc, pos = docs_of[seg], a + shift[seg]
-        order, head = first_of_groups(key, context, doc, pos)
-        firsts = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        again = ~head & ((doc[order] != doc[firsts]) | (pos[order] != pos[firsts]))
-        keep, rest = np.sort(order[head]), order[again]  # in text order, which the shuffle compresses better
-        yield _rows(key[keep], context[keep], doc[keep], pos[keep], ((a - lo) * 256 + (a - hi))[keep])
-        if len(rest):
-            yield _done(doc[rest], (lo + shift[seg])[rest], (hi + shift[seg])[rest] + width)
+        seg, a, lo, hi, key = anchors(data, starts, width, digit, powers)
+        doc, pos, extent = docs_of[seg], a + shift[seg], (a - lo) * 256 + (a - hi)
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+        number = np.cumsum(head) - 1
+        extent[order[np.bincount(number)[number] > 1]] += MANY
+        rest = order[~head]
+        own = key.view(np.int64).copy()
+        own[rest] = -1 - (mix(doc[rest].astype(np.uint64) * np.uint64(31) + pos[rest].astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(doc), pa.array(pos), pa.array(extent.astype(np.int32))], ["key", "doc_id", "pos", "extent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = tuple(Powers(b, CHUNK + 1) for b in BASES)
+        powers = Powers(BASES[0], CHUNK + 1)
         chunk = Chunk(width)
         for doc_id, raw in _texts(batches):
             for full in chunk.add(doc_id, raw):
@@ -200,19 +179,22 @@ def _anchor_rows(docs: DataFrame, width: int, digit: int) -> DataFrame:
         if chunk.size:
             yield from emit(chunk, powers)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROW)
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long, pos long, extent int")
 
 
-def _sorted_groups(rows: DataFrame, *columns: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions(*columns)
+def _met_again(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos, extent) of the anchors whose key occurs more than once."""
+    w = Window.partitionBy("key").orderBy("doc_id")
+    beside = rows.withColumns({"_before": F.lag("pos").over(w), "_after": F.lead("pos").over(w)})
+    live = beside.where((F.col("extent") >= MANY) | F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    return live.select("doc_id", "pos", (F.col("extent") % MANY).alias("extent"))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Sorted batches again, cut so that no key is split over two of them."""
     held: list[np.ndarray] = []
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]  # strings as objects
         if held:
             cols = [np.concatenate(x) for x in zip(held, cols)]
         if not len(cols[0]):
@@ -225,36 +207,8 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _compare(rows: DataFrame, width: int) -> DataFrame:
-    """Digits one and two: finished stretches, and as ``extent >= 0`` the anchors that need digit three."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, context, doc, pos, extent in _by_key(batches):
-            over = extent == DONE
-            if over.any():
-                yield _rows(key[over], context[over], doc[over], pos[over], extent[over])
-                key, context, doc, pos, extent = (c[~over] for c in (key, context, doc, pos, extent))
-            if not len(key):
-                continue
-            group = np.concatenate(([True], key[1:] != key[:-1]))
-            head = group | np.concatenate(([True], context[1:] != context[:-1]))
-            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            again = ~head & ((doc != doc[first]) | (pos != pos[first]))
-            if again.any():
-                e = extent[again].astype(np.int64)
-                yield _done(doc[again], pos[again] - e // 256, pos[again] - e % 256 + width)
-            number = np.cumsum(group) - 1
-            edge = head & (np.bincount(number, weights=head)[number] > 1)
-            if edge.any():
-                yield _rows(key[edge], np.zeros(edge.sum()), doc[edge], pos[edge], extent[edge])  # digit three reads the bytes
-
-    # The key's empty bytes next to those of doc_id: the shuffle compresses them away.
-    rows = rows.select("context", "key", "doc_id", "pos", "extent")
-    return _sorted_groups(rows, "key", "context", "doc_id", "pos").select(*_NAMES).mapInArrow(run, ROW)
-
-
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's bytes, compressed for the shuffle."""
+    """doc_id (``NO_ID`` for none) and the text's bytes, compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -263,70 +217,168 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, z binary")
 
 
-def _window_rows(texts: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """Digit three: a row for every window of the anchors that are left."""
-    lists = edges.groupBy("doc_id").agg(F.collect_list("key").alias("k"), F.collect_list("pos").alias("p"), F.collect_list("extent").alias("e"))
+class Firsts:
+    """Strings of a task with their earliest places; what repeats within the task is a finished stretch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self):
+        self.first: dict[bytes, tuple[int, int, int]] = {}
+        self.again: list[tuple[int, int, int]] = []
+
+    def add(self, string: bytes, doc: int, at: int, off: int) -> None:
+        here = (doc, at, off)
+        known = self.first.setdefault(string, here)
+        if known[:2] == here[:2]:
+            return
+        if here < known:
+            self.first[string], here = here, known
+        self.again.append((here[0], here[1], here[1] + len(string)))
+
+    def rows(self) -> pa.RecordBatch:
+        """string, doc_id, at, off; a finished stretch bears its end as ``off`` and, as no string is as short, its place as the string."""
+        strings, docs, at, off = list(self.first), *(list(c) for c in zip(*self.first.values()))
+        if self.again:
+            doc, a, b = merged(*(np.array(c, dtype=np.int64) for c in zip(*self.again)))
+            strings += [x.tobytes() for x in np.stack((doc, a), 1)]
+            docs, at, off = docs + doc.tolist(), at + a.tolist(), off + b.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), *(pa.array(c, pa.int64()) for c in (docs, at, off))], ["string", "doc_id", "at", "off"])
+
+
+STRING = "string binary, doc_id long, at long, off long"
+DONE = 16  # bytes of a finished stretch's string
+
+
+def _firsts(pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``STRING`` from what ``pieces`` makes of the batches, compared within the task."""
+    held = Firsts()
+    for string, doc, at, off in pieces(batches):
+        held.add(string, doc, at, off)
+        if len(held.first) >= HELD or len(held.again) >= HELD:
+            yield held.rows()
+            held = Firsts()
+    if held.first:
+        yield held.rows()
+
+
+def _hulls(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
+    """The hulls of the anchors in ``live``, read from the texts."""
+    lists = live.groupBy("doc_id").agg(F.collect_list("pos").alias("p"), F.collect_list("extent").alias("e"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        powers = Powers(BASES[1], 4096)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, packed, keys, places, extents in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i) for i in (2, 3, 4))):
-                raw = np.frombuffer(z.decompress(packed.as_py()), dtype=np.uint8)
-                key, pos = keys.values.to_numpy(), places.values.to_numpy()
-                e = extents.values.to_numpy().astype(np.int64)
-                lo, n = pos - e // 256, e // 256 - e % 256 + 1
-                for k, p, a, m in zip(key, pos, lo, n):
-                    part = Prefix(raw[a : a + m + width - 1], powers)
-                    s = np.arange(m)
-                    out.append((np.full(m, k), part.of(s, s + width), np.full(m, doc_id), a + s, p - a - s))
-            if out:
-                key, print_, doc, start, off = (np.concatenate(c) for c in zip(*out))
-                # The key joins the anchor's digit with the window's place and bytes, so one sort finds equal windows.
-                joint = mix(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + off.astype(np.uint64) + mix(print_))
-                print_ = print_ >> np.uint64(32)
-                order, head = first_of_groups(joint, print_, doc, start)
-                firsts = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-                again = ~head & ((doc[order] != doc[firsts]) | (start[order] != start[firsts]))
-                keep, rest = np.sort(order[head]), order[again]  # in text order, which the shuffle compresses better
-                yield _rows(joint[keep], print_[keep], doc[keep], start[keep], np.zeros(len(keep)))
-                if len(rest):
-                    yield _done(doc[rest], start[rest], start[rest] + width)
-
-    return texts.join(lists, "doc_id").select("doc_id", "z", "k", "p", "e").mapInArrow(run, ROW)
-
-
-def _repeated_windows(rows: DataFrame, width: int) -> DataFrame:
+            for doc_id, packed, places, extents in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+                raw = z.decompress(packed.as_py())
+                pos, e = places.values.to_numpy(), extents.values.to_numpy().astype(np.int64)
+                off = e // 256
+                for a, b, o in zip((pos - off).tolist(), (pos - e % 256 + width).tolist(), off.tolist()):
+                    yield raw[a:b], doc_id, a, o
+
+    return texts.join(lists, "doc_id").select("doc_id", "z", "p", "e").mapInArrow(lambda batches: _firsts(pieces, batches), STRING)
+
+
+def _ordered(strings: DataFrame) -> DataFrame:
+    """Sorted by their bytes: who is the earliest of its equals (string kept), and who starts later (``again``)."""
+    w = Window.partitionBy("string").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = strings.withColumns({"_doc": F.first("doc_id").over(w), "_at": F.first("at").over(w), "_n": F.octet_length("string")})
+    done = F.col("_n") == DONE
+    again = done | (F.col("_doc") != F.col("doc_id")) | (F.col("_at") != F.col("at"))
+    end = F.when(done, F.col("off")).otherwise(F.col("at") + F.col("_n"))
+    return first.select(F.when(~again, F.col("string")).alias("string"), "doc_id", "at", "off", again.alias("again"), end.alias("end"))
+
+
+def repeated_windows(group: np.ndarray, hulls: pa.Array, doc: np.ndarray, at: np.ndarray, off: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the windows of hulls of equal ``group`` that start earlier in another one: digits of eight bytes, singletons leaving."""
+    reach = width - digit
+    ends = np.frombuffer(hulls.buffers()[1], dtype=np.int32)[hulls.offset : hulls.offset + len(hulls) + 1].astype(np.int64)
+    data = np.frombuffer(hulls.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(size)), size)
+    side = np.zeros((len(size), reach + width + 8), dtype=np.uint8)  # anchors below one another, zeros behind
+    side[row, np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size) + np.repeat(reach - off, size)] = data
+    rows, starts = [], []
+    for o in range(reach + 1):  # windows that begin ``o`` bytes before the anchor
+        live = np.flatnonzero((off >= o) & (off - (size - width) <= o))
+        same = group[live]
+        begin = reach - o
+        columns = np.concatenate((np.arange(reach + digit, begin + width), np.arange(reach - 1, begin - 1, -1), np.arange(reach, reach + digit)))
+        columns = np.concatenate((columns, np.full(-len(columns) % 8, side.shape[1] - 1)))
+        for k in range(0, len(columns), 8):
+            if len(live) < 2:
+                break
+            value = np.ascontiguousarray(side[live[:, None], columns[k : k + 8]]).view(">u8")[:, 0].astype(np.uint64)
+            order = np.lexsort((value, same))
+            live, same, value = live[order], same[order], value[order]
+            number = np.cumsum(np.concatenate(([True], (same[1:] != same[:-1]) | (value[1:] != value[:-1])))) - 1
+            more = np.bincount(number)[number] > 1
+            live, same = live[more], number[more]
+        if len(live) < 2:
+            continue
+        start = at[live] + off[live] - o
+        order = np.lexsort((start, doc[live], same))
+        live, same, start = live[order], same[order], start[order]
+        head = np.concatenate(([True], same[1:] != same[:-1]))
+        first = np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))
+        again = (doc[live] != doc[live[first]]) | (start != start[first])
+        rows.append(live[again])
+        starts.append(start[again])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *starts])
+
+
+def _compared(heads: DataFrame, width: int, digit: int) -> DataFrame:
+    """(doc_id, a, b) of the windows of different hulls that start earlier; keys of at most ``GROUP`` hulls."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, print_, doc, start, extent in _by_key(batches):
-            over = extent == DONE
-            if over.any():
-                yield _rows(key[over], print_[over], doc[over], start[over], extent[over])
-                key, print_, doc, start = (c[~over] for c in (key, print_, doc, start))
-            if not len(key):
-                continue
-            head = np.concatenate(([True], (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])))
-            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            again = ~head & ((doc != doc[first]) | (start != start[first]))
-            if again.any():
-                yield _done(doc[again], start[again], start[again] + width)
-
-    return _sorted_groups(rows, "key", "context", "doc_id", "pos").mapInArrow(run, ROW)
+        for key, hulls, doc, at, off in _by_key(batches):
+            number = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            crowd = np.flatnonzero(np.bincount(number)[number] > 1)
+            if len(crowd):
+                live = [c[crowd] for c in (number, doc, at, off)]
+                row, start = repeated_windows(live[0], pa.array(hulls[crowd], pa.binary()), *live[1:], width, digit)
+                if len(row):
+                    out = merged(live[1][row], start, start + width)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc_id", "a", "b"])
+
+    n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = heads.select("key", "string", "doc_id", "at", "off").repartition(n, "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "doc_id long, a long, b long")
+
+
+def _windows(heads: DataFrame, width: int) -> DataFrame:
+    """The single windows of hulls, for keys that no task could hold."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
+        for batch in batches:
+            for hull, doc, at in zip(*(c.to_pylist() for c in batch.columns)):
+                for s in range(len(hull) - width + 1):
+                    yield hull[s : s + width], doc, at + s, 0
+
+    return heads.select("string", "doc_id", "at").mapInArrow(lambda batches: _firsts(pieces, batches), STRING)
 
 
 def repeated_stretches(docs: DataFrame, width: int = 100, digit: int = 36) -> DataFrame:
     """(doc_id, a, b): stretches whose bytes lie in a window that also starts earlier; may overlap."""
-    found = stage(_compare(_anchor_rows(docs, width, digit), width), "anchors")
-    edges = found.where(F.col("extent") != DONE)
-    windows = _repeated_windows(_window_rows(_packed(docs), edges, width), width)
-    done = found.where(F.col("extent") == DONE).unionByName(windows)
-    return done.select("doc_id", F.col("pos").alias("a"), F.col("context").alias("b"))
+    live = stage(_met_again(_anchor_rows(docs, width, digit)), "anchors")
+    release(docs.sparkSession)  # the shuffle's files: the next one is as large
+    hulls = stage(_ordered(_hulls(_packed(docs), live, width)), "hulls")
+    release(docs.sparkSession, live)
+    own = F.expr(f"substring(string, int(off) + 1, {digit})")
+    heads = hulls.where("string is not null").withColumn("key", F.xxhash64(own))
+    hot = stage(heads.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "hot")
+    spans = hulls.where("again").select("doc_id", F.col("at").alias("a"), F.col("end").alias("b"))
+    if hot.limit(1).count():
+        crowded = broadcast_if_small(hot)  # at most a GROUP-th of the hulls
+        single = _ordered(_windows(heads.join(crowded, "key", "left_semi"), width)).where("again")
+        spans = spans.unionByName(single.select("doc_id", F.col("at").alias("a"), F.col("end").alias("b")))
+        heads = heads.join(crowded, "key", "left_anti")
+    spans = stage(spans.unionByName(_compared(heads, width, digit)), "stretches")
+    release(docs.sparkSession, hulls, hot)
+    return spans
 
 
 def deduplicate(docs: DataFrame, width: int = 100, digit: int = 36, with_text: bool = False) -> DataFrame:
@@ -354,7 +406,7 @@ def deduplicate(docs: DataFrame, width: int = 100, digit: int = 36, with_text: b
                 parts.append(raw[at:])
                 for part in parts:
                     kept.update(part)
-                rows.append((doc_id, len(raw), removed, spans, kept.hexdigest(), *([b"".join(parts)] if with_text else ())))
+                rows.append((None if doc_id == NO_ID else doc_id, len(raw), removed, spans, kept.hexdigest(), *([b"".join(parts)] if with_text else ())))
             cols = list(zip(*rows)) or [()] * (5 + with_text)
             types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], [c.split()[0] for c in schema.split(", ")])
