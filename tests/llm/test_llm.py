@@ -128,7 +128,6 @@ def test_substrings(spark, corpus, monkeypatch, segment):
     if segment:
         monkeypatch.setattr(substrings, "SEGMENT", segment)
         monkeypatch.setattr(substrings, "CHUNK", 2000)
-        monkeypatch.setattr(substrings, "HELD", 50)
         monkeypatch.setattr(substrings, "GROUP", 3)  # most anchors go the way of crowded ones
     got = {r[0]: tuple(r[1:5]) for r in substrings.deduplicate(docs_df(spark, corpus)).collect()}
     assert got == brute_substrings(corpus)

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, release, stage
@@ -43,7 +43,6 @@ CHUNK = 1 << 21
 BITS = np.uint64(22)  # of a place within a chunk
 KEY = np.uint64(40)  # bits of an anchor's fingerprint
 GROUP = 1 << 16  # hulls of one anchor that a task compares in its memory
-HELD = 1 << 17  # hulls that a task compares before they are shuffled
 NO_ID = -(2**63)  # stands for a missing doc_id
 MANY = 1 << 20  # bit of an extent: the chunk itself holds the anchor again
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -182,12 +181,22 @@ def _anchor_rows(docs: DataFrame, width: int, digit: int) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "key long, doc_id long, pos long, extent int")
 
 
+def _sorted(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, by).sortWithinPartitions(*(order or (by,)))
+
+
 def _met_again(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, extent) of the anchors whose key occurs more than once."""
-    w = Window.partitionBy("key").orderBy("doc_id")
-    beside = rows.withColumns({"_before": F.lag("pos").over(w), "_after": F.lead("pos").over(w)})
-    live = beside.where((F.col("extent") >= MANY) | F.col("_before").isNotNull() | F.col("_after").isNotNull())
-    return live.select("doc_id", "pos", (F.col("extent") % MANY).alias("extent"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, doc, pos, extent in _by_key(batches):
+            number = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            live = (np.bincount(number)[number] > 1) | (extent >= MANY)
+            if live.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[live]) for c in (doc, pos, extent % MANY)], ["doc_id", "pos", "extent"])
+
+    return _sorted(rows, "key").mapInArrow(run, "doc_id long, pos long, extent int")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -220,53 +229,62 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, z binary")
 
 
-class Firsts:
-    """Strings of a task with their earliest places; what repeats within the task is a finished stretch."""
-
-    def __init__(self):
-        self.first: dict[bytes, tuple[int, int, int]] = {}
-        self.again: list[tuple[int, int, int]] = []
-
-    def add(self, string: bytes, doc: int, at: int, off: int) -> None:
-        here = (doc, at, off)
-        known = self.first.setdefault(string, here)
-        if known[:2] == here[:2]:
-            return
-        if here < known:
-            self.first[string], here = here, known
-        self.again.append((here[0], here[1], here[1] + len(string)))
-
-    def rows(self) -> pa.RecordBatch:
-        """string, doc_id, at, off; a finished stretch bears its end as ``off`` and, as no string is as short, its place as the string."""
-        strings, docs, at, off = list(self.first), *(list(c) for c in zip(*self.first.values()))
-        if self.again:
-            doc, a, b = merged(*(np.array(c, dtype=np.int64) for c in zip(*self.again)))
-            strings += [x.tobytes() for x in np.stack((doc, a), 1)]
-            docs, at, off = docs + doc.tolist(), at + a.tolist(), off + b.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), *(pa.array(c, pa.int64()) for c in (docs, at, off))], ["string", "doc_id", "at", "off"])
-
-
 STRING = "string binary, doc_id long, at long, off long"
-DONE = 16  # bytes of a finished stretch's string
-
-
-def _firsts(pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``STRING`` from what ``pieces`` makes of the batches, compared within the task."""
-    held = Firsts()
-    for string, doc, at, off in pieces(batches):
-        held.add(string, doc, at, off)
-        if len(held.first) >= HELD or len(held.again) >= HELD:
-            yield held.rows()
-            held = Firsts()
-    if held.first:
-        yield held.rows()
+DONE = 16  # bytes of a finished stretch's string: its place. No hull is as short.
+
+
+def _string_rows(strings: list[bytes], doc, at, off) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), *(pa.array(c, pa.int64()) for c in (doc, at, off))], ["string", "doc_id", "at", "off"])
+
+
+def _firsts(buffer: bytes, a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, off: np.ndarray, powers: Powers) -> Iterator[pa.RecordBatch]:
+    """The strings buffer[a:b] of a task, each at its earliest place; what repeats within the buffer
+    is a finished stretch, which bears its end as ``off``. Fingerprints find the repeats, bytes decide."""
+    print_ = Prefix(np.frombuffer(buffer, dtype=np.uint8), powers).of(a, b) ^ (b - a).astype(np.uint64)
+    order = np.lexsort((at, doc, print_))
+    a, b, doc, at, off, print_ = (c[order] for c in (a, b, doc, at, off, print_))
+    head = np.concatenate(([True], print_[1:] != print_[:-1]))
+    first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
+    rest = np.flatnonzero(~head)
+    same = np.array([buffer[w:x] == buffer[y:z] for w, x, y, z in zip(a[rest].tolist(), b[rest].tolist(), a[first[rest]].tolist(), b[first[rest]].tolist())], dtype=bool)
+    known = rest[same]
+    keep = np.ones(len(a), dtype=bool)
+    keep[known] = False
+    yield _string_rows([buffer[x:y] for x, y in zip(a[keep].tolist(), b[keep].tolist())], doc[keep], at[keep], off[keep])
+    again = known[(doc[known] != doc[first[known]]) | (at[known] != at[first[known]])]
+    if len(again):
+        d, x, y = merged(doc[again], at[again], at[again] + (b - a)[again])
+        yield _string_rows([r.tobytes() for r in np.stack((d, x), 1)], d, x, y)
+
+
+def _gathered(pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_firsts`` of what ``pieces`` makes of the batches: (bytes, start and end of strings in them, doc_id, place of the bytes, off)."""
+    powers = Powers(BASES[1], 2 * CHUNK + 1)
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        shift = np.cumsum([0] + [len(h[0]) for h in held])
+        a, b = (np.concatenate([h[i] + s for h, s in zip(held, shift)]) for i in (1, 2))
+        doc = np.repeat(np.array([h[3] for h in held], dtype=np.int64), [len(h[1]) for h in held])
+        at, off = np.concatenate([h[1] + h[4] for h in held]), np.concatenate([h[5] for h in held])
+        return _firsts(b"".join(h[0] for h in held), a, b, doc, at, off, powers)
+
+    for piece in pieces(batches):
+        if held and (size + len(piece[0]) > 2 * CHUNK):
+            yield from out()
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[0])
+    if held:
+        yield from out()
 
 
 def _hulls(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
     """The hulls of the anchors in ``live``, read from the texts."""
     lists = live.groupBy("doc_id").agg(F.collect_list("pos").alias("p"), F.collect_list("extent").alias("e"))
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
@@ -274,21 +292,43 @@ def _hulls(texts: DataFrame, live: DataFrame, width: int) -> DataFrame:
             for doc_id, packed, places, extents in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
                 raw = z.decompress(packed.as_py())
                 pos, e = places.values.to_numpy(), extents.values.to_numpy().astype(np.int64)
+                order = np.argsort(pos)
+                pos, e = pos[order], e[order]
                 off = e // 256
-                for a, b, o in zip((pos - off).tolist(), (pos - e % 256 + width).tolist(), off.tolist()):
-                    yield raw[a:b], doc_id, a, o
+                a, b = pos - off, pos - e % 256 + width
+                part = a // SEGMENT  # long texts go in parts
+                for n in np.unique(part).tolist():
+                    own = part == n
+                    base = int(a[own][0])
+                    yield raw[base : int(b[own].max())], a[own] - base, b[own] - base, doc_id, base, off[own]
 
-    return texts.join(lists, "doc_id").select("doc_id", "z", "p", "e").mapInArrow(lambda batches: _firsts(pieces, batches), STRING)
+    return texts.join(lists, "doc_id").select("doc_id", "z", "p", "e").mapInArrow(lambda batches: _gathered(pieces, batches), STRING)
 
 
 def _ordered(strings: DataFrame) -> DataFrame:
-    """Sorted by their bytes: who is the earliest of its equals (string kept), and who starts later (``again``)."""
-    w = Window.partitionBy("string").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = strings.withColumns({"_doc": F.first("doc_id").over(w), "_at": F.first("at").over(w), "_n": F.octet_length("string")})
-    done = F.col("_n") == DONE
-    again = done | (F.col("_doc") != F.col("doc_id")) | (F.col("_at") != F.col("at"))
-    end = F.when(done, F.col("off")).otherwise(F.col("at") + F.col("_n"))
-    return first.select(F.when(~again, F.col("string")).alias("string"), "doc_id", "at", "off", again.alias("again"), end.alias("end"))
+    """Sorted by their bytes: who is the earliest of its equals (string kept), and who starts later (``again``, up to ``end``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_doc, last_at = b"", 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch.column(0).to_pylist()
+            doc, at, off = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            size = np.array([len(x) for x in s])
+            new = np.array([x != y for x, y in zip(s, [last, *s])])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+            begun = first >= 0  # else the run of equals began in an earlier batch
+            first_doc, first_at = np.where(begun, doc[first], last_doc), np.where(begun, at[first], last_at)
+            done = size == DONE
+            again = done | (doc != first_doc) | (at != first_at)
+            keep = ~again & new
+            live = again | keep  # a place that is given twice counts once
+            cols = [pa.array([x if k else None for x, k in zip(s, keep.tolist())], pa.binary()), batch.column(1), batch.column(2), batch.column(3), pa.array(again), pa.array(np.where(done, off, at + size))]
+            yield pa.RecordBatch.from_arrays(cols, ["string", "doc_id", "at", "off", "again", "end"]).filter(pa.array(live))
+            last, last_doc, last_at = s[-1], int(first_doc[-1]), int(first_at[-1])
+
+    return _sorted(strings, "string", "string", "doc_id", "at").mapInArrow(run, STRING + ", again boolean, end long")
 
 
 def repeated_windows(group: np.ndarray, hulls: pa.Array, doc: np.ndarray, at: np.ndarray, off: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,21 +384,19 @@ def _compared(heads: DataFrame, width: int, digit: int) -> DataFrame:
                     out = merged(live[1][row], start, start + width)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc_id", "a", "b"])
 
-    n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = heads.select("key", "string", "doc_id", "at", "off").repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "doc_id long, a long, b long")
+    return _sorted(heads.select("key", "string", "doc_id", "at", "off"), "key").mapInArrow(run, "doc_id long, a long, b long")
 
 
 def _windows(heads: DataFrame, width: int) -> DataFrame:
     """The single windows of hulls, for keys that no task could hold."""
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, int]]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for hull, doc, at in zip(*(c.to_pylist() for c in batch.columns)):
-                for s in range(len(hull) - width + 1):
-                    yield hull[s : s + width], doc, at + s, 0
+                a = np.arange(len(hull) - width + 1)
+                yield hull, a, a + width, doc, at, np.zeros_like(a)
 
-    return heads.select("string", "doc_id", "at").mapInArrow(lambda batches: _firsts(pieces, batches), STRING)
+    return heads.select("string", "doc_id", "at").mapInArrow(lambda batches: _gathered(pieces, batches), STRING)
 
 
 def repeated_stretches(docs: DataFrame, width: int = 100, digit: int = 36) -> DataFrame:
