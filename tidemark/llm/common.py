@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,25 +33,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
+_staged: list[str] = []  # paths of all tables of ``stage``, in order
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back (survives lost executors)."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
 def release(spark: SparkSession, *staged: DataFrame) -> None:
     """Give disk back in mid-job: delete tables of ``stage`` that nothing reads any more, and let the driver's
     garbage collector notice the shuffles of finished jobs, whose files Spark then removes."""
-    jvm = spark.sparkContext._jvm
-    for df in staged:
-        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, [df.staged_at for df in staged])
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` returns, then delete the tables that it staged on the way."""
+    before = len(_staged)
+    out = stage(make(), name)
+    own = _staged[before:-1]
+    del _staged[before:-1]
+    _delete(out.sparkSession, own)
+    release(out.sparkSession)
+    return out
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

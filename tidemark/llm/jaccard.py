@@ -11,15 +11,20 @@ both sides, so as long as a document leaves out no more words than the surplus,
 each partner is found by another word.
 
 Documents with equal sets are one class and meet as one row. Words with the same
-documents count once. A word that many classes share does not give all pairs: its
-smallest class is tried with each of the others (and whoever cannot link with any
-of these with its nearest), links are contracted to components, and only words that still hold several
-components are looked at again, in blocks of ``BLOCK`` classes: first each class
-proposes its nearest class of another component, and when that settles, all pairs
-that remain. Everywhere the Hamming distance of fixed 1024-bit sketches leaves out
-pairs that cannot link, and every link is verified on the sets themselves. So
-components are exact, while the number of pairs stays near the number of classes
-for groups that do link.
+documents count once. A word that many classes share does not give all pairs:
+
+* its smallest class is tried with each of the others, first each class with the
+  nearest of these only, then those pairs that links do not join yet;
+* words whose classes then lie in several components are looked at again: each
+  class proposes its nearest class of another component. Whoever has none leaves;
+  for the rest all pairs between components that are still apart are tried.
+
+Groups of more than ``BLOCK`` classes are dealt in blocks: the classes outside a
+group's largest component meet every block, the others only those from outside.
+Everywhere the Hamming distance of fixed 1024-bit sketches leaves out pairs that
+cannot link, and every link is verified on the sets themselves. So components are
+exact, while the number of pairs stays near the number of classes for groups that
+do link.
 
 Edge cases: null texts and texts without a word have an empty set, link with
 nothing and are their own component; fewer words than a shingle count as one
@@ -37,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import release, settled, stage
 from tidemark.llm.components import components
 from tidemark.llm.substrings import BASES, Powers, Prefix, _by_key, mix
 
 PIECE = 1 << 22
-BLOCK = 1024
+BLOCK = 4096
 WIDE = 1024  # bits of the fixed sketch
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -220,26 +225,30 @@ def _groups(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
+    """(a, b, far): the pairs whose sizes and sketches allow a link, and the distance of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+                x, y = (_sketch_rows(batch.column(i).to_pylist()) for i in (4, 5))
                 far = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
                 ok = far * (100 + percent) <= (na + nb) * (100 - percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))], ["a", "b", "far"]).filter(pa.array(ok))
 
     j = pairs
     for end in ("a", "b"):
         j = j.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}")), end)
     j = j.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return j.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+    return j.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long, far int")
+
+
+def _sketch_rows(wide: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(wide), dtype=np.uint64).reshape(len(wide), -1)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, elements) of the documents in ``wanted`` (id)."""
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, z): the compressed texts of the documents in ``wanted`` (id)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -248,98 +257,127 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)], pa.binary())], ["id", "z"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z, hasher = zstandard.ZstdDecompressor(), Hasher(words)
-        for batch in _slices(batches):
-            sets = [hasher.shingles(z.decompress(t.as_py()).decode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
-
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "id long, z binary")
-    return packed.join(wanted, "id", "left_semi").select("id", "z").mapInArrow(run, "id long, elements binary")
+    return docs.select("doc_id", "text").mapInArrow(pack, "id long, z binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold. The texts travel compressed, which is less than their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z, hasher, last, s = zstandard.ZstdDecompressor(), Hasher(words), None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:  # mostly the rows are sorted by a
+                    last, s = a, hasher.shingles(z.decompress(x.as_py()).decode())
+                t = hasher.shingles(z.decompress(y.as_py()).decode())
                 keep.append(enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("id").alias(end), F.col("elements").alias(f"e{end}")) for end in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    texts = stage(_packed(docs, stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")), "texts")
+    a, b = (texts.select(F.col("id").alias(end), F.col("z").alias(f"z{end}")) for end in ("a", "b"))
+    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+
+
+def _near(u: np.ndarray, probe: np.ndarray, base: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of one unit, of different roots, one probing the other, whose sizes and sketches allow a link; and their distance."""
+    out = []
+    first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    left = np.repeat(np.append(first[1:], len(u)), np.diff(np.append(first, len(u)))) - np.arange(len(u))  # rows of the unit from here on
+    i = np.arange(len(u))
+    for step in range(1, int(left.max(initial=1))):
+        i = i[left[i] > step]
+        j = i + step
+        ok = (root[i] != root[j]) & (probe[i] & base[j] | base[i] & probe[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        x, y = i[ok], j[ok]
+        if len(x):
+            far = np.bitwise_count(wide[x] ^ wide[y]).sum(1).astype(np.int64)
+            ok = far * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            if ok.any():
+                out.append((x[ok], y[ok], far[ok]))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(c) for c in zip((none, none, none), *out))
 
 
 def _proposals(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs between different components of one group whose sketches allow a link.
+    """(g, a, b): pairs between different components of one group whose sketches allow a link.
 
-    ``members`` has g, id, root. Large groups are dealt in blocks, one task unit for
-    each two blocks; ``nearest`` keeps one partner for each document.
+    ``members`` has g, id, root. ``nearest`` keeps for each a the closest b of a unit, so every
+    class that has a possible partner in its group occurs as an a; else each pair is given once.
     """
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
-    dealt = members.join(sizes, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(sketches, "id")
-
-    def run(key: tuple, unit: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        block, ids, root, n = (unit[c].to_numpy() for c in ("block", "id", "root", "n"))
-        wide = np.frombuffer(b"".join(unit["wide"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: set[tuple[int, int]] = set()
-        for x in left:
-            y = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-            if i == j:
-                y = y[ids[y] > ids[x]] if not nearest else y
-            if len(y):
-                far = np.bitwise_count(wide[y] ^ wide[x]).sum(1).astype(np.int64)
-                ok = far * (100 + percent) <= (n[y] + n[x]) * (100 - percent)
-                y, far = y[ok], far[ok]
-                if nearest and len(y):
-                    y = y[far.argmin()][None]
-                out.update((int(min(ids[x], ids[k])), int(max(ids[x], ids[k]))) for k in y)
-        a, b = zip(*sorted(out)) if out else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return units.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    parts = members.groupBy("g", "root").agg(F.count("*").alias("m")).groupBy("g")
+    parts = parts.agg(F.sum("m").alias("size"), F.max_by("root", F.struct("m", -F.col("root"))).alias("most"), F.max("m").alias("top"), F.count("*").alias("roots"))
+    parts = parts.where("roots > 1").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "chunks": F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int")})
+    dealt = members.join(parts, "g").join(sketches, "id").withColumns({"outside": F.col("root") != F.col("most"), "large": F.col("blocks") > 1})
+    place = lambda seed, count: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
+    alone, zero = F.col("large") == F.lit(False), F.lit(0)
+    base = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: F.struct(F.when(alone, zero).otherwise(place(1, "blocks")).alias("i"), F.when(alone, zero).otherwise(c).alias("c"), alone.alias("probe"), F.lit(True).alias("base")))
+    base = F.when(alone, F.slice(base, 1, 1)).otherwise(base)
+    probe = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), place(2, "chunks").alias("c"), F.lit(True).alias("probe"), F.lit(False).alias("base")))
+    units = dealt.withColumn("at", F.explode(F.when(F.col("large") & F.col("outside"), F.concat(base, probe)).otherwise(base)))
+    units = units.select(F.xxhash64("g", "at.i", "at.c").alias("u"), "g", "id", "root", F.col("n").cast("long").alias("n"), "at.probe", "at.base", "wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, g, ids, root, n, probe, base, wide in _by_key(batches):
+            i, j, far = _near(u, probe.astype(bool), base.astype(bool), root, n, _sketch_rows(wide.tolist()), percent)
+            if nearest and len(i):
+                i, j, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
+                order = np.lexsort((ids[j], far, i))
+                order = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
+                i, j = i[order], j[order]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(ids[i]), pa.array(ids[j])], ["g", "a", "b"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, "u").sortWithinPartitions("u").mapInArrow(run, "g long, a long, b long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
 def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union."""
+    spark = docs.sparkSession
     sig = stage(_signatures(docs, words), "signatures")
     classes = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     member = stage(sig.drop("wide").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     sketches = sig.select(F.col("doc_id").alias("id"), "n", "wide").dropDuplicates(["id"])
     groups = stage(_groups(_keys(docs, words, percent), percent), "groups")
+    release(spark)  # the keys, the largest shuffle
     pairs = groups.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowd = stage(groups.where("g is not null").select("g", F.col("a").alias("id")).distinct(), "crowd")
-    # Whoever has a possible partner is in this table, so its documents' sets are all that later rounds can need.
     possible = stage(_possible(pairs, sketches, percent), "possible")
-    reached = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
-    nearest = stage(_proposals(crowd.withColumn("root", F.col("id")), sketches, percent, True), "nearest")
-    lone = [nearest.join(reached.withColumnRenamed("id", end), end, "left_anti").select("a", "b") for end in ("a", "b")]
-    tried = stage(possible.union(lone[0]).union(lone[1]).distinct(), "pairs")
-    sets = stage(_sets(docs, tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct(), words), "sets")
-    equal = member.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    links = equal.unionByName(stage(_verified(tried, sets, percent), "links"))
-    roots = components(links)
-    # Groups without a possible pair are done; of the others only those of several components go on.
-    able = sets.select("id")
+    links = member.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+
+    def tested(more: DataFrame) -> None:
+        nonlocal links, roots
+        if more.limit(1).count():
+            links = links.unionByName(settled(lambda: _verified(more, docs, words, percent), "links"))
+        elif roots is not None:
+            return
+        roots = settled(lambda: components(links), "roots")
+
+    roots = None
+    # First the nearest of the smallest classes that a class meets, then those that are still apart.
+    tried = stage(possible.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "pairs")
+    tested(tried)
+    rest = stage(_apart(possible.select("a", "b").join(tried, ["a", "b"], "left_anti"), roots), "pairs")
+    tested(rest)
+    tried = tried.unionByName(rest)
+    active = stage(groups.where("g is not null").select("g", F.col("a").alias("id")).distinct(), "crowd")
+    release(spark, groups, possible)
     for nearest in (True, False):
-        now = crowd.join(able, "id", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = now.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("g")
-        more = stage(_proposals(now.join(mixed, "g"), sketches, percent, nearest).join(tried, ["a", "b"], "left_anti"), "proposals")
-        if more.limit(1).count() == 0:
-            if nearest:
-                continue
-            break
-        links, tried = links.unionByName(stage(_verified(more, sets, percent), "links")), tried.unionByName(more)
-        roots = components(links)
+        now = active.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = stage(_proposals(now, sketches, percent, nearest), "proposals")
+        active = found.select("g", F.col("a").alias("id")).distinct()
+        more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stage(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tested(more)
+        tried = tried.unionByName(more)
     found = member.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
