@@ -9,7 +9,9 @@ Training needs only sums and outer products, so it runs as one aggregation whose
 result has a fixed size; nothing of the corpus reaches the driver.
 
 Edge cases: null and empty texts have defined statistics (all counts zero) and
-get a score like any other; rows with a null label are not learnt from; with one
+get a score like any other, however long; rows with a null label or without a
+doc_id are not learnt from; a label that is given twice counts once, contrary
+labels of one document count each; repeated documents are scored each; with one
 class missing all scores are 0.5; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_blas_thread, stage
+from tidemark.llm.common import one_blas_thread, settled, stage
 
 FEATURES = (
     "log_bytes", "log_words", "word_len", "letters", "upper", "digits", "punct", "symbols", "pipes", "bangs",
@@ -73,20 +75,32 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def _inverse_of_triangle(lower: np.ndarray) -> np.ndarray:
+    """By forward substitution, row by row."""
+    out = np.zeros_like(lower)
+    for i in range(len(lower)):
+        out[i, i] = 1.0
+        out[i] = (out[i] - lower[i, :i] @ out[:i]) / lower[i, i]
+    return out
+
+
 class Model:
     """Class priors, means and Cholesky factors on standardised statistics."""
 
     def __init__(self, centre, scale, log_prior, means, factors, temperature):
         self.centre, self.scale, self.log_prior, self.means, self.factors, self.temperature = centre, scale, log_prior, means, factors, temperature
+        #: Of each factor, once: its inverse (a triangle too) and its log determinant.
+        self.whiten = None if factors is None else [_inverse_of_triangle(f) for f in factors]
+        self.log_det = None if factors is None else [float(np.log(np.diag(f)).sum()) for f in factors]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.factors is None:
             return np.full(len(x), 0.5)
         z = (x - self.centre) / self.scale
         density = []
-        for mean, factor, prior in zip(self.means, self.factors, self.log_prior):
-            m = np.linalg.solve(factor, (z - mean).T)
-            density.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (m * m).sum(0))
+        for mean, whiten, log_det, prior in zip(self.means, self.whiten, self.log_det, self.log_prior):
+            m = (z - mean) @ whiten.T
+            density.append(prior - log_det - 0.5 * (m * m).sum(1))
         return 1.0 / (1.0 + np.exp(-np.clip((density[1] - density[0]) / self.temperature, -30, 30)))
 
 
@@ -116,7 +130,7 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None) -> Model:
     """Learn from the labelled rows of ``feats`` for which ``learn`` holds."""
     d = len(FEATURES)
-    lab = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1))
+    lab = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1)).distinct()
     rows = (feats if learn is None else feats.where(learn)).join(lab, "doc_id").select("y", "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,3 +168,17 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     """(doc_id, score) of every document."""
     feats = stage(features(docs), "quality")
     return score(feats, train(feats, labels, learn=learn))
+
+
+def keep(docs: DataFrame, labels: DataFrame, learn: Column | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more: nothing is shuffled but the labels' join."""
+    model = train(settled(lambda: features(docs), "quality"), labels, learn=learn)
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(where)], dtype=float).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
