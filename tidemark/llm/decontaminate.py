@@ -13,13 +13,16 @@ Every document is then read once, in windows of a few lengths at a stride of
 subsequence covers ``min_lcs`` of the item's words, or at least
 ``min_paraphrase`` of them with its closing words (the answer) also present.
 
-The benchmark is the stated query set: it is held whole by every task, and its
-size is checked (``MAX_ITEMS``); larger ones are searched in several passes.
+The benchmark is the stated query set: its words are held by the driver, and by
+every task in blocks of ``MAX_ITEMS`` items. Weights and basis come from the whole
+benchmark and the whole corpus, once; only the search is repeated for each block.
 
 Edge cases: null and empty texts match nothing; items without a word are left
-out, with none left the result is empty; repeated rows and items are reported
-once per id; documents shorter than a window are padded; other columns are
-ignored.
+out, with none left the result is empty; items that consist of frequent words only
+keep a small weight; repeated rows and items are reported once per pair of ids (a
+null id like any other); documents shorter than a window are padded; very long
+texts go in parts that overlap by the longest item and more, and places count
+from the text's start; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ from tidemark.llm.jaccard import Hasher
 
 TERMS = 1 << 16
 STRIDE = 8
-LENGTHS = (24, 40, 56, 72)
+LENGTHS = (8, 16, 24, 40, 56, 72)
 MAX_ITEMS = 2_000
 PASSAGE = 64
+PART = 1 << 15  # words, a multiple of STRIDE
 MATCH = "doc_id long, item_id long, cosine double, lcs double, start_word long"
 #: Punctuation never separates a copy from its source: it counts as white space.
 BREAKS = np.zeros(256, dtype=bool)
@@ -90,7 +94,11 @@ def term_weights(df: np.ndarray, n: int, items: list[tuple[int, np.ndarray]]) ->
         inside[np.unique(w)] += 1
     frequent = df > max(2, 0.01 * n, 4 * df.mean())
     rare = (inside > 0) & (inside <= max(2, 0.02 * len(items)))
-    return np.where(frequent, np.where(rare, np.maximum(idf, 4.0), 0.0), idf).astype(np.float32)
+    weights = np.where(frequent, np.where(rare, np.maximum(idf, 4.0), 0.0), idf)
+    for _, w in items:  # an item of frequent words only must not vanish
+        if not weights[w].any():
+            weights[w] = np.maximum(idf[w], 1.0)
+    return weights.astype(np.float32)
 
 
 def latent_basis(toks: DataFrame, idf: np.ndarray, rank: int, residual: int, oversample: int = 8, seed: int = 11) -> np.ndarray:
@@ -197,7 +205,8 @@ class Queries:
 
 def confirm(w: np.ndarray, item: np.ndarray, at: int, min_lcs: float, min_paraphrase: float, answer: int) -> tuple[float, bool]:
     """LCS share of ``item`` around word ``at`` of ``w`` and whether that is a leak."""
-    near = w[max(at - STRIDE, 0) : max(at, 0) + len(item) + 2 * STRIDE]
+    room = STRIDE + len(item) // 3  # for inserted words
+    near = w[max(at - room, 0) : max(at, 0) + len(item) + STRIDE + room]
     share = common_subsequence(item, near) / len(item)
     if share >= min_lcs:
         return share, True
@@ -205,15 +214,26 @@ def confirm(w: np.ndarray, item: np.ndarray, at: int, min_lcs: float, min_paraph
     return share, share >= min_paraphrase and common_subsequence(tail, near) >= 0.75 * len(tail)
 
 
+def place(w: np.ndarray, item: np.ndarray, at: int) -> int:
+    """Where near ``at`` most words of ``item`` stand at their own places."""
+    tries = np.arange(max(at - STRIDE, 0), max(at, 0) + 2 * STRIDE)
+    head = item[: 4 * STRIDE]
+    padded = np.concatenate((w, np.full(len(head) + 2 * STRIDE, -1)))
+    tries = tries[tries < len(w)]
+    return int(tries[(padded[tries[:, None] + np.arange(len(head))] == head).sum(1).argmax()]) if len(tries) else max(at, 0)
+
+
 def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarray, min_cosine: float, min_lcs: float, min_paraphrase: float, answer: int = 8) -> DataFrame:
     queries = Queries(items, embed)
     tail = LENGTHS[-1] // STRIDE - 1  # empty blocks after each text, so that no window reaches the next
 
-    def matches(docs: list[tuple[int, np.ndarray]]) -> list[tuple]:
-        counts = np.array([-(-len(w) // STRIDE) + tail for _, w in docs])
+    overlap = -(-2 * max(len(w) for _, w in items) // STRIDE) * STRIDE + 2 * LENGTHS[-1]
+
+    def matches(docs: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
+        counts = np.array([-(-len(w) // STRIDE) + tail for _, _, w in docs])
         first = np.concatenate(([0], np.cumsum(counts)))
         flat = np.full(first[-1] * STRIDE, -1)
-        for (_, w), b in zip(docs, first):
+        for (_, _, w), b in zip(docs, first):
             flat[b * STRIDE : b * STRIDE + len(w)] = w
         e = embed[flat]
         e[flat < 0] = 0
@@ -237,9 +257,9 @@ def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarr
                 start = (b - int(first[d])) * STRIDE - shift
                 if (d, item) in found and found[d, item][1] >= 1.0:
                     continue
-                share, leak = confirm(docs[d][1], items[item][1], start, min_lcs, min_paraphrase, answer)
+                share, leak = confirm(docs[d][2], items[item][1], start, min_lcs, min_paraphrase, answer)
                 if leak and ((d, item) not in found or share > found[d, item][1]):
-                    found[d, item] = (float(c), share, max(start, 0))
+                    found[d, item] = (float(c), share, docs[d][1] + place(docs[d][2], items[item][1], start))
         return [(docs[d][0], items[i][0], *x) for (d, i), x in sorted(found.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,33 +273,36 @@ def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarr
         for batch in batches:
             for doc_id, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = _words(v)
-                for at in range(0, len(w), 1 << 15):  # very long texts go in overlapping parts
-                    part = w[at : at + (1 << 15) + 2 * LENGTHS[-1]]
-                    held.append((doc_id, part))
+                for at in range(0, len(w), PART):  # very long texts go in overlapping parts
+                    part = w[at : at + PART + overlap]
+                    held.append((doc_id, at, part))
                     size += len(part)
-                    if size > 1 << 15:
+                    if size > PART:
                         yield from out()
                         held, size = [], 0
         if held:
             yield from out()
 
-    best = F.max_by(F.struct("cosine", "lcs", "start_word"), F.struct("lcs", "cosine"))
-    return toks.mapInArrow(run, MATCH).groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.start_word")
+    return _best(toks.mapInArrow(run, MATCH))
+
+
+def _best(matches: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("cosine", "lcs", "start_word"), F.struct("lcs", "cosine", -F.col("start_word")))
+    return matches.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.start_word")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 24, residual: int = 32, min_cosine: float = 0.42, min_lcs: float = 0.8, min_paraphrase: float = 0.6) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 24, residual: int = 48, min_cosine: float = 0.4, min_lcs: float = 0.8, min_paraphrase: float = 0.6) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, start_word) of every document that holds a benchmark item."""
     spark = docs.sparkSession
-    n = benchmark.count()
-    if n > MAX_ITEMS:
-        parts = -(-n // MAX_ITEMS) * 2
-        split = [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) for i in range(parts)]
-        return reduce(DataFrame.unionByName, [find_leaks(docs, b, rank, residual, min_cosine, min_lcs, min_paraphrase) for b in split])
-    items = [(r["id"], np.frombuffer(r["w"], dtype="<u2").astype(np.int64)) for r in tokens(benchmark, "item_id").collect()]
-    items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0])) if len(x[1])]
+    items = [(r["id"], np.frombuffer(r["w"], dtype="<u2").astype(np.int64)) for r in tokens(benchmark, "item_id").distinct().collect()]
+    items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes())) if len(x[1])]
     if not items:
         return spark.createDataFrame([], MATCH)
     toks = stage(tokens(docs), "words")
     idf = term_weights(*document_frequencies(toks), items)
     embed = latent_basis(toks, idf, rank, residual) * idf[:, None]
-    return search(toks, items, embed, min_cosine, min_lcs, min_paraphrase)
+    blocks = [search(toks, items[i : i + MAX_ITEMS], embed, min_cosine, min_lcs, min_paraphrase) for i in range(0, len(items), MAX_ITEMS)]
+    if len(blocks) == 1:
+        return blocks[0]
+    found = stage(reduce(DataFrame.unionByName, blocks), "matches")
+    return _best(found)  # several items may share an id
