@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. A stage's result is written as Parquet and
-reread as the next one's documents.
+reread as the next one's documents. What a stage stages on the way is deleted as
+soon as its decision, a table of ids, is written.
+
+Edge cases, for every stage: an empty table stays empty; extra columns are carried
+through. Null and empty texts are judged by the classifier like any other, have no
+near copies, leak nothing, hold no secret and pack as their end mark. Repeated rows
+are judged each by the classifier; near copies keep all rows of the id that stays.
+Rows without a doc_id pass through the stages that decide by id.
 """
 
 from __future__ import annotations
@@ -11,27 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, quality, secrets
-from tidemark.llm.common import crc_fold, stage, table
+from tidemark.llm.common import crc_fold, settled, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects (score below 0.5)."""
-    scores = quality.classify(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 3) != 1)
-    good = scores.groupBy("doc_id").agg(F.max("score").alias("score")).where("score >= 0.5")
-    return docs.join(good.select("doc_id"), "doc_id", "left_semi")
+    """Drop the rows that the classifier rejects (score below 0.5)."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 3) != 1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group linked by 5-word shingles at 0.8."""
-    found = jaccard.join(docs, percent=80, words=5)
-    keep = found.where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    drop = settled(lambda: jaccard.join(docs, percent=80, words=5).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    drop = settled(lambda: decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
