@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -58,8 +59,10 @@ def release(spark: SparkSession, *staged: DataFrame) -> None:
     """Give disk back in mid-job: delete tables of ``stage`` that nothing reads any more, and let the driver's
     garbage collector notice the shuffles of finished jobs, whose files Spark then removes."""
     _delete(spark, [df.staged_at for df in staged])
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of first reaches the driver's JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
