@@ -291,8 +291,19 @@ def check(spark, iv):
 def test_touch_through_is_strict(spark):
     t = ev(spark, [(5, 1, 99.0, 4.0, "Sell"), (6, 2, 98.0, 4.0, "Buy"), (7, 3, 98.5, 4.0, "Sell"), (8, 4, 98.0, 4.0, "Sell")])
     o = spark.createDataFrame([(1, "okx", 1, 5, "Buy", 99.0, 3.0)], "order_id long, venue string, symbol_id long, ready_ns long, side string, limit_px double, qty double")
-    assert fills.touch_through(o, t, ["venue", "symbol_id"], 100).first()["fill_ts_ns"] == 7
-    assert fills.touch_through(o, t, ["venue", "symbol_id"], 100, 0.5).first()["fill_ts_ns"] == 8
+    assert fills.touch_through(o, t, ["venue", "symbol_id"]).first()["fill_ts_ns"] == 7
+    assert fills.touch_through(o, t, ["venue", "symbol_id"], 0.5).first()["fill_ts_ns"] == 8
+
+
+def test_touch_through_finds_the_first_crossing_at_any_distance(spark):
+    """Hours, days and years after ready, over all lengths of slices."""
+    hour = 3_600 * 10**9
+    far = [0, 1, 2, 14, 15, 16, 17, 200, 255, 256, 257, 4000, 4096, 5000, 70_000, 1_100_000]
+    for first in (3 * hour + 5, 479_999 * hour):
+        t = ev(spark, [(first + h * hour + i, i, 99.0 - i, 1.0, "Sell") for i, h in enumerate(far)] + [(first + 3 * hour, 99, 1.0, 1.0, "Buy")])
+        o = spark.createDataFrame([(i, "okx", 1, first, "Buy", 99.5 - i, 1.0) for i in range(len(far))] + [(100, "okx", 1, first, "Buy", 1.0, 1.0), (101, "okx", 2, first, "Buy", 1e9, 1.0)], "order_id long, venue string, symbol_id long, ready_ns long, side string, limit_px double, qty double")
+        got = {r["order_id"]: r["fill_ts_ns"] for r in fills.touch_through(o, t, ["venue", "symbol_id"]).collect()}
+        assert got == {i: first + h * hour + i for i, h in enumerate(far)} | {100: None, 101: None}
 
 
 def test_depth_walk_and_arrival(spark):
@@ -302,7 +313,9 @@ def test_depth_walk_and_arrival(spark):
     assert w["avg_px"] == pytest.approx((2 * 101 + 3 * 102) / 5) and w["unfilled_qty"] == 0
     q = spark.createDataFrame([("okx", 9, 1, 1.0, 1.0, 2.0, 4.0), ("okx", 15, 2, 1.0, 1.0, 3.0, 4.0)], "venue string, recv_ts_ns long, stream_seq long, best_bid double, bid_qty double, best_ask double, ask_qty double")
     a = fills.arrival_cost(o, q, ev(spark, [(1, 1, 7.0, 1.0, "Buy")]), ["venue"], 2, 0.5, 0.01).first()
-    assert (a["fill_px"], a["filled_qty"], a["unfilled_qty"]) == (3.0, 2.0, 3.0)
+    assert (a["fill_px"], a["filled_qty"], a["unfilled_qty"]) == (pytest.approx(3.03), 2.0, 3.0)  # the booked price slips too
+    empty = fills.arrival_cost(o, q.withColumn("ask_qty", F.lit(0.0)), ev(spark, [(1, 1, 7.0, 1.0, "Buy")]), ["venue"], 2, 0.5, 0.01).first()
+    assert (empty["fill_px"], empty["filled_qty"], empty["unfilled_qty"]) == (None, 0.0, 5.0)
     late = fills.arrival_cost(o, q.where("recv_ts_ns < 10"), ev(spark, [(1, 1, 7.0, 1.0, "Buy")]), ["venue"], 2, 0.5, 0.01).first()
     assert late["fill_px"] == pytest.approx(7.07)
 

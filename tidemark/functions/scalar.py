@@ -23,7 +23,7 @@ def bucket(x: Column | str, width: int) -> Column:
 
 
 def bucket_index(x: Column | str, width: int) -> Column:
-    return (bucket(x, width) / F.lit(width)).cast("long")
+    return F.call_function("div", bucket(x, width), F.lit(width))
 
 
 def is_finite(x: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """As-of joins, validity ranges and forward returns.
 
-An as-of join is a union of both sides and a running last value: one shuffle by
-key, no range join, any number of rows a key.
+An as-of join is a union of both sides and a running last value within slices of
+time, to which the last value of earlier slices is carried: no range join, any number
+of rows a key.
 """
 
 from __future__ import annotations
@@ -9,25 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import DAY_NS, bucket_index
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], seq: str | None = None, forward: bool = False, strict: bool = False) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], seq: str | None = None, forward: bool = False, strict: bool = False, slice_ns: int = DAY_NS) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row at or before it (``forward``: first at or after).
 
     Of right rows at the same time the last by ``seq`` wins (forward: the first);
-    ``strict`` leaves out equal times.
+    ``strict`` leaves out equal times. In two levels: the last right row of each slice of
+    time is carried to later slices, so a busy key is dealt by slices.
     """
     order_seq = F.col(seq) if seq else F.lit(0)
     l = left.select(*by, F.col(left_on).alias("_t"), F.lit(None).alias("_q"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
     r = right.select(*by, F.col(right_on).alias("_t"), order_seq.alias("_q"), F.lit(None).alias("_l"), F.struct(*values).alias("_r"))
-    both = l.unionByName(r)
+    both = l.unionByName(r).withColumn("_s", bucket_index("_t", slice_ns))
+    ends = (F.min_by if forward else F.max_by)("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_q")))
+    slices = Window.partitionBy(*by).orderBy(F.desc("_s") if forward else F.col("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*by, "_s").agg(ends.alias("_end")).select(*by, "_s", F.last("_end", ignorenulls=True).over(slices).alias("_before"))
     # Where right rows of the same time count, they stand on the near side of the left row.
     is_left = F.col("_l").isNotNull().cast("int")
     if forward:
-        w = Window.partitionBy(*by).orderBy(F.desc("_t"), -is_left if strict else is_left, F.desc("_q"))
+        w = Window.partitionBy(*by, "_s").orderBy(F.desc("_t"), -is_left if strict else is_left, F.desc("_q"))
     else:
-        w = Window.partitionBy(*by).orderBy("_t", -is_left if strict else is_left, "_q")
+        w = Window.partitionBy(*by, "_s").orderBy("_t", -is_left if strict else is_left, "_q")
     found = both.withColumn("_v", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return found.where("_l is not null").select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
+    found = found.where("_l is not null").join(carried, [*by, "_s"]).withColumn("_v", F.coalesce("_v", "_before"))
+    return found.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, cols: list[str], seq: str | None = None) -> DataFrame:
@@ -49,9 +57,11 @@ def forward_returns(hits: DataFrame, prices: DataFrame, horizon_ns: int, by: str
     is placed twice, at its time and at its horizon.
     """
     h = hits.withColumn("_id", F.monotonically_increasing_id())
-    at = lambda name, shift: h.select(by, (F.col(ts) + shift).alias("_t"), F.struct(*hits.columns, "_id").alias("_h"), F.lit(name).alias("_end"), F.lit(None).cast("double").alias("_px"), F.lit(None).cast("long").alias("_q"))
+    # Both places come from one evaluation of the id, which a second one might number differently.
+    places = F.explode(F.array(F.struct(F.col(ts).alias("t"), F.lit("entry").alias("end")), F.struct((F.col(ts) + horizon_ns).alias("t"), F.lit("exit").alias("end"))))
+    h = h.withColumn("_at", places).select(by, F.col("_at.t").alias("_t"), F.struct(*hits.columns, "_id").alias("_h"), F.col("_at.end").alias("_end"), F.lit(None).cast("double").alias("_px"), F.lit(None).cast("long").alias("_q"))
     p = prices.select(by, F.col(ts).alias("_t"), F.lit(None).alias("_h"), F.lit(None).cast("string").alias("_end"), F.col("price").cast("double").alias("_px"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("_q"))
-    both = at("entry", 0).unionByName(at("exit", horizon_ns)).unionByName(p)
+    both = h.unionByName(p)
     w = Window.partitionBy(by).orderBy("_t", F.col("_h").isNotNull(), "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumns({"_last": F.last("_px", True).over(w), "_stop": F.max(F.when(F.col("_px").isNotNull(), F.col("_t"))).over(Window.partitionBy(by))})
     ends = both.where("_h is not null").groupBy(by, "_h._id").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket
-from tidemark.operators.core import KEYS, ordered, upto
+from tidemark.operators.core import KEYS, running
 
 
 def time_bars(trades: DataFrame, tf_ns: int, keys: tuple[str, ...] = KEYS, closed_only: bool = True) -> DataFrame:
@@ -30,8 +30,8 @@ def time_bars(trades: DataFrame, tf_ns: int, keys: tuple[str, ...] = KEYS, close
 
 def volume_bars(trades: DataFrame, threshold: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """A bar per ``threshold`` of running volume; a trade belongs to the bar in which it starts."""
-    before = F.coalesce(F.sum("qty").over(ordered(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = trades.withColumn("bar", F.floor(before / threshold).cast("long"))
+    numbered = running(trades, F.col("qty"), keys, "_before", strict=True)
+    numbered = numbered.withColumn("bar", F.floor(F.coalesce("_before", F.lit(0)) / threshold).cast("long"))
     at = F.struct("recv_ts_ns", "stream_seq")
     return numbered.groupBy(*keys, "bar").agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n"), F.min("recv_ts_ns").alias("first_ts_ns"))
 
@@ -56,7 +56,3 @@ def node_distance(bars: DataFrame, nodes: DataFrame, price_step: float, keys: tu
     lists = nodes.where("node is not null").groupBy(*keys, "node").agg(F.collect_list((F.col("bin") + 0.5) * price_step).alias("at")).groupBy(*keys).pivot("node", ["hvn", "lvn"]).agg(F.first("at"))
     gap = lambda c: F.array_min(F.transform(c, lambda x: F.abs(x - F.col("close").cast("double"))))
     return bars.join(lists, list(keys), "left").withColumns({"dist_hvn": gap("hvn"), "dist_lvn": gap("lvn")}).drop("hvn", "lvn")
-
-
-def running_volume(trades: DataFrame) -> DataFrame:
-    return trades.withColumn("running_volume", F.sum("qty").over(upto(ordered())))

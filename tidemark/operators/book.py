@@ -7,14 +7,16 @@ intervals, so a book at any time is a filter, not a replay.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.core import KEYS, ordered, upto
+from tidemark.functions.scalar import bucket_index
+from tidemark.operators.asof import asof
+from tidemark.operators.core import KEYS, folded, ordered, upto
 
 
 def book_continuity(book: DataFrame, rule: str = "range", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -50,30 +52,26 @@ def book_continuity(book: DataFrame, rule: str = "range", keys: tuple[str, ...]
 
 
 def _reseeding(book: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Epochs depend on gaps here, so this is a fold, one key at a time, over ids alone."""
-    ids = book.select(*keys, "recv_ts_ns", "stream_seq", "first_seq", "last_seq")
+    """Epochs depend on gaps here, so this is a fold."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["recv_ts_ns", "stream_seq"], kind="stable")
-        action, epoch, last, now = [], [], None, 0
-        for first, end in zip(pdf["first_seq"], pdf["last_seq"]):
+    def start():
+        last, epoch = None, 0
+
+        def step(first: int, end: int) -> tuple[int, str]:
+            nonlocal last, epoch
             if last is None:
-                now, last, what = now + 1, end, "Snapshot"
+                last, epoch, action = end, epoch + 1, "Snapshot"
             elif first > last + 1:
-                last, what = None, "Gap"
+                last, action = None, "Gap"
             elif end <= last:
-                what = "Drop"
+                action = "Drop"
             else:
-                last, what = end, "Apply"
-            action.append(what)
-            epoch.append(now)
-        return pdf.assign(epoch=epoch, action=action)
+                last, action = end, "Apply"
+            return epoch, action
+
+        return step
 
-    types = dict(ids.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ids.columns) + ", epoch long, action string"
-    found = ids.groupBy(*keys).applyInPandas(fold, schema)
-    on = [*keys, "recv_ts_ns", "stream_seq"]
-    return book.join(found.select(*on, "epoch", "action"), on)
+    return folded(book, list(keys), ["recv_ts_ns", "stream_seq"], start, ["first_seq", "last_seq"], "epoch long, action string")
 
 
 def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -94,6 +92,26 @@ def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
     return lv.where("qty > 0").select(*keys, "epoch", "side", "price", "qty", F.col("recv_ts_ns").alias("from_ns"), F.col("place").alias("from_place"), F.coalesce("_to_ns", "_end.recv_ts_ns").alias("to_ns"), F.coalesce("_to", "_end.place").alias("to_place"))
 
 
+class _Side:
+    """One side's sizes by price; the best price from a heap whose removed entries are skipped."""
+
+    def __init__(self, sign: int):
+        self.sign, self.at, self.heap = sign, {}, []
+
+    def put(self, price: float, qty: float) -> None:
+        if qty > 0:
+            if price not in self.at:
+                heapq.heappush(self.heap, self.sign * price)
+            self.at[price] = qty
+        else:
+            self.at.pop(price, None)
+
+    def best(self) -> float | None:
+        while self.heap and self.sign * self.heap[0] not in self.at:
+            heapq.heappop(self.heap)
+        return self.sign * self.heap[0] if self.heap else None
+
+
 TOP = "best_bid double, bid_qty double, best_ask double, ask_qty double, bid_levels long, ask_levels long, mid double"
 
 
@@ -108,21 +126,18 @@ def top_of_book(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        sides: tuple[dict, dict] = ({}, {})
+        sides: tuple[_Side, _Side] = (_Side(-1), _Side(1))
         for batch in batches:
             rows = []
             cols = [c.to_pylist() for c in batch.columns]
             for key, action, *levels in zip(zip(*cols[:width]), *cols[width + 2 :]):
                 if key != at or action == "Snapshot":
-                    at, sides = key, ({}, {})
+                    at, sides = key, (_Side(-1), _Side(1))
                 for side, changes in zip(sides, levels):
                     for price, qty in changes or ():
-                        if qty > 0:
-                            side[price] = qty
-                        else:
-                            side.pop(price, None)
-                bid, ask = max(sides[0], default=None), min(sides[1], default=None)
-                rows.append((bid, sides[0].get(bid), ask, sides[1].get(ask), len(sides[0]), len(sides[1]), (bid + ask) / 2 if bid is not None and ask is not None else None))
+                        side.put(price, qty)
+                bid, ask = (side.best() for side in sides)
+                rows.append((bid, sides[0].at.get(bid), ask, sides[1].at.get(ask), len(sides[0].at), len(sides[1].at), (bid + ask) / 2 if bid is not None and ask is not None else None))
             names = [x.split()[0] for x in TOP.split(", ")]
             kinds = [pa.int64() if n.endswith("levels") else pa.float64() for n in names]
             new = [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [()] * len(names), kinds)]
@@ -139,26 +154,52 @@ def top_imbalance(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFr
     return t.withColumn("value", (F.col("bid_qty") - F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty")))
 
 
-def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int = 60_000_000_000, ts: str = "ts_ns") -> DataFrame:
-    """Levels live at each sample time: an equi-join on time slices, then the exact test."""
+def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int = 60_000_000_000, ts: str = "ts_ns", fan: int = 16, steps: int = 6) -> DataFrame:
+    """Levels live at each sample time: an equi-join on time slices, then the exact test.
+
+    A life is covered by slices of growing length (``fan`` of one length in the next): the longest
+    that fit, shorter ones at its ends, so it takes at most 2 * ``fan`` rows a length however long it is.
+    Each sample time asks once per length.
+    """
     top = times.select(F.max(ts).alias("_max"))
     lv = levels.crossJoin(F.broadcast(top)).withColumn("_end", F.least(F.coalesce("to_ns", F.col("_max") + 1), F.col("_max") + 1)).where(F.col("from_ns") < F.col("_end"))
-    lv = lv.withColumn("_s", F.explode(F.sequence(F.floor(F.col("from_ns") / slice_ns), F.floor((F.col("_end") - 1) / slice_ns)))).drop("_max", "_end")
-    t = times.withColumn("_s", F.floor(F.col(ts) / slice_ns))
-    return t.join(lv, [*by, "_s"]).where((F.col("from_ns") <= F.col(ts)) & (F.col("to_ns").isNull() | (F.col(ts) < F.col("to_ns")))).drop("_s")
-
-
-def depth(at: DataFrame, bps: float, by: list[str], ts: str = "ts_ns") -> DataFrame:
-    """Depth within ``bps`` of the mid on both sides, imbalance and spread, from ``levels_at``."""
+    lo, hi = bucket_index("from_ns", slice_ns), bucket_index(F.col("_end") - 1, slice_ns) + 1  # slices [lo, hi)
+    none, pieces = F.array().cast("array<bigint>"), []
+    for k in range(steps):
+        level = F.lit(k).alias("k")
+        if k < steps - 1:
+            up = -bucket_index(-lo, fan)  # first whole longer slice, and the end of the last
+            down = F.greatest(bucket_index(hi, fan), up)
+            end, start = F.least(up * fan, hi), F.greatest(down * fan, F.least(up * fan, hi))
+            own = F.concat(F.when(lo < end, F.sequence(lo, end - 1)).otherwise(none), F.when(start < hi, F.sequence(start, hi - 1)).otherwise(none))
+            lo, hi = up, down
+        else:
+            own = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(none)
+        pieces.append(F.transform(own, lambda x: F.struct(level, x.alias("s"))))  # noqa: B023  evaluated at once
+    lv = lv.withColumn("_p", F.explode(F.concat(*pieces))).select("*", F.col("_p.k").alias("_k"), F.col("_p.s").alias("_s")).drop("_p", "_max", "_end")
+    slot = bucket_index(ts, slice_ns)
+    asks = F.array(*(F.struct(F.lit(k).alias("k"), bucket_index(slot, fan**k).alias("s")) for k in range(steps)))
+    t = times.withColumn("_p", F.explode(asks)).select(*times.columns, F.col("_p.k").alias("_k"), F.col("_p.s").alias("_s"))
+    return t.join(lv, [*by, "_k", "_s"]).where((F.col("from_ns") <= F.col(ts)) & (F.col("to_ns").isNull() | (F.col(ts) < F.col("to_ns")))).drop("_k", "_s")
+
+
+def depth(at: DataFrame, bps: float, by: list[str], ts: str = "ts_ns", tick: float | None = None) -> DataFrame:
+    """Depth within ``bps`` of the mid on both sides, imbalance and spread (with ``tick`` also in ticks), from ``levels_at``."""
     best = at.groupBy(*by, ts).agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"))
     mid = (F.col("bid") + F.col("ask")) / 2
     near = at.join(best, [*by, ts]).where(F.abs(F.col("price") - mid) <= mid * bps / 1e4)
     d = near.groupBy(*by, ts).agg(F.sum(F.when(F.col("side") == "bid", F.col("qty")).otherwise(0.0)).alias("bid_depth"), F.sum(F.when(F.col("side") == "ask", F.col("qty")).otherwise(0.0)).alias("ask_depth"), F.first(F.col("ask") - F.col("bid")).alias("spread"))
+    if tick is not None:
+        d = d.withColumn("spread_ticks", F.round(F.col("spread") / tick, 6))
     return d.withColumn("imbalance", F.try_divide(F.col("bid_depth") - F.col("ask_depth"), F.col("bid_depth") + F.col("ask_depth")))
 
 
-def wall_persistence(levels: DataFrame, min_qty: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """How long levels of at least ``min_qty`` survive, by side."""
-    w = levels.where((F.col("qty") >= min_qty) & F.col("to_ns").isNotNull())
-    return w.groupBy(*keys, "side").agg(F.count("*").alias("walls"), F.avg(F.col("to_ns") - F.col("from_ns")).alias("mean_ns"), F.max(F.col("to_ns") - F.col("from_ns")).alias("longest_ns"))
+def wall_persistence(levels: DataFrame, mids: DataFrame, bps: float, min_notional: float, by: tuple[str, ...] = KEYS) -> DataFrame:
+    """How long levels of at least ``min_notional`` that appear within ``bps`` of the mid survive, by side.
 
+    ``mids``: by, recv_ts_ns, mid; each level is judged by the mid at its appearance.
+    """
+    at = asof(levels.where("to_ns is not null"), mids, list(by), "from_ns", "recv_ts_ns", ["mid"])
+    near = F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * bps / 1e4
+    w = at.where(near & (F.col("price") * F.col("qty") >= min_notional)).withColumn("_life", F.col("to_ns") - F.col("from_ns"))
+    return w.groupBy(*by, "side").agg(F.count("*").alias("walls"), F.avg("_life").alias("mean_ns"), F.max("_life").alias("longest_ns"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import is_finite, signed
+from tidemark.functions.scalar import DAY_NS, bucket_index, is_finite, signed
 
 KEYS = ("venue", "symbol_id")
 KINDS = ("trade", "book_delta", "book_snapshot", "funding", "mark_price", "open_interest", "liquidation", "index_price", "status")
@@ -22,6 +24,49 @@ def upto(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def running(df: DataFrame, value: Column, keys: tuple[str, ...], name: str, fold=F.sum, ts: str = "recv_ts_ns", seq: tuple[str, ...] = ("stream_seq",), strict: bool = False, slice_ns: int = DAY_NS) -> DataFrame:
+    """``fold`` (sum, max or min) of ``value`` over each key's rows up to this one (``strict``: before it).
+
+    In two levels: what days hold gives each day's start, a window within the day the
+    rest. So a busy key's whole history is not one task's sort.
+    """
+    day = bucket_index(ts, slice_ns)
+    d = df.withColumns({"_day": day, "_v": value})
+    days = d.groupBy(*keys, "_day").agg(fold("_v").alias("_all"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    start = days.withColumn("_start", fold("_all").over(before)).drop("_all")
+    w = Window.partitionBy(*keys, "_day").orderBy(ts, *seq).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    within, first = F.col("_within"), F.col("_start")
+    both = {F.sum: F.coalesce(first + within, first, within), F.max: F.greatest(first, within), F.min: F.least(first, within)}[fold]
+    return d.withColumn("_within", fold("_v").over(w)).join(start, [*keys, "_day"]).withColumn(name, both).drop("_day", "_v", "_within", "_start")
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[..., tuple]], reads: list[str], adds: str) -> DataFrame:
+    """``df`` with the columns ``adds`` (a schema): what a fold over each key's ordered rows returns for every row.
+
+    ``start`` gives a fresh step function for a key; a step gets the row's ``reads``. Rows
+    are sorted within hash partitions and pass in batches, so no key is held in memory.
+    """
+    names = [x.split()[0] for x in adds.split(", ")]
+    kinds = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    types = [kinds[x.split()[1]] for x in adds.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for batch in batches:
+            rows = []
+            key_rows = zip(*(batch.column(k).to_pylist() for k in keys))
+            for key, values in zip(key_rows, zip(*(batch.column(c).to_pylist() for c in reads))):
+                if step is None or key != at:
+                    at, step = key, start()
+                rows.append(step(*values))
+            new = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), t) for c, t in zip(new, types))], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + adds
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def split_kind(events: DataFrame, kind: str) -> DataFrame:
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
@@ -87,10 +132,20 @@ def first_by_key(df: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "
 
 
 def rank_pick(df: DataFrame, value: str, index: Column, keys: list[str]) -> DataFrame:
-    """The value at an exact rank (from 0) of each key's sorted values."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumns({"_i": F.row_number().over(w) - 1, "_n": n}).where(F.col("_i") == F.least(F.greatest(index, F.lit(0)), F.col("_n") - 1)).select(*keys, value)
+    """The value at an exact rank (from 0) of each key's sorted values. ``index`` may use ``_n``, the key's rows.
+
+    Equal values are counted first, then their counts are summed in ranges of values of
+    the whole table, so that a key's rows need not be sorted by one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranged = counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id())
+    parts = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_sum"))
+    base = parts.select(*keys, "_p", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_n"))
+    upto_here = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_w", upto_here).join(base, [*keys, "_p"])
+    want = F.least(F.greatest(index, F.lit(0)), F.col("_n") - 1)
+    end = F.col("_base") + F.col("_w")
+    return placed.where((want < end) & (want >= end - F.col("_c"))).select(*keys, value)
 
 
 def first_divergence(a: DataFrame, b: DataFrame, order: list[str], columns: list[str]) -> DataFrame:

@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import DAY_NS, bucket, signed
-from tidemark.operators.core import KEYS, ordered, upto
+from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, signed
+from tidemark.operators.core import KEYS, ordered, running, upto
 
 
 def cvd(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Running signed quantity of each key, never reset.
-
-    In two levels: sums of days give each day's start, running sums within days the
-    rest. So a busy symbol's years are not one task's sort.
-    """
-    day = bucket("recv_ts_ns", DAY_NS)
-    t = trades.withColumns({"_day": day, "_s": signed("qty")})
-    days = t.groupBy(*keys, "_day").agg(F.sum("_s").alias("_sum"))
-    start = days.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = F.sum("_s").over(upto(ordered(*keys, "_day")))
-    return t.withColumn("_within", within).join(start, [*keys, "_day"]).withColumn("value", F.col("_start") + F.col("_within")).drop("_day", "_s", "_start", "_within")
+    """Running signed quantity of each key, never reset."""
+    return running(trades, signed("qty"), keys, "value")
 
 
 def rolling_sum(df: DataFrame, value, window_ns: int, keys: tuple[str, ...] = KEYS, name: str = "value") -> DataFrame:
-    """Sum over the last ``window_ns`` (both ends in), later rows of the same time excluded: two running sums."""
-    w = ordered(*keys)
-    total = F.sum("_x").over(upto(w))
-    older = F.sum("_x").over(Window.partitionBy(*keys).orderBy("recv_ts_ns").rangeBetween(Window.unboundedPreceding, -(window_ns + 1)))
-    return df.withColumn("_x", value).withColumn(name, total - F.coalesce(older, F.lit(0))).drop("_x")
+    """Sum over the last ``window_ns`` (both ends in), later rows of the same time excluded.
+
+    Time is cut into slices as long as the window (at least a minute); each row also goes
+    to the next slice as context, so no task holds more of a key than two slices.
+    """
+    width = max(window_ns, 60_000_000_000)
+    slot = bucket_index("recv_ts_ns", width)
+    d = df.withColumn("_x", value).withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_s") == slot)
+    w = Window.partitionBy(*keys, "_s")
+    total = F.sum("_x").over(w.orderBy("recv_ts_ns", "stream_seq").rowsBetween(Window.unboundedPreceding, 0))
+    older = F.sum("_x").over(w.orderBy("recv_ts_ns").rangeBetween(Window.unboundedPreceding, -(window_ns + 1)))
+    return d.withColumn(name, total - F.coalesce(older, F.lit(0))).where("_own").drop("_x", "_s", "_own")
 
 
 def liq_cluster(liqs: DataFrame, window_ns: int, min_notional: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -71,7 +69,7 @@ def donchian(bars: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame
 
 def cvd_across(trades: DataFrame, base: str = "symbol_id") -> DataFrame:
     """Running signed notional of a base symbol over all venues."""
-    return trades.withColumn("value", F.sum(signed(F.col("price") * F.col("qty"))).over(upto(ordered(base))))
+    return running(trades, signed(F.col("price") * F.col("qty")), (base,), "value", seq=("stream_seq", "venue"))
 
 
 def trade_size_quantile(trades: DataFrame, window_ns: int, q: float = 0.95, keys: tuple[str, ...] = KEYS) -> DataFrame:

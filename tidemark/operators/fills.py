@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import bucket_index
 from tidemark.operators.asof import asof
 
 BUY = "Buy"
@@ -23,7 +24,10 @@ def next_bar_open_fill(orders: DataFrame, bars: DataFrame, by: list[str], slip:
 
 
 def arrival_cost(orders: DataFrame, quotes: DataFrame, trades: DataFrame, by: list[str], latency_ns: int, participation: float, slip: float) -> DataFrame:
-    """The opposing best at the first quote at or after arrival, quantity capped by its size; else the last price with slip."""
+    """The opposing best at the first quote at or after arrival, quantity capped by its share; else the last price.
+
+    Either price slips against the order. Where nothing can be had there is no fill: price null, quantity 0.
+    """
     o = orders.withColumn("_t", F.col("ts_ns") + latency_ns)
     q = quotes.select(*by, F.col("recv_ts_ns").alias("_q"), "stream_seq", "best_bid", "bid_qty", "best_ask", "ask_qty")
     f = asof(o, q, by, "_t", "_q", ["best_bid", "bid_qty", "best_ask", "ask_qty"], "stream_seq", forward=True)
@@ -31,8 +35,9 @@ def arrival_cost(orders: DataFrame, quotes: DataFrame, trades: DataFrame, by: li
     buy = F.col("side") == BUY
     px, top = F.when(buy, F.col("best_ask")).otherwise(F.col("best_bid")), F.when(buy, F.col("ask_qty")).otherwise(F.col("bid_qty"))
     booked = px.isNotNull() & top.isNotNull()
-    filled = F.when(booked, F.least(F.col("qty"), top * participation)).otherwise(F.col("qty"))
-    return f.withColumns({"fill_px": F.when(booked, px).otherwise(_slipped(F.col("_last"), F.col("side"), slip)), "filled_qty": filled, "unfilled_qty": F.col("qty") - filled}).drop("_t", "_last", "best_bid", "bid_qty", "best_ask", "ask_qty")
+    touch = F.when(booked, px).otherwise(F.col("_last"))
+    filled = F.when(booked, F.least(F.col("qty"), F.greatest(top * participation, F.lit(0.0)))).when(touch.isNotNull(), F.col("qty")).otherwise(0.0)
+    return f.withColumns({"fill_px": F.when(filled > 0, _slipped(touch, F.col("side"), slip)), "filled_qty": filled, "unfilled_qty": F.col("qty") - filled}).drop("_t", "_last", "best_bid", "bid_qty", "best_ask", "ask_qty")
 
 
 def depth_walk(orders: DataFrame, levels: DataFrame, order_id: str = "order_id") -> DataFrame:
@@ -46,22 +51,68 @@ def depth_walk(orders: DataFrame, levels: DataFrame, order_id: str = "order_id")
     return out.withColumns({"avg_px": F.when(F.col("filled_qty") > 0, F.try_divide("_n", "filled_qty")), "unfilled_qty": F.col("qty") - F.col("filled_qty")}).drop("_n")
 
 
-def touch_through(orders: DataFrame, trades: DataFrame, by: list[str], horizon_ns: int, queue_share: float | None = None, order_id: str = "order_id") -> DataFrame:
-    """When the first trade from ready on goes strictly through the limit with the opposing aggressor.
+def _crosses(low: str, high: str):
+    """Whether a sale below a buyer's limit or a purchase above a seller's is among prints of these extremes."""
+    return F.when(F.col("side") == BUY, F.col(low) < F.col("limit_px")).otherwise(F.col(high) > F.col("limit_px"))
+
 
-    With ``queue_share`` each such print fills that share of its quantity and the
-    order is done when they add up. Orders live for ``horizon_ns``, which bounds the
-    join: both sides are cut into time slices of that length.
+def _first_crossing_slice(orders: DataFrame, base: DataFrame, by: list[str], order_id: str, fan: int = 16, levels: int = 6) -> DataFrame:
+    """(order_id, slice): the first slice after the order's own in which a print crosses its limit.
+
+    Slices are summed up in ever longer ones, ``fan`` of a level in one of the next. An order looks at
+    the rest of its own longer slice on every level, takes the earliest that crosses, and goes down again.
     """
-    o = orders.withColumn("_s", F.explode(F.array(F.floor(F.col("ready_ns") / horizon_ns), F.floor(F.col("ready_ns") / horizon_ns) + 1)))
-    t = trades.select(*by, F.floor(F.col("recv_ts_ns") / horizon_ns).alias("_s"), F.col("recv_ts_ns").alias("_t"), F.col("stream_seq").alias("_q"), F.col("price").cast("double").alias("_p"), F.col("qty").cast("double").alias("_n"), F.col("side").alias("_side"))
-    buy = F.col("side") == BUY
-    through = F.when(buy, (F.col("_side") != BUY) & (F.col("_p") < F.col("limit_px"))).otherwise((F.col("_side") == BUY) & (F.col("_p") > F.col("limit_px")))
-    hit = o.join(t, [*by, "_s"]).where((F.col("_t") >= F.col("ready_ns")) & (F.col("_t") <= F.col("ready_ns") + horizon_ns) & through)
+    ladder = [base.withColumn("_k", F.lit(0))]
+    for k in range(1, levels):
+        ladder.append(ladder[-1].groupBy(*by, bucket_index("_s", fan).alias("_s")).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).withColumn("_k", F.lit(k)))
+    table = ladder[0]
+    for level in ladder[1:]:
+        table = table.unionByName(level)
+    own, places = F.col("_own"), []
+    for k in range(levels):
+        at = bucket_index(own, fan**k)
+        end = (bucket_index(at, fan) + 1) * fan if k < levels - 1 else at + fan
+        rest = F.when(at + 1 < end, F.sequence(at + 1, end - 1)).otherwise(F.array().cast("array<bigint>"))
+        level = F.lit(k).alias("k")
+        places.append(F.transform(rest, lambda s: F.struct(level, s.alias("s"))))  # noqa: B023  evaluated at once
+    keep = [order_id, *by, "side", "limit_px"]
+
+    def earliest(tries: DataFrame) -> DataFrame:
+        hit = tries.join(table, [*by, "_k", "_s"]).where(_crosses("_lo", "_hi"))
+        start = F.col("_s") * F.pow(F.lit(fan), F.col("_k")).cast("long")
+        return hit.groupBy(*keep).agg(F.min_by(F.struct("_k", "_s"), start).alias("_at")).select(*keep, "_at.*")
+
+    found = earliest(orders.select(*keep, F.explode(F.concat(*places)).alias("_at")).select(*keep, F.col("_at.k").alias("_k"), F.col("_at.s").alias("_s")))
+    for k in range(levels - 1, 0, -1):
+        children = F.when(F.col("_k") == k, F.sequence(F.col("_s") * fan, F.col("_s") * fan + fan - 1)).otherwise(F.array("_s"))
+        found = earliest(found.select(*keep, F.when(F.col("_k") == k, F.lit(k - 1)).otherwise(F.col("_k")).alias("_k"), F.explode(children).alias("_s")))
+    return found.select(order_id, "_s")
+
+
+def touch_through(orders: DataFrame, trades: DataFrame, by: list[str], queue_share: float | None = None, order_id: str = "order_id", slice_ns: int = 3_600_000_000_000) -> DataFrame:
+    """When the first trade from ready on goes strictly through the limit with the opposing aggressor; orders never expire.
+
+    Trades are summed up in time slices, in which each order finds the slice of its first crossing
+    (a ladder of longer and longer slices); only that slice and its own are joined print by print.
+    With ``queue_share`` each crossing print fills that share of its quantity and the order is done when
+    they add up; then every slice from ready on in which some print crosses is read.
+    """
+    slot = lambda c: bucket_index(c, slice_ns)
+    t = trades.select(*by, slot("recv_ts_ns").alias("_s"), F.col("recv_ts_ns").alias("_t"), F.col("stream_seq").alias("_q"), F.col("price").cast("double").alias("_p"), F.col("qty").cast("double").alias("_n"), F.col("side").alias("_side"))
+    sale = F.col("_side") != BUY
+    base = t.groupBy(*by, "_s").agg(F.min(F.when(sale, F.col("_p"))).alias("_lo"), F.max(F.when(~sale, F.col("_p"))).alias("_hi"))
+    o = orders.withColumn("_own", slot("ready_ns"))
+    through = F.when(F.col("side") == BUY, sale & (F.col("_p") < F.col("limit_px"))).otherwise(~sale & (F.col("_p") > F.col("limit_px")))
+    prints = lambda x: x.join(t, [*by, "_s"]).where((F.col("_t") >= F.col("ready_ns")) & through)
     if queue_share is None:
-        done = hit.groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns"))
+        now = prints(o.withColumnRenamed("_own", "_s")).groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns"))
+        later = _first_crossing_slice(o.join(now, order_id, "left_anti"), base, by, order_id)
+        done = now.unionByName(prints(o.join(later, order_id)).groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns")))
     else:
+        b = base.withColumnsRenamed({c: f"_b_{c}" for c in by})
+        same = [F.col(c) == F.col(f"_b_{c}") for c in by]
+        read = o.join(b, [*same, F.col("_s") >= F.col("_own"), F.coalesce(_crosses("_lo", "_hi"), F.lit(False))]).select(*o.columns, "_s")
         got = F.sum(F.col("_n") * queue_share).over(Window.partitionBy(order_id).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0))
-        run = hit.withColumn("_got", got)
+        run = prints(read).withColumn("_got", got)
         done = run.groupBy(order_id).agg(F.min(F.when(F.col("_got") >= F.col("qty"), F.col("_t"))).alias("fill_ts_ns"), F.least(F.max("_got"), F.max("qty")).alias("filled_qty"))
     return orders.join(done, order_id, "left")

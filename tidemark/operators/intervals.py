@@ -51,8 +51,10 @@ def check_coverage(covered: DataFrame, start_ns: int, end_ns: int, mode: str = "
     return gaps
 
 
-def coverage_share(gaps: DataFrame, keys: list[str], start_ns: int, end_ns: int) -> DataFrame:
-    """1 minus the gaps' share of [start, end), gaps clipped and counted once."""
+def coverage_share(gaps: DataFrame, keys: list[str], start_ns: int, end_ns: int, of: DataFrame | None = None) -> DataFrame:
+    """1 minus the gaps' share of [start, end), gaps clipped and counted once; 1 for keys of ``of`` without gaps."""
     clip = gaps.select(*keys, F.greatest("start", F.lit(start_ns)).alias("start"), F.least("end", F.lit(end_ns)).alias("end"))
     total = merge_intervals(clip, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("gapped"))
-    return total.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("gapped") / max(end_ns - start_ns, 1))).alias("coverage"))
+    if of is not None:
+        total = of.select(*keys).distinct().join(total, keys, "left")
+    return total.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("gapped", F.lit(0)) / max(end_ns - start_ns, 1))).alias("coverage"))

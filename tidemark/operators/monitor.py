@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import in_quiet_hours, numeric_tokens
+from tidemark.operators.core import folded
 
 CHANNELS = {"P1": "page", "P2": "push", "P3": "digest"}  # fixed values
 
@@ -38,12 +38,11 @@ def route_alerts(alerts: DataFrame, quiet: tuple[int, int] | None = None) -> Dat
     """
     a = alerts.withColumn("dedupe_key", F.coalesce("dedupe_key", "id"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ns", kind="stable")
+    def start():
         d = Deduper()
-        return pdf.assign(kept=[d.send(t, w) for t, w in zip(pdf["ts_ns"], pdf["dedupe_window_ns"])])
+        return lambda now, window: (d.send(now, window),)
 
-    kept = a.groupBy("dedupe_key").applyInPandas(fold, ", ".join(f"{n} {t}" for n, t in a.dtypes) + ", kept boolean")
+    kept = folded(a, ["dedupe_key"], ["ts_ns"], start, ["ts_ns", "dedupe_window_ns"], "kept boolean")
     calm = in_quiet_hours("ts_ns", *quiet) if quiet else F.lit(False)
     names = F.create_map(*(F.lit(x) for pair in CHANNELS.items() for x in pair))
     outcome = F.when(~F.col("kept"), "Deduped").when((F.col("severity") == "P3") & calm, "Batched").otherwise("Sent")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, clamp, is_finite, round_down
 from tidemark.operators.asof import asof
+from tidemark.operators.core import running
 
 INF = float("inf")
 
@@ -57,7 +58,7 @@ def kelly_cap(metrics: DataFrame, fraction: float, min_trades: int, floor: float
     losses = F.col("trades") - F.col("wins")
     b = F.try_divide(F.try_divide("gross_win", F.col("wins").cast("double")), F.try_divide("gross_loss", losses.cast("double")))
     f = F.when(b.isNull() | ~is_finite(b) | (b <= 0), 0.0).otherwise(F.greatest(p - F.try_divide(1 - p, b), F.lit(0.0)))
-    return metrics.withColumn("cap", F.when(F.col("trades") < min_trades, F.lit(floor)).otherwise(F.coalesce(f, F.lit(0.0)) * fraction))
+    return metrics.withColumn("cap", F.when(F.col("trades") < min_trades, F.lit(max(floor, 0.0))).otherwise(F.coalesce(f, F.lit(0.0)) * max(fraction, 0.0)))
 
 
 def allocate(inputs: DataFrame, max_deployed: float) -> DataFrame:
@@ -78,8 +79,8 @@ def shrink_only(prev: DataFrame, proposed: DataFrame, key: str = "strategy") ->
 
 
 def drawdown(equity: DataFrame, keys: list[str], ts: str = "ts_ns", value: str = "equity", seq: str | None = None) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(ts, *([seq] if seq else [])).rowsBetween(Window.unboundedPreceding, 0)
-    return equity.withColumn("peak", F.max(value).over(w)).withColumn("drawdown", F.col("peak") - F.col(value))
+    at_peak = running(equity, F.col(value), tuple(keys), "peak", F.max, ts, (seq,) if seq else ())
+    return at_peak.withColumn("drawdown", F.col("peak") - F.col(value))
 
 
 def dd_governor(df: DataFrame, budget: str, gamma: float, dd: str = "drawdown") -> DataFrame:
@@ -214,9 +215,9 @@ def accrue_funding(funding: DataFrame, positions: DataFrame, marks: DataFrame, k
 def missing_funding(positions: DataFrame, funding: DataFrame, keys: list[str], interval_ns: int) -> DataFrame:
     """Positions open for an interval or longer without a funding row. Columns: from_ns, to_ns."""
     long = positions.where(F.col("to_ns") - F.col("from_ns") >= interval_ns)
-    f = funding.select(*keys, F.col("ts_ns").alias("_t"))
-    same = [long[k] == f[k] for k in keys] + [F.col("_t") >= F.col("from_ns"), F.col("_t") <= F.col("to_ns")]
-    return long.join(f, same, "left_anti")
+    f = funding.select(*keys, F.col("ts_ns").alias("_t"), F.col("ts_ns").alias("_next"))
+    next_row = asof(long, f, keys, "from_ns", "_t", ["_next"], forward=True)  # the first one from the opening on
+    return next_row.where("_next is null or _next > to_ns").drop("_next")
 
 
 def size_orders(orders: DataFrame, vol: DataFrame, marks: DataFrame, by: list[str], per_trade_risk: float) -> DataFrame:

@@ -390,9 +390,9 @@ def wn17_daily_pnl(spark, sf):
     return trades.daily_pnl(e, KEY, "recv_ts_ns", "stream_seq").select(*PLACE, F.col("daily_pnl").cast("double").alias("daily_pnl"))
 
 
-@query(f"""WITH {ME} SELECT venue, recv_ts_ns, stream_seq, (row_number() OVER (PARTITION BY venue ORDER BY recv_ts_ns, stream_seq) - 1 - count(*) OVER (PARTITION BY venue ORDER BY recv_ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000000 PRECEDING)) AS orders_last_min FROM me""")
+@query(f"""WITH {ME} SELECT venue, symbol_id, recv_ts_ns, stream_seq, (row_number() OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq) - 1 - count(*) OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000000 PRECEDING)) AS orders_last_min FROM me""")
 def wn18_trailing_orders(spark, sf):
-    return trades.trailing_order_count(me(spark, sf), ["venue"], "recv_ts_ns", "stream_seq", 3_600_000_000_000).select("venue", "recv_ts_ns", "stream_seq", "orders_last_min")
+    return trades.trailing_order_count(me(spark, sf), KEY, "recv_ts_ns", "stream_seq", 3_600_000_000_000).select(*PLACE, "orders_last_min")
 
 
 @query(f"""WITH {ME}, s AS (SELECT min(recv_ts_ns) AS lo, max(recv_ts_ns) AS hi FROM t), w AS (SELECT k AS window_id, lo + k * {2 * DAY_NS} AS st FROM s, range(0, 500) AS q(k) WHERE lo + k * {2 * DAY_NS} + {7 * DAY_NS} <= hi + 1)
@@ -509,10 +509,10 @@ def ta5_next_bar_open(spark, sf):
 
 
 @query(f"""WITH {ME}, o AS (SELECT stream_seq AS order_id, venue, symbol_id, recv_ts_ns AS ready_ns, side, price::DOUBLE AS limit_px FROM me WHERE kind = 'liquidation')
-SELECT order_id, min(t.recv_ts_ns) AS fill_ts_ns FROM o LEFT JOIN t ON o.venue = t.venue AND o.symbol_id = t.symbol_id AND t.recv_ts_ns >= ready_ns AND t.recv_ts_ns <= ready_ns + {3 * DAY_NS} AND ((o.side = 'Buy' AND t.side = 'Sell' AND t.price < limit_px) OR (o.side = 'Sell' AND t.side = 'Buy' AND t.price > limit_px)) GROUP BY ALL""")
+SELECT order_id, min(t.recv_ts_ns) AS fill_ts_ns FROM o LEFT JOIN t ON o.venue = t.venue AND o.symbol_id = t.symbol_id AND t.recv_ts_ns >= ready_ns AND ((o.side = 'Buy' AND t.side = 'Sell' AND t.price < limit_px) OR (o.side = 'Sell' AND t.side = 'Buy' AND t.price > limit_px)) GROUP BY ALL""")
 def ta8_touch_through(spark, sf):
     o = core.split_kind(me(spark, sf), "liquidation").select(F.col("stream_seq").alias("order_id"), *KEY, F.col("recv_ts_ns").alias("ready_ns"), "side", F.col("price").cast("double").alias("limit_px"), F.col("qty").cast("double").alias("qty"))
-    return fills.touch_through(o, tr(spark, sf), KEY, 3 * DAY_NS).select("order_id", "fill_ts_ns")
+    return fills.touch_through(o, tr(spark, sf), KEY).select("order_id", "fill_ts_ns")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL), r AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY order_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
@@ -610,8 +610,8 @@ def src2_merged(spark, sf):
 
 @query("WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, o_totalprice FROM r WHERE i = least(round(0.95 * (n - 1)), n - 1)")
 def so3_rank_pick(spark, sf):
-    o = adapters.table(spark, sf, "orders").withColumn("_m", F.count("*").over(Window.partitionBy("o_orderpriority")))
-    return core.rank_pick(o, "o_totalprice", F.round(F.lit(0.95) * (F.col("_m") - 1)).cast("long"), ["o_orderpriority"])
+    o = adapters.table(spark, sf, "orders")
+    return core.rank_pick(o, "o_totalprice", F.round(F.lit(0.95) * (F.col("_n") - 1)).cast("long"), ["o_orderpriority"])
 
 
 @query("WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey, o_totalprice FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey, CASE WHEN o_orderkey % 997 = 5 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders) SELECT min(a.idx) AS idx FROM a JOIN b USING (idx) WHERE a.o_totalprice <> b.o_totalprice")

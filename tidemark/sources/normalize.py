@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import LEVELS, bad_levels, fnv1a64, ms_to_ns, number, object_levels, pair_levels, whole
+from tidemark.operators.book import book_continuity
 
 FIELDS = {
     "price": "double", "qty": "double", "side": "string", "trade_id": "bigint", "bids": LEVELS, "asks": LEVELS, "first_seq": "bigint", "last_seq": "bigint", "seq": "bigint", "depth": "int", "reason": "string",
@@ -190,9 +191,41 @@ def hyperliquid(raw: DataFrame) -> DataFrame:
 VENUE_JOBS = {"binance_futures": binance, "bybit": bybit, "okx": okx, "coinbase": coinbase, "kraken_futures": kraken, "hyperliquid": hyperliquid}
 
 
+#: How a venue's book updates tell that one is missing; the others send whole books or no ids.
+SYNC_RULES = {"binance_futures": "reseed", "bybit": "strict", "okx": "prev", "kraken_futures": "range"}
+
+
+def synchronised(events: DataFrame, venue: str) -> DataFrame:
+    """Book events checked for continuity: a gap goes out as a ``GapDetected`` status, what cannot be
+    applied is left out, and a snapshot after the first says ``GapResync``.
+
+    Where a venue sends updates only, the first one, and the one after a gap, stands for a snapshot.
+    """
+    if venue not in SYNC_RULES:
+        return events
+    rule, keys = SYNC_RULES[venue], ("venue", "venue_symbol")
+    is_book = F.col("kind").isin("book_snapshot", "book_delta")
+    c = book_continuity(events.where(is_book), rule, keys)
+    action, nil = F.col("action"), F.lit(None)
+    gap, snap = action == "Gap", action == "Snapshot"
+    own_id = F.coalesce("seq", "last_seq")
+    fields = {
+        "kind": F.when(gap, "status").when(snap, "book_snapshot").otherwise("book_delta"), "status_kind": F.when(gap, "GapDetected"),
+        "detail": F.when(gap, F.concat(F.lit("book gap before "), F.col("first_seq").cast("string"), F.lit(" to "), F.col("last_seq").cast("string"))),
+        "reason": F.when(snap, F.when(F.col("epoch") > 1, "GapResync").otherwise("Init")), "seq": F.when(snap, own_id),
+        "depth": F.when(snap, F.size("bids") + F.size("asks") if venue == "bybit" else F.lit(0)),
+        "first_seq": F.when(action == "Apply", F.col("last_seq") if rule == "prev" else F.col("first_seq")), "last_seq": F.when(action == "Apply", F.col("last_seq")),
+        "bids": F.when(~gap, F.col("bids")).otherwise(nil), "asks": F.when(~gap, F.col("asks")).otherwise(nil),
+    }
+    types = dict(events.dtypes)
+    out = c.where(action != "Drop").select(*(fields[x].cast(types[x]).alias(x) if x in fields else F.col(x) for x in events.columns))
+    return events.where(~is_book).unionByName(out)
+
+
 def normalize_frames(raw: DataFrame, venue: str) -> DataFrame:
-    """Events of one venue's frames."""
-    return VENUE_JOBS[venue](raw.where(F.col("venue") == venue) if "venue" in raw.columns else raw.withColumn("venue", F.lit(venue)))
+    """Events of one venue's frames. Of a stream they are not checked for continuity, which needs whole books: see ``synchronised``."""
+    events = VENUE_JOBS[venue](raw.where(F.col("venue") == venue) if "venue" in raw.columns else raw.withColumn("venue", F.lit(venue)))
+    return events if raw.isStreaming else synchronised(events, venue)
 
 
 def parse_health(normalized: DataFrame) -> DataFrame:

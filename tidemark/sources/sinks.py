@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.core import positions
+
 from tidemark.functions.scalar import DAY_NS, bucket
 from tidemark.operators.core import split_kind
 from tidemark.operators.quality import quality_manifest
@@ -115,7 +117,7 @@ def scd2_append(dim: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("venue"
 def intern_symbols(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(venue, venue_symbol, symbol_id): dense ids by first appearance; known ones stay, new ones follow.
 
-    The numbering runs over distinct symbols only.
+    The numbering runs over distinct symbols only, in sorted ranges.
     """
     first = events.groupBy("venue", "venue_symbol").agg(F.min(F.struct("recv_ts_ns", "stream_seq")).alias("_at"))
     base = F.lit(0)
@@ -124,6 +126,5 @@ def intern_symbols(events: DataFrame, known: DataFrame | None = None) -> DataFra
         base = known.agg(F.coalesce(F.max("symbol_id") + 1, F.lit(0)).alias("_b"))
         first = first.crossJoin(F.broadcast(base))
         base = F.col("_b")
-    n = F.row_number().over(Window.orderBy("_at", "venue", "venue_symbol")) - 1
-    new = first.withColumn("symbol_id", (base + n).cast("long")).select("venue", "venue_symbol", "symbol_id")
+    new = positions(first, ["_at", "venue", "venue_symbol"]).withColumn("symbol_id", (base + F.col("idx")).cast("long")).select("venue", "venue_symbol", "symbol_id")
     return new if known is None else known.select("venue", "venue_symbol", "symbol_id").unionByName(new)
