@@ -77,6 +77,39 @@ def test_jaccard(spark, corpus, monkeypatch, k, percent, block):
     assert got == brute_components(corpus, k, percent)
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_jaccard_stars(spark, monkeypatch, block):
+    """Copies link to their centre, not to one another, and groups go over several blocks; two centres differ by a little too much."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r, rows = random.Random(12), []
+    for star in range(14):
+        centre = words(r, 60)
+        rows.append((star * 100 + 50, " ".join(centre)))
+        for i in range(11):
+            w = list(centre)
+            w[4 + i * 5] = f"edit{i}"
+            rows.append((star * 100 + (i if i < 6 else 60 + i), " ".join(w)))
+    far = words(r, 400)
+    for i in range(30):
+        w = list(far)
+        for j in range(10 + i % 3):
+            w[3 + (i % 2) * 200 + j * 12] = f"other{i}"
+        rows.append((5000 + i, " ".join(w)))
+    assert len({i for i, _ in rows}) == len(rows)
+    for k, percent in ((3, 90), (5, 80)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(docs_df(spark, rows), percent, k).collect()}
+        assert got == brute_components(rows, k, percent)
+
+
+def test_jaccard_very_long_text(spark, monkeypatch):
+    """At the real length of a piece: two copies of a text of 5 MB with an edit, and one of its halves."""
+    text = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(640_000))
+    assert len(text) > jaccard.PIECE
+    rows = [(1, text), (2, text.replace("w7919 ", "changed ", 1)), (3, text[: len(text) // 2]), (4, None)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.join(docs_df(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.join(docs_df(spark, [])).count() == 0
 
@@ -276,29 +309,98 @@ def test_secrets(spark):
     assert secrets.secrets(docs_df(spark, [])).count() == 0
 
 
-def test_licenses(spark):
-    rows = [(1, "Text.\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at\nx"), (3, None), (4, ""), (5, "This work is licensed under the GNU General Public License, version 3."), (6, "licensed under nothing"), (7, "LICENSED   under CC BY-NC 4.0.")]
-    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in licenses.scan(docs_df(spark, rows)).collect()}
-    assert got == {1: (1, "MIT"), 2: (3, "Apache-2.0,Apache-2.0-header"), 3: (0, ""), 4: (0, ""), 5: (1, "GPL-3.0"), 6: (0, ""), 7: (1, "CC-BY-NC-4.0")}
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of Example Widgets Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
+    http://www.apache.org/licenses/LICENSE-2.0
 
-def test_top_k(spark):
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False), ""])
+
+
+def test_licenses(spark):
+    rows = [(1, "Text.\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nx"), (3, None), (4, ""), (5, "This work is licensed under the GNU General Public License, version 3."), (6, "licensed under nothing"), (7, "LICENSED   under CC BY-NC 4.0."), (8, "A title\nReleased under the MIT License\nAnd more"), (5, "This work is licensed under the GNU General Public License, version 3."), (9, "word " * 200_000 + "\n\nReleased under the MIT License.")]
+    got = [(r["doc_id"], r["n_matches"], r["licenses"]) for r in licenses.scan(docs_df(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1, "MIT"), (2, 3, "Apache-2.0"), (3, 0, ""), (4, 0, ""), (5, 1, "GPL-3.0-only"), (5, 1, "GPL-3.0-only"), (6, 0, ""), (7, 1, "CC-BY-NC-4.0"), (8, 1, "MIT"), (9, 1, "MIT")]
+    assert licenses.scan(docs_df(spark, [])).count() == 0
+
+
+def test_licence_texts_wrapped_and_commented(spark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD2 + AS_IS, "BSD-3-Clause": BSD2 + ENDORSE + AS_IS, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL}
+    rows, want = [], {}
+    for name, text in texts.items():
+        for width, mark in ((10_000, ""), (72, ""), (70, " * "), (60, "# "), (76, "// ")):
+            rows.append((len(rows), "Copyright (c) 2001 Somebody\n\n" + wrapped(text, width, mark) + "\n\nint main() { return 0; }"))
+            want[rows[-1][0]] = name
+    rows.append((len(rows), MIT + "\n\n" + wrapped(BSD2 + ENDORSE, 72) + "\n\n" + BSD2))
+    want[rows[-1][0]] = "BSD-2-Clause,BSD-3-Clause,MIT"
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_df(spark, rows)).collect()} == want
+
+
+def brute_top_k(vecs, k=5):
+    """Scores of ids: the largest over the rows that share an id."""
+    q = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 256).astype(int)) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = {}
+    for a in {i for i, _ in q if i % 50 == 0}:
+        best: dict[int, int] = {}
+        for i, x in q:
+            for j, y in q:
+                if i == a and j != a:
+                    best[j] = max(best.get(j, -(10**18)), int(x @ y))
+        want |= {(a, n): (b, s) for n, (b, s) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k], 1)}
+    return want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k(spark, monkeypatch, small):
+    if small:  # several parts of a leaf and several shares of the queries
+        monkeypatch.setattr(mtree, "SPLIT", 20)
+        monkeypatch.setattr(mtree, "CHUNK", 3)
+        monkeypatch.setattr(mtree, "PAGE", 4)
     r = np.random.default_rng(5)
     vecs = [(i, r.normal(0, 0.2, 8).tolist()) for i in range(400)]
-    vecs += [(400 + i, vecs[3][1]) for i in range(60)] + [(500, None), (550, [float("nan")] * 8), (551, [None] + [0.1] * 7), (552, [float("inf")] * 8)]
-    df = spark.createDataFrame([(i, v, 1.0) for i, v in vecs], "vec_id long, embedding array<float>, dist double").repartition(4)
+    vecs += [(400 + i, vecs[3][1]) for i in range(60)] + [(500, None), (550, [float("nan")] * 8), (551, [None] + [0.1] * 7), (552, [float("inf")] * 8), (None, [1.0] * 8)]
+    vecs += [(i, vecs[i][1]) for i in (50, 100, 7)] + [(7, r.normal(0, 0.3, 8).tolist()), (150, r.normal(0, 0.3, 8).tolist())]  # repeated ids
+    df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in vecs], "vec_id long, embedding array<float>, dist double, leaf int").repartition(4)
     got = {(x[0], x[1]): (x[2], x[3]) for x in mtree.top_k(df, F.col("vec_id") % 50 == 0, 5, capacity=16).collect()}
-    q = {i: np.floor(np.array(v, dtype=np.float32).astype(float) * 256).astype(int) for i, v in vecs if v and all(x is not None and np.isfinite(x) for x in v)}
-    want = {}
-    for a in q:
-        if a % 50 == 0:
-            best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a)[:5]
-            want |= {(a, n): (b, -s) for n, (s, b) in enumerate(best, 1)}
-    assert got == want
+    assert got == brute_top_k(vecs)
     assert mtree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert mtree.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_top_k_prunes_clustered_vectors(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 2, (40, 16))
+    vecs = [(i, (centres[i % 40] + r.normal(0, 0.05, 16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    rows = mtree.search(df, F.col("vec_id") % 50 == 0, 5, capacity=64).agg(F.sum("products")).first()[0]
+    assert rows < 0.35 * 80 * 4000
+
+
 def test_quality_on_held_out(spark):
     docs, labels = spark.read.parquet(f"{TESTDATA}/documents.parquet"), spark.read.parquet(f"{TESTDATA}/labels.parquet")
     extra = spark.createDataFrame([(10**6, None), (10**6 + 1, "")], DOCS)
@@ -338,6 +440,60 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs_df(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs_df(spark, rows), bench.limit(0)).count() == 0
 
 
+def brute_leaks(rows, items, min_lcs=0.8, min_paraphrase=0.6, answer=8):
+    """Every item at every place of every text, by the confirming test alone."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: [w for w in re.split(r"[\x00-\x20.,;:!?\"()\[\]{}|#$%&*<>]+", (t or "").translate(low)) if w]
+    number: dict[str, int] = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in cut(t)], dtype=np.int64)
+    texts, out = [(i, ids(t)) for i, t in rows], set()
+    for item, t in items:
+        q = ids(t)
+        for doc, w in texts:
+            if len(q) and len(np.intersect1d(q, w)) and any(decontaminate.confirm(w, q, at, min_lcs, min_paraphrase, answer)[1] for at in range(0, len(w), 2)):
+                out.add((doc, item))
+    return out
+
+
+def test_decontamination_against_every_place(spark):
+    """Verbatim items of 3 to 60 words, and paraphrases with words swapped, dropped and put in: recall of the search by vectors."""
+    r = random.Random(21)
+    items = [(i, " ".join(words(r, n))) for i, n in enumerate([3, 4, 5, 6, 8, 10, 14, 20, 28, 36, 44, 52, 60, 18, 24, 30])]
+    rows, paraphrased = [(i, " ".join(words(r, 120))) for i in range(30)], set()
+    for i, t in items:
+        rows.append((100 + i, " ".join(words(r, r.randint(0, 30))) + " " + t + " " + " ".join(words(r, 20))))
+        if len(t.split()) >= 18:
+            for kind in range(3):
+                w = t.split()
+                for at in range(len(w) - 10, 0, -6):
+                    w[at : at + 1] = (["swapped"], [], [w[at], "put", "in"])[kind]
+                rows.append((200 + 10 * i + kind, " ".join(words(r, 25)) + " " + " ".join(w) + " " + " ".join(words(r, 15))))
+                paraphrased.add((rows[-1][0], i))
+    want = brute_leaks(rows, items)
+    assert {(100 + i, i) for i, _ in items} <= want and paraphrased <= want
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want
+    assert {(100 + i, i) for i, t in items if len(t.split()) >= 5} <= got
+    assert len(got & paraphrased) >= 0.9 * len(paraphrased)
+
+
+def test_decontamination_long_texts_and_many_items(spark, monkeypatch):
+    r = random.Random(23)
+    item = words(r, 400)
+    monkeypatch.setattr(decontaminate, "PART", 4096)
+    rows = []
+    for i, at in enumerate((3000, 3800, 4000, 4090, 4096, 4300, 9000)):  # over the edges of parts
+        rows.append((i, " ".join([*words(r, at), *item, *words(r, 3000)])))
+    bench = spark.createDataFrame([(1, " ".join(item))] * 2001 + [(None, " ".join(item)), (2, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["lcs"], x["start_word"]) for x in decontaminate.find_leaks(docs_df(spark, rows), bench).collect()}
+    assert got == {(i, k): (1.0, at) for i, at in enumerate((3000, 3800, 4000, 4090, 4096, 4300, 9000)) for k in (1, None)}
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 2)  # in blocks the answer is the same
+    short = [(i, " ".join(words(r, 30))) for i in range(7)]
+    rows = [(i, " ".join(words(r, 50)) + " " + t + " " + " ".join(words(r, 10))) for i, t in short]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(short, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(7)}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(30):
@@ -349,13 +505,14 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(np.array(a), np.array(b)) == t[-1][-1]
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     frames = [docs]
     for name, apply in corpus_pipeline.STAGES:
-        frames.append(apply(spark, frames[-1], TESTDATA).cache())
+        apply(spark, frames[-1], TESTDATA).write.parquet(f"{tmp_path}/{name}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{name}"))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert frames[-1].columns == docs.columns
     kept = [{r[0] for r in f.select("doc_id").collect()} for f in frames]
@@ -365,3 +522,37 @@ def test_pipeline_stages(spark):
     assert kept[2] == {i for i, (_, root) in roots.items() if i == root}
     assert all(r["text"] == secrets.redacted(r["text"], secrets.ratio_matrix(np.zeros((2, 68, 68))), 9.9) for r in frames[4].limit(50).collect())
     assert {(r["doc_id"]) for r in corpus_pipeline.run(spark, TESTDATA).collect()} == kept[5]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, very long and repeated texts, extra columns with clashing names, and an empty table, through every stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    few = docs.orderBy("doc_id").limit(30)
+    odd = spark.createDataFrame([(10**7, None, None, None, None), (10**7 + 1, "", "en", "s", 0), (10**7 + 2, "word " * 300_000, "en", "s", 1_500_000), (None, "no id", None, None, 5)], docs.schema)
+    extra = {"score": F.lit(1.5), "n": F.lit(3), "z": F.lit("z"), "key": F.lit(7), "component_id": F.lit(1), "item_id": F.lit(2), "length": F.lit(9), "string": F.lit("q")}
+    mixed = few.unionByName(few.limit(5)).unionByName(odd).withColumns(extra)
+    for table in (mixed, mixed.limit(0)):
+        at = table
+        for i, (name, apply) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{table is mixed}/{i}"
+            apply(spark, at, TESTDATA).write.parquet(path)
+            after = spark.read.parquet(path)
+            if name != "best_fit_packing":
+                assert after.columns == table.columns and after.count() <= at.count()
+            at = after
+        assert (at.count() > 0) == (table is mixed)
+
+
+def test_secrets_recall_on_held_out(spark):
+    """Markov spans: random strings that no base pattern knows are found, ordinary identifiers are not."""
+    r = random.Random(17)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rand = lambda: "".join(r.choice(alphabet) for _ in range(r.randint(28, 44)))
+    name = lambda: "".join(w.title() for w in words(r, r.randint(5, 9)))
+    train = [(i, f"api_key = {rand()} and {name()} with {name()} " + " ".join(words(r, 40))) for i in range(150)]
+    model = secrets.train(docs_df(spark, train))
+    held = [(1000 + i, f"see {rand()} here") for i in range(200)] + [(2000 + i, f"see {name()} here") for i in range(200)]
+    got = {x["doc_id"]: "markov" in x["spans"] for x in secrets.scan(docs_df(spark, held), model).collect()}
+    assert sum(got[i] for i, _ in held[:200]) >= 190 and sum(got[i] for i, _ in held[200:]) <= 4

@@ -15,6 +15,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 import re
 from collections.abc import Iterator
 
@@ -121,7 +122,11 @@ def markov_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[i
 
 def outside(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Those spans that no base span covers wholly."""
-    return [s for s in spans if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    starts, reach = [], []  # of the base spans, and the furthest end so far
+    for a, _, b in sorted(base):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    return [s for s in spans if not (n := bisect_right(starts, s[0])) or reach[n - 1] < s[2]]
 
 
 def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = 0.5, redact: bool = False) -> DataFrame:
