@@ -56,7 +56,7 @@ def _crosses(low: str, high: str):
     return F.when(F.col("side") == BUY, F.col(low) < F.col("limit_px")).otherwise(F.col(high) > F.col("limit_px"))
 
 
-def _first_crossing_slice(orders: DataFrame, base: DataFrame, by: list[str], order_id: str, fan: int = 16, levels: int = 6) -> DataFrame:
+def _first_crossing_slice(orders: DataFrame, base: DataFrame, by: list[str], order_id: str, fan: int = 32, levels: int = 5) -> DataFrame:
     """(order_id, slice): the first slice after the order's own in which a print crosses its limit.
 
     Slices are summed up in ever longer ones, ``fan`` of a level in one of the next. An order looks at
