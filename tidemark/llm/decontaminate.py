@@ -216,9 +216,10 @@ def confirm(w: np.ndarray, item: np.ndarray, at: int, min_lcs: float, min_paraph
 
 def place(w: np.ndarray, item: np.ndarray, at: int) -> int:
     """Where near ``at`` most words of ``item`` stand at their own places."""
-    tries = np.arange(max(at - STRIDE, 0), max(at, 0) + 2 * STRIDE)
+    room = STRIDE + len(item) // 3
+    tries = np.arange(max(at - room, 0), max(at, 0) + STRIDE + room)
     head = item[: 4 * STRIDE]
-    padded = np.concatenate((w, np.full(len(head) + 2 * STRIDE, -1)))
+    padded = np.concatenate((w, np.full(len(head), -1)))
     tries = tries[tries < len(w)]
     return int(tries[(padded[tries[:, None] + np.arange(len(head))] == head).sum(1).argmax()]) if len(tries) else max(at, 0)
 

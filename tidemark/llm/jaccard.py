@@ -28,8 +28,8 @@ do link.
 
 Edge cases: null texts and texts without a word have an empty set, link with
 nothing and are their own component; fewer words than a shingle count as one
-shingle; repeated rows fall into one class; an empty table gives an empty
-result; other columns are ignored. Sets are compared through 64-bit hashes of
+shingle; repeated rows fall into one class; rows without a doc_id link with nothing
+and have no component; an empty table gives an empty result; other columns are ignored. Sets are compared through 64-bit hashes of
 their shingles.
 """
 
@@ -344,7 +344,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union."""
     spark = docs.sparkSession
-    sig = stage(_signatures(docs, words), "signatures")
+    every = stage(_signatures(docs, words), "signatures")
+    docs, sig = docs.where("doc_id is not null"), every.where("doc_id is not null")
     classes = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     member = stage(sig.drop("wide").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     sketches = sig.select(F.col("doc_id").alias("id"), "n", "wide").dropDuplicates(["id"])
@@ -380,4 +381,6 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
         tested(more)
         tried = tried.unionByName(more)
     found = member.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id")))
