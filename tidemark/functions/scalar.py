@@ -111,8 +111,11 @@ def numeric_tokens(text: Column | str) -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """A canonical text of a number at six significant digits: two numbers that agree there have the same text."""
-    return F.when(x == 0, F.lit("0")).otherwise(F.format_string("%.5e", x))
+    """A canonical text of a number at six significant digits: two numbers that agree there have the same text.
+
+    The nudge takes halves away from zero whatever the engine's way of rounding.
+    """
+    return F.when(x == 0, F.lit("0")).otherwise(F.format_string("%.5e", x * (1 + 1e-13)))
 
 
 @F.pandas_udf(T.LongType())

@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket_index
@@ -154,7 +154,12 @@ def top_imbalance(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFr
     return t.withColumn("value", (F.col("bid_qty") - F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty")))
 
 
-def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int = 60_000_000_000, ts: str = "ts_ns", fan: int = 16, steps: int = 6) -> DataFrame:
+def _div(x: Column, n: int) -> Column:
+    """Whole division of a number that is not negative."""
+    return F.call_function("div", x, F.lit(n))
+
+
+def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int = 60_000_000_000, ts: str = "ts_ns", fan: int = 64, steps: int = 4) -> DataFrame:
     """Levels live at each sample time: an equi-join on time slices, then the exact test.
 
     A life is covered by slices of growing length (``fan`` of one length in the next): the longest
@@ -168,8 +173,8 @@ def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int
     for k in range(steps):
         level = F.lit(k).alias("k")
         if k < steps - 1:
-            up = -bucket_index(-lo, fan)  # first whole longer slice, and the end of the last
-            down = F.greatest(bucket_index(hi, fan), up)
+            up = _div(lo + (fan - 1), fan)  # first whole longer slice, and the end of the last
+            down = F.greatest(_div(hi, fan), up)
             end, start = F.least(up * fan, hi), F.greatest(down * fan, F.least(up * fan, hi))
             own = F.concat(F.when(lo < end, F.sequence(lo, end - 1)).otherwise(none), F.when(start < hi, F.sequence(start, hi - 1)).otherwise(none))
             lo, hi = up, down
@@ -178,7 +183,7 @@ def levels_at(levels: DataFrame, times: DataFrame, by: list[str], slice_ns: int
         pieces.append(F.transform(own, lambda x: F.struct(level, x.alias("s"))))  # noqa: B023  evaluated at once
     lv = lv.withColumn("_p", F.explode(F.concat(*pieces))).select("*", F.col("_p.k").alias("_k"), F.col("_p.s").alias("_s")).drop("_p", "_max", "_end")
     slot = bucket_index(ts, slice_ns)
-    asks = F.array(*(F.struct(F.lit(k).alias("k"), bucket_index(slot, fan**k).alias("s")) for k in range(steps)))
+    asks = F.array(*(F.struct(F.lit(k).alias("k"), _div(slot, fan**k).alias("s")) for k in range(steps)))
     t = times.withColumn("_p", F.explode(asks)).select(*times.columns, F.col("_p.k").alias("_k"), F.col("_p.s").alias("_s"))
     return t.join(lv, [*by, "_k", "_s"]).where((F.col("from_ns") <= F.col(ts)) & (F.col("to_ns").isNull() | (F.col(ts) < F.col("to_ns")))).drop("_k", "_s")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, signed
+from tidemark.operators.asof import asof
 from tidemark.operators.core import KEYS, ordered, running, upto
 
 
@@ -14,15 +15,19 @@ def cvd(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return running(trades, signed("qty"), keys, "value")
 
 
+def _in_slices(df: DataFrame, window_ns: int) -> DataFrame:
+    """Each row in its slice of time and, as context (not ``_own``), in the next; slices are no shorter than the window."""
+    slot = bucket_index("recv_ts_ns", max(window_ns, 60_000_000_000))
+    return df.withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_s") == slot)
+
+
 def rolling_sum(df: DataFrame, value, window_ns: int, keys: tuple[str, ...] = KEYS, name: str = "value") -> DataFrame:
     """Sum over the last ``window_ns`` (both ends in), later rows of the same time excluded.
 
     Time is cut into slices as long as the window (at least a minute); each row also goes
     to the next slice as context, so no task holds more of a key than two slices.
     """
-    width = max(window_ns, 60_000_000_000)
-    slot = bucket_index("recv_ts_ns", width)
-    d = df.withColumn("_x", value).withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_s") == slot)
+    d = _in_slices(df.withColumn("_x", value), window_ns)
     w = Window.partitionBy(*keys, "_s")
     total = F.sum("_x").over(w.orderBy("recv_ts_ns", "stream_seq").rowsBetween(Window.unboundedPreceding, 0))
     older = F.sum("_x").over(w.orderBy("recv_ts_ns").rangeBetween(Window.unboundedPreceding, -(window_ns + 1)))
@@ -73,9 +78,10 @@ def cvd_across(trades: DataFrame, base: str = "symbol_id") -> DataFrame:
 
 
 def trade_size_quantile(trades: DataFrame, window_ns: int, q: float = 0.95, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rolling quantile of the notional over strictly older trades of the window."""
-    w = Window.partitionBy(*keys).orderBy("recv_ts_ns").rangeBetween(-window_ns, -1)
-    return trades.withColumn("value", F.percentile_approx((F.col("price") * F.col("qty")).cast("double"), q, 10_000).over(w))
+    """Rolling quantile (interpolated) of the notional over strictly older trades of the window."""
+    w = Window.partitionBy(*keys, "_s").orderBy("recv_ts_ns").rangeBetween(-window_ns, -1)
+    value = F.percentile((F.col("price") * F.col("qty")).cast("double"), F.lit(q)).over(w)
+    return _in_slices(trades, window_ns).withColumn("value", value).where("_own").drop("_s", "_own")
 
 
 def adaptive_whales(trades: DataFrame, floor_usd: float, window_ns: int, k: float = 3.0) -> DataFrame:
@@ -97,9 +103,21 @@ def sweep(trades: DataFrame, window_ns: int, keys: tuple[str, ...] = KEYS) -> Da
     """Per trade: share of the window's volume on the trade's own side and the price moved over it."""
     buy = F.when(F.col("side") == "Buy", F.col("qty")).otherwise(0)
     both = rolling_sum(rolling_sum(trades, buy, window_ns, keys, "_buy"), F.col("qty"), window_ns, keys, "_all")
-    first = F.first("price").over(Window.partitionBy(*keys).orderBy("recv_ts_ns").rangeBetween(-window_ns, 0))
+    first = F.first("price").over(Window.partitionBy(*keys, "_s").orderBy("recv_ts_ns").rangeBetween(-window_ns, 0))
+    both = _in_slices(both, window_ns).withColumn("_first", first).where("_own").drop("_s", "_own")
     side = F.when(F.col("side") == "Buy", F.col("_buy")).otherwise(F.col("_all") - F.col("_buy"))
-    return both.withColumns({"one_sided": F.try_divide(side.cast("double"), F.col("_all").cast("double")), "displacement": (F.col("price") - first).cast("double")}).drop("_buy", "_all")
+    new = {"side_volume": side, "one_sided": F.try_divide(side.cast("double"), F.col("_all").cast("double")), "displacement": (F.col("price") - F.col("_first")).cast("double")}
+    return both.withColumns(new).drop("_buy", "_all", "_first")
+
+
+def sweep_events(trades: DataFrame, bars: DataFrame, window_ns: int, k: float, min_move: float, n_bars: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """+1 / -1 where a side's volume of the window reaches ``k`` times the median volume of the last closed bars
+    and the price has moved its way by ``min_move``."""
+    last = _bar_window(keys).rowsBetween(-(n_bars - 1), 0)
+    median = bars.select(*keys, F.col("close_ts_ns").alias("_t"), F.percentile(F.col("volume").cast("double"), F.lit(0.5)).over(last).alias("_median"))
+    s = asof(sweep(trades, window_ns, keys), median, list(keys), "recv_ts_ns", "_t", ["_median"])
+    sign = F.when(F.col("side") == "Buy", 1.0).otherwise(-1.0)
+    return s.where((F.col("side_volume").cast("double") >= k * F.col("_median")) & (F.col("displacement") * sign >= min_move)).withColumn("value", sign).drop("_median")
 
 
 def absorption(bars: DataFrame, tick: float) -> DataFrame:
@@ -168,15 +186,16 @@ def lead_lag(a: DataFrame, b: DataFrame, max_lag: int, tf_ns: int, by: str = "sy
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
     x = a.select(by, "open_ts_ns", F.col("r").alias("ra")).withColumn("lag", lags).withColumn("open_ts_ns", F.col("open_ts_ns") + F.col("lag") * tf_ns)
     c = x.join(b.select(by, "open_ts_ns", F.col("r").alias("rb")), [by, "open_ts_ns"]).groupBy(by, "lag").agg(F.corr("ra", "rb").alias("c"), F.count("*").alias("n")).where("c is not null and not isnan(c)")
-    return c.groupBy(by).agg(F.max_by("lag", F.struct(F.abs("c"), -F.abs("lag"))).alias("lag"), F.max_by("c", F.struct(F.abs("c"), -F.abs("lag"))).alias("corr"))
+    best = F.struct(F.round(F.abs("c"), 12), -F.abs("lag"), -F.col("lag"))
+    return c.groupBy(by).agg(F.max_by("lag", best).alias("lag"), F.max_by("c", best).alias("corr"))
 
 
 def regimes(bars: DataFrame, w: int, lookback: int, keys: tuple[str, ...] = KEYS, min_trend: float = 0.3) -> DataFrame:
     """Volatility regime by the 33rd and 66th percentile of past volatility, trend by the efficiency ratio."""
-    rv = realized_vol(bars, w, keys).withColumnRenamed("value", "rv")
+    rv = realized_vol(bars, w, keys).withColumnRenamed("value", "rv").withColumn("rv", F.round("rv", 12))
     past = _bar_window(keys).rowsBetween(-lookback, -1)
     q = lambda p: F.percentile("rv", F.lit(p)).over(past)
     rv = log_returns(rv, keys).withColumns({"_lo": q(1 / 3), "_hi": q(2 / 3)})
     span = _bar_window(keys).rowsBetween(-(w - 1), 0)
-    er = F.try_divide(F.abs(F.sum("r").over(span)), F.sum(F.abs("r")).over(span))
+    er = F.round(F.try_divide(F.abs(F.sum("r").over(span)), F.sum(F.abs("r")).over(span)), 9)
     return rv.withColumns({"vol_regime": F.when(F.col("rv") <= F.col("_lo"), "low").when(F.col("rv") >= F.col("_hi"), "high").when(F.col("_lo").isNotNull(), "mid"), "trend_regime": F.when(er >= min_trend, "trend").otherwise("range")}).drop("_lo", "_hi", "r")

@@ -52,6 +52,27 @@ def stage_gate(live: DataFrame, reference: DataFrame, keys: list[str], min_trade
     return j.withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks)))).withColumn("pass", F.size("reasons") == 0).drop("_e", "_d")
 
 
+def promotion_gates(rows: DataFrame) -> DataFrame:
+    """``reasons`` against promotion from each later stage, and ``demote_to`` where a stage must be left at once.
+
+    Columns: stage, expectancy, reference_expectancy (in sample, replay or paper), positive_windows (share), plateau,
+    age_days, clean (no faults, reconciled), owner, slippage_ratio (realised over modelled), drawdown, budget,
+    recent_expectancy (60 days). Promotion needs every criterion, whatever is unknown counts against it.
+    """
+    stage, ratio = F.col("stage"), F.try_divide("expectancy", "reference_expectancy")
+    off = F.abs(ratio - 1)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    checks = {
+        "WalkForward": (("oos_expectancy", no(ratio >= 0.5)), ("positive_windows", no(F.col("positive_windows") >= 0.7)), ("plateau", no(F.col("plateau")))),
+        "Paper": (("age", no(F.col("age_days") >= 14)), ("divergence", no(off <= 0.3)), ("faults", no(F.col("clean"))), ("owner", no(F.col("owner")))),
+        "LiveSmall": (("age", no(F.col("age_days") >= 28)), ("divergence", no(off <= 0.4)), ("slippage", no(F.col("slippage_ratio") <= 1.5)), ("faults", no(F.col("clean"))), ("owner", no(F.col("owner")))),
+    }
+    found = F.array_compact(F.array(*(F.when((stage == s) & c, F.lit(n)) for s, cs in checks.items() for n, c in cs)))
+    live = stage.isin("LiveSmall", "LiveScaled")
+    down = F.when(live & (F.col("drawdown") >= F.col("budget")), "Paper").when((stage == "LiveScaled") & (F.col("recent_expectancy") < 0), "LiveSmall").when((stage == "Paper") & (off > 0.5), "WalkForward")
+    return rows.withColumns({"reasons": found, "demote_to": down})
+
+
 def kelly_cap(metrics: DataFrame, fraction: float, min_trades: int, floor: float) -> DataFrame:
     """Fractional Kelly weight from win rate and payoff; the floor while trades are few."""
     p = F.col("wins") / F.col("trades")
@@ -336,20 +357,31 @@ def repeated_experiments(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*same).agg(F.count("*").alias("runs"), F.sort_array(F.collect_list("run_id")).alias("run_ids")).where("runs > 1")
 
 
-def monthly_scoreboard(trades: DataFrame, fees: DataFrame, funding: DataFrame, transitions: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One tidy table (section, strategy, metric, value); a section without rows says "no data"."""
-    m = trade_metrics(trades, ["strategy"]).withColumn("net", F.col("gross_win") - F.col("gross_loss"))
+def monthly_scoreboard(trades: DataFrame, costs: DataFrame, infra: DataFrame, tracking: DataFrame, transitions: DataFrame, benchmark: DataFrame, capital: float) -> DataFrame:
+    """One tidy table (section, strategy, metric, value); a section without rows says "no data".
+
+    ``trades``: strategy, ts_ns, pnl, optimistic_maker; ``costs``: strategy, fee, paid (funding), realized and modeled
+    slippage; ``infra``: strategy, infra; ``tracking``: strategy and its live, paper and backtest returns;
+    ``transitions``: id, demotion; ``benchmark``: return.
+    """
+    net = F.col("gross_win") - F.col("gross_loss")
+    m = trade_metrics(trades, ["strategy"]).withColumns({"net": net, "net_return": net / capital})
+    equity = running(trades.groupBy("strategy", "ts_ns").agg(F.sum("pnl").alias("pnl")), F.col("pnl"), ("strategy",), "equity", ts="ts_ns", seq=())
+    worst = drawdown(equity, ["strategy"]).groupBy("strategy").agg(F.max("drawdown").alias("max_drawdown"))
+    spent = costs.groupBy("strategy").agg(F.sum("fee").alias("fees"), F.sum(F.col("realized") - F.col("modeled")).alias("slippage_vs_model"), F.sum("paid").alias("funding"))
+    steps = transitions.groupBy(F.col("id").alias("strategy")).agg(F.count("*").alias("transitions"), F.count_if("demotion").alias("demotions"))
 
     def tidy(df, section, metrics):
         return df.select(F.lit(section).alias("section"), F.col("strategy").cast("string").alias("strategy"), F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in metrics))).alias("_x")).select("section", "strategy", "_x.*")
 
     parts = [
-        tidy(m, "performance", ["net", "expectancy", "trades", "hit_rate"]), tidy(fees.groupBy("strategy").agg(F.sum("fee").alias("fees")), "costs", ["fees"]), tidy(funding.groupBy("strategy").agg(F.sum("paid").alias("funding")), "funding", ["funding"]),
-        tidy(transitions.groupBy(F.col("id").alias("strategy")).agg(F.count("*").alias("transitions")), "funnel", ["transitions"]), tidy(benchmark.select(F.lit("benchmark").alias("strategy"), "return"), "benchmark", ["return"]),
+        tidy(m.join(worst, "strategy", "left"), "performance", ["net", "net_return", "max_drawdown", "expectancy", "trades", "hit_rate"]),
+        tidy(tracking.withColumn("tracking_error", F.col("live_return") - F.col("backtest_return")), "tracking", ["live_return", "paper_return", "backtest_return", "tracking_error"]),
+        tidy(spent.join(infra, "strategy", "full_outer"), "costs", ["fees", "slippage_vs_model", "funding", "infra"]), tidy(steps, "funnel", ["transitions", "demotions"]), tidy(benchmark.select(F.lit("benchmark").alias("strategy"), "return"), "benchmark", ["return"]),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    names = out.sparkSession.createDataFrame([(s,) for s in ("performance", "costs", "funding", "funnel", "benchmark")], "section string")
+    names = out.sparkSession.createDataFrame([(s,) for s in ("performance", "tracking", "costs", "funnel", "benchmark")], "section string")
     empty = names.join(out.select("section").distinct(), "section", "left_anti").select("section", F.lit(None).cast("string").alias("strategy"), F.lit("no data").alias("metric"), F.lit(None).cast("double").alias("value"))
     return out.unionByName(empty)

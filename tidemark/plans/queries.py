@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as sc
 from tidemark.functions.scalar import DAY_NS
 from tidemark.operators import asof, bars, book, core, features, fills, grading, intervals, monitor, quality, screener, study, trades
+from tidemark.plans import oracles
 from tidemark.sources import adapters, normalize, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,38 +435,10 @@ def wn12_feature_stream(spark, sf):
     return core.warm(_features(spark, sf), 3).select("feature", *KEY, "ts_ns", "emit_seq", d("value"), "reg_idx")
 
 
-@query("""WITH h AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\\.[0-9]+)?')) AS n FROM documents) SELECT doc_id, len(n)::INTEGER AS n_numbers FROM h WHERE len(list_filter(n, lambda x: length(x) > 6)) = 0 AND len(list_filter(n, lambda x: contains(x, '.') OR starts_with(x, '0') OR starts_with(x, '-'))) = 0""")
-def sc7_numeric_tokens(spark, sf):
-    x = adapters.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)).alias("raw"), sc.numeric_tokens("text").alias("n"))
-    plain = ~F.exists("raw", lambda t: (F.length(t) > 6) | F.contains(t, F.lit(".")) | F.startswith(t, F.lit("0")) | F.startswith(t, F.lit("-")))
-    return x.where(plain).select("doc_id", F.size(F.array_distinct("n")).alias("n_numbers"))
-
-
 @query()
-def st6_verify_grounded(spark, sf):
+def sc7_numeric_tokens(spark, sf):
     docs = adapters.table(spark, sf, "documents")
-    inputs = docs.select("doc_id", F.col("n_chars").alias("value"))
-    return monitor.verify_grounded(docs, inputs, "doc_id").select("doc_id", "n_numbers", F.size("ungrounded").alias("n_ungrounded"), "grounded")
-
-
-@query()
-def ta1_position_ledger(spark, sf):
-    return trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"])
-
-
-@query("""WITH f AS (SELECT o_orderpriority AS strategy, o_custkey AS symbol_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_orderkey % 7 + 1) AS q FROM orders)
-SELECT strategy, symbol_id, ts_ns, seq, (sum(q) OVER (PARTITION BY strategy, symbol_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING))::DOUBLE AS qty FROM f""")
-def ta1_position_qty(spark, sf):
-    return trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"]).select("strategy", "symbol_id", "ts_ns", "seq", "qty")
-
-
-@query()
-def ta2_equity(spark, sf):
-    led = trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"])
-    marks = adapters.fills(spark, sf).groupBy("symbol_id", "ts_ns").agg(F.max("price").alias("mark"))
-    funding = led.select("strategy", "venue", "symbol_id", "ts_ns", (F.col("qty") * 0.001).alias("paid"))
-    e = trades.equity_curve(led, marks, funding, ["strategy", "venue", "symbol_id"], 100_000.0, ["symbol_id"])
-    return e.select("strategy", "symbol_id", "ts_ns", d("equity", 4), d("residual", 4))
+    return docs.select("doc_id", F.size(F.array_distinct(sc.numeric_tokens("text"))).alias("n_numbers"))
 
 
 RISK = {"max_order_notional": 250_000.0, "max_position_notional": 600_000.0, "max_gross": 900_000.0, "max_px_dev": 0.5, "max_orders_per_min": 12, "strategy_loss": 5000.0, "portfolio_loss": 9000.0}
@@ -544,6 +517,24 @@ def wn8_book_continuity(spark, sf):
     return book.book_continuity(_book(spark, sf)).groupBy("symbol_id", "action").agg(F.count("*").alias("n"))
 
 
+def _book_frames(spark, sf):
+    """The books as a venue's frames, normalised."""
+    b = _book(spark, sf)
+    level = F.coalesce(F.try_element_at("bids", F.lit(1)), F.try_element_at("asks", F.lit(1)))
+    payload = F.concat(F.lit('{"topic":"orderbook.1.S'), F.col("symbol_id").cast("string"), F.lit('","type":"'), F.when(F.col("kind") == "book_snapshot", "snapshot").otherwise("delta"), F.lit('","ts":'), F.col("recv_ts_ns").cast("string"), F.lit(',"data":{"s":"S'), F.col("symbol_id").cast("string"), F.lit('","u":'), F.coalesce("seq", "last_seq").cast("string"), F.lit(',"b":[["'), level["price"].cast("string"), F.lit('","'), level["qty"].cast("string"), F.lit('"]],"a":[]}}'))
+    return normalize.normalize_frames(b.select(F.lit("bybit").alias("venue"), "recv_ts_ns", "stream_seq", payload.alias("payload")), "bybit")
+
+
+@query()
+def wn7_sequence_gaps(spark, sf):
+    return quality.sequence_gaps(_book_frames(spark, sf), 1_000_000, ("venue", "venue_symbol")).select("venue_symbol", "from_ns", "to_ns", "gap_kind")
+
+
+@query()
+def src12_parse_health(spark, sf):
+    return normalize.parse_health(_book_frames(spark, sf))
+
+
 @query()
 def wn8b_book_variants(spark, sf):
     b = _book(spark, sf)
@@ -629,13 +620,16 @@ def st3_mc_drawdown(spark, sf):
 
 @query()
 def src7_normalize_binance(spark, sf):
-    payload = F.concat(F.lit('{"e":"aggTrade","E":'), (F.col("recv_ts_ns") / 1_000_000).cast("long").cast("string"), F.lit(',"s":"S'), F.col("symbol_id").cast("string"), F.lit('","a":'), F.col("stream_seq").cast("string"), F.lit(',"p":"'), F.col("price").cast("string"), F.lit('","q":"'), F.col("qty").cast("string"), F.lit('","m":'), F.when(F.col("side") == "Sell", "true").otherwise("false"), F.lit("}"))
-    raw = tr(spark, sf).select(F.lit("binance_futures").alias("venue"), "recv_ts_ns", "stream_seq", payload.alias("payload"))
-    n = normalize.normalize_frames(raw, "binance_futures")
-    return n.groupBy("kind", "side", "venue_symbol").agg(F.count("*").alias("n"), F.round(F.sum("qty"), 4).alias("qty"))
-
-
-# Features of the written specification.
+    e = me(spark, sf).where("kind in ('trade', 'liquidation', 'open_interest')")
+    ms, sym = (F.col("recv_ts_ns") / 1_000_000).cast("long").cast("string"), F.concat(F.lit("S"), F.col("symbol_id").cast("string"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    s = lambda c: F.col(c).cast("string")
+    trade = text('{"e":"aggTrade","E":', ms, ',"s":"', sym, '","a":', s("stream_seq"), ',"p":"', s("price"), '","q":"', s("qty"), '","m":', F.when(F.col("side") == "Sell", "true").otherwise("false"), "}")
+    liq = text('{"e":"forceOrder","E":', ms, ',"o":{"s":"', sym, '","S":"', F.upper("side"), '","q":"', s("qty"), '","p":"', s("price"), '"}}')
+    mark = text('{"e":"markPriceUpdate","E":', ms, ',"s":"', sym, '","p":"', s("oi_contracts"), '","i":"1","r":"0.0001","T":', ms, "}")
+    payload = F.when(F.col("kind") == "trade", trade).when(F.col("kind") == "liquidation", liq).otherwise(mark)
+    n = normalize.normalize_frames(e.select(F.lit("binance_futures").alias("venue"), "recv_ts_ns", "stream_seq", payload.alias("payload")), "binance_futures")
+    return n.groupBy("kind", "side", "venue_symbol").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("qty", "mark", "rate")), 4).alias("total"))
 
 
 @query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns, stream_seq, round(CASE WHEN sum(qty) OVER w > 0 THEN (sum(price * qty) OVER w)::DOUBLE / (sum(qty) OVER w)::DOUBLE END, 6) AS vwap FROM t WINDOW w AS (PARTITION BY venue, symbol_id, recv_ts_ns // {DAY} ORDER BY recv_ts_ns, stream_seq ROWS UNBOUNDED PRECEDING)")
@@ -698,6 +692,16 @@ def s3_sweep(spark, sf):
     return features.sweep(tr(spark, sf), DAY_NS).select(*PLACE, d("one_sided"), d("displacement"))
 
 
+@query()
+def s3_sweep_events(spark, sf):
+    return features.sweep_events(tr(spark, sf), daily(spark, sf), DAY_NS, 0.5, 2.0, 5).select(*PLACE, "value")
+
+
+@query()
+def s9_node_distance(spark, sf):
+    return bars.node_distance(daily(spark, sf), bars.profile_nodes(tr(spark, sf), 5.0), 5.0).select(*KEY, "open_ts_ns", d("dist_hvn"), d("dist_lvn"))
+
+
 @query()
 def s9_profile_nodes(spark, sf):
     return bars.profile_nodes(tr(spark, sf), 5.0).select(*KEY, "bin", d("smooth"), "node")
@@ -768,7 +772,7 @@ def ta6_arrival_cost(spark, sf):
     quotes = book.top_of_book(c).where("best_bid is not null and best_ask is not null")
     o = adapters.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("symbol_id")).agg(F.min("l_orderkey").alias("order_id")).withColumns({"ts_ns": F.lit(30).cast("long"), "side": F.when(F.col("symbol_id") % 2 == 0, "Buy").otherwise("Sell"), "qty": F.lit(9.0)})
     last = quotes.select("symbol_id", "recv_ts_ns", "stream_seq", F.col("mid").alias("price"))
-    return fills.arrival_cost(o, quotes, last, ["symbol_id"], 5, 0.5, 0.001).select("symbol_id", "fill_px", "filled_qty", "unfilled_qty")
+    return fills.arrival_cost(o, quotes, last, ["symbol_id"], 5, 0.5, 0.001).select("symbol_id", d("fill_px", 9), "filled_qty", "unfilled_qty")
 
 
 @query()
@@ -784,12 +788,15 @@ def ta11_funnel_audit(spark, sf):
 
 @query()
 def ag13_monthly_scoreboard(spark, sf):
-    c = adapters.closed_trades(spark, sf)
-    funding = c.select("strategy", F.col("fee").alias("paid")).limit(0)
-    steps = c.select(F.col("strategy").alias("id")).distinct()
+    c = adapters.closed_trades(spark, sf).withColumns({"pnl": F.col("pnl").cast("double"), "fee": F.col("fee").cast("double")})
+    ids = c.select("strategy").distinct()
+    costs = c.select("strategy", "fee", (F.col("fee") * 0.1).alias("paid"), (F.col("fee") * 0.5).alias("realized"), (F.col("fee") * 0.25).alias("modeled"))
+    net = c.groupBy("strategy").agg((F.sum("pnl") / 1e6).alias("live_return"))
+    tracking = net.withColumns({"paper_return": F.col("live_return") * 0.9, "backtest_return": F.col("live_return") * 1.2})
+    steps = ids.select(F.col("strategy").alias("id"), F.explode(F.array(F.lit(False), F.lit(False), F.lit(True))).alias("demotion"))
     bench = adapters.table(spark, sf, "part").agg(F.round(F.avg("p_retailprice"), 6).alias("return"))
-    s = trades.monthly_scoreboard(c.withColumn("pnl", F.col("pnl").cast("double")), c, funding, steps, bench)
-    return s.select("section", "strategy", "metric", F.round("value", 4).alias("value"))
+    s = trades.monthly_scoreboard(c, costs, ids.withColumn("infra", F.lit(30.0)), tracking, steps, bench, 1e6)
+    return s.select("section", "strategy", "metric", F.round("value", 2).alias("value"))
 
 
 @query("SELECT l_suppkey AS config_hash, l_partkey % 7 AS from_ns, l_partkey % 5 AS to_ns, l_linenumber AS manifest_hashes, count(*) AS runs FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -810,19 +817,21 @@ def s8_climax(spark, sf):
 
 @query()
 def s10_adaptive_whales(spark, sf):
-    return features.whale_flow(features.adaptive_whales(tr(spark, sf), 500.0, 3 * DAY_NS, 1.0), DAY_NS).select(*PLACE, d("flow", 4))
+    return features.whale_flow(features.adaptive_whales(tr(spark, sf), 500.0, 3 * DAY_NS, 1.0), DAY_NS).select(*PLACE, d("flow", 2))
 
 
 @query()
 def s11_depth(spark, sf):
     lv = book.book_levels(book.book_continuity(_book(spark, sf)))
     times = lv.groupBy("symbol_id").agg(F.explode(F.sequence(F.min("from_ns"), F.max("from_ns"), F.lit(25).cast("long"))).alias("ts_ns"))
-    return book.depth(book.levels_at(lv, times, ["symbol_id"], 100), 5000.0, ["symbol_id"])
+    return book.depth(book.levels_at(lv, times, ["symbol_id"], 100), 5000.0, ["symbol_id"], tick=0.5)
 
 
 @query()
 def s12_wall_persistence(spark, sf):
-    return book.wall_persistence(book.book_levels(book.book_continuity(_book(spark, sf))), 5.0)
+    c = book.book_continuity(_book(spark, sf))
+    mids = book.top_of_book(c).select("symbol_id", "recv_ts_ns", "mid")
+    return book.wall_persistence(book.book_levels(c), mids, 5000.0, 200.0, ("symbol_id",)).select("symbol_id", "side", "walls", d("mean_ns"), "longest_ns")
 
 
 @query()
@@ -849,6 +858,18 @@ def s20_grade_horizons(spark, sf):
     return grading.grade_horizons(_hits(spark, sf), _prices(spark, sf), h, _baseline(spark, sf)).select("horizon", "rule", "n", "wins", d("avg_excess"))
 
 
+@query()
+def s23_promotion_gates(spark, sf):
+    m = _metrics(spark, sf)
+    ref = m.where("bucket = 0").select("strategy", F.col("expectancy").cast("double").alias("reference_expectancy"), F.col("gross_loss").cast("double").alias("_g"))
+    stage = F.element_at(F.array(*(F.lit(x) for x in ("WalkForward", "Paper", "LiveSmall", "LiveScaled"))), (F.col("bucket") % 4 + 1).cast("int"))
+    rows = m.join(ref, "strategy").withColumns({
+        "stage": stage, "expectancy": F.col("expectancy").cast("double"), "positive_windows": F.col("hit_rate"), "plateau": F.col("trades") % 5 > 0, "age_days": F.col("trades") % 40, "clean": F.col("trades") % 5 > 0,
+        "owner": F.col("trades") % 3 == 0, "slippage_ratio": F.col("gross_loss").cast("double") / F.col("_g"), "drawdown": F.col("gross_loss").cast("double"), "budget": F.lit(2_000_000.0), "recent_expectancy": F.col("expectancy").cast("double"),
+    })
+    return trades.promotion_gates(rows).select("strategy", "bucket", "stage", F.array_join("reasons", ",").alias("reasons"), "demote_to")
+
+
 @query()
 def s23_stage_gate(spark, sf):
     m = _metrics(spark, sf).withColumn("max_drawdown", F.col("gross_loss").cast("double"))
@@ -865,3 +886,6 @@ def s24_param_stability(spark, sf):
 def s26_coverage_share(spark, sf):
     g = quality.disconnect_gaps(me(spark, sf), END_NS).select(*KEY, F.col("from_ns").alias("start"), F.col("to_ns").alias("end"))
     return intervals.coverage_share(g, KEY, 1704240000000000000, 1704672000000000000).select(*KEY, d("coverage"))
+
+
+ORACLE_SQL.update(oracles.oracles(ME, BARS, GRADES, METRICS, DAY_NS))
