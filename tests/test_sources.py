@@ -1,14 +1,15 @@
 """Readers, normalisers, sinks and streaming twins."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars, core, features, quality
+from tidemark.operators import bars, core, features, monitor, quality
 from tidemark.operators.intervals import CoverageError
 from tidemark.plans import features as plug
-from tidemark.sources import normalize, reader, sinks
+from tidemark.sources import adapters, normalize, reader, sinks
 from tidemark.streaming import online
 
 DAY = 86_400 * 10**9
@@ -166,6 +167,44 @@ def test_streaming_features_equal_batch(spark, tmp_path):
     assert {r["stream_seq"]: r["value"] for r in got.collect()} == {r["stream_seq"]: r["value"] for r in features.cvd(t).collect()}
 
 
+def test_streaming_features_of_all_kinds_equal_batch(spark, tmp_path):
+    e = adapters.market_events(spark, "/root/testdata/sf0.001")
+    kind = lambda k: e.where(F.col("kind") == k)
+    out = online.features(stream(spark, e, tmp_path, "all"), DAY, 900.0, 600.0, DAY, 3, 4)
+    got = {(r["feature"], r["venue"], r["symbol_id"], r["recv_ts_ns"]): r["value"] for r in drain(out, "all_out", tmp_path).collect()}
+    daily = bars.time_bars(kind("trade"), DAY)
+    batch = {
+        "cvd": features.cvd(kind("trade")), "whale_print": core.whale_prints(kind("trade"), 600), "oi_delta": features.oi_delta(kind("open_interest")), "liq_cluster": features.liq_cluster(kind("liquidation"), DAY, 900.0),
+        "realized_vol": features.realized_vol(daily, 3).withColumn("recv_ts_ns", F.col("emit_ts_ns")), "donchian": features.donchian(daily, 4).withColumn("recv_ts_ns", F.col("emit_ts_ns")),
+    }
+    want = {(n, r["venue"], r["symbol_id"], r["recv_ts_ns"]): float(r["value"]) for n, df in batch.items() for r in df.collect()}
+    assert {k[0] for k in want} == set(batch) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+
+
+def test_streaming_alerts_equal_batch(spark, tmp_path):
+    hour = 3_600 * 10**9
+    rows = [(f"a{i}", ("P1", "P2", "P3")[i % 3], 30 * hour, None if i % 4 else f"k{i % 3}", i * 2 * hour + i) for i in range(40)]
+    a = spark.createDataFrame(rows, "id string, severity string, dedupe_window_ns long, dedupe_key string, ts_ns long")
+    quiet = (22 * 60, 6 * 60)
+    got = drain(online.route_alerts(stream(spark, a, tmp_path, "al"), quiet), "alerts_out", tmp_path)
+    key = lambda df: sorted((r["id"], r["severity"], r["ts_ns"], r["outcome"], r["channel"]) for r in df.collect())
+    assert key(got) == key(monitor.route_alerts(a, quiet)) and {r["outcome"] for r in got.collect()} == {"Sent", "Batched", "Deduped"}
+
+
+def test_streaming_deadman(spark, tmp_path):
+    b = spark.createDataFrame([("gw", 5, False), ("gw", 9, True), ("ui", 7, False)], "proc string, ts_ns long, critical boolean")
+    q = online.deadman(stream(spark, b, tmp_path, "beats"), 300, 3, True).writeStream.format("memory").queryName("dead_out").outputMode("append").option("checkpointLocation", str(tmp_path / "dead_ck")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("dead_out").count() >= 2:
+                break
+            time.sleep(0.5)
+        assert {(r["proc"], r["last_ns"], r["severity"], r["dedupe_key"]) for r in spark.table("dead_out").collect()} == {("gw", 9, "P1", "deadman:gw"), ("ui", 7, "P2", "deadman:ui")}
+    finally:
+        q.stop()
+
+
 def test_streaming_screen(spark, tmp_path):
     rows = [("cvd", 1, t, t, v, 0) for t, v in ((1, 3.0), (2, 7.0), (3, 8.0), (4, 1.0), (5, 9.0))]
     f = spark.createDataFrame(rows, "feature string, symbol_id long, emit_ts_ns long, emit_seq long, value double, reg_idx int")

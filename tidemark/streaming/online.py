@@ -8,6 +8,7 @@ order both give the same results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.scalar import DAY_NS
 from tidemark.operators.core import KEYS
-from tidemark.operators.monitor import Deduper
+from tidemark.operators.monitor import CHANNELS, Deduper
 from tidemark.operators.screener import Condition
 from tidemark.operators.trades import Position
 
@@ -81,6 +83,79 @@ def running_oi_delta(oi: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return keyed_fold(oi.withColumn("oi_contracts", F.col("oi_contracts").cast("double")), keys, lambda: {"x": None}, step, freeze, thaw, "recv_ts_ns long, stream_seq long, value double")
 
 
+class Online:
+    """Every feature of one key, event by event: what the batch features give for the same rows."""
+
+    def __init__(self, window_ns: int, min_notional: float, whale: float, tf_ns: int, vol_bars: int, range_bars: int, state: dict | None = None):
+        self.set = {"window_ns": window_ns, "min_notional": min_notional, "whale": whale, "tf_ns": tf_ns, "vol_bars": vol_bars, "range_bars": range_bars}
+        self.s = state or {"cvd": 0.0, "oi": None, "liqs": [], "bar": None, "close": None, "returns": [], "ranges": []}
+
+    def event(self, kind: str, ts: int, side: str | None, price: float | None, qty: float | None, oi: float | None, rate: float | None) -> list[tuple[str, float]]:
+        s, sign = self.s, 1.0 if side == "Buy" else -1.0
+        if kind == "open_interest":
+            before, s["oi"] = s["oi"], oi
+            return [] if before is None else [("oi_delta", oi - before)]
+        if kind == "funding":
+            return [("funding", rate)]
+        if kind == "liquidation":
+            s["liqs"] = [(t, v) for t, v in s["liqs"] if t >= ts - self.set["window_ns"]] + [(ts, sign * price * qty)]
+            total = sum(v for _, v in s["liqs"])
+            return [("liq_cluster", total)] if abs(total) >= self.set["min_notional"] else []
+        if kind != "trade":
+            return []
+        out = self.bar(ts - ts % self.set["tf_ns"], price)
+        s["cvd"] += sign * qty
+        out.append(("cvd", s["cvd"]))
+        if price * qty >= self.set["whale"]:
+            out.append(("whale_print", sign * price * qty))
+        return out
+
+    def bar(self, start: int, price: float) -> list[tuple[str, float]]:
+        """Take a trade's price into the running bar; features of the bar that it closes."""
+        s, old = self.s, self.s["bar"]
+        if old and old[0] == start:
+            s["bar"] = [start, max(old[1], price), min(old[2], price), price]
+            return []
+        s["bar"] = [start, price, price, price]
+        if not old:
+            return []
+        _, high, low, close = old
+        out = []
+        if s["close"] is not None and s["close"] > 0 and close > 0:
+            s["returns"] = [*s["returns"], math.log(close / s["close"])][-self.set["vol_bars"] :]
+        s["close"] = close
+        if len(s["returns"]) == self.set["vol_bars"]:
+            out.append(("realized_vol", math.sqrt(sum(r * r for r in s["returns"]))))
+        n, before = self.set["range_bars"], s["ranges"]
+        if len(before) >= n - 1:
+            full = len(before) == n
+            out.append(("donchian", 1.0 if full and close > max(h for h, _ in before) else -1.0 if full and close < min(x for _, x in before) else 0.0))
+        s["ranges"] = [*before, (high, low)][-n:]
+        return out
+
+
+def features(events: DataFrame, window_ns: int, min_notional: float, whale: float, tf_ns: int, vol_bars: int, range_bars: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, recv_ts_ns, stream_seq, feature, value) of a stream of all kinds of events, in one fold."""
+    names = ("side", "price", "qty", "oi_contracts", "rate")
+    values = {n: F.col(n).cast("string" if n == "side" else "double") if n in events.columns else F.lit(None).cast("string" if n == "side" else "double") for n in names}
+    e = events.withColumns(values)
+    of = lambda r, n: None if r[n] is None or r[n] != r[n] else r[n]
+
+    def step(o: Online, r: dict) -> list[tuple]:
+        found = o.event(r["kind"], int(r["recv_ts_ns"]), *(of(r, n) for n in names))
+        return [(r["recv_ts_ns"], r["stream_seq"], name, v) for name, v in found if v is not None and math.isfinite(v)]
+
+    start = lambda state=None: Online(window_ns, min_notional, whale, tf_ns, vol_bars, range_bars, state)
+    freeze, thaw = _json()
+    return keyed_fold(e, keys, start, step, lambda o: freeze(o.s), lambda t: start(thaw(t)), "recv_ts_ns long, stream_seq long, feature string, value double")
+
+
+def top_imbalance(book: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Imbalance of the best sizes after each applied book event, where both sides are known."""
+    t = book_mirror(book, keys).where("bid_qty is not null and ask_qty is not null")
+    return t.select(*keys, "recv_ts_ns", "stream_seq", ((F.col("bid_qty") - F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty"))).alias("value"))
+
+
 def screen(features: DataFrame, rules: dict[str, Sequence[Condition]], keys: Sequence[str] = ("symbol_id",)) -> DataFrame:
     """Edge-triggered hits over a stream of (keys, feature, value, emit_ts_ns, emit_seq, reg_idx)."""
     test = {"Gt": lambda a, b: a > b, "Ge": lambda a, b: a >= b, "Lt": lambda a, b: a < b, "Le": lambda a, b: a <= b}
@@ -139,29 +214,55 @@ def ledger(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keyed_fold(fills, keys, Position, step, lambda p: _json()[0](p.__dict__), thaw, "ts_ns long, seq long, qty double, avg double, realized double, attributed_fees double", ("ts_ns", "seq"))
 
 
-def route_alerts(alerts: DataFrame) -> DataFrame:
-    """Alerts that pass their key's window since the last one sent."""
+def route_alerts(alerts: DataFrame, quiet: tuple[int, int] | None = None) -> DataFrame:
+    """``outcome`` (Deduped, Batched in quiet hours, or Sent) and ``channel`` of each alert, as in batch."""
 
     def step(d: Deduper, r: dict) -> list[tuple]:
-        return [(r["id"], r["severity"], r["ts_ns"])] if d.send(int(r["ts_ns"]), int(r["dedupe_window_ns"])) else []
-
-    return keyed_fold(alerts, ("dedupe_key",), Deduper, step, lambda d: _json()[0](d.last), lambda t: Deduper(_json()[1](t)), "id string, severity string, ts_ns long", ("ts_ns",))
-
-
-def silent_streams(events: DataFrame, limit_ms: int, key: str = "topic", ts: str = "recv_ts_ns") -> DataFrame:
-    """(key, last_ns) of keys from which nothing came for ``limit_ms`` of processing time: staleness and dead-man checks."""
-
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = int(r["ts_ns"])
+        outcome = "Sent" if d.send(now, int(r["dedupe_window_ns"])) else "Deduped"
+        if outcome == "Sent" and quiet and r["severity"] == "P3":
+            minute = now % DAY_NS // 60_000_000_000
+            a, b = quiet
+            if a <= minute < b if a <= b else minute >= a or minute < b:
+                outcome = "Batched"
+        return [(r["id"], r["severity"], now, outcome, CHANNELS.get(r["severity"]))]
+
+    keyed = alerts.withColumn("dedupe_key", F.coalesce("dedupe_key", "id"))
+    return keyed_fold(keyed, ("dedupe_key",), Deduper, step, lambda d: _json()[0](d.last), lambda t: Deduper(_json()[1](t)), "id string, severity string, ts_ns long, outcome string, channel string", ("ts_ns",))
+
+
+def silent_streams(events: DataFrame, limits_ms: dict[str, int], default_ms: int, key: str = "topic", ts: str = "recv_ts_ns", extra: str | None = None) -> DataFrame:
+    """(key, last_ns, limit_ms and the last value of the column ``extra``) of keys from which nothing came for
+    their limit of processing time; a limit of zero or less never complains."""
+    name, types = extra or "_extra", dict(events.dtypes)
+    e = events if extra else events.withColumn(name, F.lit(None).cast("boolean"))
+    kind = types.get(name, "boolean")
+
+    def run(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        limit = limits_ms.get(str(of[0]), default_ms)
         if state.hasTimedOut:
-            last = state.get[0]
+            last, value = state.get
             state.remove()
-            yield pd.DataFrame({key: [name[0]], "last_ns": [last]})
+            yield pd.DataFrame({key: [of[0]], "last_ns": [last], "limit_ms": [limit], name: [value]})
             return
-        last = max(int(b[ts].max()) for b in batches)
-        state.update((max(last, state.get[0]) if state.exists else last,))
-        state.setTimeoutDuration(limit_ms)
-
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {dict(events.dtypes)[key]}, last_ns long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        last, value = state.get if state.exists else (None, None)
+        for b in batches:
+            if len(b) and (last is None or b[ts].max() >= last):
+                row = b.loc[b[ts].idxmax()]
+                last, value = int(row[ts]), None if pd.isna(row[name]) else row[name]
+        state.update((last, value))
+        if limit > 0:
+            state.setTimeoutDuration(limit)
+
+    found = e.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, last_ns long, limit_ms long, {name} {kind}", f"last long, value {kind}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return found if extra else found.drop(name)
+
+
+def deadman(beats: DataFrame, interval_ms: int, misses: int, live: bool) -> DataFrame:
+    """Processes (proc, ts_ns, critical) silent for more than ``misses`` intervals: severity and dedupe key as in batch."""
+    silent = silent_streams(beats, {}, interval_ms * misses, "proc", "ts_ns", "critical")
+    severity = F.when(F.coalesce("critical", F.lit(False)) & F.lit(live), "P1").otherwise("P2")
+    return silent.select("proc", "last_ns", severity.alias("severity"), F.concat(F.lit("deadman:"), F.col("proc").cast("string")).alias("dedupe_key"))
 
 
 def append_to(df: DataFrame, path: str, keys: Sequence[str], checkpoint: str, start: bool = True):
