@@ -412,6 +412,71 @@ def test_quality_on_held_out(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_equals_plain_discriminant(spark):
+    """Every score against the textbook formula on explicit covariance matrices, inverted as a whole."""
+    docs, labels = spark.read.parquet(f"{TESTDATA}/documents.parquet"), spark.read.parquet(f"{TESTDATA}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, crc_fold("doc_id", 3) != 1).collect()}
+    x = {r["doc_id"]: np.array(quality.statistics(r["text"])) for r in docs.select("doc_id", "text").collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    rows = {c: np.array([x[i] for i in y if y[i] == c and i in x]) for c in (0, 1)}
+    every = np.concatenate(list(rows.values()))
+    mean, sd = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-6))
+    pooled, d, parts = np.cov(every.T, bias=True) / np.outer(sd, sd), every.shape[1], {}
+    for c, part in rows.items():
+        cov = 0.9 * np.cov(part.T, bias=True) / np.outer(sd, sd) + 0.1 * pooled
+        cov = 0.95 * cov + 0.05 * np.eye(d) * np.trace(cov) / d + 1e-9 * np.eye(d)
+        parts[c] = ((part.mean(0) - mean) / sd, np.linalg.inv(cov), np.linalg.slogdet(cov)[1], np.log(len(part) / len(every)))
+    for i, v in x.items():
+        z = (v - mean) / sd
+        density = {c: prior - 0.5 * det - 0.5 * (z - m) @ inv @ (z - m) for c, (m, inv, det, prior) in parts.items()}
+        want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / 4.0, -30, 30)))
+        assert abs(got[i] - want) < 1e-6
+
+
+def test_language_equals_plain_average(spark):
+    """Every prediction against the embeddings averaged subword by subword."""
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    model = langid.train(docs, crc_fold("doc_id", 4) != 2)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").limit(40).collect()}
+    for r in langid.identify(docs.where(F.col("doc_id").isin(list(texts))), model).collect():
+        raw = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in (" " + texts[r["doc_id"]] + " ").encode())
+        total, count = np.zeros(len(model.langs)), 0
+        for n in langid.ORDERS:
+            for at in range(len(raw) - n + 1):
+                h = 0
+                for k, c in enumerate(raw[at : at + n], 1):
+                    h = (h * 16777619 + c + k) % 2**32
+                total += model.table[(h * 2654435761 % 2**32) >> 17]
+                count += 1
+        p = np.exp((total / count + model.bias) / model.temperature)
+        p /= p.sum()
+        assert r["lang_pred"] == model.langs[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+    assert {langid.identify(docs, model, reject=1.01).select("lang_pred").distinct().first()[0]} == {"und"}
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word " * 250_000), (5, "same text here"), (5, "same text here"), (None, "no id")]
+
+
+def test_scans_and_classifiers_on_odd_rows(spark):
+    """Null, empty, very long and repeated texts, a missing id, clashing columns and an empty table."""
+    docs, labels = spark.read.parquet(f"{TESTDATA}/documents.parquet"), spark.read.parquet(f"{TESTDATA}/labels.parquet")
+    odd = docs_df(spark, ODD).withColumns({"score": F.lit(3.0), "f": F.lit(1), "y": F.lit(2), "lang_pred": F.lit("x"), "ids": F.lit(0), "spans": F.lit(0), "lang": F.lit(None).cast("string")})
+    both = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id > 10"))
+    twice = labels.unionByName(labels)  # a label given twice counts once
+    first = {r["doc_id"]: r["score"] for r in quality.classify(both, labels).where("doc_id > 10").collect()}
+    assert {r["doc_id"]: r["score"] for r in quality.classify(both, twice).where("doc_id > 10").collect()} == pytest.approx(first)
+    model = langid.train(docs, F.lit(True))
+    keys = secrets.train(odd)
+    results = {
+        "quality": lambda d: quality.classify(d, labels), "keep": lambda d: quality.keep(d, labels, least=0.0), "language": lambda d: langid.identify(d, model),
+        "licences": licenses.scan, "secrets": lambda d: secrets.scan(d, keys), "redacted": lambda d: secrets.scan(d, keys, redact=True), "packing": lambda d: packing.tokenize_pieces(d).where("piece = 0"),
+    }
+    for name, apply in results.items():
+        assert apply(odd).count() == len(ODD), name
+        assert apply(odd.limit(0)).count() == 0, name
+    assert langid.train(odd, F.lit(True)).langs == []
+
+
 def test_language_on_held_out(spark):
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     model = langid.train(docs, crc_fold("doc_id", 4) != 2)
