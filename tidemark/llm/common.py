@@ -37,11 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 _staged: list[str] = []  # paths of all tables of ``stage``, in order
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back (survives lost executors)."""
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back (survives lost executors).
+
+    ``rows`` caps the rows of the Arrow batches of this job alone: whole texts in batches of the
+    session's size (10,000) take hundreds of MB in every task.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ROWS)
+    if rows:
+        spark.conf.set(ROWS, str(rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ROWS, before)
     _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -65,10 +78,10 @@ def release(spark: SparkSession, *staged: DataFrame) -> None:
         time.sleep(0.2)
 
 
-def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+def settled(make: Callable[[], DataFrame], name: str, rows: int | None = None) -> DataFrame:
     """Write what ``make`` returns, then delete the tables that it staged on the way."""
     before = len(_staged)
-    out = stage(make(), name)
+    out = stage(make(), name, rows)
     own = _staged[before:-1]
     del _staged[before:-1]
     _delete(out.sparkSession, own)

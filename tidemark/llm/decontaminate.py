@@ -299,7 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 24, residual:
     items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes())) if len(x[1])]
     if not items:
         return spark.createDataFrame([], MATCH)
-    toks = stage(tokens(docs), "words")
+    toks = stage(tokens(docs), "words", 1000)
     idf = term_weights(*document_frequencies(toks), items)
     embed = latent_basis(toks, idf, rank, residual) * idf[:, None]
     blocks = [search(toks, items[i : i + MAX_ITEMS], embed, min_cosine, min_lcs, min_paraphrase) for i in range(0, len(items), MAX_ITEMS)]

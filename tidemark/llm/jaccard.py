@@ -48,6 +48,7 @@ from tidemark.llm.substrings import BASES, Powers, Prefix, _by_key, mix
 
 PIECE = 1 << 22
 BLOCK = 4096
+BATCH = 1000  # texts of an Arrow batch
 WIDE = 1024  # bits of the fixed sketch
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -276,7 +277,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep.append(enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = stage(_packed(docs, stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")), "texts")
+    texts = stage(_packed(docs, stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")), "texts", BATCH)
     a, b = (texts.select(F.col("id").alias(end), F.col("z").alias(f"z{end}")) for end in ("a", "b"))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
@@ -344,12 +345,12 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union."""
     spark = docs.sparkSession
-    every = stage(_signatures(docs, words), "signatures")
+    every = stage(_signatures(docs, words), "signatures", BATCH)
     docs, sig = docs.where("doc_id is not null"), every.where("doc_id is not null")
     classes = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     member = stage(sig.drop("wide").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     sketches = sig.select(F.col("doc_id").alias("id"), "n", "wide").dropDuplicates(["id"])
-    groups = stage(_groups(_keys(docs, words, percent), percent), "groups")
+    groups = stage(_groups(_keys(docs, words, percent), percent), "groups", BATCH)
     release(spark)  # the keys, the largest shuffle
     pairs = groups.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     possible = stage(_possible(pairs, sketches, percent), "possible")
@@ -358,7 +359,7 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     def tested(more: DataFrame) -> None:
         nonlocal links, roots
         if more.limit(1).count():
-            links = links.unionByName(settled(lambda: _verified(more, docs, words, percent), "links"))
+            links = links.unionByName(settled(lambda: _verified(more, docs, words, percent), "links", BATCH))
         elif roots is not None:
             return
         roots = settled(lambda: components(links), "roots")

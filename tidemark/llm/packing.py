@@ -183,13 +183,13 @@ def assign(pieces: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFra
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None) -> DataFrame:
     """Pieces of every document with their places: the operator as a whole."""
-    pieces = stage(tokenize_pieces(docs, ranks_path, capacity, end_id), "pieces")
+    pieces = stage(tokenize_pieces(docs, ranks_path, capacity, end_id), "pieces", 1000)
     return assign(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, input_ids and the document spans within."""
-    pieces = stage(tokenize_pieces(docs, ranks_path, capacity, end_id, with_ids=True), "pieces")
+    pieces = stage(tokenize_pieces(docs, ranks_path, capacity, end_id, with_ids=True), "pieces", 1000)
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     return (
         assign(pieces, capacity).groupBy("sequence_id").agg(parts.alias("p"))

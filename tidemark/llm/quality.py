@@ -166,13 +166,13 @@ def score(feats: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """(doc_id, score) of every document."""
-    feats = stage(features(docs), "quality")
+    feats = stage(features(docs), "quality", 1000)
     return score(feats, train(feats, labels, learn=learn))
 
 
 def keep(docs: DataFrame, labels: DataFrame, learn: Column | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``least`` or more: nothing is shuffled but the labels' join."""
-    model = train(settled(lambda: features(docs), "quality"), labels, learn=learn)
+    model = train(settled(lambda: features(docs), "quality", 1000), labels, learn=learn)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
