@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_blas_thread, stage
 
-PAGE = 64
+PAGE = 128
 SPLIT = 1 << 15
 CHUNK = 1 << 16
 MAX_LEAVES = 1 << 16
@@ -211,6 +211,7 @@ class Leaf:
         self.near, self.far = self.dist[self.first], self.dist[np.append(self.first[1:], len(ids)) - 1]
         self.top = np.maximum.reduceat(self.norm, self.first)
         self.exact = float(np.abs(x).max(initial=0)) * x.shape[1]
+        self.floats = self.x.astype(float)
 
     def search(self, own: int, q: np.ndarray, q_norm: float, to_pivot: float, floor: float, k: int) -> tuple[dict[int, int], int]:
         """The best ``k`` ids with their scores, as far as they reach ``floor``; and how many products that took."""
@@ -218,7 +219,7 @@ class Leaf:
         heap = [(-b, i) for i, b in enumerate(_bound(q_norm, self.top, gap).tolist())]
         heapq.heapify(heap)
         best: dict[int, int] = {}
-        done, exact = 0, self.exact * float(np.abs(q).max(initial=0)) < 2**53
+        done, exact, q_float = 0, self.exact * float(np.abs(q).max(initial=0)) < 2**53, q.astype(float)
         while heap and -heap[0][0] >= floor:
             a = heapq.heappop(heap)[1] * PAGE
             page = slice(a, a + PAGE)
@@ -227,9 +228,12 @@ class Leaf:
             if not len(live):
                 continue
             done += len(live)
-            score = (self.x[live].astype(float) @ q.astype(float)).astype(np.int64) if exact else self.x[live] @ q
-            for i, s in zip(self.ids[live].tolist(), score.tolist()):
-                if s >= floor and s > best.get(i, s - 1):
+            score = (self.floats[live] @ q_float).astype(np.int64) if exact else self.x[live] @ q
+            good = score >= floor
+            if not good.any():
+                continue
+            for i, s in zip(self.ids[live[good]].tolist(), score[good].tolist()):
+                if s > best.get(i, s - 1):
                     best[i] = s
             if len(best) > k:
                 best = dict(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k])
