@@ -285,6 +285,26 @@ def order_compliance(orders: DataFrame, limits: dict[str, float]) -> DataFrame:
     return orders.withColumn("reject", F.coalesce(*(F.when(c, F.lit(n)) for n, c in rules)))
 
 
+def compliance_inputs(orders: DataFrame, positions: DataFrame, marks: DataFrame, exposure: DataFrame, strategy_pnl: DataFrame, portfolio_pnl: DataFrame, allow: DataFrame, kills: DataFrame, internal: DataFrame, venue: DataFrame, tol: float, window_ns: int = 60_000_000_000) -> DataFrame:
+    """What ``order_compliance`` reads, joined to each order as it was known when the order came.
+
+    ``orders``: portfolio, strategy, venue, symbol_id, ts_ns, seq, side, qty, price, mode_allows. The others carry ts_ns
+    and their keys: positions (position_qty) and the P&L of the day so far count strictly before the order; marks (mark)
+    and exposure (portfolio, gross_exposure) up to its time. What is not known counts as zero, an unknown
+    venue as reconciled.
+    """
+    o = trailing_order_count(allow_and_kill_flags(orders, allow, kills), ["strategy"], "ts_ns", "seq", window_ns)
+    o = asof(o, positions, ["strategy", "venue", "symbol_id"], "ts_ns", "ts_ns", ["position_qty"], "seq", strict=True)
+    o = asof(o, marks, ["symbol_id"], "ts_ns", "ts_ns", ["mark"])
+    o = asof(o, exposure, ["portfolio"], "ts_ns", "ts_ns", ["gross_exposure"])
+    for name, pnl in (("strategy", strategy_pnl), ("portfolio", portfolio_pnl)):
+        p = pnl.select(name, "ts_ns", "seq", F.col("daily_pnl").alias(f"{name}_pnl"), bucket("ts_ns", DAY_NS).alias("_day"))
+        o = asof(o, p, [name], "ts_ns", "ts_ns", [f"{name}_pnl", "_day"], "seq", strict=True)
+        o = o.withColumn(f"{name}_pnl", F.when(F.col("_day") == bucket("ts_ns", DAY_NS), F.col(f"{name}_pnl")).otherwise(0.0)).drop("_day")
+    clean = reconciliation_status(internal, venue, tol).select("venue", F.col("clean").alias("reconciled"))
+    return o.join(clean, "venue", "left").withColumn("reconciled", F.coalesce("reconciled", F.lit(True))).fillna(0.0, ["position_qty", "mark", "gross_exposure"])
+
+
 # Legal order transitions, "state event" to next state.
 TRANSITIONS = {
     "RiskChecked Submit": "Submitted", "Submitted Ack": "Acked", "Submitted Reject": "Rejected", "Submitted AckTimeout": "Unknown",

@@ -455,6 +455,37 @@ def ta4_order_compliance(spark, sf):
     return trades.order_compliance(o, RISK).select("o_orderkey", "reject")
 
 
+GATE = {"max_order_notional": 2500.0, "max_position_notional": 2500.0, "max_gross": 9000.0, "max_px_dev": 0.8, "max_orders_per_min": 2, "strategy_loss": 200.0, "portfolio_loss": 600.0}
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS seq, o_orderpriority AS strategy, o_custkey AS symbol_id, CASE WHEN o_custkey % 3 > 0 THEN 'okx' ELSE 'kraken_futures' END AS venue, epoch_us(o_orderdate) * 1000 AS dy, epoch_us(o_orderdate) * 1000 + (o_orderkey % 86400) * 1000000000 AS ts,
+  CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sg, (o_orderkey % 7 + 1)::DOUBLE AS qty, round(o_totalprice / 1000, 2) AS price, round(o_totalprice / 100000, 4) * (o_orderkey % 3 - 1) * 100 AS inc FROM orders),
+x AS (SELECT *, coalesce(sum(sg * qty) OVER (PARTITION BY strategy, venue, symbol_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, max(price) OVER (PARTITION BY symbol_id, dy) AS mark, sum(qty * price) OVER (PARTITION BY dy) AS gross,
+  row_number() OVER (PARTITION BY strategy ORDER BY ts, seq) - 1 - count(*) OVER (PARTITION BY strategy ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000000 PRECEDING) AS n,
+  sum(inc) OVER (PARTITION BY strategy, dy ORDER BY ts, seq) - first_value(inc) OVER (PARTITION BY strategy, dy ORDER BY ts, seq) AS sp, sum(inc) OVER (PARTITION BY dy ORDER BY ts, seq) - first_value(inc) OVER (PARTITION BY dy ORDER BY ts, seq) AS pp FROM f),
+y AS (SELECT *, coalesce(lag(sp) OVER (PARTITION BY strategy, dy ORDER BY ts, seq), 0) AS s_pnl, coalesce(lag(pp) OVER (PARTITION BY dy ORDER BY ts, seq), 0) AS p_pnl FROM x)
+SELECT seq AS order_id, CASE WHEN seq % 11 = 0 THEN 'RG-1' WHEN symbol_id % 13 = 0 THEN 'RG-2' WHEN qty * price > 2500 THEN 'RG-3' WHEN abs(pos + sg * qty) * mark > 2500 THEN 'RG-4' WHEN gross + qty * price > 9000 THEN 'RG-5' WHEN mark > 0 AND abs(price - mark) / mark > 0.8 THEN 'RG-6'
+  WHEN n >= 2 THEN 'RG-7' WHEN round(s_pnl, 6) < -200 THEN 'RG-8' WHEN round(p_pnl, 6) < -600 THEN 'RG-9' WHEN strategy = '5-LOW' THEN 'RG-10' WHEN venue = 'kraken_futures' THEN 'RG-11' END AS reject FROM y""")
+def ta4_composed_compliance(spark, sf):
+    f = adapters.fills(spark, sf).withColumns({"portfolio": F.lit("all"), "venue": F.when(F.col("symbol_id") % 3 > 0, "okx").otherwise("kraken_futures"), "day": F.col("ts_ns"), "ts_ns": F.col("ts_ns") + (F.col("seq") % 86_400) * 1_000_000_000})
+    orders = f.select("portfolio", "strategy", "venue", "symbol_id", "ts_ns", "seq", "side", "qty", "price", (F.col("seq") % 11 != 0).alias("mode_allows"))
+    positions = core.running(f, sc.signed("qty"), ("strategy", "venue", "symbol_id"), "position_qty", ts="ts_ns", seq=("seq",))
+    marks = f.groupBy("symbol_id", F.col("day").alias("ts_ns")).agg(F.max("price").alias("mark"))
+    exposure = f.groupBy("portfolio", F.col("day").alias("ts_ns")).agg(F.sum(F.col("qty") * F.col("price")).alias("gross_exposure"))
+    inc = f.withColumn("inc", F.col("fee") * (F.col("seq") % 3 - 1) * 100)
+
+    def pnl(key):
+        equity = core.running(inc, F.col("inc"), (key,), "equity", ts="ts_ns", seq=("seq",))
+        return trades.daily_pnl(equity, [key]).withColumn("daily_pnl", F.round("daily_pnl", 6))
+
+    allow = f.where("symbol_id % 13 <> 0").select("venue", "symbol_id").distinct()
+    kills = f.select(F.lit("strategy").alias("scope"), F.col("strategy").alias("target")).where("target = '5-LOW'").distinct()
+    held = f.groupBy("venue", "symbol_id").agg(F.sum(sc.signed("qty")).alias("qty"))
+    told = held.withColumn("qty", F.when(F.col("venue") == "okx", F.col("qty")).otherwise(F.col("qty") + 1))
+    o = trades.compliance_inputs(orders, positions, marks, exposure, pnl("strategy"), pnl("portfolio"), allow, kills, held, told, 1e-6, 3_600_000_000_000)
+    return trades.order_compliance(o, GATE).select(F.col("seq").alias("order_id"), "reject")
+
+
 @query("""SELECT o_orderkey, round(raw, 7) AS raw, round(CASE WHEN floor(raw / 0.5) * 0.5 * 100 < 2000 THEN 0 ELSE floor(raw / 0.5) * 0.5 END, 4) AS qty FROM (SELECT o_orderkey, greatest(1, 0) * greatest(o_totalprice * (o_custkey % 10) / 10.0, 0) * 0.005 / (1.5 * (0.01 + o_orderkey % 5 / 100.0) * 100) AS raw FROM orders)""")
 def ta3_size_orders(spark, sf):
     o = adapters.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("symbol_id"), F.lit(5).alias("ts_ns"), F.col("o_totalprice").alias("equity"), (F.col("o_custkey") % 10 / 10.0).alias("weight"), F.lit(1.0).alias("risk_units"), F.lit(1.5).alias("k_stop"), F.lit(0.5).alias("step_size"), F.lit(2000.0).alias("min_notional"))
