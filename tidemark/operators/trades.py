@@ -216,6 +216,7 @@ def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys:
     led = ledger.withColumns({"cum_realized": F.sum("realized").over(run), "cum_fees": F.sum("fee").over(run), "cum_cash": F.sum(-F.col("fill_qty") * F.col("price") - F.col("fee")).over(run)})
     times = marks.join(ledger.select(*keys).distinct(), by_mark)
     at = asof(times, led, keys, "ts_ns", "ts_ns", ["qty", "avg", "cum_realized", "cum_fees", "cum_cash"], "seq")
+    funding = funding.groupBy(*keys, "ts_ns").agg(F.sum("paid").alias("paid"))  # several at one time count together
     paid = funding.withColumn("cum_funding", F.sum("paid").over(Window.partitionBy(*keys).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)))
     at = asof(at, paid, keys, "ts_ns", "ts_ns", ["cum_funding"])
     z = lambda c: F.coalesce(c, F.lit(0.0))

@@ -29,6 +29,15 @@ lv AS (SELECT u.symbol_id, u.epoch, u.side, u.price, u.qty, u.n AS from_ns, coal
 li AS (SELECT * FROM lv WHERE qty > 0), tt AS (SELECT symbol_id, unnest(range(min(from_ns), max(from_ns) + 1, 25)) AS ts_ns FROM li GROUP BY symbol_id),
 la AS (SELECT tt.*, side, price, qty FROM tt JOIN li ON tt.symbol_id = li.symbol_id AND from_ns <= ts_ns AND (to_ns IS NULL OR ts_ns < to_ns))
 """
+#: An average-cost ledger of each customer's orders, fill by fill.
+LEDGER = """
+fl AS MATERIALIZED (SELECT o_orderpriority AS strategy, o_custkey AS symbol_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END * (o_orderkey % 7 + 1)::DOUBLE AS q, round(o_totalprice / 1000 + 1e-9, 2) AS price, round(o_totalprice / 100000 + 1e-9, 4) AS fee,
+  row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+lg AS (SELECT DISTINCT strategy, symbol_id, 0::BIGINT AS ts_ns, 0::BIGINT AS seq, 0::BIGINT AS n, 0.0::DOUBLE AS q, 0.0::DOUBLE AS price, 0.0::DOUBLE AS fee, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS av, 0.0::DOUBLE AS op, 0.0::DOUBLE AS gross, 0.0::DOUBLE AS attr, 0.0::DOUBLE AS closing FROM fl
+  UNION ALL SELECT strategy, symbol_id, ts_ns, seq, n, q, price, fee, total, CASE WHEN opening <> 0 AND total <> 0 THEN (av * rest + price * opening) / total WHEN total = 0 THEN 0.0 ELSE av END, CASE WHEN total <> 0 THEN op * (1 - share_in) + fee * (1 - share_out) ELSE 0.0 END, closing * (price - av) * dir, op * share_in + fee * share_out, closing
+  FROM (SELECT *, rest + opening AS total FROM (SELECT *, CASE WHEN closing > 0 THEN closing / abs(qty) ELSE 0.0 END AS share_in, CASE WHEN closing > 0 THEN closing / abs(q) ELSE 0.0 END AS share_out, q + CASE WHEN closing > 0 THEN dir * closing ELSE 0.0 END AS opening, qty - CASE WHEN closing > 0 THEN dir * closing ELSE 0.0 END AS rest
+    FROM (SELECT f.strategy, f.symbol_id, f.ts_ns, f.seq, f.n, f.q, f.price, f.fee, r.qty, r.av, r.op, CASE WHEN r.qty * f.q >= 0 THEN 0.0 ELSE least(abs(f.q), abs(r.qty)) END AS closing, CASE WHEN r.qty > 0 THEN 1.0 ELSE -1.0 END AS dir FROM lg r JOIN fl f ON f.strategy = r.strategy AND f.symbol_id = r.symbol_id AND f.n = r.n + 1))))
+"""
 #: Numbers of a text in six significant digits; the nudge decides ties alike in both engines.
 NUMBERS = """list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: CASE WHEN x::DOUBLE = 0 THEN '0' ELSE printf('%.5e', x::DOUBLE * (1 + 1e-13)) END))"""
 
@@ -127,6 +136,13 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
               WHEN 'Paper' THEN [{flag("age", "age < 14")}, {flag("divergence", "coalesce(off > 0.3, true)")}, {flag("faults", "NOT clean")}, {flag("owner", "NOT owner")}]
               WHEN 'LiveSmall' THEN [{flag("age", "age < 28")}, {flag("divergence", "coalesce(off > 0.4, true)")}, {flag("slippage", "slip > 1.5")}, {flag("faults", "NOT clean")}, {flag("owner", "NOT owner")}] ELSE []::VARCHAR[] END, lambda v: v IS NOT NULL), ','), '') AS reasons,
               CASE WHEN stage IN ('LiveSmall', 'LiveScaled') AND dd >= 2000000 THEN 'Paper' WHEN stage = 'LiveScaled' AND e < 0 THEN 'LiveSmall' WHEN stage = 'Paper' AND coalesce(off > 0.5, false) THEN 'WalkForward' END AS demote_to FROM z""",
+        "ta1_position_ledger": f"""WITH RECURSIVE {LEDGER} SELECT strategy, 'okx' AS venue, symbol_id, ts_ns, seq, q AS fill_qty, price, fee, qty, round(av + 1e-9, 6) AS avg, round(gross + 1e-9, 6) AS realized, round(attr + 1e-9, 6) AS attributed_fees, closing AS closed_qty, round(CASE WHEN closing > 0 THEN gross - attr ELSE 0 END + 1e-9, 6) AS net FROM lg WHERE n > 0""",
+        "ta2_equity": f"""WITH RECURSIVE {LEDGER}, c AS (SELECT *, sum(gross) OVER w AS cr, sum(fee) OVER w AS cf, sum(-q * price - fee) OVER w AS cc FROM lg WHERE n > 0 WINDOW w AS (PARTITION BY strategy, symbol_id ORDER BY ts_ns, seq)),
+            z AS (SELECT strategy, symbol_id, ts_ns, arg_max(qty, seq) AS qty, arg_max(av, seq) AS av, arg_max(cr, seq) AS cr, arg_max(cf, seq) AS cf, arg_max(cc, seq) AS cc FROM c GROUP BY ALL), fp AS (SELECT strategy, symbol_id, ts_ns, sum(qty * 0.001) AS paid FROM c GROUP BY ALL),
+            fu AS (SELECT strategy, symbol_id, ts_ns, sum(paid) OVER (PARTITION BY strategy, symbol_id ORDER BY ts_ns) AS funding FROM fp), mk AS (SELECT symbol_id, ts_ns, max(price) AS mark FROM fl GROUP BY ALL), t AS (SELECT mk.*, k.strategy FROM mk JOIN (SELECT DISTINCT strategy, symbol_id FROM fl) k USING (symbol_id)),
+            a AS (SELECT t.*, coalesce(z.qty, 0) AS qty, coalesce(z.av, 0) AS av, coalesce(cr, 0) AS cr, coalesce(cf, 0) AS cf, coalesce(cc, 0) AS cc FROM t ASOF LEFT JOIN z ON t.strategy = z.strategy AND t.symbol_id = z.symbol_id AND t.ts_ns >= z.ts_ns),
+            e AS (SELECT a.*, coalesce(funding, 0) AS fd FROM a ASOF LEFT JOIN fu ON a.strategy = fu.strategy AND a.symbol_id = fu.symbol_id AND a.ts_ns >= fu.ts_ns), g AS (SELECT *, 100000 + cr + qty * (mark - av) - cf - fd AS eq FROM e)
+            SELECT strategy, symbol_id, ts_ns, round(eq + 1e-7, 4) AS equity, abs(100000 + cc - fd + qty * mark - eq) < 1e-6 AS balanced FROM g""",
         "st6_verify_grounded": f"""WITH n AS (SELECT doc_id, {NUMBERS} AS ns, CASE WHEN n_chars = 0 THEN '0' ELSE printf('%.5e', n_chars::DOUBLE * (1 + 1e-13)) END AS h FROM documents) SELECT doc_id, len(ns)::INTEGER AS n_numbers, len(list_filter(ns, lambda x: x IS DISTINCT FROM h))::INTEGER AS n_ungrounded, len(list_filter(ns, lambda x: x IS DISTINCT FROM h)) = 0 AS grounded FROM n""",
         "sc7_numeric_tokens": f"SELECT doc_id, len({NUMBERS})::INTEGER AS n_numbers FROM documents",
         "ag13_monthly_scoreboard": f"""WITH {METRICS}, c2 AS (SELECT strategy, ts_ns, pnl::DOUBLE AS pnl, fee::DOUBLE AS fee FROM ct), d1 AS (SELECT strategy, ts_ns, sum(pnl) AS pnl FROM c2 GROUP BY ALL), dd AS (SELECT strategy, ts_ns, sum(pnl) OVER (PARTITION BY strategy ORDER BY ts_ns) AS eq FROM d1), d2 AS (SELECT strategy, eq, max(eq) OVER (PARTITION BY strategy ORDER BY ts_ns) AS pk FROM dd),

@@ -441,6 +441,35 @@ def sc7_numeric_tokens(spark, sf):
     return docs.select("doc_id", F.size(F.array_distinct(sc.numeric_tokens("text"))).alias("n_numbers"))
 
 
+@query()
+def st6_verify_grounded(spark, sf):
+    docs = adapters.table(spark, sf, "documents")
+    inputs = docs.select("doc_id", F.col("n_chars").alias("value"))
+    return monitor.verify_grounded(docs, inputs, "doc_id").select("doc_id", "n_numbers", F.size("ungrounded").alias("n_ungrounded"), "grounded")
+
+
+@query()
+def ta1_position_ledger(spark, sf):
+    led = trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"])
+    near = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)  # noqa: E731  halves go one way in both engines
+    return led.select("strategy", "venue", "symbol_id", "ts_ns", "seq", "fill_qty", "price", "fee", "qty", near("avg"), near("realized"), near("attributed_fees"), "closed_qty", near("net"))
+
+
+@query("""WITH f AS (SELECT o_orderpriority AS strategy, o_custkey AS symbol_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_orderkey % 7 + 1) AS q FROM orders)
+SELECT strategy, symbol_id, ts_ns, seq, (sum(q) OVER (PARTITION BY strategy, symbol_id ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING))::DOUBLE AS qty FROM f""")
+def ta1_position_qty(spark, sf):
+    return trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"]).select("strategy", "symbol_id", "ts_ns", "seq", "qty")
+
+
+@query()
+def ta2_equity(spark, sf):
+    led = trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"])
+    marks = adapters.fills(spark, sf).groupBy("symbol_id", "ts_ns").agg(F.max("price").alias("mark"))
+    funding = led.select("strategy", "venue", "symbol_id", "ts_ns", (F.col("qty") * 0.001).alias("paid"))
+    e = trades.equity_curve(led, marks, funding, ["strategy", "venue", "symbol_id"], 100_000.0, ["symbol_id"])
+    return e.select("strategy", "symbol_id", "ts_ns", F.round(F.col("equity") + 1e-7, 4).alias("equity"), (F.abs("residual") < 1e-6).alias("balanced"))
+
+
 RISK = {"max_order_notional": 250_000.0, "max_position_notional": 600_000.0, "max_gross": 900_000.0, "max_px_dev": 0.5, "max_orders_per_min": 12, "strategy_loss": 5000.0, "portfolio_loss": 9000.0}
 
 
@@ -459,7 +488,7 @@ GATE = {"max_order_notional": 2500.0, "max_position_notional": 2500.0, "max_gros
 
 
 @query(f"""WITH f AS (SELECT o_orderkey AS seq, o_orderpriority AS strategy, o_custkey AS symbol_id, CASE WHEN o_custkey % 3 > 0 THEN 'okx' ELSE 'kraken_futures' END AS venue, epoch_us(o_orderdate) * 1000 AS dy, epoch_us(o_orderdate) * 1000 + (o_orderkey % 86400) * 1000000000 AS ts,
-  CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sg, (o_orderkey % 7 + 1)::DOUBLE AS qty, round(o_totalprice / 1000, 2) AS price, round(o_totalprice / 100000, 4) * (o_orderkey % 3 - 1) * 100 AS inc FROM orders),
+  CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sg, (o_orderkey % 7 + 1)::DOUBLE AS qty, round(o_totalprice / 1000 + 1e-9, 2) AS price, round(o_totalprice / 100000 + 1e-9, 4) * (o_orderkey % 3 - 1) * 100 AS inc FROM orders),
 x AS (SELECT *, coalesce(sum(sg * qty) OVER (PARTITION BY strategy, venue, symbol_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, max(price) OVER (PARTITION BY symbol_id, dy) AS mark, sum(qty * price) OVER (PARTITION BY dy) AS gross,
   row_number() OVER (PARTITION BY strategy ORDER BY ts, seq) - 1 - count(*) OVER (PARTITION BY strategy ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000000 PRECEDING) AS n,
   sum(inc) OVER (PARTITION BY strategy, dy ORDER BY ts, seq) - first_value(inc) OVER (PARTITION BY strategy, dy ORDER BY ts, seq) AS sp, sum(inc) OVER (PARTITION BY dy ORDER BY ts, seq) - first_value(inc) OVER (PARTITION BY dy ORDER BY ts, seq) AS pp FROM f),
