@@ -15,7 +15,6 @@ Rows without a doc_id pass through the stages that decide by id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, quality, secrets
 from tidemark.llm.common import crc_fold, settled, stage, table
