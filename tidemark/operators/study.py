@@ -38,7 +38,8 @@ def car_by_regime(events: DataFrame, excess: DataFrame, bar_ns: int, pre: int, p
 
 def terminals(events: DataFrame, excess: DataFrame, bar_ns: int, pre: int, post: int, by: list[str] | None = None) -> DataFrame:
     """Each complete event's sum over its window."""
-    return event_windows(events, excess, bar_ns, pre, post, by).groupBy("event_id").agg(F.min("ts_ns").alias("ts_ns"), F.sum("excess").alias("terminal"))
+    own = [F.first(c).alias(c) for c in by or []]
+    return event_windows(events, excess, bar_ns, pre, post, by).groupBy("event_id").agg(F.min("ts_ns").alias("ts_ns"), *own, F.sum("excess").alias("terminal"))
 
 
 def bootstrap_ci(values: DataFrame, column: str, order: list[str], seed: int = 7, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
@@ -67,7 +68,8 @@ def event_study(events: DataFrame, excess: DataFrame, bar_ns: int, pre: int, pos
     """The CAR curve, and the interval of the mean terminal CAR with the number of complete events."""
     curve = car(events, excess, bar_ns, pre, post, by)
     t = terminals(events, excess, bar_ns, pre, post, by)
-    return curve, bootstrap_ci(t, "terminal", ["ts_ns", "event_id"], seed, n_boot)
+    # In an order that a second run repeats, which the generated ids are not.
+    return curve, bootstrap_ci(t, "terminal", ["ts_ns", *(by or []), "terminal"], seed, n_boot)
 
 
 def mc_drawdown(trades: DataFrame, resamples: int, seed: int, block_ns: int, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:

@@ -942,10 +942,10 @@ def s24_param_stability(spark, sf):
     return trades.param_stability(adapters.table(spark, sf, "part"), ["p_size", "p_retailprice"]).select("param", d("mean"), d("sd"), "lo", "hi", "n")
 
 
-@query(f"WITH {ME}, {GAPS}, x AS (SELECT venue, symbol_id, greatest(from_ns, 1704240000000000000) AS a, least(to_ns, 1704672000000000000) AS b FROM g) SELECT venue, symbol_id, round(greatest(0, least(1, 1 - sum(b - a) / 432000000000000.0)), 6) AS coverage FROM x WHERE b > a GROUP BY ALL")
+@query(f"WITH {ME}, {GAPS}, x AS (SELECT venue, symbol_id, greatest(from_ns, 1704240000000000000) AS a, least(to_ns, 1704672000000000000) AS b FROM g), s AS (SELECT venue, symbol_id, sum(b - a) AS lost FROM x WHERE b > a GROUP BY ALL) SELECT k.venue, k.symbol_id, round(greatest(0, least(1, 1 - coalesce(lost, 0) / 432000000000000.0)), 6) AS coverage FROM (SELECT DISTINCT venue, symbol_id FROM me) k LEFT JOIN s ON k.venue = s.venue AND k.symbol_id = s.symbol_id")
 def s26_coverage_share(spark, sf):
     g = quality.disconnect_gaps(me(spark, sf), END_NS).select(*KEY, F.col("from_ns").alias("start"), F.col("to_ns").alias("end"))
-    return intervals.coverage_share(g, KEY, 1704240000000000000, 1704672000000000000).select(*KEY, d("coverage"))
+    return intervals.coverage_share(g, KEY, 1704240000000000000, 1704672000000000000, me(spark, sf)).select(*KEY, d("coverage"))
 
 
 ORACLE_SQL.update(oracles.oracles(ME, BARS, GRADES, METRICS, DAY_NS))
