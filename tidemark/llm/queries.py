@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, decontaminate, jaccard, langid, licenses, mtree, packing, quality, secrets, substrings, warc
+from tidemark.llm import alignment, conversations, decontaminate, jaccard, langid, licenses, mtree, packing, quality, secrets, substrings, urlfilter, warc
 from tidemark.llm.common import crc_fold, table
 
 
@@ -53,11 +53,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return conversations.audited(original, conversations.repair(conversations.damaged(original)))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.classify(table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_quality, op4_decontamination, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_quality, op4_decontamination, op5_packing, op6_substrings, op7_langid, op8_licenses, op9_secrets, op10_topk, op11_conversations, op12_urls, op13_alignment)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -76,4 +85,5 @@ ORACLE_SQL = {
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op12_urls": urlfilter.oracle_sql(),
 }
