@@ -7,10 +7,13 @@ of rows a key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket_index
+from tidemark.operators.core import joined
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], seq: str | None = None, forward: bool = False, strict: bool = False, slice_ns: int = DAY_NS) -> DataFrame:
@@ -18,11 +21,13 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
 
     Of right rows at the same time the last by ``seq`` wins (forward: the first);
     ``strict`` leaves out equal times. In two levels: the last right row of each slice of
-    time is carried to later slices, so a busy key is dealt by slices.
+    time is carried to later slices, so a busy key is dealt by slices. Every left row stays:
+    one without a key or a time finds nothing, and such right rows are not found.
     """
     order_seq = F.col(seq) if seq else F.lit(0)
     l = left.select(*by, F.col(left_on).alias("_t"), F.lit(None).alias("_q"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
-    r = right.select(*by, F.col(right_on).alias("_t"), order_seq.alias("_q"), F.lit(None).alias("_l"), F.struct(*values).alias("_r"))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in dict.fromkeys([*by, right_on])])
+    r = right.where(known).select(*by, F.col(right_on).alias("_t"), order_seq.alias("_q"), F.lit(None).alias("_l"), F.struct(*values).alias("_r"))
     both = l.unionByName(r).withColumn("_s", bucket_index("_t", slice_ns))
     ends = (F.min_by if forward else F.max_by)("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_q")))
     slices = Window.partitionBy(*by).orderBy(F.desc("_s") if forward else F.col("_s")).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,7 +39,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     else:
         w = Window.partitionBy(*by, "_s").orderBy("_t", -is_left if strict else is_left, "_q")
     found = both.withColumn("_v", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = found.where("_l is not null").join(carried, [*by, "_s"]).withColumn("_v", F.coalesce("_v", "_before"))
+    found = joined(found.where("_l is not null"), carried, [*by, "_s"]).withColumn("_v", F.when(F.col("_t").isNotNull(), F.coalesce("_v", "_before")))
     return found.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
@@ -51,22 +56,17 @@ def scd2_as_of(df: DataFrame, dim: DataFrame, ts: str, by: list[str], values: li
 
 
 def forward_returns(hits: DataFrame, prices: DataFrame, horizon_ns: int, by: str = "symbol", ts: str = "ts_ns", seq: str | None = None) -> DataFrame:
-    """``fwd``: exit over entry minus one; null without both prices, for a zero entry or if the series ends early.
+    """``fwd``: exit over entry minus one; null without both prices, for a zero entry or if the series ends early."""
+    return forward_returns_at(hits.withColumn("_horizon", F.lit(horizon_ns).cast("long")), prices, "_horizon", by, ts, seq).drop("_horizon")
 
-    Both look-ups and the series' end come from one pass over one shuffle: each hit
-    is placed twice, at its time and at its horizon.
-    """
-    h = hits.withColumn("_id", F.monotonically_increasing_id())
-    # Both places come from one evaluation of the id, which a second one might number differently.
-    places = F.explode(F.array(F.struct(F.col(ts).alias("t"), F.lit("entry").alias("end")), F.struct((F.col(ts) + horizon_ns).alias("t"), F.lit("exit").alias("end"))))
-    h = h.withColumn("_at", places).select(by, F.col("_at.t").alias("_t"), F.struct(*hits.columns, "_id").alias("_h"), F.col("_at.end").alias("_end"), F.lit(None).cast("double").alias("_px"), F.lit(None).cast("long").alias("_q"))
-    p = prices.select(by, F.col(ts).alias("_t"), F.lit(None).alias("_h"), F.lit(None).cast("string").alias("_end"), F.col("price").cast("double").alias("_px"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("_q"))
-    both = h.unionByName(p)
-    w = Window.partitionBy(by).orderBy("_t", F.col("_h").isNotNull(), "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"_last": F.last("_px", True).over(w), "_stop": F.max(F.when(F.col("_px").isNotNull(), F.col("_t"))).over(Window.partitionBy(by))})
-    ends = both.where("_h is not null").groupBy(by, "_h._id").agg(
-        F.first("_h").alias("_h"), F.max(F.when(F.col("_end") == "entry", F.col("_last"))).alias("entry"), F.max(F.when(F.col("_end") == "exit", F.col("_last"))).alias("exit"),
-        F.max(F.col("_stop") >= F.when(F.col("_end") == "exit", F.col("_t"))).alias("_covered"),
-    )
-    ok = F.col("entry").isNotNull() & F.col("exit").isNotNull() & (F.col("entry") != 0) & F.col("_covered")
-    return ends.select(*(F.col(f"_h.{c}") for c in hits.columns), F.when(ok, F.try_divide("exit", "entry") - 1).alias("fwd"))
+
+def forward_returns_at(hits: DataFrame, prices: DataFrame, horizon: str, by: str = "symbol", ts: str = "ts_ns", seq: str | None = None) -> DataFrame:
+    """``fwd`` over each row's own ``horizon``: two as-of joins, by slices of time, and a series' last time."""
+    px = prices.select(by, F.col(ts).alias("_at"), F.struct(F.col("price").cast("double").alias("p")).alias("_px"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("_q"))
+    px = px.where("_px.p is not null")
+    h = asof(hits, px.withColumnRenamed("_px", "_entry"), [by], ts, "_at", ["_entry"], "_q")
+    h = asof(h.withColumn("_end", F.col(ts) + F.col(horizon)), px.withColumnRenamed("_px", "_exit"), [by], "_end", "_at", ["_exit"], "_q")
+    h = joined(h, prices.where("price is not null").groupBy(by).agg(F.max(ts).alias("_stop")), [by])
+    a, b = F.col("_entry.p"), F.col("_exit.p")
+    ok = a.isNotNull() & b.isNotNull() & (a != 0) & (F.col("_stop") >= F.col("_end"))
+    return h.select(*hits.columns, F.when(ok, F.try_divide(b, a) - 1).alias("fwd"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket_index, is_finite, signed
+from tidemark.staging import staged
 
 KEYS = ("venue", "symbol_id")
 KINDS = ("trade", "book_delta", "book_snapshot", "funding", "mark_price", "open_interest", "liquidation", "index_price", "status")
@@ -28,7 +29,8 @@ def running(df: DataFrame, value: Column, keys: tuple[str, ...], name: str, fold
     """``fold`` (sum, max or min) of ``value`` over each key's rows up to this one (``strict``: before it).
 
     In two levels: what days hold gives each day's start, a window within the day the
-    rest. So a busy key's whole history is not one task's sort.
+    rest. So a busy key's whole history is not one task's sort. Rows without a key are one
+    key; rows without a time come first.
     """
     day = bucket_index(ts, slice_ns)
     d = df.withColumns({"_day": day, "_v": value})
@@ -38,7 +40,15 @@ def running(df: DataFrame, value: Column, keys: tuple[str, ...], name: str, fold
     w = Window.partitionBy(*keys, "_day").orderBy(ts, *seq).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     within, first = F.col("_within"), F.col("_start")
     both = {F.sum: F.coalesce(first + within, first, within), F.max: F.greatest(first, within), F.min: F.least(first, within)}[fold]
-    return d.withColumn("_within", fold("_v").over(w)).join(start, [*keys, "_day"]).withColumn(name, both).drop("_day", "_v", "_within", "_start")
+    found = joined(d.withColumn("_within", fold("_v").over(w)), start, [*keys, "_day"], "inner")
+    return found.withColumn(name, both).drop("_day", "_v", "_within", "_start")
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """An equality join in which nulls equal each other; the columns ``on`` appear once."""
+    r = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(r, same, how).drop(*(f"_on_{c}" for c in on))
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[..., tuple]], reads: list[str], adds: str) -> DataFrame:
@@ -131,6 +141,20 @@ def first_by_key(df: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def sorted_ranges(df: DataFrame, order: list[str], name: str = "sorted_ranges") -> DataFrame:
+    """``df`` cut into sorted ranges of ``order``, written once: ``_p`` is a row's range, ``_i`` its place there.
+
+    Whatever is derived from the result, sizes of ranges as well as places in them, reads the
+    same written rows. Cutting twice would not do: every plan samples bounds of its own.
+    Rows that tie in ``order`` are dealt by a hash of all their columns.
+    """
+    tie = F.xxhash64(*df.columns)
+    cut = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, the row's place in the lower 33
+    rows = staged(cut.withColumn("_at", at), name)
+    return rows.withColumns({"_p": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+
+
 def rank_pick(df: DataFrame, value: str, index: Column, keys: list[str]) -> DataFrame:
     """The value at an exact rank (from 0) of each key's sorted values. ``index`` may use ``_n``, the key's rows.
 
@@ -138,11 +162,11 @@ def rank_pick(df: DataFrame, value: str, index: Column, keys: list[str]) -> Data
     the whole table, so that a key's rows need not be sorted by one task.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranged = counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id())
+    ranged = sorted_ranges(counts, [*keys, value], "rank_ranges")
     parts = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_sum"))
     base = parts.select(*keys, "_p", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_n"))
-    upto_here = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.withColumn("_w", upto_here).join(base, [*keys, "_p"])
+    upto_here = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    placed = joined(ranged.withColumn("_w", upto_here), base, [*keys, "_p"], "inner")
     want = F.least(F.greatest(index, F.lit(0)), F.col("_n") - 1)
     end = F.col("_base") + F.col("_w")
     return placed.where((want < end) & (want >= end - F.col("_c"))).select(*keys, value)
@@ -159,8 +183,7 @@ def first_divergence(a: DataFrame, b: DataFrame, order: list[str], columns: list
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """``idx`` from 0 in the given order, by two levels: sizes of sorted ranges, then places within."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    within = Window.partitionBy("_p").orderBy(*order)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")
-    return ranged.withColumn("_i", F.row_number().over(within) - 1).join(F.broadcast(before), "_p").withColumn("idx", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+    ranged = sorted_ranges(df, order)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))  # as many rows as ranges
+    before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return ranged.join(F.broadcast(before), "_p").withColumn("idx", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")

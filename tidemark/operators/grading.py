@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import forward_returns
+from tidemark.operators.asof import forward_returns, forward_returns_at
 
 
 def with_baseline(df: DataFrame, baseline: DataFrame, by: str = "symbol") -> DataFrame:
@@ -20,17 +20,20 @@ def excess_returns(hits: DataFrame, prices: DataFrame, horizon_ns: int, baseline
 
 def grade_hits(hits: DataFrame, prices: DataFrame, horizon_ns: int, baseline: DataFrame, by: str = "symbol", seq: str | None = None) -> DataFrame:
     """Per rule: n, wins, sum, average and win rate of the excess. Hits without a forward return do not count."""
-    x = excess_returns(hits, prices, horizon_ns, baseline, by, seq)
-    g = x.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("excess") > 0).alias("wins"), F.sum("excess").alias("sum_excess"))
+    return _graded(excess_returns(hits, prices, horizon_ns, baseline, by, seq), ["rule"])
+
+
+def _graded(x: DataFrame, keys: list[str]) -> DataFrame:
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("excess") > 0).alias("wins"), F.sum("excess").alias("sum_excess"))
     return g.withColumns({"avg_excess": F.col("sum_excess") / F.col("n"), "win_rate": F.col("wins") / F.col("n")})
 
 
 def grade_horizons(hits: DataFrame, prices: DataFrame, horizons: dict[str, int], baseline: DataFrame, by: str = "symbol") -> DataFrame:
-    frames = [grade_hits(hits, prices, ns, baseline, by).withColumn("horizon", F.lit(name)) for name, ns in horizons.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """``grade_hits`` of every horizon, in one pass over the prices: each hit is graded once for each."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("horizon"), F.lit(ns).cast("long").alias("_ns")) for name, ns in horizons.items())))
+    h = hits.withColumn("_h", each).select(*hits.columns, "_h.horizon", "_h._ns")
+    x = with_baseline(forward_returns_at(h, prices, "_ns", by).where("fwd is not null"), baseline, by).withColumn("excess", F.col("fwd") - F.col("avg_fwd"))
+    return _graded(x, ["horizon", "rule"])
 
 
 def leaderboard(grades: DataFrame) -> DataFrame:

@@ -68,8 +68,11 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
             rs AS (SELECT symbol_id, n, id AS last, 'Snapshot' AS action FROM bk WHERE n = 1 UNION ALL SELECT b.symbol_id, b.n, CASE WHEN r.last IS NULL THEN b.id WHEN b.id > r.last + 1 THEN NULL WHEN b.id <= r.last THEN r.last ELSE b.id END,
               CASE WHEN r.last IS NULL THEN 'Snapshot' WHEN b.id > r.last + 1 THEN 'Gap' WHEN b.id <= r.last THEN 'Drop' ELSE 'Apply' END FROM rs r JOIN bk b ON b.symbol_id = r.symbol_id AND b.n = r.n + 1)
             SELECT symbol_id, s1 AS action, count(*) AS n, 'strict' AS rule FROM a2 GROUP BY ALL UNION ALL SELECT symbol_id, s2, count(*), 'prev' FROM a2 GROUP BY ALL UNION ALL SELECT symbol_id, action, count(*), 'reseed' FROM rs GROUP BY ALL""",
-        "wn7_sequence_gaps": f"""WITH {BOOK}, {STRICT}, sn AS (SELECT symbol_id, epoch, n AS first_n FROM bk WHERE snap)
-            SELECT 'S' || a2.symbol_id AS venue_symbol, a2.n AS from_ns, coalesce(sn.first_n, 1000000) AS to_ns, 'Venue' AS gap_kind FROM a2 LEFT JOIN sn ON sn.symbol_id = a2.symbol_id AND sn.epoch = a2.epoch + 1 WHERE s1 = 'Gap'""",
+        "wn7_sequence_gaps": """WITH o AS (SELECT l_suppkey AS symbol_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS n FROM lineitem),
+            i AS (SELECT symbol_id, n, n % 50 = 1 AS snap, CASE WHEN n % 50 <> 1 AND n % 23 = 0 THEN n + 2 ELSE n END AS id FROM o),
+            p AS (SELECT *, NOT snap AND id <> lag(id) OVER w + 1 AS gap, count(*) FILTER (snap) OVER w AS epoch FROM i WINDOW w AS (PARTITION BY symbol_id ORDER BY n)),
+            e AS (SELECT symbol_id, epoch, min(n) AS first_n, min(n) FILTER (gap) AS gap_n FROM p GROUP BY ALL), z AS (SELECT *, lead(first_n) OVER (PARTITION BY symbol_id ORDER BY epoch) AS next_n FROM e)
+            SELECT 'S' || symbol_id AS venue_symbol, gap_n AS from_ns, coalesce(next_n, 1000000) AS to_ns, 'Venue' AS gap_kind FROM z WHERE gap_n IS NOT NULL""",
         "src12_parse_health": f"WITH {BOOK}, {STRICT} SELECT 'bybit' AS venue, count(*) FILTER (WHERE s1 <> 'Drop') AS emitted, 0::BIGINT AS dropped, count(*) FILTER (WHERE s1 = 'Gap') AS gaps, count(*) FILTER (WHERE snap AND epoch > 1) AS resyncs, 0::BIGINT AS reconnects FROM a2",
         "wn9_top_imbalance": f"WITH {BOOK}, {TOP} SELECT symbol_id, n AS recv_ts_ns, round((bq - aq) / (bq + aq), 6) AS value FROM tp WHERE bq IS NOT NULL AND aq IS NOT NULL",
         "wn10_levels_at": f"WITH {BOOK}, {LEVELS} SELECT symbol_id, ts_ns, side, count(*) AS levels, max(price) AS top, min(price) AS bottom FROM la GROUP BY ALL",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tidemark.functions.scalar import DAY_NS
 from tidemark.operators import asof, bars, book, core, features, fills, grading, intervals, monitor, quality, screener, study, trades
 from tidemark.plans import oracles
 from tidemark.sources import adapters, normalize, sinks
+from tidemark.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -583,8 +583,8 @@ def _book_frames(spark, sf):
     b = _book(spark, sf)
     level = F.coalesce(F.try_element_at("bids", F.lit(1)), F.try_element_at("asks", F.lit(1)))
     payload = F.concat(F.lit('{"topic":"orderbook.1.S'), F.col("symbol_id").cast("string"), F.lit('","type":"'), F.when(F.col("kind") == "book_snapshot", "snapshot").otherwise("delta"), F.lit('","ts":'), F.col("recv_ts_ns").cast("string"), F.lit(',"data":{"s":"S'), F.col("symbol_id").cast("string"), F.lit('","u":'), F.coalesce("seq", "last_seq").cast("string"), F.lit(',"b":[["'), level["price"].cast("string"), F.lit('","'), level["qty"].cast("string"), F.lit('"]],"a":[]}}'))
-    # Each topic reads the frames: kept on disk, where stored frames would be read again.
-    frames = b.select(F.lit("bybit").alias("venue"), "recv_ts_ns", "stream_seq", payload.alias("payload")).persist(StorageLevel.DISK_ONLY)
+    # Each topic reads the frames.
+    frames = staged(b.select(F.lit("bybit").alias("venue"), "recv_ts_ns", "stream_seq", payload.alias("payload")), "frames")
     return normalize.normalize_frames(frames, "bybit")
 
 
