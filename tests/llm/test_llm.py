@@ -187,6 +187,19 @@ def test_substrings_repeated_rows_and_empty(spark):
     assert substrings.deduplicate(docs_df(spark, [])).count() == 0
 
 
+def test_substrings_of_shared_and_missing_ids(spark):
+    """Different texts of one id, or of none, are documents of their own, in the order of their SHA-256."""
+    r = random.Random(12)
+    a, b, c = (" ".join(str(r.random()) for _ in range(60)) for _ in range(3))
+    for rows in ([(5, a + b), (5, b), (7, c + b)], [(None, a), (None, b + a), (1, b), (2, a)], [(5, a), (5, None), (5, a), (6, a), (None, None), (None, "x"), (None, a[:300])]):
+        sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+        order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, sha(x[1])))
+        number = {x: n for n, x in enumerate(order)}
+        want = brute_substrings([(n, t) for (_, t), n in number.items()])
+        got = sorted((tuple(x) for x in substrings.deduplicate(docs_df(spark, rows)).collect()), key=str)
+        assert got == sorted(((i, *want[number[i, t or ""]]) for i, t in rows), key=str)
+
+
 def test_substrings_behind_a_common_header(spark):
     """These two share their anchor and 32 bits of the fingerprint of the whole, but no window."""
     head = "Permission to copy this notice is granted to any person who "
@@ -454,6 +467,21 @@ def test_language_equals_plain_average(spark):
     assert {langid.identify(docs, model, reject=1.01).select("lang_pred").distinct().first()[0]} == {"und"}
 
 
+def test_language_of_long_texts_and_repeated_ids(spark):
+    """Pieces give the counts of the whole; a repeated id is learnt from once."""
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").select("doc_id", "text", "lang")
+    text = " ".join(r["text"] for r in docs.where("text is not null").orderBy("doc_id").limit(150).collect())
+    whole = np.unique(langid.buckets(text), return_counts=True)
+    assert len(text) > langid.PIECE and all((a == b).all() for a, b in zip(langid.counts(text), whole))
+    once = langid.train(docs, F.lit(True))
+    again = langid.train(docs.unionByName(docs).unionByName(docs.where("doc_id < 20")), F.lit(True))
+    assert (once.table == again.table).all() and langid.histograms(docs.unionByName(docs), F.lit(True), 50).count() == 50
+    lang, score = once.predict(text)
+    mean = (once.table[langid.buckets(text)].astype(float).mean(0) + once.bias) / once.temperature
+    p = np.exp(mean - mean.max())
+    assert lang == once.langs[int(p.argmax())] and abs(score - p.max() / p.sum()) < 1e-4
+
+
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word " * 250_000), (5, "same text here"), (5, "same text here"), (None, "no id")]
 
 
@@ -538,10 +566,63 @@ def test_decontamination_against_every_place(spark):
     assert {(100 + i, i) for i, _ in items} <= want and paraphrased <= want
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got <= want
-    assert {(100 + i, i) for i, t in items if len(t.split()) >= 5} <= got
+    assert {(100 + i, i) for i, _ in items} <= got
     assert len(got & paraphrased) >= 0.9 * len(paraphrased)
 
 
+def plain_leaks(rows, items):
+    """Independent of the module: word lists, longest common subsequence by a table over every stretch of text with room for insertions."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: [w for w in re.split(r"[\x00-\x20.,;:!?\"()\[\]{}|#$%&*<>]+", (t or "").translate(low)) if w]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    out = set()
+    for doc, t in rows:
+        w = cut(t)
+        for item, q in ((i, cut(x)) for i, x in items):
+            spans = [w[at : at + len(q) + len(q) // 3] for at in range(max(len(w) - len(q) + 1, 1))]
+            if q and any(len(set(q) & set(s)) >= 0.6 * len(set(q)) and (lcs(q, s) >= 0.8 * len(q) or lcs(q, s) >= 0.6 * len(q) and lcs(q[-8:], s) >= 0.75 * len(q[-8:])) for s in spans):
+                out.add((doc, item))
+    return out
+
+
+def test_decontamination_against_a_plain_version(spark):
+    r = random.Random(31)
+    items = [(i, " ".join(words(r, n))) for i, n in enumerate([1, 2, 3, 4, 4, 7, 12, 25, 40])] + [(90, "..."), (91, "Only, TWO")]
+    rows = [(i, " ".join(words(r, 90))) for i in range(25)] + [(100 + i, " ".join(words(r, 20)) + " " + t + " " + " ".join(words(r, 9))) for i, t in items] + [(200, "only two"), (201, "two only"), (202, "onlytwo"), (203, items[5][1] + "x"), (204, "x" + items[6][1] + " y")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_leaks(rows, items)
+    verbatim = {(100 + i, i) for i, t in items if t != "..."} | {(200, 91)}
+    assert verbatim <= got and (202, 91) not in got
+    assert got <= want and all(w in got for w in want if w[0] >= 100 and w[0] - 100 == w[1])
+
+
+def test_decontamination_compares_words_not_terms(spark):
+    """A text of other words with the same 16-bit terms is no leak."""
+    hasher = decontaminate.Hasher(space=decontaminate.BREAKS)
+    r = random.Random(3)
+    item = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(12)]
+    term = lambda ws: (hasher.word_hashes(" ".join(ws)) >> np.uint64(48)).astype(int).tolist()
+    wanted, twins = dict(zip(term(item), item)), {}
+    for n in range(60):
+        pool = [f"q{n:02d}{i:05d}" for i in range(40_000)]
+        twins.update({t: w for t, w in zip(term(pool), pool) if t in wanted})
+        if len(twins) == len(wanted):
+            break
+    twin = " ".join(twins[t] for t in term(item))
+    assert term(twin.split()) == term(item)
+    rows = [(1, "some words before " + twin + " and after"), (2, "some words before " + " ".join(item) + " and after")] + [(10 + i, " ".join(words(r, 60))) for i in range(40)]
+    got = [(x["doc_id"], x["lcs"]) for x in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()]
+    assert got == [(2, 1.0)]
+
+
 def test_decontamination_long_texts_and_many_items(spark, monkeypatch):
     r = random.Random(23)
     item = words(r, 400)

@@ -12,6 +12,11 @@ Every document is then read once, in windows of a few lengths at a stride of
 ``min_cosine`` are candidates. A candidate is confirmed when the longest common
 subsequence covers ``min_lcs`` of the item's words, or at least
 ``min_paraphrase`` of them with its closing words (the answer) also present.
+Terms only propose: words are compared by 48 bits of their hashes.
+
+Items of up to ``SHORT`` words are too short for a direction in any space, and their words
+stand near each other by chance. They are looked up instead: a text holds one where its
+words stand in a row.
 
 The benchmark is the stated query set: its words are held by the driver, and by
 every task in blocks of ``MAX_ITEMS`` items. Weights and basis come from the whole
@@ -40,6 +45,7 @@ from tidemark.llm.jaccard import Hasher
 
 TERMS = 1 << 16
 STRIDE = 8
+SHORT = 4
 LENGTHS = (8, 16, 24, 40, 56, 72)
 MAX_ITEMS = 2_000
 PASSAGE = 64
@@ -51,15 +57,21 @@ BREAKS[[*range(33), *b".,;:!?\"()[]{}|#$%&*<>"]] = True
 
 
 def tokens(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, w): each text's words as 16-bit hashes, in order."""
+    """(id, w, x): each text's words in order, as terms (the upper 16 bits of their hashes) and the next 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(space=BREAKS)
         for batch in batches:
-            w = [(hasher.word_hashes(t.as_py()) >> np.uint64(48)).astype("<u2").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.binary())], ["id", "w"])
+            h = [hasher.word_hashes(t.as_py()) for t in batch.column(1)]
+            w, x = ([(v >> np.uint64(bits)).astype(kind).tobytes() for v in h] for bits, kind in ((48, "<u2"), (16, "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.binary()), pa.array(x, pa.binary())], ["id", "w", "x"])
+
+    return texts.select(F.col(id_col).alias("id"), "text").mapInArrow(run, "id long, w binary, x binary")
 
-    return texts.select(F.col(id_col).alias("id"), "text").mapInArrow(run, "id long, w binary")
+
+def exact(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Terms and their further bits as one number a word."""
+    return w << 32 | x
 
 
 def _words(value) -> np.ndarray:
@@ -180,14 +192,21 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+Item = tuple[int | None, np.ndarray, np.ndarray]  # id, terms, words
+
+
 class Queries:
-    """The benchmark's passages by window length: unit latent vectors and their words as bit rows."""
+    """The benchmark's passages by window length: unit latent vectors and their terms as bit rows; short items word by word."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], embed: np.ndarray):
+    def __init__(self, items: list[Item], embed: np.ndarray):
         self.items = items
         parts: dict[int, list] = {n: [] for n in LENGTHS}
         most = LENGTHS[-1] - STRIDE + 1
-        for i, (_, w) in enumerate(items):
+        self.short: dict[int, dict[tuple, list[int]]] = {}
+        for i, (_, w, words) in enumerate(items):
+            if len(w) <= SHORT:
+                self.short.setdefault(len(w), {}).setdefault(tuple(words.tolist()), []).append(i)
+                continue
             for at in range(0, len(w), most):
                 part = w[at : at + most]
                 if not at or len(part) >= most // 2:
@@ -197,10 +216,21 @@ class Queries:
             if found:
                 v = np.array([embed[p].sum(0) for _, _, p in found])
                 v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                member = np.zeros((len(found), TERMS), dtype=bool)
+                member = np.zeros((len(found), TERMS >> 3), dtype=np.uint8)
                 for row, (_, _, p) in zip(member, found):
-                    row[p] = True
-                self.by_length[n] = (v.T.astype(np.float32), [f[:2] for f in found], np.packbits(member, axis=1, bitorder="little"), np.array([len(p) for _, _, p in found]))
+                    np.bitwise_or.at(row, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+                self.by_length[n] = (v.T.astype(np.float32), [f[:2] for f in found], member, np.array([len(p) for _, _, p in found]))
+        self.starts = {n: np.unique([words[0] for words in known]) for n, known in self.short.items()}
+
+    def verbatim(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place) of every short item that stands in a text, at its first place."""
+        for n, known in self.short.items():
+            left = dict(known)
+            for at in np.flatnonzero(np.isin(words[: len(words) - n + 1], self.starts[n])).tolist():
+                for i in left.pop(tuple(words[at : at + n].tolist()), ()):
+                    yield i, at
+                if not left:
+                    break
 
 
 def confirm(w: np.ndarray, item: np.ndarray, at: int, min_lcs: float, min_paraphrase: float, answer: int) -> tuple[float, bool]:
@@ -224,22 +254,25 @@ def place(w: np.ndarray, item: np.ndarray, at: int) -> int:
     return int(tries[(padded[tries[:, None] + np.arange(len(head))] == head).sum(1).argmax()]) if len(tries) else max(at, 0)
 
 
-def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarray, min_cosine: float, min_lcs: float, min_paraphrase: float, answer: int = 8) -> DataFrame:
+def search(toks: DataFrame, items: list[Item], embed: np.ndarray, min_cosine: float, min_lcs: float, min_paraphrase: float, answer: int = 8) -> DataFrame:
     queries = Queries(items, embed)
     tail = LENGTHS[-1] // STRIDE - 1  # empty blocks after each text, so that no window reaches the next
 
-    overlap = -(-2 * max(len(w) for _, w in items) // STRIDE) * STRIDE + 2 * LENGTHS[-1]
+    overlap = -(-2 * max(len(w) for _, w, _ in items) // STRIDE) * STRIDE + 2 * LENGTHS[-1]
 
-    def matches(docs: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
-        counts = np.array([-(-len(w) // STRIDE) + tail for _, _, w in docs])
+    def matches(docs: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[tuple]:
+        counts = np.array([-(-len(w) // STRIDE) + tail for _, _, w, _ in docs])
         first = np.concatenate(([0], np.cumsum(counts)))
         flat = np.full(first[-1] * STRIDE, -1)
-        for (_, _, w), b in zip(docs, first):
+        for (_, _, w, _), b in zip(docs, first):
             flat[b * STRIDE : b * STRIDE + len(w)] = w
         e = embed[flat]
         e[flat < 0] = 0
         blocks = e.reshape(-1, STRIDE, e.shape[1]).sum(1)
         found: dict[tuple[int, int], tuple] = {}
+        for d, (_, base, _, words) in enumerate(docs):
+            for item, at in queries.verbatim(words):
+                found[d, item] = (1.0, 1.0, base + at)
         for n, (q, owners, member, size) in queries.by_length.items():
             m = n // STRIDE
             x = blocks[: len(blocks) - m + 1].copy()
@@ -258,9 +291,9 @@ def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarr
                 start = (b - int(first[d])) * STRIDE - shift
                 if (d, item) in found and found[d, item][1] >= 1.0:
                     continue
-                share, leak = confirm(docs[d][2], items[item][1], start, min_lcs, min_paraphrase, answer)
+                share, leak = confirm(docs[d][3], items[item][2], start, min_lcs, min_paraphrase, answer)
                 if leak and ((d, item) not in found or share > found[d, item][1]):
-                    found[d, item] = (float(c), share, docs[d][1] + place(docs[d][2], items[item][1], start))
+                    found[d, item] = (float(c), share, docs[d][1] + place(docs[d][3], items[item][2], start))
         return [(docs[d][0], items[i][0], *x) for (d, i), x in sorted(found.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +305,12 @@ def search(toks: DataFrame, items: list[tuple[int, np.ndarray]], embed: np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], [c.split()[0] for c in MATCH.split(", ")])
 
         for batch in batches:
-            for doc_id, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, v, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 w = _words(v)
+                words = exact(w, np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int64))
                 for at in range(0, len(w), PART):  # very long texts go in overlapping parts
                     part = w[at : at + PART + overlap]
-                    held.append((doc_id, at, part))
+                    held.append((doc_id, at, part, words[at : at + PART + overlap]))
                     size += len(part)
                     if size > PART:
                         yield from out()
@@ -295,12 +329,13 @@ def _best(matches: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 24, residual: int = 48, min_cosine: float = 0.4, min_lcs: float = 0.8, min_paraphrase: float = 0.6) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, start_word) of every document that holds a benchmark item."""
     spark = docs.sparkSession
-    items = [(r["id"], np.frombuffer(r["w"], dtype="<u2").astype(np.int64)) for r in tokens(benchmark, "item_id").distinct().collect()]
-    items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes())) if len(x[1])]
+    whole = lambda v, kind: np.frombuffer(v, dtype=kind).astype(np.int64)
+    items = [(r["id"], whole(r["w"], "<u2"), exact(whole(r["w"], "<u2"), whole(r["x"], "<u4"))) for r in tokens(benchmark, "item_id").distinct().collect()]
+    items = [x for x in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes(), x[2].tobytes())) if len(x[1])]
     if not items:
         return spark.createDataFrame([], MATCH)
     toks = stage(tokens(docs), "words", 1000)
-    idf = term_weights(*document_frequencies(toks), items)
+    idf = term_weights(*document_frequencies(toks), [x[:2] for x in items])
     embed = latent_basis(toks, idf, rank, residual) * idf[:, None]
     blocks = [search(toks, items[i : i + MAX_ITEMS], embed, min_cosine, min_lcs, min_paraphrase) for i in range(0, len(items), MAX_ITEMS)]
     if len(blocks) == 1:

@@ -13,7 +13,9 @@ without a letter are rejected).
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 rows with a null language are not learnt from; with no labelled row everything
-is ``und``; an empty table gives an empty result; other columns are ignored.
+is ``und``; rows that share a doc_id are judged each, and one of them is learnt from; a
+text of any length is read whole, in pieces; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
+PIECE = 1 << 18  # bytes of a text that are looked at at once
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,17 +38,35 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 
 def buckets(text: str) -> np.ndarray:
     """Hash buckets of all subwords of the whole text, in text order by n-gram order."""
-    b = _LOWER[np.frombuffer((" " + text + " ").encode("utf-8", "replace"), dtype=np.uint8)].astype(np.uint32)
+    b = _LOWER[np.frombuffer((" " + text + " ").encode("utf-8", "replace"), dtype=np.uint8)]
+    return _hashed(b, len(b))
+
+
+def _hashed(b: np.ndarray, starts: int) -> np.ndarray:
+    """Buckets of the subwords of ``b`` that begin at its first ``starts`` bytes."""
+    b = b.astype(np.uint32)
     out, h = [], np.zeros(len(b), dtype=np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(b) < n:
             break
         h = h[: len(b) - n + 1] * np.uint32(16777619) + b[n - 1 :] + np.uint32(n)
         if n in ORDERS:
-            out.append(((h * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64))
+            out.append(((h[:starts] * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64))
     return np.concatenate(out)
 
 
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often) of all subwords of a whole text; long texts go in pieces."""
+    if len(text) <= PIECE:
+        return np.unique(buckets(text), return_counts=True)
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    b = _LOWER[np.frombuffer((" " + text + " ").encode("utf-8", "replace"), dtype=np.uint8)]
+    for at in range(0, len(b), PIECE):
+        total += np.bincount(_hashed(b[at : at + PIECE + max(ORDERS) - 1], min(PIECE, len(b) - at)), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (any(c.isalpha() for c in text[:64]) or any(c.isalpha() for c in text[64:]))
 
@@ -56,15 +77,16 @@ def histograms(docs: DataFrame, keep: Column, max_train: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, n = np.unique(buckets(text.as_py()), return_counts=True)
-                rows.append((lang, ids.astype("int32").tobytes(), (n / n.sum()).astype("float32").tobytes()))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.binary()), pa.array(list(cols[2]), pa.binary())], ["lang", "ids", "w"])
+            for doc_id, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids, n = counts(text.as_py())
+                rows.append((doc_id, lang, ids.astype("int32").tobytes(), (n / n.sum()).astype("float32").tobytes()))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["doc_id", "lang", "ids", "w"])
 
     usable = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, ids binary, w binary")
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, ids binary, w binary")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("lang", "ids", "w")).alias("r")).select("r.*")  # one of each id
 
 
 class Model:
@@ -74,7 +96,12 @@ class Model:
     def predict(self, text: str | None, reject: float = 0.0) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        logits = (self.table[buckets(text)].mean(0) + self.bias) / self.temperature
+        if len(text) <= PIECE:
+            mean = self.table[buckets(text)].mean(0)
+        else:
+            ids, n = counts(text)
+            mean = n @ self.table[ids] / n.sum()
+        logits = (mean + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
         at = int(p.argmax())

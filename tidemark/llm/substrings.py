@@ -21,9 +21,10 @@ only bring candidates together.
 
 Edge cases: null texts are empty and keep the hash of nothing; texts shorter
 than ``width`` are kept whole; a text is cut into overlapping segments of
-``SEGMENT`` bytes, so its length is not limited; rows that share a doc_id count
-as one document; rows without a doc_id count as one document that comes before
-all others; an empty table gives an empty result; other columns are ignored.
+``SEGMENT`` bytes, so its length is not limited; rows with the same doc_id and text
+are one document, given several times; different texts of one doc_id are documents of
+their own, in the order of their SHA-256, and so are texts without a doc_id, which come
+before all others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -419,8 +420,30 @@ def repeated_stretches(docs: DataFrame, width: int = 100, digit: int = 36) -> Da
     return spans
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Where rows share a doc_id or have none: the table with a number for each (doc_id, text), in their order, as
+    doc_id, and the doc_id of each number. A look at the ids alone tells whether that is needed."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1 or doc_id is null").limit(1).count():
+        return None
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    texts = docs.select("doc_id", "text", sha.alias("sha"))
+    pairs = texts.select("doc_id", "sha").distinct().repartitionByRange("doc_id", "sha").sortWithinPartitions("doc_id", "sha")
+    pairs = stage(pairs.withColumn("number", F.monotonically_increasing_id()), "numbers")  # in order, with gaps
+    same = texts["doc_id"].eqNullSafe(pairs["doc_id"]) & (texts["sha"] == pairs["sha"])
+    rows = stage(texts.join(pairs, same).select(pairs["number"].alias("doc_id"), "text"), "numbered")
+    return rows, pairs.select("number", "doc_id")
+
+
 def deduplicate(docs: DataFrame, width: int = 100, digit: int = 36, with_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 per document; ``with_text`` adds what is kept (bytes)."""
+    if found := _numbered(docs):
+        out = _deduplicated(found[0], width, digit, with_text).withColumnRenamed("doc_id", "number")
+        return out.join(found[1], "number").select("doc_id", *[c for c in out.columns if c != "number"])
+    return _deduplicated(docs, width, digit, with_text)
+
+
+def _deduplicated(docs: DataFrame, width: int, digit: int, with_text: bool) -> DataFrame:
     lists = repeated_stretches(docs, width, digit).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
