@@ -1,8 +1,9 @@
 """Order books: continuity of deltas, levels, top of book.
 
 Book events carry kind, seq (snapshots), first_seq, last_seq (deltas) and level
-arrays. Everything but the reseeding rule is windows; level states are validity
-intervals, so a book at any time is a filter, not a replay.
+arrays. Everything but the reseeding rule is scans over slices of time, so a busy
+book is not one task's; level states are validity intervals, so a book at any time is
+a filter, not a replay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket_index
 from tidemark.operators.asof import asof
-from tidemark.operators.core import KEYS, folded, ordered, upto
+from tidemark.operators.core import KEYS, folded, joined
+from tidemark.operators.scan import HOUR_NS, scanned
+from tidemark.staging import staged
 
 
 def book_continuity(book: DataFrame, rule: str = "range", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -28,14 +31,13 @@ def book_continuity(book: DataFrame, rule: str = "range", keys: tuple[str, ...]
     """
     if rule == "reseed":
         return _reseeding(book, keys)
-    w = ordered(*keys)
     is_snap = F.col("kind") == "book_snapshot"
-    b = book.withColumn("epoch", F.sum(is_snap.cast("long")).over(upto(w)))
-    in_epoch = ordered(*keys, "epoch")
+    book = staged(book.withColumn("_row", F.monotonically_increasing_id()), "book")
+    ids = ["_row", *keys, "recv_ts_ns", "stream_seq", "kind", "seq", "first_seq", "last_seq"]  # scans leave the levels alone
+    b = scanned(book.select(*ids), list(keys), {"epoch": ("sum", is_snap.cast("long"), False)}, keep=True)
     last = F.when(is_snap, F.col("seq")).otherwise(F.col("last_seq"))
-    before = in_epoch.rowsBetween(Window.unboundedPreceding, -1)
-    known = F.max(last).over(before) if rule == "range" else F.lag(last).over(in_epoch)
-    b = b.withColumn("_known", known)
+    in_epoch = [*keys, "epoch"]
+    b = scanned(b, in_epoch, {"_known": ("max" if rule == "range" else "last", last, True)}, keep=True)
     if rule == "range":
         gap, old = F.col("first_seq") > F.col("_known") + 1, F.col("last_seq") <= F.col("_known")
     elif rule == "strict":
@@ -46,9 +48,10 @@ def book_continuity(book: DataFrame, rule: str = "range", keys: tuple[str, ...]
         raise ValueError(f"unknown rule: {rule}")
     gap = ~is_snap & ((F.col("epoch") == 0) | F.coalesce(gap, F.lit(False)))
     b = b.withColumns({"_gap": gap, "_old": ~is_snap & F.coalesce(old, F.lit(False))})
-    broken = F.coalesce(F.max(F.col("_gap").cast("int")).over(before), F.lit(0)) == 1
+    b = scanned(b, in_epoch, {"_broken": ("max", F.col("_gap").cast("int"), True)}, keep=True)
+    broken = F.coalesce("_broken", F.lit(0)) == 1
     action = F.when(is_snap, "Snapshot").when((F.col("epoch") == 0) | broken, "Drop").when(F.col("_gap"), "Gap").when(F.col("_old"), "Drop").otherwise("Apply")
-    return b.withColumn("action", action).drop("_known", "_gap", "_old")
+    return book.join(b.select("_row", "epoch", action.alias("action")), "_row").drop("_row")
 
 
 def _reseeding(book: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -79,8 +82,7 @@ def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
 
     A level ends at the next event for its price, or with its epoch (next snapshot or gap).
     """
-    w = ordered(*keys)
-    c = continuity.where(F.col("action") != "Drop").withColumns({"place": F.row_number().over(w)})
+    c = scanned(continuity.where(F.col("action") != "Drop"), list(keys), {"place": ("sum", F.lit(1).cast("long"), False)}, keep=True)
     ends = c.groupBy(*keys, "epoch").agg(F.min(F.when(F.col("action") == "Gap", F.struct("recv_ts_ns", "place"))).alias("_gap"), F.min("recv_ts_ns").alias("_from"), F.min("place").alias("_first"))
     by_epoch = Window.partitionBy(*keys).orderBy("epoch")
     ends = ends.select(*keys, "epoch", F.coalesce(F.col("_gap"), F.struct(F.lead("_from").over(by_epoch).alias("recv_ts_ns"), F.lead("_first").over(by_epoch).alias("place"))).alias("_end"))
@@ -115,38 +117,68 @@ class _Side:
 TOP = "best_bid double, bid_qty double, best_ask double, ask_qty double, bid_levels long, ask_levels long, mid double"
 
 
-def top_of_book(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def _starting_levels(c: DataFrame, keys: list[str]) -> DataFrame:
+    """The levels with which each slice of an epoch begins: of every price the last change before, as (price, qty) pairs a side."""
+    changes = None
+    for n, side in ((0, "bids"), (1, "asks")):
+        part = c.select(*keys, "_s", "recv_ts_ns", "stream_seq", F.lit(n).alias("side"), F.posexplode(side).alias("_i", "_x")).withColumns({"price": F.col("_x")[0], "qty": F.col("_x")[1]}).drop("_x")
+        changes = part if changes is None else changes.unionByName(part)
+    by_price = [*keys, "side", "price"]
+    ends = changes.groupBy(*by_price, "_s").agg(F.max_by("qty", F.struct("recv_ts_ns", "stream_seq", "_i")).alias("qty"))
+    following = Window.partitionBy(*by_price).orderBy("_s")
+    last = c.groupBy(*keys).agg(F.max("_s").alias("_end"))
+    ends = joined(ends.withColumn("_next", F.lead("_s").over(following)), last, keys, "inner").where("qty > 0")
+    upto = F.coalesce(F.col("_next"), F.col("_end"))
+    lives = ends.where(F.col("_s") < upto).withColumn("_s", F.explode(F.sequence(F.col("_s") + 1, upto)))
+    level = lambda n: F.filter(F.collect_list(F.struct("side", "price", "qty")), lambda x: x["side"] == n)
+    pairs = lambda n: F.transform(level(n), lambda x: F.array(x["price"], x["qty"]))
+    starts = lives.groupBy(*keys, "_s").agg(pairs(0).alias("bids"), pairs(1).alias("asks"))  # as many as a book is deep
+    return joined(starts, c.select(*keys, "_s").distinct(), [*keys, "_s"], "inner")
+
+
+def top_of_book(continuity: DataFrame, keys: tuple[str, ...] = KEYS, slice_ns: int = HOUR_NS) -> DataFrame:
     """After every applied book event: best prices and sizes, level counts and mid. Nothing while a book is broken.
 
-    A running best under removals is a fold; epochs are independent, so a busy key spreads over partitions.
+    A running best under removals is a fold, but a book's slices of time are independent
+    once each knows the levels it begins with; so even one epoch of one key spreads over tasks.
     """
-    c = continuity.where(F.col("action").isin("Snapshot", "Apply")).select(*keys, "epoch", "recv_ts_ns", "stream_seq", "action", *(F.transform(s, lambda x: F.array(x["price"], x["qty"])).alias(s) for s in ("bids", "asks")))
+    own = [*keys, "epoch"]
+    c = continuity.where(F.col("action").isin("Snapshot", "Apply")).withColumn("_s", bucket_index("recv_ts_ns", slice_ns))
+    c = c.select(*own, "_s", "recv_ts_ns", "stream_seq", "action", *(F.transform(s, lambda x: F.array(x["price"], x["qty"])).alias(s) for s in ("bids", "asks")))
+    c = staged(c, "book_events")
+    none = {"recv_ts_ns": F.lit(None).cast("long"), "stream_seq": F.lit(None).cast("long"), "action": F.lit("Start")}
+    c = c.unionByName(_starting_levels(c, own).withColumns(none))
 
-    width = len(keys) + 1
+    width = len(own) + 1
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
         sides: tuple[_Side, _Side] = (_Side(-1), _Side(1))
         for batch in batches:
-            rows = []
-            cols = [c.to_pylist() for c in batch.columns]
+            rows, kept = [], []
+            cols = [x.to_pylist() for x in batch.columns]
             for key, action, *levels in zip(zip(*cols[:width]), *cols[width + 2 :]):
                 if key != at or action == "Snapshot":
                     at, sides = key, (_Side(-1), _Side(1))
                 for side, changes in zip(sides, levels):
                     for price, qty in changes or ():
                         side.put(price, qty)
+                kept.append(action != "Start")
+                if action == "Start":
+                    continue
                 bid, ask = (side.best() for side in sides)
                 rows.append((bid, sides[0].at.get(bid), ask, sides[1].at.get(ask), len(sides[0].at), len(sides[1].at), (bid + ask) / 2 if bid is not None and ask is not None else None))
             names = [x.split()[0] for x in TOP.split(", ")]
             kinds = [pa.int64() if n.endswith("levels") else pa.float64() for n in names]
             new = [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [()] * len(names), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 2], *new], [*batch.schema.names[: width + 2], *names])
+            own_columns = batch.filter(pa.array(kept, pa.bool_()))
+            shown = [*range(width - 1), width, width + 1]
+            yield pa.RecordBatch.from_arrays([*(own_columns.column(i) for i in shown), *new], [*(batch.schema.names[i] for i in shown), *names])
 
     types = dict(c.dtypes)
-    schema = ", ".join(f"{x} {types[x]}" for x in [*keys, "epoch", "recv_ts_ns", "stream_seq"]) + ", " + TOP
-    # Sorted by epoch and time within hash partitions, a book is one pass over its rows.
-    return c.repartition(*keys, "epoch").sortWithinPartitions(*keys, "epoch", "recv_ts_ns", "stream_seq").mapInArrow(fold, schema)
+    schema = ", ".join(f"{x} {types[x]}" for x in [*own, "recv_ts_ns", "stream_seq"]) + ", " + TOP
+    order = [*own, "_s", F.asc_nulls_first("recv_ts_ns"), F.asc_nulls_first("stream_seq")]
+    return c.repartition(*own, "_s").sortWithinPartitions(*order).mapInArrow(fold, schema)
 
 
 def top_imbalance(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.core import joined
+from tidemark.operators.scan import scanned
+from tidemark.staging import staged
+
 OPS = {"Gt": lambda a, b: a > b, "Ge": lambda a, b: a >= b, "Lt": lambda a, b: a < b, "Le": lambda a, b: a <= b}
 Condition = tuple[str, str, float]
 
@@ -25,32 +29,38 @@ def any_of(rules: Sequence[Sequence[Condition]], values: Column | None = None) -
 def screen(features: DataFrame, rules: dict[str, Sequence[Condition]], keys: Sequence[str] = ("symbol_id",)) -> DataFrame:
     """(rule_id, keys, ts_ns, snapshot) whenever a rule turns true.
 
-    The frame's features become columns of last values, one window over one shuffle;
-    the snapshot holds the last values of all features so far. Their names, few as
-    they are, come from a first pass over the frame.
+    Only what rules name becomes columns of last values, before and with each row, by a scan over slices of time. The
+    snapshot holds the last values of all features so far: each hit asks every feature of its key, in the stream's order.
     """
-    present = {r["feature"] for r in features.select("feature").where("feature is not null").distinct().collect()}
-    names = sorted(present | {f for conds in rules.values() for f, _, _ in conds})
-    order = Window.partitionBy(*keys).orderBy("emit_ts_ns", "emit_seq", "reg_idx")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    last = {f"_v{i}": F.last(F.when(F.col("feature") == f, F.col("value")), True).over(run) for i, f in enumerate(names)}
-    f = features.withColumns(last)
-    columns = {n: F.col(f"_v{i}") for i, n in enumerate(names)}
-    sat = {}
-    for r, conds in rules.items():
-        sat[r] = reduce(lambda a, b: a & b, [F.coalesce(OPS[op](columns[n], F.lit(x)), F.lit(False)) for n, op, x in conds], F.lit(True))
-    f = f.withColumns({f"_s{i}": sat[r] for i, r in enumerate(rules)})
-    f = f.withColumns({f"_p{i}": F.coalesce(F.lag(f"_s{i}").over(order), F.lit(False)) for i in range(len(rules))})
-    hits = F.array_compact(F.array(*(F.when(F.col(f"_s{i}") & ~F.col(f"_p{i}"), F.lit(r)) for i, r in enumerate(rules))))
-    pairs = F.array(*(F.struct(F.lit(n).alias("k"), columns[n].alias("v")) for n in names))
-    snapshot = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
-    return f.withColumns({"rule_id": F.explode(hits), "snapshot": snapshot}).select("rule_id", *keys, F.col("emit_ts_ns").alias("ts_ns"), "snapshot")
+    names = sorted({f for conds in rules.values() for f, _, _ in conds})
+    own, at = list(keys), ("emit_seq", "reg_idx")
+    features = staged(features.select("feature", *own, "emit_ts_ns", *at, "value"), "features")  # read for rules, hits and snapshots
+    value = lambda n: F.when(F.col("feature") == n, F.col("value"))
+    folds = {f"_{when}{i}": ("last", value(n), when == "p") for i, n in enumerate(names) for when in "vp"} | {"_rows": ("sum", F.lit(1).cast("long"), True)}
+    f = scanned(features, own, folds, "emit_ts_ns", at)
+
+    def holds(conds: Sequence[Condition], when: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.coalesce(OPS[op](F.col(f"_{when}{names.index(n)}"), F.lit(x)), F.lit(False)) for n, op, x in conds], F.lit(True))
+
+    turned = [F.when(holds(c, "v") & ~(holds(c, "p") & F.col("_rows").isNotNull()), F.lit(r)) for r, c in rules.items()]
+    hits = f.withColumn("rule_id", F.explode(F.array_compact(F.array(*turned)))).select(*own, "emit_ts_ns", *at, "rule_id")
+    hits = staged(hits.withColumn("_id", F.monotonically_increasing_id()), "hits")
+    known = features.where("feature is not null").select(*own, "feature").distinct()
+    asks = joined(hits, known, own, "inner").withColumns({"value": F.lit(None).cast("double"), "_side": F.lit(1)})
+    given = features.select(*own, "feature", "emit_ts_ns", *at, F.col("value").cast("double").alias("value")).withColumns({"rule_id": F.lit(None).cast("string"), "_id": F.lit(None).cast("long"), "_side": F.lit(0)})
+    last = scanned(given.unionByName(asks), [*own, "feature"], {"_last": ("last", F.col("value"), False)}, "emit_ts_ns", (*at, "_side")).where("_side = 1 and _last is not null")
+    entries = F.sort_array(F.collect_list(F.struct("feature", "_last")))  # as many as there are features
+    return last.groupBy("_id", "rule_id", *own, "emit_ts_ns").agg(F.map_from_entries(entries).alias("snapshot")).select("rule_id", *own, F.col("emit_ts_ns").alias("ts_ns"), "snapshot")
 
 
 def persistent(sat: DataFrame, min_ns: int, keys: Sequence[str] = ("symbol_id",), ts: str = "ts_ns", flag: str = "sat") -> DataFrame:
-    """Rows at which ``flag`` has held without a break for ``min_ns`` or longer, once per run."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    run = F.sum(F.when(F.col(flag), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    held = sat.withColumn("_run", run).where(flag)
-    start = F.min(ts).over(Window.partitionBy(*keys, "_run"))
-    return held.withColumn("_start", start).where(F.col(ts) - F.col("_start") >= min_ns).groupBy(*keys, "_run").agg(F.min(ts).alias(ts), F.first("_start").alias("since_ns")).drop("_run")
+    """Rows at which ``flag`` has held without a break for ``min_ns`` or longer, once per run.
+
+    A run is told by the last row before it at which the flag did not hold, found by scanning slices of time.
+    """
+    off = F.when(~F.col(flag), F.col(ts))
+    broken = scanned(sat, list(keys), {"_run": ("sum", off.isNotNull().cast("long"), False)}, ts, ())
+    held = broken.where(flag)
+    start = held.groupBy(*keys, "_run").agg(F.min(ts).alias("since_ns"))
+    late = joined(held, start, [*keys, "_run"], "inner").where(F.col(ts) - F.col("since_ns") >= min_ns)
+    return late.groupBy(*keys, "_run").agg(F.min(ts).alias(ts), F.first("since_ns").alias("since_ns")).drop("_run")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import DAY_NS, bucket, clamp, is_finite, round_down
+from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, clamp, is_finite, round_down, signed
 from tidemark.operators.asof import asof
-from tidemark.operators.core import running
+from tidemark.operators.core import joined, running
+from tidemark.operators.scan import affine, ranked, scanned
 
 INF = float("inf")
 
@@ -118,10 +116,13 @@ def daily_pnl(equity: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str =
 
 
 def trailing_order_count(orders: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "seq", window_ns: int = 60_000_000_000) -> DataFrame:
-    """Orders of the minute before, this one and its later peers excluded."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(ts, seq)) - 1
-    older = F.count("*").over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -window_ns))
-    return orders.withColumn("orders_last_min", n - older)
+    """Orders of the minute before, this one and its later peers excluded. In slices as long as the window, with the one before as context."""
+    slot = bucket_index(ts, window_ns)
+    d = orders.withColumns({"_slot": slot}).withColumn("_s", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
+    w = Window.partitionBy(*keys, "_s")
+    n = F.row_number().over(w.orderBy(ts, seq)) - 1
+    older = F.count("*").over(w.orderBy(ts).rangeBetween(Window.unboundedPreceding, -window_ns))
+    return d.withColumn("orders_last_min", n - older).where("_s = _slot or _slot is null").drop("_s", "_slot")
 
 
 def performance(returns: DataFrame, keys: list[str], periods: float) -> DataFrame:
@@ -151,11 +152,8 @@ def param_stability(windows: DataFrame, params: list[str]) -> DataFrame:
     return long.groupBy("param").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
 
 
-LEDGER = "fill_qty double, price double, fee double, qty double, avg double, realized double, attributed_fees double, closed_qty double, net double"
-
-
 class Position:
-    """Average-cost position; ``fill`` folds one fill in and returns what it realised."""
+    """Average-cost position, fill by fill, as streams need it; ``fill`` folds one fill in and returns what it realised."""
 
     def __init__(self) -> None:
         self.qty = self.avg = self.open_fees = 0.0
@@ -180,31 +178,50 @@ class Position:
         return gross, attributed, closing
 
 
+QTY = "decimal(28,12)"  # of quantities: their sums are exact in any order, so a closed position is exactly 0
+
+
 def position_ledger(fills: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "seq") -> DataFrame:
     """Average-cost ledger, one row a fill: position after it, realised gross, fees attributed, net.
 
-    A fold over ordered fills: each (strategy, venue, symbol) stays within one partition.
+    Positions are exact running sums. Between two crossings of zero the position's cost and its open fees follow
+    affine maps: a fill that adds adds its own, one that reduces scales both by what is left. These maps are
+    composed in blocks, so any number of fills of one key spreads over tasks.
     """
-    f = fills.select(*keys, ts, seq, F.when(F.col("side") == "Buy", F.col("qty")).otherwise(-F.col("qty")).cast("double").alias("fill_qty"), F.col("price").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
-
-    width, places = len(keys), [len(keys) + 2 + i for i in range(3)]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos, at = Position(), None
-        for batch in batches:
-            rows = []
-            for key, q, p, fee in zip(zip(*(batch.column(i).to_pylist() for i in range(width))), *(batch.column(i).to_pylist() for i in places)):
-                if key != at:
-                    pos, at = Position(), key
-                gross, fees, closed = pos.fill(q, p, fee)
-                rows.append((pos.qty, pos.avg, gross, fees, closed, gross - fees if closed else 0.0))
-            new = [pa.array(list(c), pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * 6
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "qty", "avg", "realized", "attributed_fees", "closed_qty", "net"])
-
-    types = dict(f.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, ts, seq]) + ", " + LEDGER
-    # Sorted by key and time within hash partitions, a position is one pass over its rows.
-    return f.repartition(*keys).sortWithinPartitions(*keys, ts, seq).mapInArrow(fold, schema)
+    f = fills.select(*keys, ts, seq, signed(F.col("qty").cast("double")).alias("fill_qty"), F.col("price").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
+    f = ranked(f, keys, [ts, seq], "_place")
+    f = _exact_sums(f, keys)
+    q, before, after = (F.col(c).cast("double") for c in ("fill_qty", "_before", "_after"))
+    crossing = (F.signum("_before") * F.signum("_after")) <= 0  # opens, closes or flips
+    reduces = ~crossing & (before * q < 0)
+    closing = F.when(before * q < 0, F.least(F.abs(q), F.abs(before))).otherwise(0.0)
+    out = F.coalesce(F.try_divide(closing, F.abs(q)), F.lit(0.0))  # of the fill
+    f = f.withColumns({
+        "_closing": closing, "_out": out, "_factor": F.when(crossing, 0.0).when(reduces, after / before).otherwise(1.0),
+        "_cost_in": F.when(after == 0, 0.0).when(crossing, F.col("price") * after).when(reduces, 0.0).otherwise(F.col("price") * q),
+        "_fees_in": F.when(after == 0, 0.0).otherwise(F.col("fee") * (1 - out)),
+    })
+    f = affine(f, keys, "_place", "_factor", {"_cost": "_cost_in", "_fees": "_fees_in"})
+    # What a row found: undo its own map, or look at the row before it where the map forgets.
+    prior = f.select(*keys, (F.col("_place") + 1).alias("_place"), F.col("_cost").alias("_cost_before"), F.col("_fees").alias("_fees_before"))
+    f = joined(f, prior, [*keys, "_place"])
+    avg = F.coalesce(F.try_divide(F.col("_cost_before"), before), F.lit(0.0))
+    gross = F.col("_closing") * (F.col("price") - avg) * F.signum(before)
+    fees = F.coalesce(F.col("_fees_before") * F.try_divide(F.col("_closing"), F.abs(before)), F.lit(0.0)) + F.col("fee") * F.col("_out")
+    f = f.withColumns({"_gross": gross + 0.0, "_attributed": fees})
+    net = F.when(F.col("_closing") > 0, F.col("_gross") - F.col("_attributed")).otherwise(0.0)
+    return f.select(*keys, ts, seq, "fill_qty", "price", "fee", after.alias("qty"), F.coalesce(F.try_divide(F.col("_cost"), after), F.lit(0.0)).alias("avg"), F.col("_gross").alias("realized"), F.col("_attributed").alias("attributed_fees"), F.col("_closing").alias("closed_qty"), net.alias("net"))
+
+
+def _exact_sums(f: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """``_before`` and ``_after``: the position around each fill, by blocks of places."""
+    d = f.withColumns({"_q": F.col("fill_qty").cast(QTY), "_b": F.call_function("div", F.col("_place"), F.lit(block))})
+    sums = d.groupBy(*keys, "_b").agg(F.sum("_q").alias("_all"))
+    start = sums.select(*keys, "_b", F.coalesce(F.sum("_all").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(QTY).alias("_start"))
+    within = F.sum("_q").over(Window.partitionBy(*keys, "_b").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)).cast(QTY)
+    d = joined(d.withColumn("_w", within), start, [*keys, "_b"], "inner")
+    after = (F.col("_start") + F.col("_w")).cast(QTY)
+    return d.withColumns({"_after": after, "_before": (after - F.col("_q")).cast(QTY)}).drop("_q", "_b", "_w", "_start")
 
 
 def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys: list[str], start_cash: float, by_mark: list[str]) -> DataFrame:
@@ -212,12 +229,12 @@ def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys:
 
     ``marks``: by_mark, ts_ns, mark; ``funding``: keys, ts_ns, paid.
     """
-    run = Window.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    led = ledger.withColumns({"cum_realized": F.sum("realized").over(run), "cum_fees": F.sum("fee").over(run), "cum_cash": F.sum(-F.col("fill_qty") * F.col("price") - F.col("fee")).over(run)})
+    total = lambda c: ("sum", c, False)
+    led = scanned(ledger, keys, {"cum_realized": total(F.col("realized")), "cum_fees": total(F.col("fee")), "cum_cash": total(-F.col("fill_qty") * F.col("price") - F.col("fee"))}, "ts_ns", ("seq",), DAY_NS)
     times = marks.join(ledger.select(*keys).distinct(), by_mark)
     at = asof(times, led, keys, "ts_ns", "ts_ns", ["qty", "avg", "cum_realized", "cum_fees", "cum_cash"], "seq")
     funding = funding.groupBy(*keys, "ts_ns").agg(F.sum("paid").alias("paid"))  # several at one time count together
-    paid = funding.withColumn("cum_funding", F.sum("paid").over(Window.partitionBy(*keys).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)))
+    paid = scanned(funding, keys, {"cum_funding": total(F.col("paid"))}, "ts_ns", (), DAY_NS)
     at = asof(at, paid, keys, "ts_ns", "ts_ns", ["cum_funding"])
     z = lambda c: F.coalesce(c, F.lit(0.0))
     unreal = z("qty") * (F.col("mark") - z("avg"))

@@ -464,7 +464,7 @@ def ta1_position_qty(spark, sf):
 
 @query()
 def ta2_equity(spark, sf):
-    led = trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"])
+    led = staged(trades.position_ledger(adapters.fills(spark, sf), ["strategy", "venue", "symbol_id"]), "ledger")
     marks = adapters.fills(spark, sf).groupBy("symbol_id", "ts_ns").agg(F.max("price").alias("mark"))
     funding = led.select("strategy", "venue", "symbol_id", "ts_ns", (F.col("qty") * 0.001).alias("paid"))
     e = trades.equity_curve(led, marks, funding, ["strategy", "venue", "symbol_id"], 100_000.0, ["symbol_id"])
@@ -616,7 +616,7 @@ def wn9_top_imbalance(spark, sf):
 
 @query()
 def wn10_levels_at(spark, sf):
-    lv = book.book_levels(book.book_continuity(_book(spark, sf)))
+    lv = staged(book.book_levels(book.book_continuity(_book(spark, sf))), "levels")
     times = lv.groupBy("symbol_id").agg(F.explode(F.sequence(F.min("from_ns"), F.max("from_ns"), F.lit(25).cast("long"))).alias("ts_ns"))
     at = book.levels_at(lv, times, ["symbol_id"], 100)
     return at.groupBy("symbol_id", "ts_ns", "side").agg(F.count("*").alias("levels"), F.max("price").alias("top"), F.min("price").alias("bottom"))
@@ -885,14 +885,14 @@ def s10_adaptive_whales(spark, sf):
 
 @query()
 def s11_depth(spark, sf):
-    lv = book.book_levels(book.book_continuity(_book(spark, sf)))
+    lv = staged(book.book_levels(book.book_continuity(_book(spark, sf))), "levels")
     times = lv.groupBy("symbol_id").agg(F.explode(F.sequence(F.min("from_ns"), F.max("from_ns"), F.lit(25).cast("long"))).alias("ts_ns"))
     return book.depth(book.levels_at(lv, times, ["symbol_id"], 100), 5000.0, ["symbol_id"], tick=0.5)
 
 
 @query()
 def s12_wall_persistence(spark, sf):
-    c = book.book_continuity(_book(spark, sf))
+    c = staged(book.book_continuity(_book(spark, sf)), "continuity")
     mids = book.top_of_book(c).select("symbol_id", "recv_ts_ns", "mid")
     return book.wall_persistence(book.book_levels(c), mids, 5000.0, 200.0, ("symbol_id",)).select("symbol_id", "side", "walls", d("mean_ns"), "longest_ns")
 
