@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import bucket
-from tidemark.operators.core import KEYS, running
+from tidemark.functions.scalar import DAY_NS, bucket, bucket_index
+from tidemark.operators.core import KEYS, joined, running
+from tidemark.operators.features import in_vol_units
 
 
 def time_bars(trades: DataFrame, tf_ns: int, keys: tuple[str, ...] = KEYS, closed_only: bool = True) -> DataFrame:
@@ -51,8 +52,22 @@ def profile_nodes(trades: DataFrame, price_step: float, keys: tuple[str, ...] =
     return smooth.withColumns(near).withColumn("node", F.when((F.col("smooth") > F.col("_a")) & (F.col("smooth") > F.col("_b")), "hvn").when((F.col("smooth") < F.col("_a")) & (F.col("smooth") < F.col("_b")), "lvn")).drop("_a", "_b")
 
 
-def node_distance(bars: DataFrame, nodes: DataFrame, price_step: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Distance of each bar's close to the nearest high and low node, in price."""
-    lists = nodes.where("node is not null").groupBy(*keys, "node").agg(F.collect_list((F.col("bin") + 0.5) * price_step).alias("at")).groupBy(*keys).pivot("node", ["hvn", "lvn"]).agg(F.first("at"))
-    gap = lambda c: F.array_min(F.transform(c, lambda x: F.abs(x - F.col("close").cast("double"))))
-    return bars.join(lists, list(keys), "left").withColumns({"dist_hvn": gap("hvn"), "dist_lvn": gap("lvn")}).drop("hvn", "lvn")
+def rolling_profile(trades: DataFrame, price_step: float, days: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``profile_nodes`` as of the start of each UTC day (``day``, its number): of the trades of the ``days`` days before it."""
+    day = bucket_index("recv_ts_ns", DAY_NS)
+    daily = trades.groupBy(*keys, day.alias("_d"), F.floor(F.col("price") / price_step).cast("long").alias("_bin")).agg(F.sum("qty").alias("qty"))
+    each = daily.withColumn("day", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + days)))
+    return profile_nodes(each.withColumn("price", (F.col("_bin") + 0.5) * price_step), price_step, (*keys, "day"))
+
+
+def node_distance(bars: DataFrame, trades: DataFrame, price_step: float, days: int, w: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Distance of each bar's close to the nearest high and low node, in vol units.
+
+    A bar sees the profile of the ``days`` whole UTC days that have ended with its close, none after.
+    """
+    nodes = rolling_profile(trades, price_step, days, keys).where("node is not null")
+    at = F.collect_list(F.when(F.col("node") == "hvn", (F.col("bin") + 0.5) * price_step)), F.collect_list(F.when(F.col("node") == "lvn", (F.col("bin") + 0.5) * price_step))
+    lists = nodes.groupBy(*keys, "day").agg(at[0].alias("_hvn"), at[1].alias("_lvn"))  # as many as ten days have price bins
+    b = joined(in_vol_units(bars, w, keys).withColumn("day", bucket_index("close_ts_ns", DAY_NS)), lists, [*keys, "day"])
+    gap = lambda c: F.try_divide(F.array_min(F.transform(c, lambda x: F.abs(x - F.col("close").cast("double")))), F.col("unit"))
+    return b.withColumns({"dist_hvn": gap("_hvn"), "dist_lvn": gap("_lvn")}).drop("_hvn", "_lvn", "day", "unit")

@@ -80,7 +80,7 @@ def _reseeding(book: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each price level's life: keys, epoch, side, price, qty, from and to (ns and place); removed levels have no rows.
 
-    A level ends at the next event for its price, or with its epoch (next snapshot or gap).
+    A level ends at the next event for its price (``changed``), or with its epoch (next snapshot or gap).
     """
     c = scanned(continuity.where(F.col("action") != "Drop"), list(keys), {"place": ("sum", F.lit(1).cast("long"), False)}, keep=True)
     ends = c.groupBy(*keys, "epoch").agg(F.min(F.when(F.col("action") == "Gap", F.struct("recv_ts_ns", "place"))).alias("_gap"), F.min("recv_ts_ns").alias("_from"), F.min("place").alias("_first"))
@@ -91,7 +91,7 @@ def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
     lv = live.select(*keys, "epoch", "recv_ts_ns", "place", F.inline(sides))
     same = Window.partitionBy(*keys, "epoch", "side", "price").orderBy("place")
     lv = lv.withColumns({"_to_ns": F.lead("recv_ts_ns").over(same), "_to": F.lead("place").over(same)}).join(ends, [*keys, "epoch"])
-    return lv.where("qty > 0").select(*keys, "epoch", "side", "price", "qty", F.col("recv_ts_ns").alias("from_ns"), F.col("place").alias("from_place"), F.coalesce("_to_ns", "_end.recv_ts_ns").alias("to_ns"), F.coalesce("_to", "_end.place").alias("to_place"))
+    return lv.where("qty > 0").select(*keys, "epoch", "side", "price", "qty", F.col("recv_ts_ns").alias("from_ns"), F.col("place").alias("from_place"), F.coalesce("_to_ns", "_end.recv_ts_ns").alias("to_ns"), F.coalesce("_to", "_end.place").alias("to_place"), F.col("_to").isNotNull().alias("changed"))
 
 
 class _Side:
@@ -232,11 +232,18 @@ def depth(at: DataFrame, bps: float, by: list[str], ts: str = "ts_ns", tick: flo
 
 
 def wall_persistence(levels: DataFrame, mids: DataFrame, bps: float, min_notional: float, by: tuple[str, ...] = KEYS) -> DataFrame:
-    """How long levels of at least ``min_notional`` that appear within ``bps`` of the mid survive, by side.
+    """One row for every wall that was removed: by, side, price, from_ns, to_ns and the seconds it survived (``value``).
 
-    ``mids``: by, recv_ts_ns, mid; each level is judged by the mid at its appearance.
+    A wall is a price at which ``min_notional`` or more stands without a break, within ``bps`` of the mid at its
+    appearance (``mids``: by, recv_ts_ns, mid). Ends of epochs remove none: what stood there is not known.
     """
-    at = asof(levels.where("to_ns is not null"), mids, list(by), "from_ns", "recv_ts_ns", ["mid"])
+    same = [*by, "epoch", "side", "price"]
+    w = Window.partitionBy(*same).orderBy("from_place")
+    big = levels.where(F.col("price") * F.col("qty") >= min_notional)
+    big = big.withColumn("_new", (~F.lag("to_place").over(w).eqNullSafe(F.col("from_place"))).cast("int"))
+    big = big.withColumn("_wall", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    walls = big.groupBy(*same, "_wall").agg(F.min("from_ns").alias("from_ns"), F.max_by(F.struct("to_ns", "changed"), "from_place").alias("_e"))
+    walls = walls.where("_e.changed").select(*by, "side", "price", "from_ns", F.col("_e.to_ns").alias("to_ns"))
+    at = asof(walls, mids, list(by), "from_ns", "recv_ts_ns", ["mid"])
     near = F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * bps / 1e4
-    w = at.where(near & (F.col("price") * F.col("qty") >= min_notional)).withColumn("_life", F.col("to_ns") - F.col("from_ns"))
-    return w.groupBy(*by, "side").agg(F.count("*").alias("walls"), F.avg("_life").alias("mean_ns"), F.max("_life").alias("longest_ns"))
+    return at.where(near).withColumn("value", (F.col("to_ns") - F.col("from_ns")) / 1e9).drop("mid")

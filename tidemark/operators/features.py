@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, signed
 from tidemark.operators.asof import asof
-from tidemark.operators.core import KEYS, ordered, running, upto
+from tidemark.operators.core import KEYS, joined, ordered, running, upto
+from tidemark.operators.scan import scanned
 
 
 def cvd(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -132,21 +133,35 @@ def relative_volume(bars: DataFrame, days: int, keys: tuple[str, ...] = KEYS) ->
 
 
 def session_vwap(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Volume-weighted price since the start of the UTC day, and the price's distance from it."""
+    """Volume-weighted price since the start of the UTC day."""
     w = upto(ordered(*keys, "_day"))
     t = trades.withColumn("_day", bucket("recv_ts_ns", DAY_NS))
     pq, q = F.sum(F.col("price") * F.col("qty")).over(w).cast("double"), F.sum("qty").over(w).cast("double")
-    t = t.withColumn("vwap", F.when(q > 0, pq / q).otherwise(F.col("price").cast("double")))
-    return t.withColumn("vwap_dev", F.try_divide(F.col("price").cast("double") - F.col("vwap"), F.col("vwap"))).drop("_day")
+    return t.withColumn("vwap", F.when(q > 0, pq / q).otherwise(F.col("price").cast("double"))).drop("_day")
 
 
-def previous_day_range(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Distance of each close to the high and low of the last day before that has bars."""
+def in_vol_units(bars: DataFrame, w: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``bars`` with ``unit``, the price unit scaled by volatility: close times realised volatility of ``w`` returns, null until warm."""
+    rv = realized_vol(bars, w, keys).select(*keys, "open_ts_ns", F.col("value").alias("_rv"))
+    return joined(bars, rv, [*keys, "open_ts_ns"]).withColumn("unit", F.col("close").cast("double") * F.col("_rv")).drop("_rv")
+
+
+def vwap_deviation(bars: DataFrame, trades: DataFrame, w: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Distance of each bar's close from the session's volume-weighted price at its last trade, in vol units."""
+    v = session_vwap(trades, keys).select(*keys, F.col("recv_ts_ns").alias("_t"), "stream_seq", F.col("vwap").alias("session_vwap"))
+    b = asof(in_vol_units(bars, w, keys), v, list(keys), "last_ts_ns", "_t", ["session_vwap"], "stream_seq")
+    return b.withColumn("value", F.try_divide(F.col("close").cast("double") - F.col("session_vwap"), F.col("unit"))).drop("unit")
+
+
+def previous_day_range(bars: DataFrame, w: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Distance of each close to the high and low of the last day before that has bars, in vol units; negative beyond the level."""
     day = bucket("open_ts_ns", DAY_NS)
     days = bars.groupBy(*keys, day.alias("_day")).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    w = Window.partitionBy(*keys).orderBy("_day")
-    days = days.select(*keys, "_day", F.lag("_h").over(w).alias("pdh"), F.lag("_l").over(w).alias("pdl"))
-    return bars.withColumn("_day", day).join(days, [*keys, "_day"]).withColumns({"dist_pdh": (F.col("close") - F.col("pdh")).cast("double"), "dist_pdl": (F.col("close") - F.col("pdl")).cast("double")}).drop("_day")
+    before = Window.partitionBy(*keys).orderBy("_day")
+    days = days.select(*keys, "_day", F.lag("_h").over(before).alias("pdh"), F.lag("_l").over(before).alias("pdl"))
+    b = joined(in_vol_units(bars, w, keys).withColumn("_day", day), days, [*keys, "_day"], "inner")
+    gap = lambda x: F.try_divide(x.cast("double"), F.col("unit"))
+    return b.withColumns({"dist_pdh": gap(F.col("pdh") - F.col("close")), "dist_pdl": gap(F.col("close") - F.col("pdl"))}).drop("_day", "unit")
 
 
 def climax(bars: DataFrame, days: int, min_rvol: float, min_share: float) -> DataFrame:
@@ -162,14 +177,24 @@ def zscore(df: DataFrame, value: str, w: int, keys: tuple[str, ...] = KEYS) -> D
     return df.withColumn("value", F.when(F.count(value).over(win) >= w, F.try_divide(x - F.avg(x).over(win), F.stddev_samp(x).over(win))))
 
 
-def cross_venue(a: DataFrame, b: DataFrame, by: str = "symbol_id", grid_ns: int = 1_000_000_000) -> DataFrame:
-    """Relative price difference of two venues, on the grid seconds in which either trades (last prices carried on)."""
+def cross_venue(a: DataFrame, b: DataFrame, by: str = "symbol_id", grid_ns: int = 1_000_000_000, value_a: str = "price", value_b: str = "price") -> DataFrame:
+    """Relative difference of ``value_a`` in ``a`` from ``value_b`` in ``b``, on the grid seconds in which either has one (last ones carried on, by slices)."""
     grid = bucket("recv_ts_ns", grid_ns).alias("ts_ns")
-    last = lambda d, n: d.groupBy(by, grid).agg(F.max_by("price", F.struct("recv_ts_ns", "stream_seq")).cast("double").alias(n))
-    both = last(a, "_a").join(last(b, "_b"), [by, "ts_ns"], "full_outer")
-    w = Window.partitionBy(by).orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.select(by, "ts_ns", F.last("_a", True).over(w).alias("px_a"), F.last("_b", True).over(w).alias("px_b"))
-    return carried.where("px_a is not null and px_b is not null").withColumn("value", F.try_divide(F.col("px_a") - F.col("px_b"), F.col("px_b")))
+    last = lambda d, c, n: d.groupBy(by, grid).agg(F.max_by(c, F.struct("recv_ts_ns", "stream_seq")).cast("double").alias(n))
+    both = last(a, value_a, "_a").join(last(b, value_b, "_b"), [by, "ts_ns"], "full_outer")
+    carried = scanned(both, [by], {"px_a": ("last", F.col("_a"), False), "px_b": ("last", F.col("_b"), False)}, "ts_ns", (), DAY_NS)
+    return carried.where("px_a is not null and px_b is not null").select(by, "ts_ns", "px_a", "px_b").withColumn("value", F.try_divide(F.col("px_a") - F.col("px_b"), F.col("px_b")))
+
+
+def basis(marks: DataFrame, index: DataFrame, by: str = "symbol_id", grid_ns: int = 1_000_000_000) -> DataFrame:
+    """(mark of venue a - index price of venue b) / index price; columns ``mark`` and ``index_price``."""
+    return cross_venue(marks, index, by, grid_ns, "mark", "index_price")
+
+
+def price_divergence(quotes_a: DataFrame, quotes_b: DataFrame, by: str = "symbol_id", grid_ns: int = 1_000_000_000) -> DataFrame:
+    """(mid a - mid b) / mid b, from two venues' tops of book."""
+    known = "mid is not null"
+    return cross_venue(quotes_a.where(known), quotes_b.where(known), by, grid_ns, "mid", "mid")
 
 
 def oi_quadrant(oi: DataFrame, bars: DataFrame, tf_ns: int, keys: tuple[str, ...] = KEYS) -> DataFrame:

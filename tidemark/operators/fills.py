@@ -40,15 +40,22 @@ def arrival_cost(orders: DataFrame, quotes: DataFrame, trades: DataFrame, by: li
     return f.withColumns({"fill_px": F.when(filled > 0, _slipped(touch, F.col("side"), slip)), "filled_qty": filled, "unfilled_qty": F.col("qty") - filled}).drop("_t", "_last", "best_bid", "bid_qty", "best_ask", "ask_qty")
 
 
-def depth_walk(orders: DataFrame, levels: DataFrame, order_id: str = "order_id") -> DataFrame:
-    """Average price when an order takes levels best first. ``levels``: order_id, price, qty of the opposing side."""
+def depth_walk(orders: DataFrame, levels: DataFrame, order_id: str = "order_id", slip: float = 0.0) -> DataFrame:
+    """Average price when an order takes levels best first. ``levels``: order_id, price, qty of the opposing side.
+
+    An order that finds nothing in the book is filled whole at its last traded price (``last``, if orders have it), slipped.
+    """
     l = orders.select(order_id, "side", F.col("qty").alias("_want")).join(levels.select(order_id, "price", "qty"), order_id)
     w = Window.partitionBy(order_id).orderBy(F.when(F.col("side") == BUY, F.col("price")).otherwise(-F.col("price")))
     before = F.coalesce(F.sum("qty").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     l = l.withColumn("_take", F.least(F.greatest(F.col("_want") - before, F.lit(0.0)), F.col("qty")))
     s = l.groupBy(order_id).agg(F.sum("_take").alias("filled_qty"), F.sum(F.col("_take") * F.col("price")).alias("_n"))
     out = orders.join(s, order_id, "left").withColumn("filled_qty", F.coalesce("filled_qty", F.lit(0.0)))
-    return out.withColumns({"avg_px": F.when(F.col("filled_qty") > 0, F.try_divide("_n", "filled_qty")), "unfilled_qty": F.col("qty") - F.col("filled_qty")}).drop("_n")
+    last = F.col("last").cast("double") if "last" in orders.columns else F.lit(None).cast("double")
+    walked, known = F.col("filled_qty") > 0, last.isNotNull()
+    px = F.when(walked, F.try_divide("_n", "filled_qty")).otherwise(_slipped(last, F.col("side"), slip))
+    filled = F.when(walked, F.col("filled_qty")).when(known, F.col("qty")).otherwise(0.0)
+    return out.withColumns({"avg_px": px, "filled_qty": filled, "unfilled_qty": F.col("qty") - filled}).drop("_n")
 
 
 def _crosses(low: str, high: str):

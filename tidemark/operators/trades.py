@@ -138,12 +138,19 @@ def drawdown_duration(equity: DataFrame, keys: list[str], ts: str = "ts_ns") ->
     return d.withColumn("_since", F.col(ts) - peak_at).groupBy(*keys).agg(F.max("_since").alias("longest_dd_ns"), F.max("drawdown").alias("max_drawdown"))
 
 
-def correlation_penalty(returns: DataFrame, start: float = 0.5) -> DataFrame:
-    """1 minus how far a strategy's largest correlation with another exceeds ``start``. Columns: strategy, day, r."""
-    a, b = returns.select("day", F.col("strategy").alias("strategy"), F.col("r").alias("ra")), returns.select("day", F.col("strategy").alias("other"), F.col("r").alias("rb"))
-    c = a.join(b, "day").where("strategy <> other").groupBy("strategy", "other").agg(F.corr("ra", "rb").alias("c"))
-    worst = c.groupBy("strategy").agg(F.max("c").alias("c"))
-    return worst.withColumn("penalty", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.coalesce("c", F.lit(0.0)) - start, F.lit(0.0)) / (1 - start))))
+def correlation_penalty(returns: DataFrame, threshold: float = 0.5, days: int = 60) -> DataFrame:
+    """(strategy, day, penalty): 1 / (1 + the sum of a strategy's correlations above ``threshold`` with others).
+
+    Correlations of daily returns over the last ``days`` days, on days that both have; each pair is computed once.
+    Columns of ``returns``: strategy, day (a number), r, one row a strategy and day.
+    """
+    a, b = returns.select("day", "strategy", F.col("r").alias("_ra")), returns.select("day", F.col("strategy").alias("_other"), F.col("r").alias("_rb"))
+    last = Window.partitionBy("strategy", "_other").orderBy("day").rangeBetween(-(days - 1), 0)
+    c = a.join(b, "day").where(F.col("strategy") < F.col("_other")).withColumn("_c", F.corr("_ra", "_rb").over(last))
+    c = c.where(~F.isnan("_c") & (F.col("_c") > threshold))
+    sides = F.explode(F.array("strategy", "_other"))
+    total = c.select("day", "_c", sides.alias("strategy")).groupBy("strategy", "day").agg(F.sum("_c").alias("_sum"))
+    return returns.select("strategy", "day").join(total, ["strategy", "day"], "left").select("strategy", "day", (1 / (1 + F.coalesce("_sum", F.lit(0.0)))).alias("penalty"))
 
 
 def param_stability(windows: DataFrame, params: list[str]) -> DataFrame:

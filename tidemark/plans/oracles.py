@@ -59,6 +59,7 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
     horizons = {"4h": DAY_NS // 6, "1d": DAY_NS, "3d": 3 * DAY_NS}
     rvol = f"""{BARS}, rv AS (SELECT *, volume::DOUBLE / nullif(quantile_cont(volume::DOUBLE, 0.5) OVER (PARTITION BY venue, symbol_id ORDER BY open_ts_ns ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS rvol FROM b)"""
     returns = f"""{BARS}, lr AS (SELECT *, CASE WHEN close > 0 AND pc > 0 THEN ln(close::DOUBLE / pc::DOUBLE) END AS r FROM (SELECT *, lag(close) OVER (PARTITION BY venue, symbol_id ORDER BY open_ts_ns) AS pc FROM b))"""
+    unit = f"""{returns}, rk AS (SELECT *, count(r) OVER (PARTITION BY {key} ORDER BY open_ts_ns) AS k FROM lr), u AS (SELECT *, CASE WHEN k >= 4 THEN close::DOUBLE * sqrt(sum(r * r) OVER (PARTITION BY {key} ORDER BY k RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)) END AS unit FROM rk)"""
     sweep = f"""sw AS (SELECT *, sum(qty) OVER w - coalesce(sum(qty) OVER o, 0) AS al, sum(bq) OVER w - coalesce(sum(bq) OVER o, 0) AS bu, first_value(price) OVER f AS p0 FROM (SELECT *, CASE WHEN side = 'Buy' THEN qty ELSE 0 END AS bq FROM t)
       WINDOW w AS (PARTITION BY {key} ORDER BY recv_ts_ns, stream_seq), o AS (PARTITION BY {key} ORDER BY recv_ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY_NS + 1} PRECEDING), f AS (PARTITION BY {key} ORDER BY recv_ts_ns RANGE BETWEEN {DAY_NS} PRECEDING AND CURRENT ROW)),
     sv AS (SELECT *, CASE WHEN side = 'Buy' THEN bu ELSE al - bu END AS sided, (price - p0)::DOUBLE AS moved FROM sw)"""
@@ -79,8 +80,10 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
         "s11_depth": f"""WITH {BOOK}, {LEVELS}, bs AS (SELECT symbol_id, ts_ns, max(price) FILTER (WHERE side = 'bid') AS bid, min(price) FILTER (WHERE side = 'ask') AS ask FROM la GROUP BY ALL),
             dp AS (SELECT symbol_id, ts_ns, sum(CASE WHEN side = 'bid' THEN qty ELSE 0 END) AS bid_depth, sum(CASE WHEN side = 'ask' THEN qty ELSE 0 END) AS ask_depth, min(ask - bid) AS spread FROM la JOIN bs USING (symbol_id, ts_ns) WHERE abs(price - (bid + ask) / 2) <= (bid + ask) / 2 * 5000.0 / 1e4 GROUP BY ALL)
             SELECT *, round(spread / 0.5, 6) AS spread_ticks, (bid_depth - ask_depth) / nullif(bid_depth + ask_depth, 0) AS imbalance FROM dp""",
-        "s12_wall_persistence": f"""WITH {BOOK}, {TOP}, {LEVELS} SELECT li.symbol_id, side, count(*) AS walls, round(avg(to_ns - from_ns), 6) AS mean_ns, max(to_ns - from_ns) AS longest_ns
-            FROM li JOIN tp ON li.symbol_id = tp.symbol_id AND tp.n = from_ns WHERE to_ns IS NOT NULL AND abs(price - (bb + ba) / 2) <= (bb + ba) / 2 * 5000.0 / 1e4 AND price * qty >= 200 GROUP BY ALL""",
+        "s12_wall_persistence": f"""WITH {BOOK}, {TOP}, z AS (SELECT *, price * qty >= 200 AS big, lead(n) OVER w AS nx, lag(price * qty >= 200, 1, false) OVER w AS pb FROM up WINDOW w AS (PARTITION BY symbol_id, epoch, side, price ORDER BY n)),
+            i AS (SELECT *, sum((big AND NOT pb)::INT) OVER (PARTITION BY symbol_id, epoch, side, price ORDER BY n) AS wall FROM z),
+            g AS (SELECT symbol_id, epoch, side, price, min(n) AS from_ns, max(n) AS last_n FROM i WHERE big GROUP BY symbol_id, epoch, side, price, wall), e AS (SELECT g.*, z.nx AS to_ns FROM g JOIN z ON z.symbol_id = g.symbol_id AND z.n = last_n AND z.side = g.side AND z.price = g.price)
+            SELECT e.symbol_id, side, price, from_ns, to_ns, round((to_ns - from_ns) / 1e9, 9) AS value FROM e JOIN tp ON e.symbol_id = tp.symbol_id AND tp.n = from_ns WHERE to_ns IS NOT NULL AND abs(price - (bb + ba) / 2) <= (bb + ba) / 2 * 5000.0 / 1e4""",
         "ta6_arrival_cost": f"""WITH {BOOK}, {TOP}, q AS (SELECT * FROM tp WHERE bb IS NOT NULL AND ba IS NOT NULL), o AS (SELECT DISTINCT l_suppkey AS symbol_id FROM lineitem),
             f AS (SELECT o.symbol_id, o.symbol_id % 2 = 0 AS buy, arg_min(CASE WHEN o.symbol_id % 2 = 0 THEN ba ELSE bb END, q.n) FILTER (WHERE q.n >= 35) AS px, arg_min(CASE WHEN o.symbol_id % 2 = 0 THEN aq ELSE bq END, q.n) FILTER (WHERE q.n >= 35) AS top, arg_max((bb + ba) / 2, q.n) FILTER (WHERE q.n <= 35) AS lastp FROM o LEFT JOIN q ON o.symbol_id = q.symbol_id GROUP BY ALL),
             g AS (SELECT *, coalesce(px, lastp) AS touch, CASE WHEN px IS NOT NULL THEN least(9, greatest(top * 0.5, 0)) WHEN lastp IS NOT NULL THEN 9 ELSE 0 END::DOUBLE AS filled FROM f)
@@ -113,9 +116,13 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
         "s8_climax": f"WITH {ME}, {rvol} SELECT {key}, open_ts_ns, coalesce(rvol >= 1.5 AND abs(delta)::DOUBLE / nullif(volume::DOUBLE, 0) >= 0.5, false) AS value FROM rv",
         "s9_profile_nodes": f"""WITH {ME}, bi AS (SELECT {key}, floor(price / 5.0)::BIGINT AS bin, sum(qty) AS volume FROM t GROUP BY ALL), sm AS (SELECT *, avg(volume::DOUBLE) OVER (PARTITION BY {key} ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM bi),
             nb AS (SELECT *, lag(smooth) OVER w AS a, lead(smooth) OVER w AS z FROM sm WINDOW w AS (PARTITION BY {key} ORDER BY bin)) SELECT {key}, bin, round(smooth, 6) AS smooth, CASE WHEN smooth > a AND smooth > z THEN 'hvn' WHEN smooth < a AND smooth < z THEN 'lvn' END AS node FROM nb""",
-        "s9_node_distance": f"""WITH {ME}, {BARS}, bi AS (SELECT {key}, floor(price / 5.0)::BIGINT AS bin, sum(qty) AS volume FROM t GROUP BY ALL), sm AS (SELECT *, avg(volume::DOUBLE) OVER (PARTITION BY {key} ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM bi),
-            nb AS (SELECT *, lag(smooth) OVER w AS a, lead(smooth) OVER w AS z FROM sm WINDOW w AS (PARTITION BY {key} ORDER BY bin)), nd AS (SELECT venue, symbol_id, (bin + 0.5) * 5.0 AS mid, smooth > a AND smooth > z AS h, smooth < a AND smooth < z AS l FROM nb)
-            SELECT b.venue, b.symbol_id, open_ts_ns, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE h), 6) AS dist_hvn, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE l), 6) AS dist_lvn FROM b LEFT JOIN nd ON b.venue = nd.venue AND b.symbol_id = nd.symbol_id GROUP BY ALL""",
+        # Volume units: close times the root of the last four squared returns.
+        "s9_node_distance": f"""WITH {ME}, {unit}, dy AS (SELECT {key}, recv_ts_ns // {day} AS d, floor(price / 5.0)::BIGINT AS bin, sum(qty) AS volume FROM t GROUP BY ALL), bi AS (SELECT venue, symbol_id, day, bin, sum(volume) AS volume FROM (SELECT *, unnest(range(d + 1, d + 11)) AS day FROM dy) GROUP BY ALL),
+            sm AS (SELECT *, avg(volume::DOUBLE) OVER (PARTITION BY {key}, day ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM bi), nb AS (SELECT *, lag(smooth) OVER w AS a, lead(smooth) OVER w AS z FROM sm WINDOW w AS (PARTITION BY {key}, day ORDER BY bin)),
+            nd AS (SELECT venue, symbol_id, day, (bin + 0.5) * 5.0 AS mid, smooth > a AND smooth > z AS h, smooth < a AND smooth < z AS l FROM nb)
+            SELECT u.venue, u.symbol_id, open_ts_ns, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE h) / nullif(any_value(unit), 0), 6) AS dist_hvn, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE l) / nullif(any_value(unit), 0), 6) AS dist_lvn FROM u LEFT JOIN nd ON u.venue = nd.venue AND u.symbol_id = nd.symbol_id AND close_ts_ns // {day} = nd.day GROUP BY u.venue, u.symbol_id, open_ts_ns""",
+        "s7_previous_day_range": f"WITH {ME}, {unit} SELECT {key}, open_ts_ns, round((lag(high) OVER w - close)::DOUBLE / nullif(unit, 0), 6) AS dist_pdh, round((close - lag(low) OVER w)::DOUBLE / nullif(unit, 0), 6) AS dist_pdl FROM u WINDOW w AS (PARTITION BY {key} ORDER BY open_ts_ns)",
+        "s6_vwap_deviation": f"WITH {ME}, {unit} SELECT {key}, open_ts_ns, round((close::DOUBLE - pq::DOUBLE / volume::DOUBLE) / nullif(unit, 0), 6) AS value FROM u",
         "s14_cross_venue": f"""WITH {ME}, g AS (SELECT venue, symbol_id // 6 AS pair, recv_ts_ns - recv_ts_ns % 3600000000000 AS ts_ns, arg_max(price, (recv_ts_ns, stream_seq))::DOUBLE AS px FROM t WHERE venue IN ('okx', 'bybit') GROUP BY ALL),
             j AS (SELECT pair, ts_ns, max(px) FILTER (WHERE venue = 'okx') AS a, max(px) FILTER (WHERE venue = 'bybit') AS b FROM g GROUP BY ALL), c AS (SELECT pair, ts_ns, last_value(a IGNORE NULLS) OVER w AS pa, last_value(b IGNORE NULLS) OVER w AS pb FROM j WINDOW w AS (PARTITION BY pair ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
             SELECT pair, ts_ns, round((pa - pb) / nullif(pb, 0), 6) AS value FROM c WHERE pa IS NOT NULL AND pb IS NOT NULL""",
@@ -129,8 +136,9 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
         "s19_persistent": f"""WITH {ME}, c AS (SELECT symbol_id, recv_ts_ns, stream_seq, sum(sq) OVER (PARTITION BY {key} ORDER BY recv_ts_ns, stream_seq) > 0 AS sat FROM t), r AS (SELECT *, sum(CASE WHEN sat THEN 0 ELSE 1 END) OVER (PARTITION BY symbol_id ORDER BY recv_ts_ns, stream_seq) AS run FROM c),
             h AS (SELECT symbol_id, run, recv_ts_ns AS ts, min(recv_ts_ns) OVER (PARTITION BY symbol_id, run) AS since FROM r WHERE sat) SELECT symbol_id, min(ts) AS ts_ns, min(since) AS since_ns FROM h WHERE ts - since >= {2 * DAY_NS} GROUP BY symbol_id, run""",
         "s20_grade_horizons": " UNION ALL ".join(f"SELECT * FROM (WITH {ME}, {GRADES.replace(f'ts_ns + {day}', f'ts_ns + {ns}::BIGINT')} SELECT '{name}' AS horizon, rule, n, wins, round(avg_excess, 6) AS avg_excess FROM gr)" for name, ns in horizons.items()),
-        "s22_correlation_penalty": """WITH x AS (SELECT l_returnflag || l_linestatus AS strategy, l_shipdate AS dy, sum(((CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (l_discount - 0.04))::DECIMAL(18,4))::DOUBLE AS r FROM lineitem GROUP BY ALL),
-            c AS (SELECT a.strategy, b.strategy AS other, corr(a.r, b.r) AS c FROM x a JOIN x b ON a.dy = b.dy AND a.strategy <> b.strategy GROUP BY ALL) SELECT strategy, round(greatest(0, least(1, 1 - greatest(coalesce(max(c) FILTER (WHERE NOT isnan(c)), 0), 0))), 6) AS penalty FROM c GROUP BY ALL""",
+        "s22_correlation_penalty": """WITH x AS (SELECT l_returnflag || l_linestatus AS strategy, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, sum(((CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (l_discount - 0.04))::DECIMAL(18,4))::DOUBLE AS r FROM lineitem GROUP BY ALL),
+            c AS (SELECT a.strategy, a.day, corr(a.r, b.r) OVER (PARTITION BY a.strategy, b.strategy ORDER BY a.day RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS c FROM x a JOIN x b ON a.day = b.day AND a.strategy <> b.strategy),
+            p AS (SELECT strategy, day, sum(c) AS s FROM c WHERE NOT isnan(c) AND c > 0.5 GROUP BY ALL) SELECT x.strategy, x.day, round(1 / (1 + coalesce(s, 0)), 5) AS penalty FROM x LEFT JOIN p ON p.strategy = x.strategy AND p.day = x.day""",
         "s23_stage_gate": f"""WITH {METRICS}, m AS (SELECT *, (gross_win - gross_loss) / trades AS e FROM tm), j AS (SELECT l.*, l.e / nullif(r.e, 0) AS er, l.gross_loss / nullif(r.gross_loss, 0) AS dr FROM m l LEFT JOIN m r ON l.strategy = r.strategy AND r.bucket = 1 WHERE l.bucket = 0),
             z AS (SELECT strategy, array_to_string(list_filter([{flag("min_trades", "trades < 100")}, {flag("expectancy_ratio", "NOT coalesce(er >= 0.5, false)")}, {flag("dd_ratio", "coalesce(dr > 1.1, false)")}], lambda v: v IS NOT NULL), ',') AS reasons FROM j) SELECT strategy, reasons, reasons = '' AS pass FROM z""",
         "s23_promotion_gates": f"""WITH {METRICS}, m AS (SELECT *, (gross_win - gross_loss) / trades AS e FROM tm), j AS (SELECT l.strategy, l.bucket, l.e, r.e AS ref, l.wins / l.trades::DOUBLE AS ws, l.trades % 40 AS age, l.trades % 3 = 0 AS owner, l.trades % 5 > 0 AS clean, l.gross_loss / r.gross_loss AS slip, l.gross_loss AS dd FROM m l JOIN m r ON l.strategy = r.strategy AND r.bucket = 0),

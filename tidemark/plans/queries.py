@@ -549,12 +549,13 @@ def ta8_touch_through(spark, sf):
     return fills.touch_through(o, tr(spark, sf), KEY).select("order_id", "fill_ts_ns")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL), r AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY order_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
-k AS (SELECT order_id, price, least(greatest(60 - before, 0), qty) AS take FROM r) SELECT o_orderkey AS order_id, round(coalesce(sum(take), 0), 4) AS filled_qty, round(sum(take * price) / sum(take), 10) AS avg_px FROM orders LEFT JOIN k ON o_orderkey = order_id GROUP BY ALL""")
+@query("""WITH l AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity AS price, sum(l_quantity) AS qty FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY ALL), r AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY order_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+k AS (SELECT order_id, price, least(greatest(60 - before, 0), qty) AS take FROM r), s AS (SELECT o_orderkey AS order_id, any_value(CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END) AS last, coalesce(sum(take), 0) AS q, sum(take * price) AS n FROM orders LEFT JOIN k ON o_orderkey = order_id GROUP BY ALL)
+SELECT order_id, round(CASE WHEN q > 0 THEN q WHEN last IS NOT NULL THEN 60 ELSE 0 END, 4) AS filled_qty, round(CASE WHEN q > 0 THEN n / q ELSE last * 1.002 END, 6) AS avg_px FROM s""")
 def ta7_depth_walk(spark, sf):
-    l = adapters.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")).agg(F.sum("l_quantity").alias("qty"))
-    o = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit("Buy").alias("side"), F.lit(60.0).alias("qty"))
-    return fills.depth_walk(o, l).select("order_id", d("filled_qty", 4), d("avg_px", 10))
+    l = adapters.table(spark, sf, "lineitem").where("l_orderkey % 5 > 0").groupBy(F.col("l_orderkey").alias("order_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")).agg(F.sum("l_quantity").alias("qty"))
+    o = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit("Buy").alias("side"), F.lit(60.0).alias("qty"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_totalprice")).alias("last"))
+    return fills.depth_walk(o, l, slip=0.002).select("order_id", d("filled_qty", 4), d("avg_px"))
 
 
 def _book(spark, sf):
@@ -715,9 +716,14 @@ def s5_relative_volume(spark, sf):
     return features.relative_volume(daily(spark, sf), 10).select(*KEY, "open_ts_ns", d("value"))
 
 
-@query(f"WITH {ME}, {BARS}, x AS (SELECT *, lag(high) OVER w AS h, lag(low) OVER w AS l FROM b WINDOW w AS (PARTITION BY venue, symbol_id ORDER BY open_ts_ns)) SELECT venue, symbol_id, open_ts_ns, round((close - h)::DOUBLE, 6) AS dist_pdh, round((close - l)::DOUBLE, 6) AS dist_pdl FROM x")
+@query()
 def s7_previous_day_range(spark, sf):
-    return features.previous_day_range(daily(spark, sf)).select(*KEY, "open_ts_ns", d("dist_pdh"), d("dist_pdl"))
+    return features.previous_day_range(daily(spark, sf), 4).select(*KEY, "open_ts_ns", d("dist_pdh"), d("dist_pdl"))
+
+
+@query()
+def s6_vwap_deviation(spark, sf):
+    return features.vwap_deviation(daily(spark, sf), tr(spark, sf), 4).select(*KEY, "open_ts_ns", d("value"))
 
 
 @query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns - recv_ts_ns % {DAY} AS open_ts_ns, (floor(price / 5) * 5)::DOUBLE AS price_bin, sum(CASE WHEN side = 'Buy' THEN qty ELSE 0 END)::DOUBLE AS ask_volume, sum(CASE WHEN side <> 'Buy' THEN qty ELSE 0 END)::DOUBLE AS bid_volume FROM t GROUP BY ALL")
@@ -762,7 +768,7 @@ def s3_sweep_events(spark, sf):
 
 @query()
 def s9_node_distance(spark, sf):
-    return bars.node_distance(daily(spark, sf), bars.profile_nodes(tr(spark, sf), 5.0), 5.0).select(*KEY, "open_ts_ns", d("dist_hvn"), d("dist_lvn"))
+    return bars.node_distance(daily(spark, sf), tr(spark, sf), 5.0, 10, 4).select(*KEY, "open_ts_ns", d("dist_hvn"), d("dist_lvn"))
 
 
 @query()
@@ -772,8 +778,8 @@ def s9_profile_nodes(spark, sf):
 
 @query()
 def s22_correlation_penalty(spark, sf):
-    t = adapters.closed_trades(spark, sf).groupBy("strategy", F.col("ts_ns").alias("day")).agg(F.sum("pnl").cast("double").alias("r"))
-    return trades.correlation_penalty(t, 0.0).select("strategy", d("penalty"))
+    t = adapters.closed_trades(spark, sf).groupBy("strategy", sc.bucket_index("ts_ns", DAY_NS).alias("day")).agg(F.sum("pnl").cast("double").alias("r"))
+    return trades.correlation_penalty(t).select("strategy", "day", d("penalty", 5))
 
 
 @query("""WITH x AS (SELECT l_returnflag || l_linestatus AS strategy, l_shipdate, sum(((CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (l_discount - 0.04))::DECIMAL(18,4))::DOUBLE AS r FROM lineitem GROUP BY ALL)
@@ -894,7 +900,7 @@ def s11_depth(spark, sf):
 def s12_wall_persistence(spark, sf):
     c = staged(book.book_continuity(_book(spark, sf)), "continuity")
     mids = book.top_of_book(c).select("symbol_id", "recv_ts_ns", "mid")
-    return book.wall_persistence(book.book_levels(c), mids, 5000.0, 200.0, ("symbol_id",)).select("symbol_id", "side", "walls", d("mean_ns"), "longest_ns")
+    return book.wall_persistence(book.book_levels(c), mids, 5000.0, 200.0, ("symbol_id",)).select("symbol_id", "side", "price", "from_ns", "to_ns", d("value", 9))
 
 
 @query()
