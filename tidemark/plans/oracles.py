@@ -122,7 +122,7 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
             nd AS (SELECT venue, symbol_id, day, (bin + 0.5) * 5.0 AS mid, smooth > a AND smooth > z AS h, smooth < a AND smooth < z AS l FROM nb)
             SELECT u.venue, u.symbol_id, open_ts_ns, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE h) / nullif(any_value(unit), 0), 6) AS dist_hvn, round(min(abs(mid - close::DOUBLE)) FILTER (WHERE l) / nullif(any_value(unit), 0), 6) AS dist_lvn FROM u LEFT JOIN nd ON u.venue = nd.venue AND u.symbol_id = nd.symbol_id AND close_ts_ns // {day} = nd.day GROUP BY u.venue, u.symbol_id, open_ts_ns""",
         "s7_previous_day_range": f"WITH {ME}, {unit} SELECT {key}, open_ts_ns, round((lag(high) OVER w - close)::DOUBLE / nullif(unit, 0), 6) AS dist_pdh, round((close - lag(low) OVER w)::DOUBLE / nullif(unit, 0), 6) AS dist_pdl FROM u WINDOW w AS (PARTITION BY {key} ORDER BY open_ts_ns)",
-        "s6_vwap_deviation": f"WITH {ME}, {unit} SELECT {key}, open_ts_ns, round((close::DOUBLE - pq::DOUBLE / volume::DOUBLE) / nullif(unit, 0), 6) AS value FROM u",
+        "s6_vwap_deviation": f"WITH {ME}, {unit}, v AS (SELECT *, round((close::DOUBLE - pq::DOUBLE / volume::DOUBLE) / nullif(unit, 0), 6) AS value FROM u) SELECT {key}, open_ts_ns, CASE WHEN value = 0 THEN 0.0 ELSE value END::DOUBLE AS value FROM v",
         "s14_cross_venue": f"""WITH {ME}, g AS (SELECT venue, symbol_id // 6 AS pair, recv_ts_ns - recv_ts_ns % 3600000000000 AS ts_ns, arg_max(price, (recv_ts_ns, stream_seq))::DOUBLE AS px FROM t WHERE venue IN ('okx', 'bybit') GROUP BY ALL),
             j AS (SELECT pair, ts_ns, max(px) FILTER (WHERE venue = 'okx') AS a, max(px) FILTER (WHERE venue = 'bybit') AS b FROM g GROUP BY ALL), c AS (SELECT pair, ts_ns, last_value(a IGNORE NULLS) OVER w AS pa, last_value(b IGNORE NULLS) OVER w AS pb FROM j WINDOW w AS (PARTITION BY pair ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
             SELECT pair, ts_ns, round((pa - pb) / nullif(pb, 0), 6) AS value FROM c WHERE pa IS NOT NULL AND pb IS NOT NULL""",
