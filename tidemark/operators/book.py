@@ -94,7 +94,7 @@ def book_levels(continuity: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
     return lv.where("qty > 0").select(*keys, "epoch", "side", "price", "qty", F.col("recv_ts_ns").alias("from_ns"), F.col("place").alias("from_place"), F.coalesce("_to_ns", "_end.recv_ts_ns").alias("to_ns"), F.coalesce("_to", "_end.place").alias("to_place"), F.col("_to").isNotNull().alias("changed"))
 
 
-class _Side:
+class Side:
     """One side's sizes by price; the best price from a heap whose removed entries are skipped."""
 
     def __init__(self, sign: int):
@@ -153,13 +153,13 @@ def top_of_book(continuity: DataFrame, keys: tuple[str, ...] = KEYS, slice_ns: i
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        sides: tuple[_Side, _Side] = (_Side(-1), _Side(1))
+        sides: tuple[Side, Side] = (Side(-1), Side(1))
         for batch in batches:
             rows, kept = [], []
             cols = [x.to_pylist() for x in batch.columns]
             for key, action, *levels in zip(zip(*cols[:width]), *cols[width + 2 :]):
                 if key != at or action == "Snapshot":
-                    at, sides = key, (_Side(-1), _Side(1))
+                    at, sides = key, (Side(-1), Side(1))
                 for side, changes in zip(sides, levels):
                     for price, qty in changes or ():
                         side.put(price, qty)

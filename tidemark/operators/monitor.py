@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import in_quiet_hours, numeric_tokens
@@ -18,6 +18,10 @@ def deadman(beats: DataFrame, interval_ns: int, misses: int, live: bool, now_ns:
     return silent.withColumns({"severity": F.when(F.col("critical") & F.lit(live), "P1").otherwise("P2"), "dedupe_key": F.concat(F.lit("deadman:"), "proc")})
 
 
+def channel_of(severity: str) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CHANNELS.items() for x in pair)), F.col(severity))
+
+
 class Deduper:
     """Whether an alert of one key is sent: not within its window since the last one sent."""
 
@@ -44,9 +48,8 @@ def route_alerts(alerts: DataFrame, quiet: tuple[int, int] | None = None) -> Dat
 
     kept = folded(a, ["dedupe_key"], ["ts_ns"], start, ["ts_ns", "dedupe_window_ns"], "kept boolean")
     calm = in_quiet_hours("ts_ns", *quiet) if quiet else F.lit(False)
-    names = F.create_map(*(F.lit(x) for pair in CHANNELS.items() for x in pair))
     outcome = F.when(~F.col("kept"), "Deduped").when((F.col("severity") == "P3") & calm, "Batched").otherwise("Sent")
-    return kept.withColumns({"outcome": outcome, "channel": F.try_element_at(names, F.col("severity"))}).drop("kept")
+    return kept.withColumns({"outcome": outcome, "channel": channel_of("severity")}).drop("kept")
 
 
 def ungrounded(brief, inputs):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import LEVELS, bad_levels, fnv1a64, ms_to_ns, number, object_levels, pair_levels, whole
 from tidemark.operators.book import book_continuity
+from tidemark.streaming import ordered
 
 FIELDS = {
     "price": "double", "qty": "double", "side": "string", "trade_id": "bigint", "bids": LEVELS, "asks": LEVELS, "first_seq": "bigint", "last_seq": "bigint", "seq": "bigint", "depth": "int", "reason": "string",
@@ -195,17 +196,19 @@ VENUE_JOBS = {"binance_futures": binance, "bybit": bybit, "okx": okx, "coinbase"
 SYNC_RULES = {"binance_futures": "reseed", "bybit": "strict", "okx": "prev", "kraken_futures": "range"}
 
 
-def synchronised(events: DataFrame, venue: str) -> DataFrame:
+def synchronised(events: DataFrame, venue: str, delay: str = "10 seconds") -> DataFrame:
     """Book events checked for continuity: a gap goes out as a ``GapDetected`` status, what cannot be
     applied is left out, and a snapshot after the first says ``GapResync``.
 
     Where a venue sends updates only, the first one, and the one after a gap, stands for a snapshot.
+    The book events of a stream are put in order first (``tidemark.streaming.ordered``), ``delay`` behind the newest.
     """
     if venue not in SYNC_RULES:
         return events
     rule, keys = SYNC_RULES[venue], ("venue", "venue_symbol")
     is_book = F.col("kind").isin("book_snapshot", "book_delta")
-    c = book_continuity(events.where(is_book), rule, keys)
+    books = events.where(is_book)
+    c = ordered.book_continuity(books, rule, keys, delay) if events.isStreaming else book_continuity(books, rule, keys)
     action, nil = F.col("action"), F.lit(None)
     gap, snap = action == "Gap", action == "Snapshot"
     own_id = F.coalesce("seq", "last_seq")
@@ -223,7 +226,7 @@ def synchronised(events: DataFrame, venue: str) -> DataFrame:
 
 
 def normalize_frames(raw: DataFrame, venue: str) -> DataFrame:
-    """Events of one venue's frames. Of a stream they are not checked for continuity, which needs whole books: see ``synchronised``."""
+    """Events of one venue's frames. Those of a stream come as they arrive, not checked for continuity: ``synchronised`` does that."""
     events = VENUE_JOBS[venue](raw.where(F.col("venue") == venue) if "venue" in raw.columns else raw.withColumn("venue", F.lit(venue)))
     return events if raw.isStreaming else synchronised(events, venue)
 
