@@ -549,6 +549,16 @@ def ta8_touch_through(spark, sf):
     return fills.touch_through(o, tr(spark, sf), KEY).select("order_id", "fill_ts_ns")
 
 
+@query(f"""WITH {ME}, o AS (SELECT stream_seq AS order_id, venue, symbol_id, recv_ts_ns AS ready_ns, side, price::DOUBLE AS limit_px, 3 * qty::DOUBLE AS want FROM me WHERE kind = 'liquidation'),
+g AS (SELECT order_id, want, t.recv_ts_ns AS t, sum(0.25 * t.qty::DOUBLE) OVER (PARTITION BY order_id ORDER BY t.recv_ts_ns, t.stream_seq) AS got FROM o JOIN me t ON t.kind = 'trade' AND t.venue = o.venue AND t.symbol_id = o.symbol_id AND t.recv_ts_ns >= ready_ns
+AND CASE WHEN o.side = 'Buy' THEN t.side <> 'Buy' AND t.price::DOUBLE < limit_px ELSE t.side = 'Buy' AND t.price::DOUBLE > limit_px END),
+f AS (SELECT order_id, min(CASE WHEN round(got, 9) >= want THEN t END) AS fill_ts_ns, least(max(got), max(want)) AS filled FROM g GROUP BY ALL)
+SELECT order_id, fill_ts_ns, round(filled, 6) AS filled_qty FROM o LEFT JOIN f USING (order_id)""")
+def ta8_queue_share(spark, sf):
+    o = core.split_kind(me(spark, sf), "liquidation").select(F.col("stream_seq").alias("order_id"), *KEY, F.col("recv_ts_ns").alias("ready_ns"), "side", F.col("price").cast("double").alias("limit_px"), (3 * F.col("qty").cast("double")).alias("qty"))
+    return fills.touch_through(o, tr(spark, sf), KEY, 0.25).select("order_id", "fill_ts_ns", d("filled_qty"))
+
+
 @query("""WITH l AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity AS price, sum(l_quantity) AS qty FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY ALL), r AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY order_id ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
 k AS (SELECT order_id, price, least(greatest(60 - before, 0), qty) AS take FROM r), s AS (SELECT o_orderkey AS order_id, any_value(CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END) AS last, coalesce(sum(take), 0) AS q, sum(take * price) AS n FROM orders LEFT JOIN k ON o_orderkey = order_id GROUP BY ALL)
 SELECT order_id, round(CASE WHEN q > 0 THEN q WHEN last IS NOT NULL THEN 60 ELSE 0 END, 4) AS filled_qty, round(CASE WHEN q > 0 THEN n / q ELSE last * 1.002 END + 1e-8, 6) AS avg_px FROM s""")
