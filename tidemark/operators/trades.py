@@ -131,11 +131,11 @@ def performance(returns: DataFrame, keys: list[str], periods: float) -> DataFram
     return returns.groupBy(*keys).agg((F.try_divide(F.avg("r"), F.stddev_samp("r")) * periods**0.5).alias("sharpe"), (F.try_divide(F.avg("r"), down) * periods**0.5).alias("sortino"), F.avg((F.col("r") != 0).cast("double")).alias("exposure"), F.sum(F.abs("r")).alias("abs_return"))
 
 
-def drawdown_duration(equity: DataFrame, keys: list[str], ts: str = "ts_ns") -> DataFrame:
-    d = drawdown(equity, keys, ts)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    peak_at = F.max(F.when(F.col("drawdown") == 0, F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_since", F.col(ts) - peak_at).groupBy(*keys).agg(F.max("_since").alias("longest_dd_ns"), F.max("drawdown").alias("max_drawdown"))
+def drawdown_duration(equity: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str | None = None) -> DataFrame:
+    """The longest time since equity was at its peak, and the deepest drawdown."""
+    d = drawdown(equity, keys, ts, **({"seq": seq} if seq else {}))
+    d = scanned(d, keys, {"_peak_at": ("max", F.when(F.col("drawdown") == 0, F.col(ts)), False)}, ts, (seq,) if seq else (), keep=True)
+    return d.groupBy(*keys).agg(F.max(F.col(ts) - F.col("_peak_at")).alias("longest_dd_ns"), F.max("drawdown").alias("max_drawdown"))
 
 
 def correlation_penalty(returns: DataFrame, threshold: float = 0.5, days: int = 60) -> DataFrame:

@@ -244,13 +244,16 @@ def so2_leaderboard(spark, sf):
     return grading.leaderboard(grading.grade_hits(_hits(spark, sf), _prices(spark, sf), DAY_NS, _baseline(spark, sf))).select("rule", "n", "rank")
 
 
+def _weekly(spark, sf):
+    x = grading.excess_returns(_hits(spark, sf), _prices(spark, sf), DAY_NS, _baseline(spark, sf))
+    return x.groupBy("rule", sc.bucket_index("ts_ns", DAY_NS).alias("week")).agg(F.avg("excess").alias("avg_excess"))
+
+
 @query(f"""WITH {ME}, {GRADES}, w AS (SELECT rule, ts_ns // {DAY} AS week, avg(excess) AS avg_excess FROM ex GROUP BY ALL),
 m AS (SELECT *, avg(avg_excess) OVER (PARTITION BY rule ORDER BY week ROWS 11 PRECEDING) AS m12, avg(avg_excess) OVER (PARTITION BY rule ORDER BY week ROWS 3 PRECEDING) AS m4, count(*) OVER (PARTITION BY rule ORDER BY week ROWS 11 PRECEDING) AS c FROM w)
 SELECT rule, week, round(avg_excess, 6) AS avg_excess, c >= 12 AND m12 > 0 AND m4 < 0.5 * m12 AS decayed FROM m""")
 def wn16_edge_decay(spark, sf):
-    x = grading.excess_returns(_hits(spark, sf), _prices(spark, sf), DAY_NS, _baseline(spark, sf))
-    w = x.groupBy("rule", sc.bucket_index("ts_ns", DAY_NS).alias("week")).agg(F.avg("excess").alias("avg_excess"))
-    return grading.edge_decay(w).select("rule", "week", d("avg_excess"), "decayed")
+    return grading.edge_decay(_weekly(spark, sf)).select("rule", "week", d("avg_excess"), "decayed")
 
 
 STUDY = f"""{BARS}, xs AS (SELECT symbol_id, open_ts_ns AS ts_ns, (close::DOUBLE / nullif(open::DOUBLE, 0) - 1) AS excess FROM b WHERE open <> 0),
@@ -374,6 +377,20 @@ def ag15_latest(spark, sf):
     return core.latest(tr(spark, sf), KEY, "price", "recv_ts_ns").withColumn("price", F.col("price").cast("double"))
 
 
+@query(f"""WITH {ME}, e AS (SELECT venue, symbol_id, recv_ts_ns, stream_seq, sum(sq) OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq) AS e FROM t),
+p AS (SELECT *, max(e) OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq) AS peak FROM e), a AS (SELECT *, max(CASE WHEN e = peak THEN recv_ts_ns END) OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq) AS peak_at FROM p)
+SELECT venue, symbol_id, max(recv_ts_ns - peak_at) AS longest_dd_ns, max(peak - e)::DOUBLE AS max_drawdown FROM a GROUP BY ALL""")
+def s21_drawdown_duration(spark, sf):
+    e = features.cvd(tr(spark, sf)).withColumnRenamed("value", "equity")
+    return trades.drawdown_duration(e, KEY, "recv_ts_ns", "stream_seq").select(*KEY, "longest_dd_ns", F.col("max_drawdown").cast("double").alias("max_drawdown"))
+
+
+@query(f"""WITH {ME}, {GRADES}, w AS (SELECT rule, ts_ns // {DAY} AS week, avg(excess) AS avg_excess FROM ex GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY week DESC) AS n FROM w)
+SELECT rule, count(*) AS weeks, round(min(avg_excess), 6) AS worst FROM n WHERE n <= 2 GROUP BY rule HAVING count(*) >= 2 AND min(avg_excess) > 0""")
+def s20_graduates(spark, sf):
+    return grading.graduates(_weekly(spark, sf), 2).select("rule", "weeks", d("worst"))
+
+
 @query(f"WITH {ME} SELECT venue, symbol_id, recv_ts_ns, stream_seq, (max(e) OVER w - e)::DOUBLE AS drawdown FROM (SELECT *, sum(sq) OVER (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq) AS e FROM t) WINDOW w AS (PARTITION BY venue, symbol_id ORDER BY recv_ts_ns, stream_seq ROWS UNBOUNDED PRECEDING)")
 def wn14_drawdown(spark, sf):
     e = features.cvd(tr(spark, sf)).withColumnRenamed("value", "equity")
