@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, signed
+from tidemark.operators import rolling
 from tidemark.operators.asof import asof
 from tidemark.operators.core import KEYS, joined, ordered, running, upto
 from tidemark.operators.scan import scanned
@@ -80,9 +81,7 @@ def cvd_across(trades: DataFrame, base: str = "symbol_id") -> DataFrame:
 
 def trade_size_quantile(trades: DataFrame, window_ns: int, q: float = 0.95, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Rolling quantile (interpolated) of the notional over strictly older trades of the window."""
-    w = Window.partitionBy(*keys, "_s").orderBy("recv_ts_ns").rangeBetween(-window_ns, -1)
-    value = F.percentile((F.col("price") * F.col("qty")).cast("double"), F.lit(q)).over(w)
-    return _in_slices(trades, window_ns).withColumn("value", value).where("_own").drop("_s", "_own")
+    return rolling.quantiles(trades, list(keys), F.col("price") * F.col("qty"), {"value": q}, "recv_ts_ns", window_ns)
 
 
 def adaptive_whales(trades: DataFrame, floor_usd: float, window_ns: int, k: float = 3.0) -> DataFrame:
@@ -218,9 +217,7 @@ def lead_lag(a: DataFrame, b: DataFrame, max_lag: int, tf_ns: int, by: str = "sy
 def regimes(bars: DataFrame, w: int, lookback: int, keys: tuple[str, ...] = KEYS, min_trend: float = 0.3) -> DataFrame:
     """Volatility regime by the 33rd and 66th percentile of past volatility, trend by the efficiency ratio."""
     rv = realized_vol(bars, w, keys).withColumnRenamed("value", "rv").withColumn("rv", F.round("rv", 12))
-    past = _bar_window(keys).rowsBetween(-lookback, -1)
-    q = lambda p: F.percentile("rv", F.lit(p)).over(past)
-    rv = log_returns(rv, keys).withColumns({"_lo": q(1 / 3), "_hi": q(2 / 3)})
+    rv = rolling.quantiles_of_last(log_returns(rv, keys), list(keys), F.col("rv"), {"_lo": 1 / 3, "_hi": 2 / 3}, "open_ts_ns", lookback)
     span = _bar_window(keys).rowsBetween(-(w - 1), 0)
     er = F.round(F.try_divide(F.abs(F.sum("r").over(span)), F.sum(F.abs("r")).over(span)), 9)
     return rv.withColumns({"vol_regime": F.when(F.col("rv") <= F.col("_lo"), "low").when(F.col("rv") >= F.col("_hi"), "high").when(F.col("_lo").isNotNull(), "mid"), "trend_regime": F.when(er >= min_trend, "trend").otherwise("range")}).drop("_lo", "_hi", "r")

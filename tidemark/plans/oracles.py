@@ -129,6 +129,13 @@ def oracles(ME: str, BARS: str, GRADES: str, METRICS: str, DAY_NS: int) -> dict[
         "s16_lead_lag": f"""WITH {ME}, {returns}, x AS (SELECT symbol_id // 6 AS pair, open_ts_ns + lag * {day} AS bar, lag, r AS ra FROM lr, range(-3, 4) AS q(lag) WHERE venue = 'okx'), y AS (SELECT symbol_id // 6 AS pair, open_ts_ns AS bar, r AS rb FROM lr WHERE venue = 'bybit'),
             c AS (SELECT pair, lag, corr(ra, rb) AS c FROM x JOIN y USING (pair, bar) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(abs(c), 12) DESC, abs(lag), lag) AS n FROM c WHERE c IS NOT NULL AND NOT isnan(c))
             SELECT pair, lag::INTEGER AS lag, round(c, 6) AS corr FROM k WHERE n = 1""",
+        "s16_lead_lag_windows": f"""WITH {ME}, g AS (SELECT venue, symbol_id // 6 AS pair, recv_ts_ns // 3600000000000 AS h, arg_max(price, (recv_ts_ns, stream_seq))::DOUBLE AS c FROM t WHERE venue IN ('okx', 'bybit') AND price > 0 GROUP BY ALL),
+            r AS (SELECT venue, pair, h // 120 AS w, h % 120 AS i, ln(c / p) AS r FROM (SELECT *, lag(c) OVER (PARTITION BY venue, pair ORDER BY h) AS p FROM g) WHERE p IS NOT NULL), l AS (SELECT lag FROM range(-6, 7) AS q(lag)),
+            a AS (SELECT pair, w, lag, sum(r) AS sx, sum(r * r) AS sxx FROM r, l WHERE venue = 'okx' AND i + lag BETWEEN 0 AND 119 GROUP BY ALL), b AS (SELECT pair, w, lag, sum(r) AS sy, sum(r * r) AS syy FROM r, l WHERE venue = 'bybit' AND i - lag BETWEEN 0 AND 119 GROUP BY ALL),
+            ab AS (SELECT x.pair, x.w, lag, sum(x.r * y.r) AS sxy FROM r x, l, r y WHERE x.venue = 'okx' AND y.venue = 'bybit' AND x.pair = y.pair AND x.w = y.w AND y.i = x.i + lag GROUP BY ALL),
+            c AS (SELECT a.pair, a.w, a.lag, (n * coalesce(sxy, 0) - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS c FROM (SELECT *, 120 - abs(lag) AS n FROM a) a JOIN b USING (pair, w, lag) LEFT JOIN ab USING (pair, w, lag) WHERE n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12),
+            k AS (SELECT *, row_number() OVER (PARTITION BY pair, w ORDER BY round(abs(c), 12) DESC, abs(lag), lag) AS n FROM c)
+            SELECT pair, (w + 1) * 432000000000000 AS ts_ns, lag::INTEGER AS lag, round(c, 6) AS corr FROM k WHERE n = 1""",
         "s17_regimes": f"""WITH {ME}, {returns}, k AS (SELECT *, count(r) OVER (PARTITION BY {key} ORDER BY open_ts_ns) AS k FROM lr), v AS (SELECT *, sqrt(sum(r * r) OVER (PARTITION BY {key} ORDER BY k RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)) AS rv0 FROM k), z AS (SELECT *, round(rv0, 12) AS rv FROM v WHERE k >= 4),
             l AS (SELECT *, CASE WHEN close > 0 AND pc2 > 0 THEN ln(close::DOUBLE / pc2::DOUBLE) END AS r2 FROM (SELECT *, lag(close) OVER (PARTITION BY {key} ORDER BY open_ts_ns) AS pc2 FROM z)),
             q AS (SELECT *, quantile_cont(rv, 1.0 / 3) OVER p AS lo, quantile_cont(rv, 2.0 / 3) OVER p AS hi, round(abs(sum(r2) OVER s) / nullif(sum(abs(r2)) OVER s, 0), 9) AS er FROM l WINDOW p AS (PARTITION BY {key} ORDER BY open_ts_ns ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), s AS (PARTITION BY {key} ORDER BY open_ts_ns ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as sc
 from tidemark.functions.scalar import DAY_NS
-from tidemark.operators import asof, bars, book, core, features, fills, grading, intervals, monitor, quality, screener, study, trades
+from tidemark.operators import asof, bars, book, core, features, fills, grading, intervals, monitor, quality, rolling, screener, study, trades
 from tidemark.plans import oracles
 from tidemark.sources import adapters, normalize, sinks
 from tidemark.staging import staged
@@ -297,6 +297,11 @@ def st2_bootstrap_ci(spark, sf):
     return study.bootstrap_ci(t, "terminal", ["ts_ns", "symbol_id"], 7, 200).select(d("lo"), d("hi"), "n")
 
 
+@query()
+def st2_bootstrap_split(spark, sf):
+    return study.bootstrap_by_splitting(adapters.table(spark, sf, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_extendedprice"], 7, 200).select(d("lo", 2), d("hi", 2), "n")
+
+
 CT = "ct AS (SELECT l_returnflag || l_linestatus AS strategy, l_suppkey % 5 AS bucket, epoch_us(l_shipdate) * 1000 AS ts_ns, ((CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (l_discount - 0.04))::DECIMAL(18,4) AS pnl, l_linenumber % 3 = 0 AS maker, (l_extendedprice * l_tax / 100)::DECIMAL(18,4) AS fee FROM lineitem)"
 METRICS = f"""{CT}, tm AS (SELECT strategy, bucket, count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0)::DOUBLE AS gross_win, coalesce(sum(-pnl) FILTER (WHERE pnl < 0), 0)::DOUBLE AS gross_loss,
 count(*) FILTER (WHERE maker) AS maker_trades, coalesce(sum(pnl) FILTER (WHERE maker AND pnl > 0), 0)::DOUBLE AS maker_gross_win, coalesce(sum(-pnl) FILTER (WHERE maker AND pnl < 0), 0)::DOUBLE AS maker_gross_loss FROM ct WHERE pnl <> 0 GROUP BY ALL)"""
@@ -942,6 +947,14 @@ def s16_lead_lag(spark, sf):
     return features.lead_lag(r.where("venue = 'okx'"), r.where("venue = 'bybit'"), 3, DAY_NS, "pair").select("pair", "lag", d("corr"))
 
 
+@query()
+def s16_lead_lag_windows(spark, sf):
+    hour = 3_600_000_000_000
+    t = tr(spark, sf).withColumn("pair", (F.col("symbol_id") / 6).cast("long"))
+    r = lambda v: rolling.grid_returns(t.where(F.col("venue") == v), ["pair"], "price", hour)
+    return rolling.lead_lag(r("okx"), r("bybit"), 5 * DAY_NS, 6, hour, "pair").select("pair", "ts_ns", "lag", d("corr"))
+
+
 @query()
 def s19_persistent(spark, sf):
     c = features.cvd(tr(spark, sf)).select("symbol_id", F.col("recv_ts_ns").alias("ts_ns"), (F.col("value") > 0).alias("sat"))
