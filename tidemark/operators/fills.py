@@ -94,7 +94,7 @@ def _starts(k, s):
     return s * F.pow(F.lit(FAN), k).cast("long")
 
 
-def _first_crossing_slice(orders: DataFrame, base: DataFrame, by: list[str], order_id: str) -> DataFrame:
+def first_crossing_slice(orders: DataFrame, base: DataFrame, by: list[str], order_id: str) -> DataFrame:
     """(order_id, slice): the first slice after the order's own in which a print crosses its limit.
 
     Slices are summed up in ever longer ones, ``FAN`` of a level in one of the next. An order looks at
@@ -180,7 +180,7 @@ def touch_through(orders: DataFrame, trades: DataFrame, by: list[str], queue_sha
     prints = lambda x: x.join(t, [*by, "_s"]).where((F.col("_t") >= F.col("ready_ns")) & through)
     if queue_share is None:
         now = prints(o.withColumnRenamed("_own", "_s")).groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns"))
-        later = _first_crossing_slice(o.join(now, order_id, "left_anti"), base, by, order_id)
+        later = first_crossing_slice(o.join(now, order_id, "left_anti"), base, by, order_id)
         done = now.unionByName(prints(o.join(later, order_id)).groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns")))
     else:
         o = staged(o.withColumns({"_need": F.col("qty") / queue_share, "_sale": F.col("side") == BUY, "_x": F.when(F.col("side") == BUY, F.col("limit_px").cast("double")).otherwise(-F.col("limit_px").cast("double"))}), "resting")
