@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import rolling, study
+from tidemark.operators import core, features, rolling, study
 
 
 def test_ranks_within_ranges():
@@ -101,3 +101,24 @@ def test_bootstrap_by_splitting(spark):
     plain = np.sort(sum(study.block_sums(x[b * 512 : b * 512 + 512], 7, 5000, 512, b, 300) for b in range(10)) / 5000)
     assert (one["lo"], one["hi"]) == pytest.approx((plain[7], plain[292]), rel=1e-12)
     assert tuple(study.bootstrap_by_splitting(d.where("v is null"), "v", ["i"]).first()) == (0.0, 0.0, 0)
+
+
+def test_zscores_and_steps_of_one_key(spark):
+    r = random.Random(8)
+    rows = [("v", 1, r.randrange(10**6) * 10**9, i, r.choice([None, *range(50)])) for i in range(9000)]
+    d = spark.createDataFrame(rows, "venue string, symbol_id long, recv_ts_ns long, stream_seq long, oi_contracts int").repartition(4)
+    rows.sort(key=lambda x: (x[2], x[3]))
+    got = {x["stream_seq"]: x["value"] for x in features.zscore(d.withColumnRenamed("oi_contracts", "x"), "x", 20).collect()}
+    delta = {x["stream_seq"]: x["value"] for x in features.oi_delta(d).collect()}
+    left = {x["stream_seq"] for x in core.warm(d, 700, "venue", "symbol_id", ts="recv_ts_ns", seq="stream_seq").collect()}
+    assert len(got) == 9000 and left == {x[3] for x in rows[700:]}
+    for i, x in enumerate(rows):
+        past = [y[4] for y in rows[max(0, i - 19) : i + 1]]
+        if len(past) < 20 or None in past:
+            assert got[x[3]] is None
+        else:
+            sd = np.std(past, ddof=1)
+            assert got[x[3]] == (pytest.approx((x[4] - np.mean(past)) / sd, rel=1e-9, abs=1e-9) if sd else None)
+        pair = (x[4], rows[i - 1][4] if i else None)
+        assert delta.get(x[3]) == (None if None in pair else pair[0] - pair[1])
+    assert [tuple(x) for x in core.first_by_key(d, ["venue"], "recv_ts_ns", "stream_seq").collect()] == [rows[0]]

@@ -126,9 +126,9 @@ def feature_stream(*frames: DataFrame) -> DataFrame:
 
 
 def warm(features: DataFrame, warmup: int, *keys: str, ts: str = "ts_ns", seq: str = "emit_seq") -> DataFrame:
-    """Leave out each key's first ``warmup`` values."""
-    n = F.row_number().over(ordered(*(keys or ("feature", *KEYS)), ts=ts, seq=seq))
-    return features.withColumn("_n", n).where(F.col("_n") > warmup).drop("_n")
+    """Leave out each key's first ``warmup`` values, counted in slices of time."""
+    n = running(features, F.lit(1).cast("long"), keys or ("feature", *KEYS), "_n", ts=ts, seq=(seq,))
+    return n.where(F.col("_n") > warmup).drop("_n")
 
 
 def latest(df: DataFrame, keys: list[str], value: str, ts: str = "ts_ns", seq: str = "stream_seq") -> DataFrame:
@@ -136,9 +136,8 @@ def latest(df: DataFrame, keys: list[str], value: str, ts: str = "ts_ns", seq: s
 
 
 def first_by_key(df: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "seq") -> DataFrame:
-    """The first row of each key: idempotent submits."""
-    w = Window.partitionBy(*keys).orderBy(ts, seq)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key: idempotent submits. An aggregate, so a key's repeats are dropped before they move."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(ts, seq)).alias("_row")).select("_row.*")
 
 
 def sorted_ranges(df: DataFrame, order: list[str], name: str = "sorted_ranges") -> DataFrame:

@@ -41,7 +41,8 @@ def liq_cluster(liqs: DataFrame, window_ns: int, min_notional: float, keys: tupl
 
 
 def oi_delta(oi: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return oi.withColumn("value", F.col("oi_contracts") - F.lag("oi_contracts").over(ordered(*keys))).where("value is not null")
+    before = scanned(oi, list(keys), {"_before": ("last", F.struct("oi_contracts"), True)}, slice_ns=DAY_NS)  # a struct: the row before, also where it has none
+    return before.withColumn("value", F.col("oi_contracts") - F.col("_before.oi_contracts")).where("value is not null").drop("_before")
 
 
 def _bar_window(keys: tuple[str, ...]):
@@ -170,10 +171,16 @@ def climax(bars: DataFrame, days: int, min_rvol: float, min_share: float) -> Dat
 
 
 def zscore(df: DataFrame, value: str, w: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Against the ``w`` values up to and with this one, once there are so many."""
-    win = ordered(*keys).rowsBetween(-(w - 1), 0)
+    """Against the ``w`` values up to and with this one, once there are so many.
+
+    A key's rows are numbered and cut in slices of places, each with the slice before as context.
+    """
+    slot = bucket_index("_place", max(w, 4096))
+    d = running(df, F.lit(1).cast("long"), keys, "_place").withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_s") == slot)
+    win = Window.partitionBy(*keys, "_s").orderBy("_place").rowsBetween(-(w - 1), 0)
     x = F.col(value).cast("double")
-    return df.withColumn("value", F.when(F.count(value).over(win) >= w, F.try_divide(x - F.avg(x).over(win), F.stddev_samp(x).over(win))))
+    score = F.when(F.count(value).over(win) >= w, F.try_divide(x - F.avg(x).over(win), F.stddev_samp(x).over(win)))
+    return d.withColumn("value", score).where("_own").drop("_place", "_s", "_own")
 
 
 def cross_venue(a: DataFrame, b: DataFrame, by: str = "symbol_id", grid_ns: int = 1_000_000_000, value_a: str = "price", value_b: str = "price") -> DataFrame:
