@@ -6,8 +6,6 @@ values gives every slice its start, and a window within the slice gives the rest
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
