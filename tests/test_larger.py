@@ -1,9 +1,10 @@
-"""What larger tables brought up: starts beyond a long's time."""
+"""What larger tables brought up: starts beyond a long's time, ratios over zero."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+from tidemark.operators import trades
 from tidemark.plans import registry
 
 
@@ -14,3 +15,10 @@ def test_versions_that_start_after_the_last_nanosecond(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     got = registry.QUERIES["jn2_scd2_as_of"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(1, 5), (2, 5), (3, None), (4, 3)}
+
+
+def test_ratios_without_a_losing_period(spark):
+    r = spark.createDataFrame([("up", 1.0), ("up", 2.0), ("same", 2.0), ("same", 2.0), ("flat", 0.0), ("flat", 0.0), ("one", -1.0)], "s string, r double")
+    got = {x["s"]: (x["sharpe"], x["sortino"]) for x in trades.performance(r, ["s"], 4).collect()}
+    assert got["up"][0] > 0 and got["up"][1] == float("inf") and got["same"] == (float("inf"), float("inf"))
+    assert all(v != v for v in got["flat"]) and got["one"] == (None, -2.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, clamp, is_finite, round_down, signed
@@ -126,9 +126,17 @@ def trailing_order_count(orders: DataFrame, keys: list[str], ts: str = "ts_ns",
 
 
 def performance(returns: DataFrame, keys: list[str], periods: float) -> DataFrame:
-    """Sharpe and Sortino ratios of period returns (column r), share of periods with exposure, and turnover."""
+    """Sharpe and Sortino ratios of period returns (column r), share of periods with exposure, and turnover.
+
+    Ratios over zero, as without a losing period, are what IEEE 754 makes of them: infinite, or NaN for a mean of zero.
+    """
     down = F.sqrt(F.avg(F.pow(F.least("r", F.lit(0.0)), F.lit(2.0))))
-    return returns.groupBy(*keys).agg((F.try_divide(F.avg("r"), F.stddev_samp("r")) * periods**0.5).alias("sharpe"), (F.try_divide(F.avg("r"), down) * periods**0.5).alias("sortino"), F.avg((F.col("r") != 0).cast("double")).alias("exposure"), F.sum(F.abs("r")).alias("abs_return"))
+    return returns.groupBy(*keys).agg((_ratio(F.avg("r"), F.stddev_samp("r")) * periods**0.5).alias("sharpe"), (_ratio(F.avg("r"), down) * periods**0.5).alias("sortino"), F.avg((F.col("r") != 0).cast("double")).alias("exposure"), F.sum(F.abs("r")).alias("abs_return"))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    """Division by a number that is not negative, as IEEE 754 has it."""
+    return F.when(b == 0, F.when(a > 0, INF).when(a < 0, -INF).when(a == 0, float("nan"))).otherwise(F.try_divide(a, b))
 
 
 def drawdown_duration(equity: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str | None = None) -> DataFrame:
