@@ -1,10 +1,15 @@
-"""What larger tables brought up: starts beyond a long's time, ratios over zero."""
+"""What larger tables brought up: starts beyond a long's time, ratios over zero, rows sorted and parsed more than once."""
 
 from __future__ import annotations
 
 import datetime as dt
+import random
 
-from tidemark.operators import trades
+import pytest
+from test_scan import BOOK, hot_book, plain_actions
+
+from tidemark import staging
+from tidemark.operators import book, scan, trades
 from tidemark.plans import registry
 
 
@@ -22,3 +27,30 @@ def test_ratios_without_a_losing_period(spark):
     got = {x["s"]: (x["sharpe"], x["sortino"]) for x in trades.performance(r, ["s"], 4).collect()}
     assert got["up"][0] > 0 and got["up"][1] == float("inf") and got["same"] == (float("inf"), float("inf"))
     assert all(v != v for v in got["flat"]) and got["one"] == (None, -2.0)
+
+
+@pytest.mark.parametrize("rule", ["range", "strict", "prev"])
+def test_continuity_writes_the_rows_once(spark, monkeypatch, rule):
+    """Rows are sorted by slice once; gaps that hang on ids carried from earlier slices are found all the same."""
+    monkeypatch.setattr(book, "HOUR_NS", 10)
+    written = []
+    monkeypatch.setattr(book, "staged", lambda df, name: written.append(name) or staging.staged(df, name))
+    monkeypatch.setattr(scan, "staged", lambda df, name: written.append(name) or staging.staged(df, name))
+    step = 0 if rule == "prev" else 1
+    ids, last = [], 0
+    for n in range(60):
+        snap, last = n in (0, 33), last + 1
+        ids.append((1, n, n, "book_snapshot" if snap else "book_delta", last if snap else None, None if snap else last - 1 + step + (5 if n in (12, 47) else 0), None if snap else last))
+    rows = spark.createDataFrame(ids, "k int, recv_ts_ns bigint, stream_seq bigint, kind string, seq bigint, first_seq bigint, last_seq bigint")
+    got = [(r.epoch, r.action) for r in book.book_continuity(rows, rule, ("k",)).orderBy("stream_seq").collect()]
+    want = lambda n: "Snapshot" if n in (0, 33) else "Gap" if n in (12, 47) else "Drop" if 12 < n < 33 or n > 47 else "Apply"
+    assert got == [(1 if n < 33 else 2, want(n)) for n in range(60)]
+    assert written == ["continuity", "starts"]
+
+
+@pytest.mark.parametrize("rule", ["range", "strict", "prev"])
+def test_continuity_over_many_slices_equals_the_fold(spark, monkeypatch, rule):
+    monkeypatch.setattr(book, "HOUR_NS", 7)
+    rows = hot_book(random.Random(rule), 1500)
+    c = book.book_continuity(spark.createDataFrame(rows, BOOK).repartition(5), rule)
+    assert [(x["epoch"], x["action"]) for x in c.orderBy("stream_seq").collect()] == plain_actions(rows, rule)
