@@ -11,6 +11,7 @@ from test_scan import BOOK, hot_book, plain_actions
 from tidemark import staging
 from tidemark.operators import book, scan, trades
 from tidemark.plans import registry
+from tidemark.sources import normalize
 
 
 def test_versions_that_start_after_the_last_nanosecond(spark, tmp_path):
@@ -54,3 +55,17 @@ def test_continuity_over_many_slices_equals_the_fold(spark, monkeypatch, rule):
     rows = hot_book(random.Random(rule), 1500)
     c = book.book_continuity(spark.createDataFrame(rows, BOOK).repartition(5), rule)
     assert [(x["epoch"], x["action"]) for x in c.orderBy("stream_seq").collect()] == plain_actions(rows, rule)
+
+
+@pytest.mark.parametrize("venue, parse, most", [("binance_futures", normalize.binance, 1), ("bybit", normalize.bybit, 2)])
+def test_topics_are_told_in_one_pass_over_the_frames(spark, venue, parse, most):
+    raw = spark.createDataFrame([(venue, 1, 1, "{}")], "venue string, recv_ts_ns bigint, stream_seq bigint, payload string")
+    plan = parse(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= most
+    assert plan.count("from_json(MapType(StringType,StringType,true), payload") <= most
+
+
+def test_trades_with_an_escaped_topic(spark):
+    text = '{"topic":"public\\u0054rade.BTC","ts":1,"data":[{"T":1,"s":"BTC","S":"Buy","v":"1","p":"2","i":"x"}]}'
+    raw = spark.createDataFrame([("bybit", 1, 1, text)], "venue string, recv_ts_ns bigint, stream_seq bigint, payload string")
+    assert [(r.kind, r.price, r.venue_symbol) for r in normalize.normalize_frames(raw, "bybit").collect()] == [("trade", 2.0, "BTC")]
