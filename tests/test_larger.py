@@ -69,3 +69,13 @@ def test_trades_with_an_escaped_topic(spark):
     text = '{"topic":"public\\u0054rade.BTC","ts":1,"data":[{"T":1,"s":"BTC","S":"Buy","v":"1","p":"2","i":"x"}]}'
     raw = spark.createDataFrame([("bybit", 1, 1, text)], "venue string, recv_ts_ns bigint, stream_seq bigint, payload string")
     assert [(r.kind, r.price, r.venue_symbol) for r in normalize.normalize_frames(raw, "bybit").collect()] == [("trade", 2.0, "BTC")]
+
+
+def test_orders_are_not_dealt_by_strategy_or_venue(spark):
+    """A few kill switches taken from a large table: joined by what they are, not by what they were taken from."""
+    f = spark.range(3_000_000).selectExpr("id AS symbol_id", "concat('s', id % 3) AS strategy", "concat('v', id % 2) AS venue")
+    kills = f.selectExpr("'strategy' AS scope", "strategy AS target").where("target = 's1'").distinct()
+    o = trades.allow_and_kill_flags(f, f.where("symbol_id = 5").select("venue", "symbol_id"), kills)
+    plan = o._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [strategy" not in plan
+    assert o.where("killed").count() == 1_000_000 and o.where("allowed").count() == 1

@@ -9,6 +9,7 @@ from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, clamp, is_fi
 from tidemark.operators.asof import asof
 from tidemark.operators.core import joined, running
 from tidemark.operators.scan import affine, ranked, scanned
+from tidemark.staging import staged
 
 INF = float("inf")
 
@@ -292,7 +293,7 @@ def size_orders(orders: DataFrame, vol: DataFrame, marks: DataFrame, by: list[st
 def allow_and_kill_flags(orders: DataFrame, allow: DataFrame, kills: DataFrame) -> DataFrame:
     """``allowed`` by (venue, symbol_id); ``killed`` by a global, venue or strategy switch (scope, target)."""
     a = allow.select("venue", "symbol_id").distinct().withColumn("_a", F.lit(True))
-    k = kills.select("scope", "target").distinct()
+    k = staged(kills.select("scope", "target").distinct(), "kills")  # written: few keys, joined by their size rather than dealt by key
     v = k.where("scope = 'venue'").select(F.col("target").alias("venue")).withColumn("_v", F.lit(True))
     s = k.where("scope = 'strategy'").select(F.col("target").alias("strategy")).withColumn("_s", F.lit(True))
     g = k.agg(F.coalesce(F.bool_or(F.col("scope") == "global"), F.lit(False)).alias("_g"))  # one row
@@ -334,7 +335,9 @@ def compliance_inputs(orders: DataFrame, positions: DataFrame, marks: DataFrame,
         p = pnl.select(name, "ts_ns", "seq", F.col("daily_pnl").alias(f"{name}_pnl"), bucket("ts_ns", DAY_NS).alias("_day"))
         o = asof(o, p, [name], "ts_ns", "ts_ns", [f"{name}_pnl", "_day"], "seq", strict=True)
         o = o.withColumn(f"{name}_pnl", F.when(F.col("_day") == bucket("ts_ns", DAY_NS), F.col(f"{name}_pnl")).otherwise(0.0)).drop("_day")
-    clean = reconciliation_status(internal, venue, tol).select("venue", F.col("clean").alias("reconciled"))
+    off = reconcile(internal, venue, tol, ("venue", "symbol_id")).select("venue").distinct().withColumn("_off", F.lit(True))
+    clean = internal.select("venue").union(venue.select("venue")).distinct().join(off, "venue", "left").select("venue", F.col("_off").isNull().alias("reconciled"))
+    clean = staged(clean, "venues")
     return o.join(clean, "venue", "left").withColumn("reconciled", F.coalesce("reconciled", F.lit(True))).fillna(0.0, ["position_qty", "mark", "gross_exposure"])
 
 
