@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, clamp, is_finite, round_down, signed
+from tidemark.operators import core
 from tidemark.operators.asof import asof
-from tidemark.operators.core import joined, running
+from tidemark.operators.core import crowded, joined, running
 from tidemark.operators.scan import affine, ranked, scanned
 from tidemark.staging import staged
 
@@ -202,11 +205,28 @@ def position_ledger(fills: DataFrame, keys: list[str], ts: str = "ts_ns", seq: s
 
     Positions are exact running sums. Between two crossings of zero the position's cost and its open fees follow
     affine maps: a fill that adds adds its own, one that reduces scales both by what is left. These maps are
-    composed in blocks, so any number of fills of one key spreads over tasks.
+    composed in blocks, so any number of fills of one key spreads over tasks. Keys of up to ``core.MANY`` fills
+    move once and are each one task's.
     """
     f = fills.select(*keys, ts, seq, signed(F.col("qty").cast("double")).alias("fill_qty"), F.col("price").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
-    f = ranked(f, keys, [ts, seq], "_place")
-    f = _exact_sums(f, keys)
+    most = f.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= core.MANY:
+        return _ledger(f, keys, ts, seq, most)
+    marked = joined(f, crowded(keys, f).withColumn("_busy", F.lit(True)), keys)
+    few, many = (marked.where(c).drop("_busy") for c in ("_busy is null", "_busy"))
+    return _ledger(few, keys, ts, seq, core.MANY).unionByName(_ledger(many, keys, ts, seq))
+
+
+def _ledger(f: DataFrame, keys: list[str], ts: str, seq: str, most: int | None = None) -> DataFrame:
+    """``position_ledger`` of its columns. No key has more than ``most`` rows; None: any number, by ranges and blocks."""
+    in_place = Window.partitionBy(*keys).orderBy("_place")
+    if most is None:
+        f = _exact_sums(ranked(f, keys, [ts, seq], "_place"), keys)
+    else:
+        f = f.withColumn("_place", (F.row_number().over(Window.partitionBy(*keys).orderBy(ts, seq, F.xxhash64(*f.columns))) - 1).cast("long"))
+        exact = F.col("fill_qty").cast(QTY)
+        f = f.withColumn("_after", F.sum(exact).over(in_place.rowsBetween(Window.unboundedPreceding, 0)).cast(QTY))
+        f = f.withColumn("_before", (F.col("_after") - exact).cast(QTY))
     q, before, after = (F.col(c).cast("double") for c in ("fill_qty", "_before", "_after"))
     crossing = (F.signum("_before") * F.signum("_after")) <= 0  # opens, closes or flips
     reduces = ~crossing & (before * q < 0)
@@ -217,10 +237,13 @@ def position_ledger(fills: DataFrame, keys: list[str], ts: str = "ts_ns", seq: s
         "_cost_in": F.when(after == 0, 0.0).when(crossing, F.col("price") * after).when(reduces, 0.0).otherwise(F.col("price") * q),
         "_fees_in": F.when(after == 0, 0.0).otherwise(F.col("fee") * (1 - out)),
     })
-    f = affine(f, keys, "_place", "_factor", {"_cost": "_cost_in", "_fees": "_fees_in"})
-    # What a row found: undo its own map, or look at the row before it where the map forgets.
-    prior = f.select(*keys, (F.col("_place") + 1).alias("_place"), F.col("_cost").alias("_cost_before"), F.col("_fees").alias("_fees_before"))
-    f = joined(f, prior, [*keys, "_place"])
+    f = affine(f, keys, "_place", "_factor", {"_cost": "_cost_in", "_fees": "_fees_in"}, last=None if most is None else max(most - 1, 0))
+    # What a row found: what the row before it left.
+    if most is None:
+        prior = f.select(*keys, (F.col("_place") + 1).alias("_place"), F.col("_cost").alias("_cost_before"), F.col("_fees").alias("_fees_before"))
+        f = joined(f, prior, [*keys, "_place"])
+    else:
+        f = f.withColumns({f"{c}_before": F.lag(c).over(in_place) for c in ("_cost", "_fees")})
     avg = F.coalesce(F.try_divide(F.col("_cost_before"), before), F.lit(0.0))
     gross = F.col("_closing") * (F.col("price") - avg) * F.signum(before)
     fees = F.coalesce(F.col("_fees_before") * F.try_divide(F.col("_closing"), F.abs(before)), F.lit(0.0)) + F.col("fee") * F.col("_out")
@@ -243,15 +266,20 @@ def _exact_sums(f: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
 def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys: list[str], start_cash: float, by_mark: list[str]) -> DataFrame:
     """Equity at each mark: start + realised + unrealised - fees - funding, and the residual of the cash identity (about 0).
 
-    ``marks``: by_mark, ts_ns, mark; ``funding``: keys, ts_ns, paid.
+    ``marks``: by_mark, ts_ns, mark; ``funding``: keys, ts_ns, paid. Fills, funding and marks are one sequence a key, folded once.
     """
-    total = lambda c: ("sum", c, False)
-    led = scanned(ledger, keys, {"cum_realized": total(F.col("realized")), "cum_fees": total(F.col("fee")), "cum_cash": total(-F.col("fill_qty") * F.col("price") - F.col("fee"))}, "ts_ns", ("seq",), DAY_NS)
     times = marks.join(ledger.select(*keys).distinct(), by_mark)
-    at = asof(times, led, keys, "ts_ns", "ts_ns", ["qty", "avg", "cum_realized", "cum_fees", "cum_cash"], "seq")
-    funding = funding.groupBy(*keys, "ts_ns").agg(F.sum("paid").alias("paid"))  # several at one time count together
-    paid = scanned(funding, keys, {"cum_funding": total(F.col("paid"))}, "ts_ns", (), DAY_NS)
-    at = asof(at, paid, keys, "ts_ns", "ts_ns", ["cum_funding"])
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, "ts_ns")])
+    place = lambda after, seq: [*keys, "ts_ns", F.lit(after).alias("_after"), seq.cast("long").alias("_q")]
+    led = ledger.select(*place(0, F.col("seq")), "realized", "fee", (-F.col("fill_qty") * F.col("price") - F.col("fee")).alias("_cash"), F.when(known, F.struct("qty", "avg")).alias("_position"))
+    paid = funding.select(*place(0, F.lit(None)), "paid", F.when(known, True).alias("_funded"))
+    asked = times.select(*place(1, F.lit(None)), F.struct(*times.columns).alias("_l"))  # after all of the same time
+    rows = led.unionByName(paid, True).unionByName(asked, True)
+    total = lambda c: ("sum", F.col(c), False)
+    folds = {"_realized": total("realized"), "_fees": total("fee"), "_cashed": total("_cash"), "_funding": total("paid"), "_held": ("last", F.col("_position"), False), "_any": ("max", F.col("_funded"), False)}
+    at = scanned(rows, keys, folds, "ts_ns", ("_after", "_q"), DAY_NS, busy=crowded(by_mark, ledger, funding, marks)).where("_l is not null")
+    held = lambda c, name: F.when(F.col("_held").isNotNull(), F.col(c)).alias(name)
+    at = at.select("_l.*", "_held.qty", "_held.avg", held("_realized", "cum_realized"), held("_fees", "cum_fees"), held("_cashed", "cum_cash"), F.when(F.col("_any"), F.col("_funding")).alias("cum_funding"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     unreal = z("qty") * (F.col("mark") - z("avg"))
     eq = start_cash + z("cum_realized") + unreal - z("cum_fees") - z("cum_funding")
