@@ -6,7 +6,7 @@ import pytest
 from test_scan import FILL, folded_ledger
 
 from tidemark import staging
-from tidemark.operators import core, scan, trades
+from tidemark.operators import asof, core, scan, trades
 
 KEYS = ["strategy", "venue", "symbol_id"]
 
@@ -68,3 +68,28 @@ def test_a_ledger_of_small_keys_moves_its_fills_once(spark):
     f = spark.createDataFrame([("s", "okx", i % 5, "Buy", 1.0, 2.0, 0.1, i, i) for i in range(60)], FILL)
     plan = trades.position_ledger(f, KEYS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("forward, strict", [(False, False), (False, True), (True, False), (True, True)])
+@pytest.mark.parametrize("many", [0, 100, 10**6])
+def test_as_of_with_few_and_many_rows_a_key(spark, monkeypatch, many, forward, strict):
+    monkeypatch.setattr(core, "MANY", many)
+    r = random.Random(many)
+    key = lambda: "a" if r.random() < 0.7 else r.choice(["b", "c", None])
+    at = lambda: r.choice([None, *range(0, 90)])
+    left, right = [(key(), at(), i) for i in range(150)], [(key(), at(), i, r.choice([None, i])) for i in range(120)]
+    l, rt = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, t long, q long, v long")
+    got = {x["i"]: x["v"] for x in asof.asof(l, rt, ["k"], "t", "t", ["v"], "q", forward, strict, 7, busy=core.crowded(["k"], l, rt)).collect()}
+    for k, t, i in left:
+        near = (lambda u: u > t if strict else u >= t) if forward else (lambda u: u < t if strict else u <= t)
+        seen = sorted(((x[1], x[2], x[3]) for x in right if None not in (k, t, x[0], x[1]) and x[0] == k and near(x[1])), key=lambda x: x[:2])
+        assert got[i] == (seen[0 if forward else -1][2] if seen else None)
+
+
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_funding_of_small_keys_moves_its_rows_once_a_join(spark, monkeypatch, many):
+    monkeypatch.setattr(core, "MANY", many)
+    f = spark.range(60).selectExpr("'s' AS strategy", "id % 3 AS symbol_id", "id AS ts_ns", "id % 4 - 1.0D AS qty", "id * 1.0D AS mark", "0.5D AS rate")
+    a = trades.accrue_funding(f.select("symbol_id", "ts_ns", "rate"), f.select("strategy", "symbol_id", "ts_ns", "qty"), f.select("symbol_id", "ts_ns", "mark"), ["strategy", "symbol_id"], ["symbol_id"])
+    assert {(x["ts_ns"], x["paid"]) for x in a.collect()} == {(i, 0.5 * (i % 4 - 1) * i) for i in range(60) if i % 4 != 1}
+    assert a._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2

@@ -14,32 +14,46 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket_index
 from tidemark.operators.core import joined
+from tidemark.staging import staged
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], seq: str | None = None, forward: bool = False, strict: bool = False, slice_ns: int = DAY_NS) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], seq: str | None = None, forward: bool = False, strict: bool = False, slice_ns: int = DAY_NS, busy: DataFrame | None = None) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row at or before it (``forward``: first at or after).
 
     Of right rows at the same time the last by ``seq`` wins (forward: the first);
     ``strict`` leaves out equal times. In two levels: the last right row of each slice of
     time is carried to later slices, so a busy key is dealt by slices. Every left row stays:
-    one without a key or a time finds nothing, and such right rows are not found.
+    one without a key or a time finds nothing, and such right rows are not found. With ``busy``
+    (``core.crowded`` of some of ``by``) only its keys are dealt by slices; others are each one task's.
     """
     order_seq = F.col(seq) if seq else F.lit(0)
     l = left.select(*by, F.col(left_on).alias("_t"), F.lit(None).alias("_q"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
     known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in dict.fromkeys([*by, right_on])])
     r = right.where(known).select(*by, F.col(right_on).alias("_t"), order_seq.alias("_q"), F.lit(None).alias("_l"), F.struct(*values).alias("_r"))
-    both = l.unionByName(r).withColumn("_s", bucket_index("_t", slice_ns))
+    both, slot, cut = l.unionByName(r), bucket_index("_t", slice_ns), [*by, "_s"]
+    few = busy is not None and busy.isEmpty()
+    if few:
+        cut = by
+    elif busy is None:
+        both = both.withColumn("_s", slot)
+    else:
+        both = joined(both, busy.withColumn("_busy", F.lit(True)), busy.columns).withColumn("_s", F.when(F.col("_busy"), slot))
     ends = (F.min_by if forward else F.max_by)("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_q")))
     slices = Window.partitionBy(*by).orderBy(F.desc("_s") if forward else F.col("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.groupBy(*by, "_s").agg(ends.alias("_end")).select(*by, "_s", F.last("_end", ignorenulls=True).over(slices).alias("_before"))
     # Where right rows of the same time count, they stand on the near side of the left row.
     is_left = F.col("_l").isNotNull().cast("int")
     if forward:
-        w = Window.partitionBy(*by, "_s").orderBy(F.desc("_t"), -is_left if strict else is_left, F.desc("_q"))
+        w = Window.partitionBy(*cut).orderBy(F.desc("_t"), -is_left if strict else is_left, F.desc("_q"))
     else:
-        w = Window.partitionBy(*by, "_s").orderBy("_t", -is_left if strict else is_left, "_q")
+        w = Window.partitionBy(*cut).orderBy("_t", -is_left if strict else is_left, "_q")
     found = both.withColumn("_v", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = joined(found.where("_l is not null"), carried, [*by, "_s"]).withColumn("_v", F.when(F.col("_t").isNotNull(), F.coalesce("_v", "_before")))
+    found = found.where("_l is not null")
+    if few:
+        found = found.withColumn("_before", F.lit(None))
+    else:
+        carried = (both if busy is None else both.where("_busy")).groupBy(*by, "_s").agg(ends.alias("_end")).select(*by, "_s", F.last("_end", ignorenulls=True).over(slices).alias("_before"))
+        found = joined(found, carried if busy is None else staged(carried, "carried"), [*by, "_s"])
+    found = found.withColumn("_v", F.when(F.col("_t").isNotNull(), F.coalesce("_v", "_before")))
     return found.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 

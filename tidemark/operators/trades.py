@@ -289,9 +289,10 @@ def equity_curve(ledger: DataFrame, marks: DataFrame, funding: DataFrame, keys:
 
 def accrue_funding(funding: DataFrame, positions: DataFrame, marks: DataFrame, keys: list[str], by_mark: list[str]) -> DataFrame:
     """``paid`` = rate * position * mark at each funding event; none for a flat position or a rate that is not finite."""
-    f = asof(funding.where(is_finite("rate")), marks, by_mark, "ts_ns", "ts_ns", ["mark"])
+    busy = crowded(by_mark, funding, marks, positions)
+    f = asof(funding.where(is_finite("rate")), marks, by_mark, "ts_ns", "ts_ns", ["mark"], busy=busy)
     held = positions.select(*keys).distinct()
-    f = asof(f.join(held, by_mark), positions, keys, "ts_ns", "ts_ns", ["qty"])
+    f = asof(f.join(held, by_mark), positions, keys, "ts_ns", "ts_ns", ["qty"], busy=busy)
     return f.where("qty is not null and qty <> 0").withColumn("paid", F.col("rate") * F.col("qty") * F.coalesce("mark", F.lit(0.0)))
 
 
