@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_scan import FILL, folded_ledger
 
 from tidemark import staging
-from tidemark.operators import asof, core, scan, trades
+from tidemark.operators import asof, core, rolling, scan, trades
 
 KEYS = ["strategy", "venue", "symbol_id"]
 
@@ -93,3 +96,33 @@ def test_funding_of_small_keys_moves_its_rows_once_a_join(spark, monkeypatch, ma
     a = trades.accrue_funding(f.select("symbol_id", "ts_ns", "rate"), f.select("strategy", "symbol_id", "ts_ns", "qty"), f.select("symbol_id", "ts_ns", "mark"), ["strategy", "symbol_id"], ["symbol_id"])
     assert {(x["ts_ns"], x["paid"]) for x in a.collect()} == {(i, 0.5 * (i % 4 - 1) * i) for i in range(60) if i % 4 != 1}
     assert a._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_quantiles_of_many_short_slices(spark):
+    """Slices of several keys pass together, not a call each; what one asks never meets another's rows."""
+    r = random.Random(12)
+    nan = float("nan")
+    rows = [("x" if i % 3 else r.choice(["y", "z", None]), 1.0 if i % 3 else r.choice([1.0, nan, None]), r.randrange(500), i, r.choice([None, *range(30)])) for i in range(900)]
+    d = spark.createDataFrame(rows, "k string, f double, t long, i long, x int").repartition(3)
+    q = rolling.quantiles(d, ["k", "f"], F.col("x"), {"p": 0.9}, "t", 50, least=1)
+    assert "GroupsInArrow" not in q._jdf.queryExecution().executedPlan().toString()
+    got = {x["i"]: x["p"] for x in q.collect()}
+    same = lambda a, b: a == b or (a is not None and b is not None and a != a and b != b)
+    assert len(got) == len(rows)
+    for k, f, t, i, _ in rows:
+        past = [x for k2, f2, t2, _, x in rows if k2 == k and same(f2, f) and x is not None and t - 50 <= t2 < t]
+        assert got[i] == (pytest.approx(np.percentile(past, 90), rel=1e-12) if past else None)
+
+
+@pytest.mark.parametrize("chunk", [1, 700, 10**6])
+def test_slices_are_handed_on_whole_and_many_at_a_time(monkeypatch, chunk):
+    monkeypatch.setattr(rolling, "CHUNK", chunk)
+    sizes = np.random.default_rng(5).integers(1, 40, 3000)
+    sizes[[7, 2999]] = 9000  # longer than a chunk
+    slots = np.repeat(np.arange(3000), sizes)
+    rows = pa.table({"k": pa.array(["a"] * len(slots)), "_s": slots})
+    parts = [(p["_s"].to_numpy(), g) for p, g in rolling._whole_slices(iter(rows.to_batches(max_chunksize=500)), ["k", "_s"])]
+    assert np.concatenate([s for s, _ in parts]).tolist() == slots.tolist() and len(parts) <= len(slots) // 500 + 1
+    for s, g in parts:
+        assert (g == np.unique(s, return_inverse=True)[1]).all()
+    assert all(x[-1] < y[0] for (x, _), (y, _) in zip(parts, parts[1:]))

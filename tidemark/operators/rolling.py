@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,31 +48,72 @@ def interpolated(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: float) -
     return out
 
 
+CHUNK = 32_768  # rows that numpy takes at once, of as many whole slices
+
+
+def _begins(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row differs from the row before it in ``columns``; nulls are equal, and so are NaN."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in columns:
+        v = rows[c].combine_chunks()
+        a, b = v.slice(1), v.slice(0, max(len(v) - 1, 0))
+        differ = pc.not_equal(a, b)
+        if pa.types.is_floating(v.type):
+            differ = pc.and_not(differ, pc.and_(pc.is_nan(a), pc.is_nan(b)))
+        new[1:] |= pc.or_(pc.fill_null(differ, False), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``columns`` in tables of whole slices, with the number of each row's slice."""
+    held, n, want = [], 0, CHUNK
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < want:
+            continue
+        rows = pa.Table.from_batches(held)
+        begins = np.flatnonzero(_begins(rows, columns))
+        end = int(begins[-1])  # what comes before is whole, the last slice may go on
+        if end:
+            yield rows.slice(0, end), np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        held, n = rows.slice(end).to_batches(), len(rows) - end
+        want = max(CHUNK, 2 * n)
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.cumsum(_begins(rows, columns)) - 1
+
+
 def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float], at: str, back: int, upto: int = -1, least: int = 60_000_000_000) -> DataFrame:
     """``df`` with quantiles (name to share) of ``value`` over the key's rows whose ``at`` is within ``at - back`` to ``at + upto``.
 
     Null values don't count; a row without any has null. Rows without ``at`` are left out. A task
     holds two slices of a key, each as long as the window (or ``least``), and takes n log n steps for
-    n rows, however many of them a window has.
+    n rows, however many of them a window has. Short slices are answered many at a time.
     """
     slot = bucket_index(at, max(back, least))
     d = df.where(F.col(at).isNotNull()).withColumn("_x", value.cast("double"))
     d = d.withColumn("_s", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_s") == slot)
-    names = df.columns
-
-    def answer(rows: pa.Table) -> pa.Table:
-        axis, x, own = rows[at].to_numpy(), rows["_x"], rows["_own"].to_numpy()
-        known = x.is_valid().to_numpy()
-        order = np.argsort(axis[known], kind="stable")
-        places, values = axis[known][order], x.drop_null().to_numpy()[order]
-        lo, hi = np.searchsorted(places, axis[own] - back, "left"), np.searchsorted(places, axis[own] + upto, "right")
-        out = rows.select(names).filter(pa.array(own))
-        for name, q in wanted.items():
-            out = out.append_column(name, pa.array(interpolated(values, lo, hi, q), pa.float64(), mask=hi <= lo))
-        return out
+    names, cut = df.columns, [*keys, "_s"]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_slices(batches, cut):
+            axis, own, known = rows[at].to_numpy(), rows["_own"].to_numpy(), rows["_x"].is_valid().to_numpy()
+            # Times by number, so that slice and time are one number.
+            times, number = np.unique(np.concatenate([axis[known], axis[own] - back, axis[own] + upto]), return_inverse=True)
+            n, m, base = int(known.sum()), int(own.sum()), group * len(times)
+            place = base[known] + number[:n]
+            order = np.argsort(place, kind="stable")
+            place, values = place[order], rows["_x"].drop_null().to_numpy()[order]
+            lo, hi = np.searchsorted(place, base[own] + number[n : n + m], "left"), np.searchsorted(place, base[own] + number[n + m :], "right")
+            out = rows.select(names).filter(pa.array(own))
+            for name, q in wanted.items():
+                out = out.append_column(name, pa.array(interpolated(values, lo, hi, q), pa.float64(), mask=hi <= lo))
+            yield from out.to_batches(CHUNK)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in wanted)
-    return d.groupBy(*keys, "_s").applyInArrow(answer, schema)
+    return d.repartition(*cut).sortWithinPartitions(*cut, at).mapInArrow(answer, schema)
 
 
 def quantiles_of_last(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float], order: str, n: int, least: int = 4096) -> DataFrame:
