@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_fills import HOUR, prints_and_orders, through
 from test_scan import FILL, folded_ledger
 
 from tidemark import staging
-from tidemark.operators import asof, core, rolling, scan, trades
+from tidemark.operators import asof, core, fills, rolling, scan, trades
 
 KEYS = ["strategy", "venue", "symbol_id"]
 
@@ -126,3 +127,23 @@ def test_slices_are_handed_on_whole_and_many_at_a_time(monkeypatch, chunk):
     for s, g in parts:
         assert (g == np.unique(s, return_inverse=True)[1]).all()
     assert all(x[-1] < y[0] for (x, _), (y, _) in zip(parts, parts[1:]))
+
+
+@pytest.mark.parametrize("few", [0, 450, 10**6])
+@pytest.mark.parametrize("share", [None, 0.25])
+def test_resting_orders_of_keys_with_few_and_many_prints(spark, monkeypatch, few, share):
+    monkeypatch.setattr(fills, "FEW", few)
+    ladders, plain = [], fills._by_slices
+    monkeypatch.setattr(fills, "_by_slices", lambda *a: ladders.append(1) or plain(*a))
+    prints, orders, t, o = prints_and_orders(spark, 8)
+    want = {}
+    for x in orders:
+        crossing, got, at = through(x, prints), 0.0, None
+        for p in crossing:
+            got += p[5] * (share or 1e9)
+            if at is None and got >= x[6]:
+                at = p[2]
+        want[x[0]] = (at, None if share is None or not crossing else min(got, x[6]))
+    have = fills.touch_through(o, t, ["venue", "symbol_id"], share, slice_ns=HOUR)
+    assert {r["order_id"]: (r["fill_ts_ns"], r["filled_qty"] if share else None) for r in have.collect()} == want
+    assert ladders == ([] if few == 10**6 else [1])

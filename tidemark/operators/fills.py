@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket_index
 from tidemark.operators.asof import asof
-from tidemark.operators.core import joined
+from tidemark.operators.core import crowded, joined
 from tidemark.staging import staged
 
 BUY = "Buy"
@@ -66,6 +66,7 @@ def _crosses(low: str, high: str):
 
 
 FAN = 32  # slices of one length in one of the next
+FEW = 1024  # orders and prints of a key that are compared one by one
 
 
 def _lengths(slices: DataFrame, orders: DataFrame) -> int:
@@ -165,19 +166,48 @@ def _reaching_slice(orders: DataFrame, volumes: DataFrame, by: list[str], order_
 def touch_through(orders: DataFrame, trades: DataFrame, by: list[str], queue_share: float | None = None, order_id: str = "order_id", slice_ns: int = 3_600_000_000_000) -> DataFrame:
     """When the first trade from ready on goes strictly through the limit with the opposing aggressor; orders never expire.
 
-    Trades are summed up in time slices, in which each order finds the slice of its first crossing
-    (a ladder of longer and longer slices); only that slice and its own are joined print by print.
+    Keys of up to ``FEW`` orders and prints are joined print by print. Of others trades are summed up in time slices,
+    in which each order finds the slice of its first crossing (a ladder of longer and longer slices); only that
+    slice and its own are joined print by print.
     With ``queue_share`` each crossing print fills that share of its quantity and the order is done when they
     add up; the slice in which they do is found in a ladder of volumes by price. ``filled_qty`` is null where
     no print crosses. Ids of orders are unique.
     """
     slot = lambda c: bucket_index(c, slice_ns)
     t = trades.select(*by, slot("recv_ts_ns").alias("_s"), F.col("recv_ts_ns").alias("_t"), F.col("stream_seq").alias("_q"), F.col("price").cast("double").alias("_p"), F.col("qty").cast("double").alias("_n"), F.col("side").alias("_side"))
+    busy = crowded(by, orders, trades, most=FEW)
+    if busy.isEmpty():
+        return orders.join(_print_by_print(orders, t, by, queue_share, order_id), order_id, "left")
+    done = _print_by_print(orders.join(busy, by, "left_anti"), t.join(busy, by, "left_anti"), by, queue_share, order_id)
+    done = done.unionByName(_by_slices(orders.join(busy, by, "left_semi"), t.join(busy, by, "left_semi"), by, queue_share, order_id, slot))
+    return orders.join(done, order_id, "left")
+
+
+def _through():
+    """Whether a print ``_p`` of ``_side`` goes through an order's limit from its time on."""
+    sale = F.col("_side") != BUY
+    through = F.when(F.col("side") == BUY, sale & (F.col("_p") < F.col("limit_px"))).otherwise(~sale & (F.col("_p") > F.col("limit_px")))
+    return (F.col("_t") >= F.col("ready_ns")) & through
+
+
+def _print_by_print(orders: DataFrame, t: DataFrame, by: list[str], queue_share: float | None, order_id: str) -> DataFrame:
+    """What ``touch_through`` adds, by order id, each order joined with all prints of its key: orders and prints move once."""
+    pairs = orders.join(t, by).where(_through())
+    if queue_share is None:
+        return pairs.groupBy(*by, order_id).agg(F.min("_t").alias("fill_ts_ns")).select(order_id, "fill_ts_ns")
+    upto = F.sum("_n").over(Window.partitionBy(*by, order_id).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0))
+    want = F.col("qty").cast("double")
+    done = F.when(F.round("_upto", 9) >= F.col("qty") / queue_share, F.col("_t"))
+    sums = pairs.withColumn("_upto", upto).groupBy(*by, order_id).agg(F.min(done).alias("fill_ts_ns"), F.max(want).alias("_want"), F.max("_upto").alias("_upto"))
+    return sums.select(order_id, "fill_ts_ns", F.when(F.col("fill_ts_ns").isNotNull(), F.col("_want")).when(F.col("_upto") > 0, F.col("_upto") * queue_share).alias("filled_qty"))
+
+
+def _by_slices(orders: DataFrame, t: DataFrame, by: list[str], queue_share: float | None, order_id: str, slot) -> DataFrame:
+    """What ``touch_through`` adds, by order id, through ladders of slices."""
     sale = F.col("_side") != BUY
     base = t.groupBy(*by, "_s").agg(F.min(F.when(sale, F.col("_p"))).alias("_lo"), F.max(F.when(~sale, F.col("_p"))).alias("_hi"))
     o = orders.withColumn("_own", slot("ready_ns"))
-    through = F.when(F.col("side") == BUY, sale & (F.col("_p") < F.col("limit_px"))).otherwise(~sale & (F.col("_p") > F.col("limit_px")))
-    prints = lambda x: x.join(t, [*by, "_s"]).where((F.col("_t") >= F.col("ready_ns")) & through)
+    prints = lambda x: x.join(t, [*by, "_s"]).where(_through())
     if queue_share is None:
         now = prints(o.withColumnRenamed("_own", "_s")).groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns"))
         later = first_crossing_slice(o.join(now, order_id, "left_anti"), base, by, order_id)
@@ -195,4 +225,4 @@ def touch_through(orders: DataFrame, trades: DataFrame, by: list[str], queue_sha
         done = run.groupBy(order_id).agg(F.min("_t").alias("fill_ts_ns"), F.max("qty").cast("double").alias("filled_qty"))
         part = short.where("_upto > 0").select(order_id, F.lit(None).cast("long").alias("fill_ts_ns"), (F.col("_upto") * queue_share).alias("filled_qty"))
         done = done.unionByName(part)
-    return orders.join(done, order_id, "left")
+    return done
