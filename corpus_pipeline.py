@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. A stage's result is written as Parquet and
-reread as the next one's documents. What a stage stages on the way is deleted as
-soon as its decision, a table of ids, is written.
+reread as the next one's documents, then deleted. What a stage stages on the way is
+deleted as soon as its decision, a table of ids, is written.
 
 Edge cases, for every stage: an empty table stays empty; extra columns are carried
 through. Null and empty texts are judged by the classifier like any other, have no
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, jaccard, packing, quality, secrets
-from tidemark.llm.common import crc_fold, settled, stage, table
+from tidemark.llm.common import crc_fold, release, settled, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group linked by 5-word shingles at 0.8."""
-    drop = settled(lambda: jaccard.join(docs, percent=80, words=5).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    drop = settled(lambda: jaccard.join(docs, percent=80, words=5, turns=2).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -60,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir), name)
+        release(spark, *done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,6 +128,43 @@ def test_sketch_bounds_difference():
             assert keys[0] & keys[1]
 
 
+def test_unrelated_long_sets_are_not_verified():
+    """A sketch of 1024 bits is full at some 2,000 shingles, so that any two long sets of a group were candidates."""
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (3000, 3050, 2700, 5500, 5400, 6000)]
+    sets.append(np.unique(np.concatenate((sets[0], sets[1][:400]))))
+    n, zero, yes = np.array([len(s) for s in sets]), np.zeros(len(sets), dtype=np.int64), np.ones(len(sets), dtype=bool)
+    wide = jaccard.Sketches([jaccard.wide_sketch(s) for s in sets])
+    assert len(set(wide.words.tolist())) > 1  # of two lengths
+    i, j, far = jaccard._near(zero, yes, yes, np.arange(len(sets)), n, wide, 80)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 6)]
+    for a in range(len(sets)):
+        for b in range(a):
+            apart = int(wide.far(np.array([a]), np.array([b]))[0])
+            assert apart == int(wide.far(np.array([b]), np.array([a]))[0]) <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def test_jaccard_in_turns(spark, corpus):
+    """Keys of different turns are different ones, each is in one turn, and components stay."""
+    docs = docs_df(spark, corpus)
+    keys = lambda *turn: {tuple(r) for r in jaccard._keys(docs, 5, 80, *turn).collect()}
+    each = [keys(turn, 2) for turn in range(2)]
+    assert all(each) and not {k for k, *_ in each[0]} & {k for k, *_ in each[1]} and each[0] | each[1] == keys()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, 80, 5, turns=2).collect()}
+    assert got == brute_components(corpus, 5, 80)
+
+
+def test_pipeline_keeps_one_stage_on_disk(spark, monkeypatch):
+    import glob
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.range(10).withColumnRenamed("id", "doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"only_{i}", lambda s, docs, d, i=i: docs.where(f"doc_id <> {i}")) for i in range(4)])
+    assert corpus_pipeline.run(spark, "").count() == 6
+    assert [p.rpartition("/")[2] for p in glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/tidemark/*/only_*")] == ["only_2"]
+
+
 def test_components_of_a_path(spark):
     n = 60
     order = random.Random(1).sample(range(n), n)

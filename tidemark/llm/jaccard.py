@@ -21,10 +21,14 @@ documents count once. A word that many classes share does not give all pairs:
 
 Groups of more than ``BLOCK`` classes are dealt in blocks: the classes outside a
 group's largest component meet every block, the others only those from outside.
-Everywhere the Hamming distance of fixed 1024-bit sketches leaves out pairs that
-cannot link, and every link is verified on the sets themselves. So components are
-exact, while the number of pairs stays near the number of classes for groups that
-do link.
+Everywhere the Hamming distance of one wide sketch a set leaves out pairs that
+cannot link, and every link is verified on the sets themselves. A wide sketch has
+about a bit a shingle, 1024 at least: a full one says nothing, and each pair of long
+texts of a group would be verified. So components are exact, while the number of
+pairs stays near the number of classes for groups that do link.
+
+Words of different layouts never meet, so the words can be joined in turns, each for
+the layouts of one remainder: less disk at a time for shingling once more a turn.
 
 Edge cases: null texts and texts without a word have an empty set, link with
 nothing and are their own component; fewer words than a shingle count as one
@@ -36,6 +40,7 @@ their shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +54,7 @@ from tidemark.llm.substrings import BASES, Powers, Prefix, _by_key, mix
 PIECE = 1 << 22
 BLOCK = 4096
 BATCH = 1000  # texts of an Arrow batch
-WIDE = 1024  # bits of the fixed sketch
+WIDE = 1024  # bits of a wide sketch at least
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -134,8 +139,39 @@ def sketch_words(shingles: np.ndarray, layout: int, needed: int) -> np.ndarray:
 
 
 def wide_sketch(shingles: np.ndarray) -> bytes:
-    at = (mix(shingles) % np.uint64(WIDE)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=WIDE) & 1).astype(bool)).tobytes()
+    """Parities of the shingles in a power of two of bits; the halves of a sketch, one xor the other, are the next shorter one."""
+    bits = max(WIDE, 1 << (3 * len(shingles) // 4).bit_length())
+    at = (mix(shingles) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+class Sketches:
+    """Wide sketches of rows, and the Hamming distances of pairs of rows at the length of the shorter one."""
+
+    def __init__(self, wide: list[bytes]):
+        self.words = np.array([len(w) // 8 for w in wide], dtype=np.int64)
+        self.start = np.cumsum(self.words) - self.words
+        self.flat = np.frombuffer(b"".join(wide), dtype=np.uint64)
+
+    def _at(self, rows: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(rows), words), dtype=np.uint64)
+        for own in np.unique(self.words[rows]).tolist():
+            of = self.words[rows] == own
+            got = self.flat[self.start[rows[of]][:, None] + np.arange(own)]
+            while got.shape[1] > words:
+                half = got.shape[1] // 2
+                got = got[:, :half] ^ got[:, half:]
+            out[of] = got
+        return out
+
+    def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), dtype=np.int64)
+        for words in np.unique(both).tolist():
+            of = np.flatnonzero(both == words)
+            for at in range(0, len(of), BATCH):
+                x = of[at : at + BATCH]
+                out[x] = np.bitwise_count(self._at(i[x], words) ^ self._at(j[x], words)).sum(1)
+        return out
 
 
 def enough(common: int, a: int, b: int, percent: int) -> bool:
@@ -143,7 +179,7 @@ def enough(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the set, two hashes of the whole set and its fixed sketch."""
+    """doc_id, size of the set, two hashes of the whole set and its wide sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
@@ -167,8 +203,8 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n): all sketch words. Texts with equal sets within a task are taken once."""
+def _keys(docs: DataFrame, words: int, percent: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(key, doc_id, n): all sketch words of this turn's layouts. Texts with equal sets within a task are taken once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, edges = Hasher(words), set(), [1]
@@ -184,6 +220,8 @@ def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(seen) < 1 << 20:
                     seen.add(own)
                 for layout, needed in layouts(len(s), percent, edges):
+                    if layout % turns != turn:
+                        continue
                     keys.append(sketch_words(s, layout, needed))
                     ids.append(np.full(len(keys[-1]), doc_id))
                     sizes.append(np.full(len(keys[-1]), len(s)))
@@ -232,8 +270,8 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-                x, y = (_sketch_rows(batch.column(i).to_pylist()) for i in (4, 5))
-                far = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+                at = np.arange(batch.num_rows)
+                far = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist()).far(at, at + batch.num_rows)
                 ok = far * (100 + percent) <= (na + nb) * (100 - percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int32))], ["a", "b", "far"]).filter(pa.array(ok))
 
@@ -244,10 +282,6 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long, far int")
 
 
-def _sketch_rows(wide: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(wide), dtype=np.uint64).reshape(len(wide), -1)
-
-
 def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, z): the compressed texts of the documents in ``wanted`` (id)."""
 
@@ -278,11 +312,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = stage(_packed(docs, stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")), "texts", BATCH)
+    release(docs.sparkSession)  # the texts' own shuffle
     a, b = (texts.select(F.col("id").alias(end), F.col("z").alias(f"z{end}")) for end in ("a", "b"))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _near(u: np.ndarray, probe: np.ndarray, base: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(u: np.ndarray, probe: np.ndarray, base: np.ndarray, root: np.ndarray, n: np.ndarray, wide: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows i < j of one unit, of different roots, one probing the other, whose sizes and sketches allow a link; and their distance."""
     out = []
     first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
@@ -294,7 +329,7 @@ def _near(u: np.ndarray, probe: np.ndarray, base: np.ndarray, root: np.ndarray,
         ok = (root[i] != root[j]) & (probe[i] & base[j] | base[i] & probe[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
         x, y = i[ok], j[ok]
         if len(x):
-            far = np.bitwise_count(wide[x] ^ wide[y]).sum(1).astype(np.int64)
+            far = wide.far(x, y)
             ok = far * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             if ok.any():
                 out.append((x[ok], y[ok], far[ok]))
@@ -322,7 +357,7 @@ def _proposals(members: DataFrame, sketches: DataFrame, percent: int, nearest: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, g, ids, root, n, probe, base, wide in _by_key(batches):
-            i, j, far = _near(u, probe.astype(bool), base.astype(bool), root, n, _sketch_rows(wide.tolist()), percent)
+            i, j, far = _near(u, probe.astype(bool), base.astype(bool), root, n, Sketches(wide.tolist()), percent)
             if nearest and len(i):
                 i, j, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
                 order = np.lexsort((ids[j], far, i))
@@ -342,18 +377,24 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union."""
+def join(docs: DataFrame, percent: int = 90, words: int = 3, turns: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id): links hold where 100 * common >= percent * union.
+
+    ``turns``: sketch words are joined in so many jobs, whose shuffles are not on disk at the same time.
+    """
     spark = docs.sparkSession
     every = stage(_signatures(docs, words), "signatures", BATCH)
     docs, sig = docs.where("doc_id is not null"), every.where("doc_id is not null")
     classes = sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     member = stage(sig.drop("wide").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     sketches = sig.select(F.col("doc_id").alias("id"), "n", "wide").dropDuplicates(["id"])
-    groups = stage(_groups(_keys(docs, words, percent), percent), "groups", BATCH)
-    release(spark)  # the keys, the largest shuffle
+    parts = []
+    for turn in range(turns):
+        parts.append(stage(_groups(_keys(docs, words, percent, turn, turns), percent), "groups", BATCH))
+        release(spark)  # the keys, the largest shuffle
+    groups = reduce(DataFrame.unionByName, parts)
     pairs = groups.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    possible = stage(_possible(pairs, sketches, percent), "possible")
+    possible = stage(_possible(pairs, sketches, percent), "possible", BATCH)
     links = member.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
 
     def tested(more: DataFrame) -> None:
@@ -372,7 +413,7 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     tested(rest)
     tried = tried.unionByName(rest)
     active = stage(groups.where("g is not null").select("g", F.col("a").alias("id")).distinct(), "crowd")
-    release(spark, groups, possible)
+    release(spark, *parts, possible)
     for nearest in (True, False):
         now = active.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         found = stage(_proposals(now, sketches, percent, nearest), "proposals")
