@@ -6,10 +6,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_scan import BOOK, hot_book, plain_actions
 
 from tidemark import staging
-from tidemark.operators import book, scan, trades
+from tidemark.operators import book, core, scan, trades
 from tidemark.plans import registry
 from tidemark.sources import normalize
 
@@ -79,3 +80,61 @@ def test_orders_are_not_dealt_by_strategy_or_venue(spark):
     plan = o._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [strategy" not in plan
     assert o.where("killed").count() == 1_000_000 and o.where("allowed").count() == 1
+
+
+def _compliance_frames(spark, n=240, seed=4):
+    """Orders, some without a time or a key, of times that tie and lie on the edges of days; and all that they are held against."""
+    r, day = random.Random(seed), 86_400_000_000_000
+    when = lambda: r.choice([None, *(d * day + s for d in (0, 1, 4) for s in (0, 5, day // 2, day - 1))])
+    one = lambda: (r.choice("ab"), r.choice(["x", "y", None]), r.choice(["v", "w"]), r.choice([1, 2, None]), when())
+    key = "portfolio string, strategy string, venue string, symbol_id long, ts_ns long, seq long"
+
+    def frame(more, *alone):
+        rows = [(*one(), i, r.choice([None, *(float(x) for x in range(1, 90))])) for i in range(n // 2)]
+        kept = {tuple(row[k] for k in alone) or row: row for row in rows}  # one of a key and time, where no seq decides
+        return spark.createDataFrame(list(kept.values()), f"{key}, {more} double")
+
+    orders = spark.createDataFrame([(*one(), i, r.choice(["Buy", "Sell"]), 1.0, 2.0, True) for i in range(n)], f"{key}, side string, qty double, price double, mode_allows boolean")
+    return orders, frame("position_qty"), frame("mark", 3, 4), frame("gross_exposure", 0, 4), frame("daily_pnl")
+
+
+@pytest.mark.parametrize("many", [200_000, 20])
+def test_compliance_inputs_against_plain_python(spark, monkeypatch, many):
+    """What each order sees, by a search of all rows; with symbols of one task and with crowded ones."""
+    monkeypatch.setattr(core, "MANY", many)
+    frames = _compliance_frames(spark)
+    orders, positions, marks, exposure, pnl = ([x.asDict() for x in f.collect()] for f in frames)
+    day = 86_400_000_000_000
+
+    def last(rows, o, by, value, strict, same_day=False):
+        if o["ts_ns"] is None or any(o[k] is None for k in by):
+            return None
+        fit = [x for x in rows if x["ts_ns"] is not None and all(x[k] == o[k] for k in by) and (x["ts_ns"] < o["ts_ns"] if strict else x["ts_ns"] <= o["ts_ns"])]
+        x = max(fit, key=lambda x: (x["ts_ns"], x["seq"]), default=None)
+        return (x, x[value]) if x and not (same_day and x["ts_ns"] // day != o["ts_ns"] // day) else None
+
+    def want(o):
+        z = lambda found: 0.0 if found is None else found[1]
+        f = lambda found: z(found) or 0.0  # noqa: E731  filled
+        mates = [x for x in orders if o["ts_ns"] is not None and x["ts_ns"] is not None and x["strategy"] == o["strategy"] and (x["ts_ns"], x["seq"]) < (o["ts_ns"], o["seq"]) and x["ts_ns"] > o["ts_ns"] - 60]
+        n = len(mates) if o["ts_ns"] is not None else None
+        return n, f(last(positions, o, ["strategy", "venue", "symbol_id"], "position_qty", True)), f(last(marks, o, ["symbol_id"], "mark", False)), f(last(exposure, o, ["portfolio"], "gross_exposure", False)), z(last(pnl, o, ["strategy"], "daily_pnl", True, True)), z(last(pnl, o, ["portfolio"], "daily_pnl", True, True))
+
+    o, *rest = frames
+    allow = spark.createDataFrame([("v", 1)], "venue string, symbol_id long")
+    kills = spark.createDataFrame([], "scope string, target string")
+    held = spark.createDataFrame([("v", 1, 1.0)], "venue string, symbol_id long, qty double")
+    out = trades.compliance_inputs(o, *rest, rest[-1], allow, kills, held, held, 1e-6, 60)
+    got = {x["seq"]: (x["orders_last_min"] if x["ts_ns"] is not None else None, x["position_qty"], x["mark"], x["gross_exposure"], x["strategy_pnl"], x["portfolio_pnl"]) for x in out.collect()}
+    assert out.count() == len(orders) and got == {x["seq"]: want(x) for x in orders}
+    assert len({v for row in got.values() for v in row}) > 20
+
+
+def test_compliance_inputs_do_not_repeat_what_stands_before(spark):
+    """Each as-of join ran all before it once for its rows and once for its slices: some hundred exchanges in one plan."""
+    o, *rest = _compliance_frames(spark, 20)
+    few = o.select("venue", "symbol_id")
+    held = few.withColumn("qty", F.lit(1.0))
+    out = trades.compliance_inputs(o, *rest, rest[-1], few, spark.createDataFrame([], "scope string, target string"), held, held, 1e-6, 60)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION") <= 4

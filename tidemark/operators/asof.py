@@ -8,6 +8,7 @@ of rows a key.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,52 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     return found.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
+class AsOf(NamedTuple):
+    """A right side of ``asof_each``: the ``values`` of the last of ``rows`` of the same ``by`` at or before a left row.
+
+    Of rows at the same time the last by ``seq`` wins; ``strict`` leaves out equal times; with ``within`` only rows
+    of the left row's own slice of time count.
+    """
+
+    rows: DataFrame
+    by: list[str]
+    on: str
+    values: list[str]
+    seq: str | None = None
+    strict: bool = False
+    within: bool = False
+
+
+def asof_each(left: DataFrame, left_on: str, deal: list[str], rights: list[AsOf], slice_ns: int | None = None) -> DataFrame:
+    """Several as-of joins in which each row moves once: all rows are dealt by ``deal``, a part of every side's ``by``.
+
+    Without ``slice_ns`` each value of ``deal`` is one task's. Else it is dealt by slices of time, and what earlier
+    slices end with becomes one more row at the beginning of a slice; for these few rows ``left`` and the sides that are not
+    ``within`` are read twice. Rows without a key or a time are treated as in ``asof``.
+    """
+    slot = lambda c: bucket_index(c, slice_ns) if slice_ns else F.lit(None).cast("long")
+    keys = list(dict.fromkeys(c for r in rights for c in [*deal, *r.by]))
+    both = left.select(*keys, F.col(left_on).cast("long").alias("_t"), slot(left_on).alias("_s"), F.struct(*left.columns).alias("_l"))
+    for i, (rows, by, on, values, seq, _, within) in enumerate(rights):
+        known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in dict.fromkeys([*by, on])])
+        r = rows.where(known).select(*by, F.col(on).cast("long").alias("_t"), slot(on).alias("_s"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("_q"), F.struct(*values).alias(f"_r{i}"))
+        both = both.unionByName(r, True)
+        if slice_ns and not within:
+            ends = r.groupBy(*by, "_s").agg(F.max_by(f"_r{i}", F.struct("_t", "_q")).alias("_end"))
+            asked = left.select(*by, slot(left_on).alias("_s")).distinct()
+            earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+            slices = ends.unionByName(asked, True).groupBy(*by, "_s").agg(F.first("_end", True).alias("_end"))
+            carried = slices.select(*by, "_s", F.last("_end", True).over(earlier).alias(f"_r{i}")).where(F.col(f"_r{i}").isNotNull() & F.col("_s").isNotNull())
+            both = both.unionByName(carried.withColumn("_t", F.col("_s") * slice_ns - 1), True)
+    both = both.repartition(*deal, *(["_s"] if slice_ns else []))
+    is_left = F.col("_l").isNotNull().cast("int")
+    for i, r in enumerate(rights):
+        w = Window.partitionBy(*dict.fromkeys([*deal, *r.by]), *(["_s"] if slice_ns else [])).orderBy("_t", -is_left if r.strict else is_left, "_q")
+        both = both.withColumn(f"_v{i}", F.last(f"_r{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    timed = F.col("_t").isNotNull()
+    return both.where("_l is not null").select("_l.*", *(F.when(timed, F.col(f"_v{i}.{v}")).alias(v) for i, r in enumerate(rights) for v in r.values))
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, cols: list[str], seq: str | None = None) -> DataFrame:
     return asof(left, right, by, on, on, cols, seq)
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY_NS, bucket, bucket_index, clamp, is_finite, round_down, signed
 from tidemark.operators import core
-from tidemark.operators.asof import asof
+from tidemark.operators.asof import AsOf, asof, asof_each
 from tidemark.operators.core import crowded, joined, running
 from tidemark.operators.scan import affine, ranked, scanned
-from tidemark.staging import staged
+from tidemark.staging import settled, staged
 
 INF = float("inf")
 
@@ -120,9 +120,9 @@ def daily_pnl(equity: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str =
 
 
 def trailing_order_count(orders: DataFrame, keys: list[str], ts: str = "ts_ns", seq: str = "seq", window_ns: int = 60_000_000_000) -> DataFrame:
-    """Orders of the minute before, this one and its later peers excluded. In slices as long as the window, with the one before as context."""
-    slot = bucket_index(ts, window_ns)
-    d = orders.withColumns({"_slot": slot}).withColumn("_s", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
+    """Orders of the minute before, this one and its later peers excluded. In slices of eight windows, with the last window of the one before as context."""
+    slot, last = bucket_index(ts, 8 * window_ns), F.pmod(F.col(ts), F.lit(8 * window_ns)) >= 7 * window_ns
+    d = orders.withColumns({"_slot": slot}).withColumn("_s", F.explode(F.when(last, F.array(F.col("_slot"), F.col("_slot") + 1)).otherwise(F.array("_slot"))))
     w = Window.partitionBy(*keys, "_s")
     n = F.row_number().over(w.orderBy(ts, seq)) - 1
     older = F.count("*").over(w.orderBy(ts).rangeBetween(Window.unboundedPreceding, -window_ns))
@@ -355,15 +355,29 @@ def compliance_inputs(orders: DataFrame, positions: DataFrame, marks: DataFrame,
     and their keys: positions (position_qty) and the P&L of the day so far count strictly before the order; marks (mark)
     and exposure (portfolio, gross_exposure) up to its time. What is not known counts as zero, an unknown
     venue as reconciled.
+
+    Orders are written after each move, and what was written and shuffled before is given back: one plan of all the
+    joins would run what stands before a join once for its rows and once for its slices, and hold all shuffles to the end.
+    Symbols of up to ``core.MANY`` rows are each one task's.
     """
-    o = trailing_order_count(allow_and_kill_flags(orders, allow, kills), ["strategy"], "ts_ns", "seq", window_ns)
-    o = asof(o, positions, ["strategy", "venue", "symbol_id"], "ts_ns", "ts_ns", ["position_qty"], "seq", strict=True)
-    o = asof(o, marks, ["symbol_id"], "ts_ns", "ts_ns", ["mark"])
-    o = asof(o, exposure, ["portfolio"], "ts_ns", "ts_ns", ["gross_exposure"])
-    for name, pnl in (("strategy", strategy_pnl), ("portfolio", portfolio_pnl)):
-        p = pnl.select(name, "ts_ns", "seq", F.col("daily_pnl").alias(f"{name}_pnl"), bucket("ts_ns", DAY_NS).alias("_day"))
-        o = asof(o, p, [name], "ts_ns", "ts_ns", [f"{name}_pnl", "_day"], "seq", strict=True)
-        o = o.withColumn(f"{name}_pnl", F.when(F.col("_day") == bucket("ts_ns", DAY_NS), F.col(f"{name}_pnl")).otherwise(0.0)).drop("_day")
+    o = settled(trailing_order_count(allow_and_kill_flags(orders, allow, kills), ["strategy"], "ts_ns", "seq", window_ns), "counted")
+    busy = crowded(["symbol_id"], o, positions, marks)
+    by = ["strategy", "venue", "symbol_id"]
+    if busy.isEmpty():
+        known = asof_each(o, "ts_ns", ["symbol_id"], [AsOf(positions, by, "ts_ns", ["position_qty"], "seq", strict=True), AsOf(marks, ["symbol_id"], "ts_ns", ["mark"])])
+    else:
+        held = settled(asof(o, positions, by, "ts_ns", "ts_ns", ["position_qty"], "seq", strict=True, busy=busy), "held", o)
+        o, known = held, asof(held, marks, ["symbol_id"], "ts_ns", "ts_ns", ["mark"], busy=busy)
+    o = settled(known, "marked", o)
+
+    def pnl(rows: DataFrame, name: str) -> AsOf:
+        return AsOf(rows.select(name, "ts_ns", "seq", F.col("daily_pnl").alias(f"{name}_pnl"), F.lit(True).alias(f"_{name}")), [name], "ts_ns", [f"{name}_pnl", f"_{name}"], "seq", strict=True, within=True)
+
+    exposed = AsOf(exposure, ["portfolio"], "ts_ns", ["gross_exposure"])
+    o = settled(asof_each(o, "ts_ns", ["portfolio"], [exposed, pnl(portfolio_pnl, "portfolio")], DAY_NS), "exposed", o)
+    o = asof_each(o, "ts_ns", ["strategy"], [pnl(strategy_pnl, "strategy")], DAY_NS)
+    for name in ("strategy", "portfolio"):
+        o = o.withColumn(f"{name}_pnl", F.when(F.col(f"_{name}"), F.col(f"{name}_pnl")).otherwise(0.0)).drop(f"_{name}")
     off = reconcile(internal, venue, tol, ("venue", "symbol_id")).select("venue").distinct().withColumn("_off", F.lit(True))
     clean = internal.select("venue").union(venue.select("venue")).distinct().join(off, "venue", "left").select("venue", F.col("_off").isNull().alias("reconciled"))
     clean = staged(clean, "venues")
